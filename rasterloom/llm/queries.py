@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import decontam, mixing, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op7_decontaminate": decontam.op7_decontaminate,
 }
 ORACLES: dict = {}
