@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, tokens
+from . import decontam, mixing, substring, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op7_decontaminate": decontam.op7_decontaminate,
 }
