@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, substring, tokens
+from . import decontam, minhash, mixing, substring, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op10_dart_minhash": minhash.op10_dart_minhash,
 }
 ORACLES: dict = {}
