@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, mixing, substring, tokens
+from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, substring, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_language_id": langid.op6_language_id,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op10_dart_minhash": minhash.op10_dart_minhash,
 }
-ORACLES: dict = {}
+ORACLES: dict = {
+    "op5_line_dedup": lines.ORACLE_SQL,
+}
