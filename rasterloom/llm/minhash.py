@@ -213,14 +213,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     and ``n_copies`` is the number of rows with exactly these words. Whole
     copies are one class from the start; only its first document is compared.
 
-    Documents without words (null or empty texts) link with nothing. A null
-    doc_id counts as larger than all in choosing the kept row, and is reported
-    as such a component's null. Of rows of equal doc_id one is kept.
+    Documents without words (null or empty texts) and rows of null doc_id link
+    with nothing and are kept. Rows of equal doc_id stand for one document:
+    they are kept or go together.
     """
     last = F.lit((1 << 63) - 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.coalesce("doc_id", last))
-    found = common.written(scan(docs, bands, rows), "minhash-bands")
+    found = scan(docs, bands, rows).withColumn("sha", F.when(F.col("doc_id").isNotNull(), F.col("sha")))
+    found = common.written(found, "minhash-bands")
     classes = common.written(found.where("sha is not null").groupBy("sha").agg(
         F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "minhash-classes")
     keyed = classes.select(F.col("first").alias("doc"), "copies", F.explode("bands").alias("key"))
@@ -232,10 +233,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     named = classes.join(groups.withColumnRenamed("id", "first"), "first", "left").select(
         "sha", "copies", "first", F.coalesce("component", "first").alias("component"))
     joined = found.drop("bands").join(named, "sha", "left")
-    return joined.select("doc_id", "doc", "sha", F.coalesce("component", "doc").alias("component"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    return joined.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
+                         (F.col("doc") == F.coalesce("component", "doc")).alias("kept"))
+
+
+def keep_firsts(docs: DataFrame, **how) -> DataFrame:
+    """The documents, all columns, with the first of each group of near-duplicates alone."""
+    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = common.written(gone, "minhash-gone")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return named.select("doc_id", F.col("component").alias("component_id"), "n_copies",
-                        (F.col("doc") == F.col("component")).alias("kept"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"))

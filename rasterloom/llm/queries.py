@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, licenses, lines, minhash, mixing, substring, tokens
+from . import chat, decontam, embeddings, langid, licenses, lines, minhash, mixing, substring, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
@@ -13,8 +13,10 @@ QUERIES: dict = {
     "op6_language_id": langid.op6_language_id,
     "op7_decontaminate": decontam.op7_decontaminate,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
+    "op9_chat_quotes": chat.op9_chat_quotes,
     "op10_dart_minhash": minhash.op10_dart_minhash,
 }
 ORACLES: dict = {
     "op5_line_dedup": lines.ORACLE_SQL,
+    "op9_chat_quotes": chat.ORACLE_SQL,
 }
