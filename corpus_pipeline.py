@@ -1,5 +1,56 @@
-STAGES = []
+"""The corpus pipeline: five stages over documents, each one operator of ``rasterloom.llm``.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before it
+kept, and gives a DataFrame that is written as Parquet and read again for the
+next. All but the last give the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rasterloom.llm import common, decontam, langid, minhash, mixing, tokens
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not rejected."""
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_firsts(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated, without the spans that they share with the benchmark."""
+    return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), keep=True)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them, in training order."""
+    return mixing.mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digest of the token files that are written."""
+    return tokens.token_digest(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("minhash_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("source_mixing", mix_sources),
+    ("token_output", token_output),
+]
+
+#: The tokenizer and the draws of the mix are beyond SQL; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
