@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-from . import queries_arrays, queries_lattice, queries_neighbors, queries_scalars, queries_validate, queries_windows  # noqa: E402, F401
+from . import queries_arrays, queries_lattice, queries_neighbors, queries_records, queries_scalars, queries_validate, queries_windows  # noqa: E402, F401
