@@ -87,11 +87,11 @@ def starts_inside(bounds: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(ok[:-1]) > 0
 
 
-def portions(texts: list[str | None], most: int = 2_000_000):
-    """Ranges of texts, in order, of about so many characters together."""
+def portions(texts: list[str | None], most: int = 2_000_000, each: int = 0):
+    """Ranges of texts, in order, of about so many characters together, where each text counts ``each`` more."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
-        size += len(text or "")
+        size += len(text or "") + each
         if size >= most:
             yield begin, i + 1
             begin, size = i + 1, 0

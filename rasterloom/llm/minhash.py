@@ -122,7 +122,8 @@ def scan(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(frames):
         for frame in frames:
             texts = frame["text"].tolist()
-            for i, j in portions(texts):
+            # A text has about as many darts, however short it is; both bound a portion's memory.
+            for i, j in portions(texts, 800_000, 1_600):
                 owner, regions = elements(texts[i:j])
                 keys = band_keys(signatures(owner, regions, j - i, bands * rows), bands, rows).view("i8")
                 lists = [common.blank_words(t) for t in texts[i:j]]
@@ -170,38 +171,119 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -> DataFrame:
+def links(buckets: DataFrame, sets: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
     """Edges (a, b) that join all documents that similar pairs within buckets join.
 
     ``buckets`` has key, doc and copies. Each round compares the documents of a
     bucket that are not in its largest group with one document of that group,
     another one each round; a bucket within one group is done. What is still
-    apart then is compared pair by pair, without the pairs known already.
+    apart then is compared in full: in small buckets pair by pair, without the
+    pairs known already, in large ones block by block.
     """
     tried, groups = None, None
-    for k in range(rounds + 1):
-        here = buckets if groups is None else buckets.join(groups.withColumnRenamed("id", "doc"), "doc", "left")
-        here = here.withColumn("grp", F.col("doc") if groups is None else F.coalesce("component", "doc"))
-        apart = here.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key")
-        if k == rounds:
-            open_ = common.written(here.join(apart, "key").select("key", "doc", "grp"), "open")
-            other = open_.select("key", F.col("doc").alias("doc2"), F.col("grp").alias("grp2"))
-            pairs = _pairs(open_.join(other, "key").where("doc < doc2 and grp != grp2"), "doc", "doc2")
+    for k in range(rounds):
+        here = _grouped(buckets, groups)
+        if k == 0:  # each document is a group of its own yet
+            one = here.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("doc").alias("grp"), "doc")).alias("top"))
         else:
-            if k == 0:  # each document is a group of its own yet
-                one = here.groupBy("key").agg(F.min(F.struct(-F.col("copies"), F.col("doc").alias("grp"), "doc")).alias("top"))
-            else:
-                one = (here.groupBy("key", "grp")
-                       .agg(F.sum("copies").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "doc"), "doc"))["doc"].alias("doc"))
-                       .groupBy("key").agg(F.max(F.struct("n", "grp", "doc")).alias("top")))
-            one = one.select("key", F.col("top.grp").alias("top_grp"), F.col("top.doc").alias("top_doc"))
-            pairs = _pairs((here if k == 0 else here.join(apart, "key")).join(one, "key").where("grp != top_grp"), "doc", "top_doc")
+            here = here.join(_apart(here), "key")
+            one = (here.groupBy("key", "grp")
+                   .agg(F.sum("copies").alias("n"), F.min(F.struct(F.xxhash64(F.lit(k), "doc"), "doc"))["doc"].alias("doc"))
+                   .groupBy("key").agg(F.max(F.struct("n", "grp", "doc")).alias("top")))
+        one = one.select("key", F.col("top.grp").alias("top_grp"), F.col("top.doc").alias("top_doc"))
+        pairs = _pairs(here.join(one, "key").where("grp != top_grp"), "doc", "top_doc")
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         now = common.written(verified(pairs, sets, threshold), "verified")
         tried = now if tried is None else tried.union(now)
         groups = components(tried.where("similar"))
-    return tried.where("similar").select("a", "b")
+    here = _grouped(buckets, groups)
+    sizes = (here.groupBy("key", "grp").agg(F.count("*").alias("n")).groupBy("key")
+             .agg(F.sum("n").alias("n"), F.max(F.struct("n", "grp")).alias("top")).where("top.n < n")
+             .select("key", "n", F.col("top.grp").alias("top_grp"), (F.col("n") - F.col("top.n")).alias("n_apart")))
+    left = common.written(here.join(sizes, "key"), "apart")
+    small = left.where(F.col("n") <= PAIRED).select("key", "doc", "grp")
+    other = small.select("key", F.col("doc").alias("doc2"), F.col("grp").alias("grp2"))
+    pairs = _pairs(small.join(other, "key").where("doc < doc2 and grp != grp2"), "doc", "doc2")
+    paired = verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+    blocked = block_links(left.where(F.col("n") > PAIRED), sets, threshold)
+    found = tried.union(paired).where("similar").select("a", "b").union(blocked)
+    return common.written(found, "links")
+
+
+#: Documents of a bucket up to which those apart are compared pair by pair, and of a side of a block beyond it.
+PAIRED, BLOCK = 64, 512
+
+
+def _grouped(buckets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return buckets.withColumn("grp", F.col("doc"))
+    return (buckets.join(groups.withColumnRenamed("id", "doc"), "doc", "left")
+            .withColumn("grp", F.coalesce("component", "doc")).drop("component"))
+
+
+def _apart(here: DataFrame) -> DataFrame:
+    """The keys of buckets in more than one group."""
+    return here.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key")
+
+
+def block_links(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges between groups of large buckets, from ``left`` (key, doc, grp, n, top_grp, n_apart).
+
+    The documents outside a bucket's largest group are dealt into chunks, and so
+    are all its documents; each pair of chunks is a block that one task compares.
+    Only an edge for each two groups that are linked leaves it.
+    """
+    draw = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    chunked = (left.withColumn("outer", F.ceil(F.col("n_apart") / BLOCK).cast("int")).withColumn("inner", F.ceil(F.col("n") / BLOCK).cast("int")))
+    outside = (chunked.where("grp != top_grp")
+               .select("key", "doc", "grp", F.lit(True).alias("out"), draw("outer").alias("i"), F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("j")))
+    every = chunked.select("key", "doc", "grp", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), draw("inner").alias("j"))
+    rows = outside.union(every).join(sets, "doc")
+    dealt = rows.repartition(common.partitions(left.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(frames):
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys = frame[["key", "i", "j"]].to_numpy()
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+            held = frame.iloc[edges[-1]:]
+            for x, y in zip(edges[:-1], edges[1:]):
+                yield compare(frame.iloc[x:y])
+        if held is not None and len(held):
+            yield compare(held)
+
+    def compare(block):
+        out = block["out"].to_numpy()
+        doc, grp = block["doc"].to_numpy(), block["grp"].to_numpy()
+        shared = shared_units(block["units"].tolist(), out)
+        size = np.array([len(u) for u in block["units"]])
+        s, m = np.flatnonzero(out), np.flatnonzero(~out)
+        near = shared >= threshold * (size[s][:, None] + size[m][None, :] - shared) - 1e-9
+        near &= grp[s][:, None] != grp[m][None, :]
+        a, b = np.nonzero(near)
+        return pd.DataFrame({"a": doc[s[a]], "b": doc[m[b]], "ga": grp[s[a]], "gb": grp[m[b]]}).drop_duplicates(["ga", "gb"])[["a", "b"]]
+
+    return dealt.select("key", "i", "j", "out", "doc", "grp", "units").mapInPandas(run, "a long, b long")
+
+
+def shared_units(units: list[np.ndarray], out: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    """How many units each set with ``out`` shares with each without it, as a product of 0/1 matrices, a slice of columns at a time."""
+    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    _, column, count = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    use = count[column] > 1
+    owner, column = owner[use], column[use]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.cumsum(np.diff(column[order], prepend=column[order][:1]) != 0)
+    total = np.zeros((int(out.sum()), int((~out).sum())), "f4")
+    step = max(1, cells // max(1, len(units)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [first, first + step])
+        grid = np.zeros((len(units), step), "f4")
+        grid[owner[a:b], column[a:b] - first] = 1
+        total += grid[out] @ grid[~out].T
+    return total
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
