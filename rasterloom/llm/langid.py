@@ -29,6 +29,8 @@ SMOOTHING, AGREE, DISAGREE = 5.0, 8.0, 1.0
 
 #: For bytes.translate: ASCII letters lower-cased, other ASCII to a space, the rest as it is.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: What identify() adds.
+RESULT = ("language", "confidence", "text_language", "kept")
 #: Markup that declares a language (fixed value).
 MARKUP = r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
 
@@ -110,7 +112,7 @@ def _softmax(logs: list[Column]) -> list[Column]:
 
 def identify(docs: DataFrame, declared: Column, address: Column, label: Column, *, languages: list[str] | None = None,
              least: float = 0.5) -> DataFrame:
-    """``row``, language, confidence, text_language and kept of each row, beside the columns of docs without text.
+    """language, confidence, text_language and kept of each row, beside the columns of docs without text.
 
     ``docs`` has text; ``declared`` is a language code, where none is given the
     text's markup is asked; ``address`` is a host or URL; ``label`` is what the
@@ -120,18 +122,20 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     A null or empty text has no letters: it is und and rejected. Null and
     unknown declarations and addresses are no evidence beyond all documents'
     own shares. Without a labelled row no language is known and all rows are
-    und. Rows are judged one by one, repeated or not.
+    und. Rows are judged one by one, repeated or not. Columns of
+    docs that are named as these four are replaced.
     """
-    spark = docs.sparkSession
     bare = F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_extract(bare, r"^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)
     known, model = fit(docs.select("text", language_code(label).alias("label")))
-    others = [c for c in docs.columns if c != "text"]
-    given = docs.select("text", *others, F.coalesce(language_code(declared), language_code(F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit("")))).alias("_declared"),
-                        host.alias("_host"))
+    # The documents' own columns go along under other names, as theirs may be any.
+    back = {f"_o{i}": c for i, c in enumerate(c for c in docs.columns if c not in ("text", *RESULT))}
+    others = list(back)
+    said = F.coalesce(language_code(declared), language_code(F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit(""))))
+    given = docs.select("text", *(F.col(c).alias(o) for o, c in back.items()), said.alias("_declared"), host.alias("_host"))
     if not known:
         return given.select(*others, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"),
-                            F.lit("und").alias("text_language"), F.lit(False).alias("kept"))
+                            F.lit("und").alias("text_language"), F.lit(False).alias("kept")).withColumnsRenamed(back)
     scored = common.written(score(given, known, model), "language-scores")
     n = len(known)
     soft = _softmax([F.col("logs")[k] for k in range(n)])
@@ -190,7 +194,7 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     wanted = name.isin(languages) if languages is not None else F.lit(True)
     return joined.select(*others, F.when(lettered, name).otherwise(F.lit("und")).alias("language"),
                          F.when(lettered, best).otherwise(F.lit(0.0)).alias("confidence"), "text_language",
-                         (lettered & wanted & (best >= least)).alias("kept"))
+                         (lettered & wanted & (best >= least)).alias("kept")).withColumnsRenamed(back)
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
