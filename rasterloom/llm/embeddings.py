@@ -61,7 +61,7 @@ def buckets_of(vectors: np.ndarray, tables: int, per_table: int) -> np.ndarray:
             codes = best.copy()
             if p:
                 codes[:, p - 1] = second[:, p - 1]
-            key = np.full(n, (size << 16) + t + 1, "u8")
+            key = np.full(n, (d << 16) + t + 1, "u8")
             for k in range(per_table):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + codes[:, k])
             out[:, t, p] = key
@@ -107,14 +107,18 @@ def placed(classes: DataFrame, tables: int, per_table: int) -> DataFrame:
     return classes.select("id", "copies", "raw").mapInPandas(run, "bucket long, id long, copies long, raw binary")
 
 
-def _compare(bucket: int, cross: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, raw: list[bytes],
+def _compare(bucket: int, cross: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray,
              threshold: float, tables: int, per_table: int):
     """id, links and to of the vectors of a block that have a link; links counts pairs that meet in this bucket first."""
-    x = unit_rows(raw)
     near = x @ x.T >= threshold
-    np.fill_diagonal(near, False)
+    near.ravel()[::len(x) + 1] = False
+    if not near.any():
+        return None
     if cross:
         near &= side[:, None] != side[None, :]
+    if len(np.unique(ids)) < len(ids):  # a vector's probes fell into one bucket
+        _, once = np.unique(ids, return_index=True)
+        ids, copies, x, near = ids[once], copies[once], x[once], near[np.ix_(once, once)]
     linked = np.flatnonzero(near.any(axis=1))
     if not len(linked):
         return None
@@ -157,14 +161,16 @@ def compared(blocks: DataFrame, threshold: float, tables: int, per_table: int) -
 
     def done(frame, edges):
         ids, copies, chunk = (frame[c].to_numpy() for c in ("id", "copies", "chunk"))
-        buckets, lo, hi, raw = frame["bucket"].to_numpy(), frame["lo"].to_numpy(), frame["hi"].to_numpy(), frame["raw"].tolist()
-        found = []
+        buckets, lo, hi, raw = frame["bucket"].tolist(), frame["lo"].tolist(), frame["hi"].tolist(), frame["raw"].to_numpy()
+        # Vectors of one length are turned to numbers together; a bucket has no others.
+        lengths, place, units, found = np.array([len(r) for r in raw[:edges[-1]]], "i8"), np.zeros(len(raw), "i8"), {}, []
+        for length in np.unique(lengths):
+            mine = np.flatnonzero(lengths == length)
+            units[int(length)], place[mine] = unit_rows(raw[mine].tolist()), np.arange(len(mine))
         for i, j in zip(edges[:-1], edges[1:]):
             if j - i > 1:
-                # a vector's probes may fall into one bucket twice
-                _, at = np.unique(ids[i:j], return_index=True)
-                at = at + i
-                got = _compare(int(buckets[i]), lo[i] != hi[i], ids[at], copies[at], chunk[at], [raw[k] for k in at], threshold, tables, per_table)
+                x = units[int(lengths[i])][place[i:j]]
+                got = _compare(buckets[i], lo[i] != hi[i], ids[i:j], copies[i:j], chunk[i:j], x, threshold, tables, per_table)
                 if got is not None:
                     found.append(got)
         if found:
