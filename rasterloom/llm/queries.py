@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, langid, licenses, lines, minhash, mixing, substring, tokens
+from . import chat, decontam, embeddings, langid, licenses, lines, minhash, mixing, oracles, substring, tokens
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
@@ -16,7 +16,13 @@ QUERIES: dict = {
     "op9_chat_quotes": chat.op9_chat_quotes,
     "op10_dart_minhash": minhash.op10_dart_minhash,
 }
+#: The tokenizer (op1), the draws of the mix (op3) and the fitted model (op6) are beyond SQL; tests/llm has plain versions.
 ORACLES: dict = {
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op4_license_scan": oracles.LICENSES,
     "op5_line_dedup": lines.ORACLE_SQL,
+    "op7_decontaminate": oracles.CONTAMINATION,
+    "op8_embedding_dedup": oracles.EMBEDDINGS,
     "op9_chat_quotes": chat.ORACLE_SQL,
+    "op10_dart_minhash": oracles.NEAR_DUPLICATES,
 }
