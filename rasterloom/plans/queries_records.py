@@ -146,3 +146,41 @@ def stream_window_counts(spark, d):
     return found.select(col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+
+
+def _saved_models(spark, d):
+    """Folders, one a brand, of which those of even length lack the model file."""
+    from ..sources.shared import fresh_path
+    top = fresh_path(spark, "models")
+    brands = B.table(spark, d, "part").select("p_brand").distinct().withColumn("folder", F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    lines = lambda df, kind: df.select(F.lit("{}").alias("value"), "folder").write.mode("append").partitionBy("folder").text(f"{top}/{kind}")
+    lines(brands, "metadata")
+    lines(brands.where(F.substring("p_brand", -1, 1) != "1"), "model")
+    return top
+
+
+@query("s11_saved_settings", f"WITH {TRAIN} SELECT 1 AS schema_version, grp, max(f3) AS threshold FROM train GROUP BY grp")
+def saved_settings(spark, d):
+    """Settings written as JSON and read again with their schema."""
+    from ..sources.shared import fresh_path
+    path = fresh_path(spark, "settings")
+    per = B.training(spark, d).groupBy("grp").agg(F.max("f3").alias("threshold"))
+    per.select(F.lit(1).alias("schema_version"), "grp", "threshold").write.json(path)
+    return Rd.read_settings(spark, path, "grp long, threshold double")
+
+
+@query("s13_map_discovery", "SELECT count(DISTINCT p_brand)::BIGINT AS maps FROM part")
+def map_discovery(spark, d):
+    """Maps by image name under a root: a table partitioned by image."""
+    from ..sources.shared import fresh_path
+    path = fresh_path(spark, "maps")
+    B.table(spark, d, "part").select("p_brand", "p_size").distinct().write.partitionBy("p_brand").parquet(path)
+    return spark.read.parquet(path).select("p_brand").distinct().agg(F.count("*").alias("maps"))
+
+
+@query("s14_model_listing", "SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS model FROM part WHERE substr(p_brand, len(p_brand), 1) <> '1'")
+def model_listing(spark, d):
+    """Models that have both their metadata and the model itself."""
+    top = _saved_models(spark, d)
+    both = [spark.read.text(f"{top}/{kind}").select("folder").distinct() for kind in ("metadata", "model")]
+    return both[0].join(both[1], "folder", "left_semi").select(col("folder").alias("model"))
