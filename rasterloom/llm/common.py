@@ -66,3 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Reduce partitions of this session; set it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most so many rows go to a Python worker at once in this session: texts and arrays can be long.
+
+    A smaller number that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)

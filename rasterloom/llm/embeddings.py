@@ -107,31 +107,38 @@ def placed(classes: DataFrame, tables: int, per_table: int) -> DataFrame:
     return classes.select("id", "copies", "raw").mapInPandas(run, "bucket long, id long, copies long, raw binary")
 
 
-def _compare(bucket: int, cross: bool, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, x: np.ndarray,
-             threshold: float, tables: int, per_table: int):
-    """id, links and to of the vectors of a block that have a link; links counts pairs that meet in this bucket first."""
+def _linked(cross: bool, ids: np.ndarray, side: np.ndarray, x: np.ndarray, threshold: float):
+    """Places of a block's vectors that have a link, which of these are near, and the smallest id that each reaches in the block."""
     near = x @ x.T >= threshold
     near.ravel()[::len(x) + 1] = False
     if not near.any():
         return None
     if cross:
         near &= side[:, None] != side[None, :]
-    if len(np.unique(ids)) < len(ids):  # a vector's probes fell into one bucket
+    if len(np.unique(ids)) < len(ids):  # a vector's probes fell into one bucket: its first row stands for it
         _, once = np.unique(ids, return_index=True)
-        ids, copies, x, near = ids[once], copies[once], x[once], near[np.ix_(once, once)]
-    linked = np.flatnonzero(near.any(axis=1))
-    if not len(linked):
+        first = np.zeros(len(ids), bool)
+        first[once] = True
+        near &= first[:, None] & first[None, :]
+    at = np.flatnonzero(near.any(axis=1))
+    if not len(at):
         return None
-    near, ids, copies, x = near[np.ix_(linked, linked)], ids[linked], copies[linked], x[linked]
-    label = ids.copy()
+    near, label = near[np.ix_(at, at)], ids[at]
     while True:
         least = np.minimum(label, np.where(near, label[None, :], np.iinfo("i8").max).min(axis=1))
         if (least == label).all():
-            break
+            return at, near, label
         label = least
-    own = buckets_of(x, tables, per_table)
+
+
+def _links_here(bucket: int, near: np.ndarray, copies: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The links of each of a block's linked vectors, counting the pairs that meet in this bucket first of all.
+
+    ``own`` has the vectors' buckets; the first is the smallest that two share
+    in the first table in which they share any.
+    """
     a, b = np.nonzero(np.triu(near))
-    links = np.zeros(len(ids), "i8")
+    links = np.zeros(len(near), "i8")
     for i in range(0, len(a), 50_000):
         u, v = a[i:i + 50_000], b[i:i + 50_000]
         met = own[u][:, :, :, None] == own[v][:, :, None, :]
@@ -141,7 +148,7 @@ def _compare(bucket: int, cross: bool, ids: np.ndarray, copies: np.ndarray, side
         mine = shared == np.uint64(bucket & (2 ** 64 - 1))
         np.add.at(links, u[mine], copies[v[mine]])
         np.add.at(links, v[mine], copies[u[mine]])
-    return pd.DataFrame({"id": ids, "links": links, "to": label})
+    return links
 
 
 def compared(blocks: DataFrame, threshold: float, tables: int, per_table: int) -> DataFrame:
@@ -169,12 +176,22 @@ def compared(blocks: DataFrame, threshold: float, tables: int, per_table: int) -
             units[int(length)], place[mine] = unit_rows(raw[mine].tolist()), np.arange(len(mine))
         for i, j in zip(edges[:-1], edges[1:]):
             if j - i > 1:
-                x = units[int(lengths[i])][place[i:j]]
-                got = _compare(buckets[i], lo[i] != hi[i], ids[i:j], copies[i:j], chunk[i:j], x, threshold, tables, per_table)
+                got = _linked(lo[i] != hi[i], ids[i:j], chunk[i:j], units[int(lengths[i])][place[i:j]], threshold)
                 if got is not None:
-                    found.append(got)
-        if found:
-            yield pd.concat(found)
+                    found.append((buckets[i], i + got[0], *got[1:]))
+        # The buckets of all linked vectors are found together, those of one length at a time.
+        rows = np.unique(np.concatenate([at for _, at, _, _ in found])) if found else np.empty(0, "i8")
+        own = np.zeros((len(rows), tables, 1 + per_table), "u8")
+        for length, x in units.items():
+            mine = np.flatnonzero(lengths[rows] == length)
+            if len(mine):
+                own[mine] = buckets_of(x[place[rows[mine]]], tables, per_table)
+        made = []
+        for bucket, at, near, label in found:
+            links = _links_here(bucket, near, copies[at], own[np.searchsorted(rows, at)])
+            made.append(pd.DataFrame({"id": ids[at], "links": links, "to": label}))
+        if made:
+            yield pd.concat(made)
 
     return (blocks.select("bucket", "lo", "hi", "chunk", "id", "copies", "raw")
             .mapInPandas(run, "id long, links long, to long"))
@@ -193,6 +210,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLE
     link with nothing, and vectors only with those of their own length. A null
     vec_id counts as larger than all. Of rows of equal vec_id each is kept.
     """
+    common.small_batches(vectors.sparkSession, 2000)
     last = F.lit((1 << 63) - 1)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("id", F.coalesce("vec_id", last))
     found = common.written(scan(vectors), "vectors")
