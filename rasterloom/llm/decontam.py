@@ -150,16 +150,25 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def chunks(benchmark: DataFrame, window: int, chunk_words: int) -> list[Automaton]:
+#: Words of a benchmark, some 200 bytes of automaton each, beyond which it must be given in parts.
+MOST_WORDS = 10_000_000
+
+
+def chunks(benchmark: DataFrame, window: int, chunk_words: int, most_words: int = MOST_WORDS) -> list[Automaton]:
     """Automata of the items, each over at most ``chunk_words`` words or one item.
 
-    Test sets are bounded; items come to the driver one at a time, and only the
-    automata stay there. Rows of null item or without words have no window.
+    Items come to the driver one at a time, and only the automata stay there,
+    to be broadcast. Test sets are small; one of more than ``most_words`` is
+    refused, and is to be judged part by part. Rows of null item or without
+    words have no window.
     """
-    found, part, size = [], [], 0
+    found, part, size, total = [], [], 0, 0
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").distinct()
     for item, text in rows.toLocalIterator():
         words = common.plain_words(text)
+        total += len(words)
+        if total > most_words:
+            raise ValueError(f"the benchmark has more than {most_words} words; give it in parts")
         if part and size + len(words) > chunk_words:
             found.append(Automaton(part, window))
             part, size = [], 0
@@ -200,6 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     A null or empty text has no words. No benchmark hits nothing. Repeated rows
     are judged one by one; items that share an id are one item.
     """
+    common.small_batches(docs.sparkSession)
     automata = docs.sparkSession.sparkContext.broadcast(chunks(benchmark, window, chunk_words))
     per_cent = round(coverage * 100)
 

@@ -287,6 +287,11 @@ def test_decontamination_without_benchmark(spark, docs, empty):
     assert decontam.decontaminate(docs, none, keep=True).count() == docs.count()
 
 
+def test_a_benchmark_beyond_the_bound_is_refused(spark):
+    with pytest.raises(ValueError, match="in parts"):
+        decontam.chunks(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), 13, 10, most_words=3)
+
+
 def test_cut_words():
     hit = np.array([False, True, True, False, True])
     assert decontam.cut_words("Ab, cd (ef) gh: ij!", hit) == "Ab, ) gh: !"
