@@ -97,6 +97,29 @@ def majority_by_group(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(best), "grp").select("row", "y", "grp", "pred")
 
 
+def cross_validate(train: DataFrame, features: Sequence[str], fit_predict, folds: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """row, y, grp, fold and pred of each row by a model of one's own that did not see its fold.
+
+    ``fit_predict(x_train, y_train, x_test)`` gets and gives numpy arrays and
+    runs once a fold, on the executor that has it; ``folds`` is (grp, fold). A
+    model of one's own needs its training rows together, so that a table of more
+    than ``most_rows`` is refused.
+    """
+    import pandas as pd
+    if train.count() > most_rows:
+        raise ValueError(f"more than {most_rows} rows; fit a distributed model instead")
+    own = train.join(F.broadcast(folds), "grp").select("row", "y", "grp", "fold", *features)
+    held = folds.select(F.col("fold").alias("held")).distinct()
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        test = part["fold"] == part["held"]
+        names = list(features)
+        pred = fit_predict(part.loc[~test, names].to_numpy(), part.loc[~test, "y"].to_numpy(), part.loc[test, names].to_numpy())
+        return part.loc[test, ["row", "y", "grp", "fold"]].assign(pred=pred)
+
+    return own.join(F.broadcast(held)).groupBy("held").applyInPandas(run, "row long, y long, grp long, fold int, pred long")
+
+
 def excluded_features(train: DataFrame, features: Sequence[str], most_missing: float = 0.2) -> DataFrame:
     """feature and reason: all missing, too many missing, constant, or an affine copy of an earlier feature that is kept.
 

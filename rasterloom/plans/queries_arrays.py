@@ -10,7 +10,7 @@ from ..operators import arrays as A
 from ..operators import morph as M
 from ..sources import bindings as B
 from .registry import query
-from .views import FPX, RECT
+from .views import FPX
 
 col = F.col
 SIDE = {"height": B.SIDE, "width": B.SIDE}
@@ -36,14 +36,11 @@ def fiber_width(spark, d):
     return found.where("width > 0").select("img", "y", "x", F.round("width", 6).alias("width"))
 
 
-@query("m01_zone_outside", f"""WITH {FPX}, {RECT}, r AS (SELECT img, y, x, EXISTS (SELECT 1 FROM rect WHERE rect.img = fpx.img AND rect.id < 6 AND x >= x0 AND x < x1 AND y >= y0 AND y < y1) AS inn FROM fpx{FULL})
-SELECT a.img, a.y, a.x FROM r a WHERE NOT inn AND EXISTS (SELECT 1 FROM r b WHERE b.img = a.img AND b.inn AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9)""")
+@query("m01_zone_outside", f"""WITH {FPX}, r AS (SELECT img, y, x, zone FROM fpx{FULL})
+SELECT a.img, a.y, a.x FROM r a WHERE NOT zone AND EXISTS (SELECT 1 FROM r b WHERE b.img = a.img AND b.zone AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9)""")
 def zone_outside(spark, d):
-    """Pixels outside some boxes (without holes between them) and at most three pixels away."""
-    from ..operators.spatial import box_pixels
-    inside = box_pixels(B.rectangles(spark, d).where("id < 6")).select("img", "y", "x").distinct().withColumn("inn", F.lit(True))
-    px = _mask(spark, d).join(inside, ["img", "y", "x"], "left").withColumn("inn", F.coalesce("inn", F.lit(False)))
-    zone = A.per_image(px, ["inn"], lambda m: {"z": A.zone(m, "outside", 3.0) if m.any() else np.zeros(m.shape, bool)}, "z boolean", **SIDE)
+    """Pixels outside a region and at most three pixels away."""
+    zone = A.per_image(_mask(spark, d), ["zone"], lambda m: {"z": A.zone(m, "outside", 3.0)}, "z boolean", **SIDE)
     return zone.where("z").select("img", "y", "x")
 
 

@@ -72,12 +72,12 @@ def map_pyramid(spark, d):
 
 
 CELLS = PX + ", cells AS (SELECT img, y, x, CASE WHEN g % 5 <> 0 THEN g END AS v FROM px)"
-POINTS = "pts AS (SELECT event_id AS id, event_id // 2500 AS img, (event_id * 37 % 3999) / 10.3::DOUBLE AS py, (event_id * 91 % 3999) / 10.3::DOUBLE AS px_ FROM events WHERE event_id % 3 = 0)"
+POINTS = "pts AS (SELECT event_id AS id, event_id // 2500 AS img, (event_id * 37 % 3999) / 10.3::DOUBLE AS py, (event_id * 91 % 3999) / 10.3::DOUBLE AS px_ FROM events)"
 
 
 def _points(spark, d):
     e = col("event_id")
-    return B.table(spark, d, "events").where(e % 3 == 0).select(e.alias("id"), F.expr("event_id div 2500").alias("img"), ((e * 37 % 3999) / 10.3).alias("py"), ((e * 91 % 3999) / 10.3).alias("px"))
+    return B.table(spark, d, "events").select(e.alias("id"), F.expr("event_id div 2500").alias("img"), ((e * 37 % 3999) / 10.3).alias("py"), ((e * 91 % 3999) / 10.3).alias("px"))
 
 
 def _cells(spark, d):

@@ -181,6 +181,20 @@ def test_leaky_split_beats_grouped_split(spark, data):
     assert len({r.grp for r in folds}) == len(folds)
 
 
+def test_cross_validation_with_a_callable(spark):
+    rows = [(i, i % 2, i % 4, float(i % 2) + 0.1 * (i % 3)) for i in range(80)]
+    t = spark.createDataFrame(rows, "row long, y long, grp long, f double")
+
+    def nearest_mean(x, y, q):
+        means = np.array([x[y == k].mean() for k in (0, 1)])
+        return np.abs(q - means).argmin(axis=1)
+
+    found = V.cross_validate(t, ["f"], nearest_mean, V.grouped_folds(t, 2)).collect()
+    assert sorted(r.row for r in found) == list(range(80)) and all(r.pred == r.y for r in found)
+    with pytest.raises(ValueError):
+        V.cross_validate(t, ["f"], nearest_mean, V.grouped_folds(t, 2), most_rows=10)
+
+
 def test_compatibility_refusals():
     model = {"features": ["a", "b"], "pixel_um": 0.5, "window_um": 15, "stride_um": 5, "segmentation": "x"}
     assert V.compatible(model, dict(model)) == ([], [])
