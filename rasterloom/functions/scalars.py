@@ -30,7 +30,7 @@ def beyond(value: Column, cut: float, above: bool = True) -> Column:
 def cut_name(channel: str, cut: float, above: bool = True) -> str:
     """Display name of a positivity rule: whole numbers without a fraction, others to four digits."""
     shown = str(int(cut)) if float(cut).is_integer() else f"{cut:.4g}"
-    return f"{channel} {'>' if above else '<'} {shown}"
+    return f"Pixel positive: {channel} {'>' if above else '<'} {shown}"
 
 
 def to_unit(gray: Column, full_scale: float) -> Column:
@@ -73,24 +73,31 @@ def axial_angle(c: Column, s: Column, period: float = 180.0) -> Column:
 
 
 def safe_file_name(name: Column, most: int = 200) -> Column:
-    """Runs of reserved characters and space as one underscore, no dots at the end; longer names are cut and told apart by a CRC."""
-    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\s]+', "_"), r"\.+$", "")
-    return F.when(F.length(clean) > most, F.concat(F.substring(clean, 1, most), F.lit("_"), F.lower(F.lpad(F.hex(F.crc32(name)), 8, "0")))).otherwise(clean)
+    """Runs of reserved characters and space as one underscore, no dots at the end; longer names are cut and end in a CRC; image for none."""
+    clean = F.regexp_replace(F.regexp_replace(name, r'[<>:"/\\|?*\s]+', "_"), r"[. ]+$", "")
+    short = F.concat(F.substring(clean, 1, most - 9), F.lit("_"), F.lower(F.lpad(F.hex(F.crc32(name)), 8, "0")))
+    return F.when(F.coalesce(F.trim(name), F.lit("")).isin("") | (clean == ""), F.lit("image")).when(F.length(clean) > most, short).otherwise(clean)
 
 
 def fingerprint(canonical: Column, digits: int = 8) -> Column:
     return F.substring(F.sha2(canonical, 256), 1, digits)
 
 
-def threshold_label(method: Column, unit: Column, value: Column, source: Column) -> Column:
-    return F.concat(method, F.lit(" @ "), F.format_string("%.4f", value), F.lit(" "), unit, F.lit(" ["), source, F.lit("]"))
+def threshold_label(method: Column, unit: Column, value: Column, source: Column, settings: Column, pixel_um: Column) -> Column:
+    """method unit value | source | settings key at size um/px: the line that outputs record; gray levels are whole, an unknown size is left out."""
+    shown = F.when(unit == "gray level", F.round(value).cast("long").cast("string")).when(value.isNull() | F.isnan(value), F.lit("?")).otherwise(F.format_string("%.4g", value))
+    size = F.format_string("%.4g", pixel_um)
+    size = F.when(size.contains(".") & ~size.contains("e"), F.regexp_replace(F.regexp_replace(size, "0+$", ""), r"\.$", "")).otherwise(size)
+    at = F.when(pixel_um > 0, F.concat(F.lit(" at "), size, F.lit(" um/px"))).otherwise(F.lit(""))
+    return F.concat_ws(" | ", F.concat_ws(" ", method, F.nullif(unit, F.lit("")), shown), source, F.concat(F.lit("settings "), settings, at))
 
 
 def parse_threshold(label: Column) -> Column:
     """The parts of a threshold label; null for other text."""
-    pattern = r"^(\S+) @ (-?[0-9.]+) (\S+) \[([^\]]*)\]$"
+    pattern = r"^\s*(\S+)(?: (.*?))? (\S+) \| (.*) \| settings (\w+)(?: at ([0-9.eE+-]+) um/px)?\s*$"
     part = lambda k: F.regexp_extract(label, pattern, k)
-    return F.when(label.rlike(pattern), F.struct(part(1).alias("method"), part(2).cast("double").alias("value"), part(3).alias("unit"), part(4).alias("source")))
+    return F.when(label.rlike(pattern), F.struct(part(1).alias("method"), part(2).alias("unit"), part(3).try_cast("double").alias("value"), part(4).alias("source"),
+                                                 part(5).alias("settings"), part(6).try_cast("double").alias("pixel_um")))
 
 
 def comparable(key_a: Column, um_a: Column, key_b: Column, um_b: Column, within: float = 1.02) -> Column:
@@ -99,15 +106,15 @@ def comparable(key_a: Column, um_a: Column, key_b: Column, um_b: Column, within:
     return (key_a == key_b) & F.coalesce(close, F.lit(True))
 
 
-def placement_line(width: Column, height: Column, um: Column, smooth: Column) -> Column:
-    return F.concat_ws(" ", F.lit("placement"), F.concat(F.lit("w="), width.cast("string")), F.concat(F.lit("h="), height.cast("string")),
-                       F.concat(F.lit("um="), F.format_string("%.4f", um)), F.concat(F.lit("smooth="), smooth.cast("string")))
+def placement_line(**fields: Column) -> Column:
+    """The line of a map's description that says where its cells lie: name=value fields in their order."""
+    return F.concat(F.lit("placement "), F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in fields.items())))
 
 
 def parse_placement(text: Column) -> Column:
     """The fields of the placement line in a text, carriage returns left out; null without one."""
     line = F.regexp_extract(F.regexp_replace(text, "\r", ""), r"(?m)^placement (.*)$", 1)
-    return F.when(line != "", F.str_to_map(line, F.lit(" "), F.lit("=")))
+    return F.when(line != "", F.str_to_map(line, F.lit("; "), F.lit("=")))
 
 
 def finite(value: Column) -> Column:
@@ -125,6 +132,7 @@ def mismatches(pairs: dict[str, tuple[Column, Column]], tolerance: float = 1e-6)
 
 def duration(seconds: Column) -> Column:
     """1h 02m 03s, 2m 03s or 3s."""
-    h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, F.floor(seconds) % 60
+    whole = F.round(F.greatest(seconds, F.lit(0))).cast("long")
+    h, m, s = F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60
     return (F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).when(m > 0, F.format_string("%dm %02ds", m, s))
             .otherwise(F.format_string("%ds", s)))

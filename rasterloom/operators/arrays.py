@@ -177,11 +177,11 @@ def scharr(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def orientation(plane: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Axial angle of the structure tensor in degrees [0, 180), along the fibers; nan off the mask."""
+    """Axial angle of the structure tensor in degrees [0, 180), along the fibers: 0 across, growing from there downwards; nan off the mask."""
     gy, gx = scharr(gaussian(plane, 1.0))
     xx, yy, xy = (gaussian(v, 4.0) for v in (gx * gx, gy * gy, gx * gy))
-    # Angles grow counter-clockwise from the x axis while rows grow downwards, and fibers run across the gradient.
-    theta = np.degrees(0.5 * np.arctan2(-2 * xy, xx - yy)) + 90.0
+    # Fibers run across the gradient.
+    theta = np.degrees(0.5 * np.arctan2(2 * xy, xx - yy)) + 90.0
     return np.where(mask, np.mod(theta, 180.0), np.nan)
 
 

@@ -10,20 +10,32 @@ from pyspark.sql import functions as F
 
 from .windows import all_windows, whole_windows
 
-#: Keys that tiles add up, and those that no merge can give (order statistics and the like).
-ADDITIVE = ("fiber_pixels", "total_length_px", "gap_count", "windows")
-DROPPED = ("branch_points", "endpoints", "fractal_dimension", "lacunarity_mean", "tortuosity_median", "p10_straightness")
+#: Scalars that tiles add up, those of gaps, and those that tile summaries can't be merged to.
+ADDITIVE = ("fiber_pixels", "zone_pixels", "fiber_in_zone_pixels", "region_pixels", "zone_area_um2", "fiber_in_zone_area_um2",
+            "morphometrics.total_length_px", "morphometrics.total_length_um", "morphometrics.gap_count")
+GAP_COUNT, GAP_MEAN, GAP_MAX = "morphometrics.gap_count", "morphometrics.gap_mean_um", "morphometrics.gap_max_um"
+DROPPED = ("morphometrics.fractal_dimension", "straightness.radon.theta_star_deg", "morphometrics.branch_points", "morphometrics.endpoints",
+           "straightness.straightness_p10", "straightness.straightness_median", "straightness.straightness_sd", "straightness.median_fiber_len_px")
+#: The key that has a tile's number of windows.
+WINDOWS = "windows"
 
 
 def tile_plan(spark: SparkSession, width: int, height: int, window: int, stride: int, budget: int) -> DataFrame:
-    """tile, x, y, w and h of tiles within a pixel budget, on stride multiples, that overlap by one window less a stride."""
-    per_side = max(1, int((math.isqrt(budget) - window) // stride + 1))
+    """tile, x, y, w and h of tiles within a pixel budget, on stride multiples, that overlap by one window.
 
-    def axis(side: int):
-        step, reach = per_side * stride, (per_side - 1) * stride + window
-        n = max(1, -(-max(0, side - reach) // step) + 1)
-        at = F.explode(F.sequence(F.lit(0), F.lit((n - 1) * step), F.lit(step))).alias("at")
-        return spark.range(1).select(at).select("at", F.least(F.lit(reach), F.lit(side) - F.col("at")).alias("size"))
+    A region within the budget is one tile. A remainder too thin for a window
+    has no tile of its own: the one before it holds all its windows.
+    """
+    if width * height <= budget:
+        return spark.range(1).select(*(F.lit(v).cast("long").alias(n) for n, v in (("tile", 0), ("x", 0), ("y", 0), ("w", width), ("h", height))))
+    side = max(window, math.isqrt(budget))
+    per_side = max(1, (side - window) // stride + 1)
+    reach, step = (per_side - 1) * stride + window, max(stride, (per_side - 1) * stride)
+
+    def axis(size: int):
+        last = max(0, (size - window) // step)
+        at = F.explode(F.sequence(F.lit(0), F.lit(last * step), F.lit(step))).alias("at")
+        return spark.range(1).select(at).select("at", F.least(F.lit(reach), F.lit(size) - F.col("at")).alias("size"))
 
     xs = axis(width).select(F.col("at").alias("x"), F.col("size").alias("w"))
     ys = axis(height).select(F.col("at").alias("y"), F.col("size").alias("h"))
@@ -52,22 +64,27 @@ def core_geometry(side: int, window: int, stride: int) -> dict[str, int]:
     return {"core": stride, "inset": (window - stride) // 2, "whole": whole, "partial": total - whole, "total": total}
 
 
-def merged_scalars(scalars: DataFrame, key: Column | None = None) -> DataFrame:
+def merged_scalars(scalars: DataFrame) -> DataFrame:
     """key and value of (tile, key, value) merged over tiles.
 
     Additive keys are summed, largest gaps kept, mean gaps weighted by their
-    count, others weighted by windows; order statistics, topology and angles
-    have no merge and are left out. Ratios are to be made anew from the sums.
+    count, others by windows; order statistics, topology and angles have no
+    merge and are left out. Ratios of totals are made from the totals. Missing
+    and non-finite values count nothing.
     """
-    k = F.col("key")
-    weights = scalars.where(k.isin("gap_count", "windows")).groupBy("tile").pivot("key", ["gap_count", "windows"]).agg(F.first("value"))
-    weights = weights.withColumnsRenamed({"gap_count": "w_gap", "windows": "w_win"})
-    usable = scalars.where(~k.isin(*DROPPED) & ~k.endswith("_deg")).join(weights, "tile")
-    weight = F.when(k == "gap_mean_px", F.col("w_gap")).otherwise(F.col("w_win"))
-    v = F.col("value")
-    merged = usable.groupBy("key").agg(F.sum("value").alias("total"), F.max("value").alias("most"),
-                                       F.try_divide(F.sum(v * weight), F.sum(F.when(v.isNotNull(), weight))).alias("mean"))
-    return merged.select("key", F.when(k.isin(*ADDITIVE), F.col("total")).when(k == "gap_max_px", F.col("most")).otherwise(F.col("mean")).alias("value"))
+    k, v = F.col("key"), F.col("value")
+    scalars = scalars.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    weights = scalars.groupBy("tile").agg(F.max(F.when(k == GAP_COUNT, v)).alias("w_gap"), F.max(F.when(k == WINDOWS, v)).alias("w_win"))
+    usable = scalars.where(~k.isin(*DROPPED) & ~k.endswith("_deg") & (k != WINDOWS)).join(weights, "tile")
+    weight = F.coalesce(F.when(k == GAP_MEAN, F.col("w_gap")).otherwise(F.greatest(F.col("w_win"), F.lit(0.0))), F.lit(0.0))
+    merged = usable.groupBy("key").agg(F.sum(v).alias("total"), F.max(v).alias("most"), F.try_divide(F.sum(v * weight), F.sum(weight)).alias("mean"))
+    merged = merged.select("key", F.when(k.isin(*ADDITIVE), F.col("total")).when(k == GAP_MAX, F.col("most")).otherwise(F.col("mean")).alias("value"))
+    total = lambda name: F.max(F.when(k == name, v))
+    sums = merged.agg(total("zone_pixels").alias("zone"), total("fiber_in_zone_pixels").alias("inside"), total("region_pixels").alias("region"), total("fiber_pixels").alias("fiber"))
+    ratio = lambda name, a, b, times: F.struct(F.lit(name).alias("key"), F.when(F.col(b) > 0, times * F.col(a) / F.col(b)).alias("value"))
+    made = sums.select(F.explode(F.array(ratio("fiber_coverage_zone_percent", "inside", "zone", 100.0), ratio("fiber_coverage_region_percent", "fiber", "region", 100.0))).alias("r")).select("r.*")
+    kept = merged.join(made.where("value IS NOT NULL").select("key"), "key", "left_anti")
+    return kept.union(made).where("value IS NOT NULL")
 
 
 def dropped_keys(scalars: DataFrame) -> DataFrame:

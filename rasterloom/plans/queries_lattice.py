@@ -16,8 +16,8 @@ col = F.col
 
 # --- tiling -----------------------------------------------------------------------------------------------------
 
-#: 320 x 230 pixels in tiles of at most 10,000: four windows of 20 at stride 20 a side, five windows reach 100.
-TILES = """xs AS (SELECT k * 100 AS x, least(100, 320 - k * 100) AS w FROM unnest(range(4)) AS t(k)), ys AS (SELECT k * 100 AS y, least(100, 230 - k * 100) AS h FROM unnest(range(3)) AS t(k)),
+#: 320 x 230 pixels in tiles of at most 10,000: five windows of 20 at stride 20 a side, four of which are stepped over.
+TILES = """xs AS (SELECT k * 80 AS x, least(100, 320 - k * 80) AS w FROM unnest(range(4)) AS t(k)), ys AS (SELECT k * 80 AS y, least(100, 230 - k * 80) AS h FROM unnest(range(3)) AS t(k)),
 tiles AS (SELECT row_number() OVER (ORDER BY y, x) - 1 AS tile, x, y, w, h FROM xs, ys)"""
 
 
@@ -30,7 +30,7 @@ def tile_plan(spark, d):
     return _tiles(spark).select(*(col(c).cast("long").alias(c) for c in ("tile", "x", "y", "w", "h")))
 
 
-@query("r02_owned_boxes", f"WITH {TILES} SELECT tile::BIGINT AS tile, (CASE WHEN x = 300 THEN 320 ELSE x + 100 END)::BIGINT AS own_x1, (CASE WHEN y = 200 THEN 230 ELSE y + 100 END)::BIGINT AS own_y1 FROM tiles")
+@query("r02_owned_boxes", f"WITH {TILES} SELECT tile::BIGINT AS tile, (CASE WHEN x = 240 THEN 320 ELSE x + 80 END)::BIGINT AS own_x1, (CASE WHEN y = 160 THEN 230 ELSE y + 80 END)::BIGINT AS own_y1 FROM tiles")
 def owned_boxes(spark, d):
     return L.owned_boxes(_tiles(spark)).select(*(col(c).cast("long").alias(c) for c in ("tile", "own_x1", "own_y1")))
 
@@ -150,14 +150,14 @@ def display_range(spark, d):
 
 # --- merging ----------------------------------------------------------------------------------------------------
 
-@query("a07_tile_merge", f"""WITH {TILE} SELECT 'fiber_pixels' AS key, round(sum(fiber_pixels), 4) AS value FROM wide UNION ALL SELECT 'total_length_px', round(sum(total_length_px), 4) FROM wide
-UNION ALL SELECT 'gap_count', round(sum(gap_count), 4) FROM wide UNION ALL SELECT 'windows', round(sum(windows), 4) FROM wide UNION ALL SELECT 'gap_max_px', max(gap_max_px) FROM wide
-UNION ALL SELECT 'gap_mean_px', round(sum(gap_mean_px * gap_count) / sum(gap_count), 4) FROM wide UNION ALL SELECT 'order_parameter', round(sum(order_parameter * windows) / sum(windows), 4) FROM wide""")
+@query("a07_tile_merge", f"""WITH {TILE}, m AS (SELECT unnest([('fiber_pixels', sum(fiber)), ('region_pixels', sum(region)), ('morphometrics.total_length_px', sum(len)), ('morphometrics.gap_count', sum(gn)),
+ ('morphometrics.gap_max_um', max(gmax)), ('morphometrics.gap_mean_um', sum(gmean * gn) / sum(gn)), ('order_parameter', sum(op * win) / sum(win)),
+ ('fiber_coverage_region_percent', 100 * sum(fiber) / sum(region))]) AS r FROM wide) SELECT r[1] AS key, round(r[2], 4) AS value FROM m""")
 def tile_merge(spark, d):
     return L.merged_scalars(B.tile_scalars(spark, d)).select("key", F.round("value", 4).alias("value"))
 
 
-@query("a08_dropped_keys", "SELECT 'branch_points,mean_angle_deg' AS dropped")
+@query("a08_dropped_keys", "SELECT 'mean_angle_deg,morphometrics.branch_points' AS dropped")
 def dropped_keys(spark, d):
     return L.dropped_keys(B.tile_scalars(spark, d))
 

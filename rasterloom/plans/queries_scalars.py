@@ -63,7 +63,7 @@ def threshold_filter(spark, d):
     return B.pixels(spark, d).where(S.to_unit(col("g"), B.FULL_SCALE) >= 0.1)
 
 
-@query("p05_pixel_positivity", f"WITH {PX} SELECT img, count_if(g > 7000)::BIGINT AS above, count_if(g < 150)::BIGINT AS below, 'v > 7000' AS rule FROM px GROUP BY img")
+@query("p05_pixel_positivity", f"WITH {PX} SELECT img, count_if(g > 7000)::BIGINT AS above, count_if(g < 150)::BIGINT AS below, 'Pixel positive: v > 7000' AS rule FROM px GROUP BY img")
 def pixel_positivity(spark, d):
     return B.pixels(spark, d).groupBy("img").agg(F.count_if(S.beyond(col("g").cast("double"), 7000)).alias("above"), F.count_if(S.beyond(col("g").cast("double"), 150, False)).alias("below"),
                                                  F.lit(S.cut_name("v", 7000)).alias("rule"))
@@ -128,7 +128,7 @@ def axial_angle(spark, d):
     return B.pixels(spark, d).select("img", "y", "x", F.round(S.axial_angle(col("x") - 20.5, col("y") - 20.5), 5).alias("angle"))
 
 
-@query("p17_safe_file_name", r"""SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), '\.+$', '') AS name FROM pages""")
+@query("p17_safe_file_name", r"""SELECT page_id, regexp_replace(regexp_replace(url, '[<>:"/\\|?*\s]+', '_', 'g'), '[. ]+$', '') AS name FROM pages""")
 def safe_file_name(spark, d):
     return B.table(spark, d, "pages").select("page_id", S.safe_file_name(col("url")).alias("name"))
 
@@ -143,12 +143,14 @@ def params_hash(spark, d):
     return B.table(spark, d, "part").select("p_partkey", S.fingerprint(F.to_json(F.struct(col("p_brand").alias("brand"), col("p_size").alias("size"), col("p_type").alias("type"))), 12).alias("hash"))
 
 
-@query("p20_threshold_label", """WITH {0} SELECT img, y, x, label, true AS same, round(g / 100.0::DOUBLE, 4) AS value FROM (
-  SELECT *, 'otsu @ ' || printf('%.4f', g / 100.0::DOUBLE) || ' gray [img' || img || ']' AS label FROM px)""".format(PX))
+@query("p20_threshold_label", f"WITH {PX} SELECT img, y, x, 'otsu gray level ' || g || ' | img' || img || ' | settings ab12 at 0.5 um/px' AS label, true AS same, g::DOUBLE AS value FROM px")
 def threshold_label(spark, d):
-    label = S.threshold_label(F.lit("otsu"), F.lit("gray"), col("g") / 100.0, F.concat(F.lit("img"), col("img").cast("string")))
-    px = B.pixels(spark, d).withColumn("label", label).withColumn("parsed", S.parse_threshold(col("label")))
-    return px.select("img", "y", "x", "label", (S.threshold_label(col("parsed.method"), col("parsed.unit"), col("parsed.value"), col("parsed.source")) == col("label")).alias("same"), col("parsed.value").alias("value"))
+    def label(method, unit, value, source, settings, um):
+        return S.threshold_label(method, unit, value, source, settings, um)
+    made = label(F.lit("otsu"), F.lit("gray level"), col("g").cast("double"), F.concat(F.lit("img"), col("img").cast("string")), F.lit("ab12"), F.lit(0.5))
+    px = B.pixels(spark, d).withColumn("label", made).withColumn("parsed", S.parse_threshold(col("label")))
+    again = label(*(col(f"parsed.{c}") for c in ("method", "unit", "value", "source", "settings", "pixel_um")))
+    return px.select("img", "y", "x", "label", (again == col("label")).alias("same"), col("parsed.value").alias("value"))
 
 
 @query("p21_comparable", """SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_brand = b.p_brand AND greatest(a.p_size, b.p_size) <= least(a.p_size, b.p_size) * 1.02::DOUBLE AS comparable
@@ -159,11 +161,12 @@ def comparable(spark, d):
     return p.join(q, "p_partkey").select(col("p_partkey").alias("a"), "b", S.comparable(col("p_brand"), col("p_size").cast("double"), col("brand2"), col("size2").cast("double")).alias("comparable"))
 
 
-@query("p22_placement_line", "SELECT p_partkey, p_size::BIGINT AS w, (p_size * 2)::BIGINT AS h, round(p_size / 8.0::DOUBLE, 4) AS um FROM part")
+@query("p22_placement_line", "SELECT p_partkey, p_size::BIGINT AS w, (p_size * 2)::BIGINT AS h, 8::BIGINT AS cell, 'nearest' AS render FROM part")
 def placement_line(spark, d):
-    text = F.concat(F.lit("title\r\n"), S.placement_line(col("p_size"), col("p_size") * 2, col("p_size") / 8.0, F.lit(True)), F.lit("\r\nend"))
-    parsed = B.table(spark, d, "part").select("p_partkey", S.parse_placement(text).alias("m"))
-    return parsed.select("p_partkey", col("m")["w"].cast("long").alias("w"), col("m")["h"].cast("long").alias("h"), col("m")["um"].cast("double").alias("um"))
+    line = S.placement_line(source_width=col("p_size"), source_height=col("p_size") * 2, cell_px=F.lit(8), window_px=F.lit(16), x0=F.lit(0.5), y0=F.lit(0.5), grid=F.lit("5x7"), render=F.lit("nearest"))
+    parsed = B.table(spark, d, "part").select("p_partkey", S.parse_placement(F.concat(F.lit("title\r\n"), line, F.lit("\r\nend"))).alias("m"))
+    return parsed.select("p_partkey", col("m")["source_width"].cast("long").alias("w"), col("m")["source_height"].cast("long").alias("h"),
+                         col("m")["cell_px"].cast("long").alias("cell"), col("m")["render"].alias("render"))
 
 
 @query("p23_rgb_value", "SELECT l_orderkey, l_partkey, l_linenumber, list_transform(string_split('3,1,2', ','), lambda s: s::INT) AS bands, greatest(l_quantity, l_tax, l_discount) AS value FROM lineitem")

@@ -6,11 +6,9 @@ FPX = PX + """,
 fpx AS (SELECT *, g >= 7000 AS fiber, y >= 10 AND y < 45 AS zone, CASE WHEN g >= 7000 THEN (g % 180)::DOUBLE END AS theta FROM px)"""
 PATCH = """patch AS (SELECT vec_id AS img, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, embedding[i]::DOUBLE AS v, label
   FROM embeddings, unnest(range(1, 65)) AS t(i))"""
-TILE = """wide AS (SELECT l_suppkey % 9 AS tile, count(*)::DOUBLE AS fiber_pixels, sum(l_quantity) AS total_length_px,
-  avg(l_discount) AS order_parameter, max(l_quantity) AS gap_max_px, avg(l_quantity) AS gap_mean_px,
-  count(DISTINCT l_partkey)::DOUBLE AS gap_count, avg(l_tax) AS mean_angle_deg,
-  count(DISTINCT l_returnflag)::DOUBLE AS branch_points, count(*)::DOUBLE AS windows FROM lineitem GROUP BY 1),
-ts AS (UNPIVOT wide ON COLUMNS(* EXCLUDE tile) INTO NAME key VALUE value)"""
+TILE = """wide AS (SELECT l_suppkey % 9 AS tile, count(*)::DOUBLE AS fiber, count(*) * 3::DOUBLE AS region, sum(l_quantity) AS len,
+  avg(l_discount) AS op, max(l_quantity) AS gmax, avg(l_quantity) AS gmean, count(DISTINCT l_partkey)::DOUBLE AS gn,
+  count(DISTINCT l_suppkey)::DOUBLE AS win FROM lineitem GROUP BY 1)"""
 RECT = """rect AS (SELECT s_suppkey % 4 AS img, s_suppkey AS id, (s_nationkey % 3)::BIGINT AS class, ((s_suppkey * 13) % 40)::INT AS x0,
   ((s_suppkey * 29) % 40)::INT AS y0, ((s_suppkey * 13) % 40 + 5 + s_nationkey % 6)::INT AS x1,
   ((s_suppkey * 29) % 40 + 5 + s_suppkey % 6)::INT AS y1 FROM supplier)"""

@@ -45,11 +45,12 @@ def tile_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3: (tile, key, value), several kinds of figures for each of nine tiles."""
     tile = F.col("l_suppkey") % 9
     wide = table(spark, sf_dir, "lineitem").groupBy(tile.alias("tile")).agg(
-        F.count("*").cast("double").alias("fiber_pixels"), F.sum("l_quantity").alias("total_length_px"),
-        F.avg("l_discount").alias("order_parameter"), F.max("l_quantity").alias("gap_max_px"), F.avg("l_quantity").alias("gap_mean_px"),
-        F.countDistinct("l_partkey").cast("double").alias("gap_count"), F.avg("l_tax").alias("mean_angle_deg"),
-        F.countDistinct("l_returnflag").cast("double").alias("branch_points"), F.count("*").cast("double").alias("windows"))
-    return wide.unpivot("tile", [c for c in wide.columns if c != "tile"], "key", "value")
+        F.count("*").cast("double").alias("fiber_pixels"), (F.count("*") * 3).cast("double").alias("region_pixels"),
+        F.sum("l_quantity").alias("morphometrics.total_length_px"), F.avg("l_discount").alias("order_parameter"),
+        F.max("l_quantity").alias("morphometrics.gap_max_um"), F.avg("l_quantity").alias("morphometrics.gap_mean_um"),
+        F.countDistinct("l_partkey").cast("double").alias("morphometrics.gap_count"), F.avg("l_tax").alias("mean_angle_deg"),
+        F.countDistinct("l_returnflag").cast("double").alias("morphometrics.branch_points"), F.countDistinct("l_suppkey").cast("double").alias("windows"))
+    return wide.unpivot("tile", [F.col(f"`{c}`") for c in wide.columns if c != "tile"], "key", "value")
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ from rasterloom.sources import readers as Rd
 
 
 def stripes(angle, side=64, pitch=12, width=4):
-    """A mask of bars along an axis, in degrees counter-clockwise from the x axis."""
+    """A mask of bars along an axis, in degrees from the x axis downwards."""
     y, x = np.mgrid[:side, :side]
     t = np.radians(angle)
-    return ((x * np.sin(t) + y * np.cos(t)) % pitch) < width
+    return ((-x * np.sin(t) + y * np.cos(t)) % pitch) < width
 
 
 def raster(spark, plane, img=0, name="g"):
@@ -242,8 +242,8 @@ def test_scalars(spark):
     assert get(S.distances_px(F.lit("1,x,0.2,-1,1.5"), F.lit(1.0))) == [1, 2]
     assert get(S.axial_difference(F.lit(1.0), F.lit(179.0))) == 2.0
     long = get(S.safe_file_name(F.lit("a" * 300)))
-    assert len(long) == 209 and get(S.safe_file_name(F.lit('x:/ y..'))) == "x_y"
-    assert get(S.parse_threshold(F.lit("no label"))) is None and S.cut_name("v", 0.123456) == "v > 0.1235"
+    assert len(long) == 200 and get(S.safe_file_name(F.lit('x:/ y..'))) == "x_y" and get(S.safe_file_name(F.lit(" "))) == "image"
+    assert get(S.parse_threshold(F.lit("no label"))) is None and S.cut_name("v", 0.123456) == "Pixel positive: v > 0.1235"
     assert get(S.finite(F.lit(float("inf")))) is None and get(S.duration(F.lit(3723))) == "1h 02m 03s"
 
 
