@@ -14,10 +14,11 @@ Shards are ranges of doc_id, in ascending order, as the files are.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from . import common
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240])
 WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 
+#: Selectors 1 to 15 from the fewest ids a word to the most.
+BY_COUNT = np.array(sorted(range(1, 16), key=lambda s: COUNT[s]), "u1")
+
 BLOCK_SCHEMA = ("shard int, block int, shard_ids long, n_ids long, "
                 "doc_ids array<long>, doc_lens array<int>, words binary")
 
@@ -56,17 +60,18 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, "u8")
     ids = np.ascontiguousarray(ids, "u8")
     padded = np.concatenate([ids, np.zeros(256, "u8")])
-    bits = np.zeros(len(padded), "u1")
     # frexp of a float64 gives the bit length; above 2**53 rounding may add one, so those are done by shifts.
-    low = padded < (1 << 50)
-    bits[low] = np.frexp(padded[low].astype("f8"))[1]
-    for i in np.flatnonzero(~low):
-        bits[i] = int(padded[i]).bit_length()
+    bits = np.frexp(padded.astype("f8"))[1].astype("u1")
+    if ids.max() >= 1 << 50:
+        for i in np.flatnonzero(ids >= 1 << 50):
+            bits[i] = int(ids[i]).bit_length()
     most = _window_max(bits, n)
-    choice = np.zeros(n, "u1")
-    # From the fewest to the most ids a word: the last that fits is kept.
-    for s in sorted(range(1, 16), key=lambda s: COUNT[s]):
-        choice[most[int(COUNT[s])] <= WIDTH[s]] = s
+    # From the fewest to the most ids a word, the last that fits is kept.
+    rank = np.zeros(n, "u1")
+    for r, s in enumerate(BY_COUNT):
+        fits = most[int(COUNT[s])] <= WIDTH[s]
+        np.maximum(rank, fits.view("u1") * np.uint8(r), out=rank)
+    choice = np.where(bits[:n] > 60, 0, BY_COUNT[rank])
     step = COUNT[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -83,11 +88,11 @@ def simple8b_encode(ids: np.ndarray) -> np.ndarray:
             continue
         if s == 0:
             words[place[mine] + 1] = ids[starts[mine]]
-        elif s < 15:
-            shift = (np.arange(COUNT[s]) * WIDTH[s]).astype("u8")
-            picked = padded[starts[mine][:, None] + np.arange(COUNT[s])]
-            words[place[mine]] = np.bitwise_or.reduce(picked << shift, axis=1)
-        words[place[mine]] |= np.uint64(s << 60)
+        else:
+            first, packed = starts[mine], np.full(len(mine), s << 60, "u8")
+            for k in range(COUNT[s] if s < 15 else 0):
+                packed |= padded[first + k] << np.uint64(k * WIDTH[s])
+            words[place[mine]] = packed
     return words
 
 
@@ -140,14 +145,16 @@ class WordEncoder:
     ids are its words' ids in a row. ASCII letters are lower-cased first, as the
     normaliser does, and common punctuation is parted from a letter before it,
     where the pre-tokenizer parts them too. Texts with what could be a special
-    token or the separator are encoded whole. The cache is emptied at
-    ``max_words``.
+    token or the separator are encoded whole. At ``max_words`` the later half of
+    the words is forgotten.
     """
 
     SEPARATOR = "\x01"
     PARTED = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,!?;:%$#&*|()])")
 
     def __init__(self, path: str, max_words: int = 600_000):
+        # Spark deals out the cores; the library's own threads would each hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
         mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
@@ -157,7 +164,13 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index = _Numbered({"": 0})
-        self.flat, self.off = array("I"), array("q", [0, 0])
+        self.flat, self.off = array("I"), array("i", [0, 0])
+
+    def shrink(self) -> None:
+        """Forgets the later half of the words: those that came first are the frequent ones."""
+        kept = self.max_words // 2
+        self.index = _Numbered(islice(self.index.items(), kept))
+        del self.off[kept + 1:], self.flat[self.off[-1]:]
 
     def learn(self) -> None:
         """Encodes the words that the index has numbered since the last call, in their order."""
@@ -169,13 +182,13 @@ class WordEncoder:
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(part) - 1
             ends = np.append(cuts, len(ids)) - np.arange(len(part))
-            self.off.frombytes((ends + self.off[-1]).astype("i8").tobytes())
+            self.off.frombytes((ends + self.off[-1]).astype("i4").tobytes())
             self.flat.frombytes(np.delete(ids, cuts).tobytes())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.index) > self.max_words:
-            self.clear()
+            self.shrink()
         split: list[list[str] | None] = []
         for text in texts:
             if "<|" in text or self.SEPARATOR in text:
@@ -183,12 +196,12 @@ class WordEncoder:
                 continue
             lower = text.encode("utf-8").lower().decode("utf-8").replace("\n", " ")
             split.append(self.PARTED.sub(" ", lower).split(" "))
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(filter(None, split))), "i8")
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(filter(None, split))), "i4")
         self.learn()
-        off, flat = np.frombuffer(self.off, "i8"), np.frombuffer(self.flat, "u4")
+        off, flat = np.frombuffer(self.off, "i4"), np.frombuffer(self.flat, "u4")
         first, length = off[at], off[at + 1] - off[at]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(length, dtype="i4")
+        ids = flat[np.repeat(first - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0, dtype="i4")]
         ends = np.concatenate([[0], ends])
         found, used = [], 0
         for text, words in zip(texts, split):
@@ -232,6 +245,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_i
     ignored. No documents give no blocks.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
               .withColumn("tie", F.xxhash64("text"))
               .repartitionByRange(common.partitions(spark), "doc_id", "tie")
