@@ -144,22 +144,22 @@ def positions(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_times:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """All columns of the documents, one row per taken copy, in training order.
 
-    Texts meet their positions by doc_id and a hash of source and text; rows
-    equal in these are paired off in any order, as they are the same. Then the
-    copies are range-sorted by position.
+    Texts meet their positions by doc_id and a hash of source and text. Of rows
+    equal in these, which are the same, one gets the copies of all; it is
+    picked before texts are shuffled. Then the copies are range-sorted by
+    position.
     """
-    def numbered(df: DataFrame) -> DataFrame:
-        key = F.xxhash64("source", "text") if "text" in df.columns else F.col("key")
-        return df.withColumn("_key", key).withColumn(
-            "_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))))
-
-    placed = numbered(positions(docs, **how).select("doc_id", "key", "positions")).select(
-        F.col("doc_id").alias("_id"), F.col("_key").alias("_key2"), F.col("_nth").alias("_nth2"), "positions")
-    full = numbered(docs)
-    met = full.join(placed, full["doc_id"].eqNullSafe(placed["_id"]) & (full["_key"] == placed["_key2"]) & (full["_nth"] == placed["_nth2"]))
-    return (met.select(*(full[c] for c in docs.columns), F.explode("positions").alias("_position"))
-            .repartitionByRange(common.partitions(docs.sparkSession), "_position", "doc_id")
-            .sortWithinPartitions("_position", "doc_id").select(*docs.columns))
+    first = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
+    placed = (positions(docs, **how).select(first, F.col("key").alias("_key"), "positions").groupBy("_id", "_key")
+              .agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_positions")))
+    # The documents' own columns go along under other names, as theirs may be any.
+    back = {f"_o{i}": c for i, c in enumerate(docs.columns)}
+    one = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    full = (docs.select(first, F.xxhash64("source", "text").alias("_key"), *(F.col(c).alias(o) for o, c in back.items()))
+            .withColumn("_nth", F.row_number().over(one)).where("_nth = 1"))
+    return (full.join(placed, ["_id", "_key"]).select("_id", *back, F.explode("_positions").alias("_position"))
+            .repartitionByRange(common.partitions(docs.sparkSession), "_position", "_id")
+            .sortWithinPartitions("_position", "_id").select(*back).withColumnsRenamed(back))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

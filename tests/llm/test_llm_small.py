@@ -181,6 +181,7 @@ def test_time_inverts_the_integral(spark):
 
 def test_mixed_rows_are_whole_copies(docs):
     taken = {r.doc_id: len(r.positions) for r in mixing.positions(docs).collect()}
+    docs = clashing(docs)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
