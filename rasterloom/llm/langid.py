@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, bound: int = LABELLED) -> tuple[list[str], np.ndarr
 
 
 def score(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
-    """All columns of docs but text, with letters (trigrams counted) and logs (one a language)."""
+    """All columns of docs but text, with letters (trigrams counted), logs and shares (one a language; shares sum to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.vstack([model, np.zeros((1, len(languages)), "f4")]))
     others = [c for c in docs.columns if c != "text"]
 
@@ -94,22 +94,17 @@ def score(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame
             texts = frame["text"].tolist()
             for i, j in portions(texts, 1_000_000):
                 place, begins = trigrams(texts[i:j])
-                sums = np.add.reduceat(shared.value[place], begins[:-1], axis=0, dtype="f8") * WEIGHT
+                logs = np.add.reduceat(shared.value[place], begins[:-1], axis=0, dtype="f8") * WEIGHT
                 counted = np.add.reduceat(place >= 0, begins[:-1], dtype="i8")
+                shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+                shares /= shares.sum(axis=1, keepdims=True)
                 part = frame.iloc[i:j]
-                yield part[others].assign(letters=counted, logs=list(sums))
+                yield part[others].assign(letters=counted, logs=list(logs), shares=list(shares))
 
-    schema = docs.select(*others, F.lit(0).cast("long").alias("letters"), F.array(F.lit(0.0)).alias("logs")).schema
+    schema = docs.select(*others, F.lit(0).cast("long").alias("letters"), F.array(F.lit(0.0)).alias("logs"), F.array(F.lit(0.0)).alias("shares")).schema
     return docs.select("text", *others).mapInPandas(run, schema)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
-
-
 def identify(docs: DataFrame, declared: Column, address: Column, label: Column, *, languages: list[str] | None = None,
              least: float = 0.5) -> DataFrame:
     """language, confidence, text_language and kept of each row, beside the columns of docs without text.
@@ -138,64 +133,57 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
         return given.select(*others, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"),
                             F.lit("und").alias("text_language"), F.lit(False).alias("kept")).withColumnsRenamed(back)
     scored = common.written(score(given, known, model), "language-scores")
-    n = len(known)
-    soft = _softmax([F.col("logs")[k] for k in range(n)])
-    alone = F.array(*map(F.lit, known))[F.expr("array_position(logs, array_max(logs)) - 1").cast("int")]
-    scored = scored.withColumns({f"_p{k}": soft[k] for k in range(n)}).withColumn(
-        "text_language", F.when(F.col("letters") > 0, alone).otherwise(F.lit("und"))).withColumn(
+    # All that is said of each language is an array, so that expressions do not grow with the number of languages.
+    n, names = len(known), F.array(*map(F.lit, known))
+    likeliest = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
+    totals = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in range(n))).alias("sums")
+    lettered = F.col("letters") > 0
+    scored = scored.withColumn("text_language", F.when(lettered, likeliest("logs")).otherwise(F.lit("und"))).withColumn(
         "_said", F.when(F.col("_declared").isin(known), F.col("_declared")).otherwise(F.when(F.col("_declared").isNull(), F.lit("")).otherwise(F.lit("?"))))
-    counted = scored.where("letters > 0")
-    sums = [F.sum(f"_p{k}").alias(f"_p{k}") for k in range(n)]
+    counted = scored.where(lettered)
 
     # How often each declaration goes with each language: at most (languages + 2) * languages sums.
-    seen = {(r["_said"], k): r[f"_p{k}"] for r in counted.groupBy("_said").agg(*sums).collect() for k in range(n)}
-    said_logs = {}
+    seen = {r["_said"]: r["sums"] for r in counted.groupBy("_said").agg(totals("shares")).collect()}
+    said_logs = {said: [] for said in [*known, "?"]}
     for k in range(n):
-        row = {said: seen.get((said, k), 0.0) + (AGREE if said == known[k] else DISAGREE) for said in [*known, "?"]}
-        whole = sum(row.values())
-        for said, weight in row.items():
-            said_logs[said, k] = math.log(weight / whole)
+        weights = {said: (seen[said][k] if said in seen else 0.0) + (AGREE if said == known[k] else DISAGREE) for said in said_logs}
+        whole = sum(weights.values())
+        for said, weight in weights.items():
+            said_logs[said].append(math.log(weight / whole))
+    said_logs[""] = [0.0] * n
+    said_map = F.create_map(*(c for said, logs in said_logs.items() for c in (F.lit(said), F.array(*map(F.lit, logs)))))
 
     # Shares by host, domain and suffix; each level sums the one below.
-    hosts = counted.groupBy("_host").agg(*sums, F.count("*").cast("double").alias("_n"))
     parts = F.split("_host", r"\.")
     domain = F.when(F.size(parts) >= 2, F.concat_ws(".", F.slice(parts, F.size(parts) - 1, 2))).otherwise(F.lit(""))
     suffix = F.when(F.size(parts) >= 2, F.element_at(parts, -1)).otherwise(F.lit(""))
+    hosts = counted.groupBy("_host").agg(totals("shares"), F.count("*").cast("double").alias("_n"))
     hosts = common.written(hosts.withColumn("_domain", domain).withColumn("_suffix", suffix), "language-hosts")
-    up = lambda df, key: df.groupBy(key).agg(*sums, F.sum("_n").alias("_n"))
-    everything = hosts.agg(*sums, F.sum("_n").alias("_n")).first()
+    up = lambda key: hosts.groupBy(key).agg(totals("sums"), F.sum("_n").alias("_n"))
+    smoothed = lambda above: F.zip_with("sums", above, lambda s, a: (s + SMOOTHING * a) / (F.col("_n") + SMOOTHING))
+    everything = hosts.agg(totals("sums"), F.sum("_n").alias("_n")).first()
     whole = (everything["_n"] or 0.0) + n
-    prior = [F.lit(((everything[f"_p{k}"] or 0.0) + 1.0) / whole) for k in range(n)]
-
-    def smoothed(df: DataFrame, above: list[Column], prefix: str) -> DataFrame:
-        return df.withColumns({f"{prefix}{k}": (F.col(f"_p{k}") + SMOOTHING * above[k]) / (F.col("_n") + SMOOTHING) for k in range(n)})
-
-    columns = lambda prefix: [F.col(f"{prefix}{k}") for k in range(n)]
-    suffixes = smoothed(up(hosts, "_suffix"), prior, "_s").select("_suffix", *columns("_s"))
-    domains = smoothed(up(hosts.drop("_suffix"), "_domain").withColumn("_suffix", F.element_at(F.split("_domain", r"\."), -1))
-                       .join(suffixes, "_suffix"), columns("_s"), "_d").select("_domain", *columns("_d"))
+    prior = F.array(*(F.lit(((s or 0.0) + 1.0) / whole) for s in everything["sums"]))
+    suffixes = up("_suffix").select("_suffix", smoothed(prior).alias("_above"))
+    domains = (up("_domain").withColumn("_suffix", F.element_at(F.split("_domain", r"\."), -1))
+               .join(suffixes, "_suffix").select("_domain", smoothed(F.col("_above")).alias("_above")))
     # A host's own share is smoothed row by row below, without the row itself.
     hosts = common.written(hosts.join(domains, "_domain").select(
-        "_host", F.col("_n").alias("_hn"), *(F.col(f"_p{k}").alias(f"_h{k}") for k in range(n)), *columns("_d")), "language-priors")
-    joined = scored.join(hosts, "_host", "left")
-    own = F.when(F.col("letters") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    final = []
-    for k in range(n):
-        above = F.coalesce(f"_d{k}", prior[k])
-        share = ((F.coalesce(f"_h{k}", F.lit(0.0)) - own * F.col(f"_p{k}") + SMOOTHING * above)
-                 / (F.coalesce("_hn", F.lit(0.0)) - own + SMOOTHING))
-        said = F.lit(0.0)
-        for code in [*known, "?"]:
-            said = F.when(F.col("_said") == code, F.lit(said_logs[code, k])).otherwise(said)
-        final.append(F.col("logs")[k] + said + F.log(F.greatest(share, F.lit(1e-9))))
-    joined = joined.withColumn("_post", F.array(*_softmax(final)))
-    best = F.array_max("_post")
-    name = F.array(*map(F.lit, known))[F.expr("array_position(_post, array_max(_post)) - 1").cast("int")]
-    lettered = F.col("letters") > 0
-    wanted = name.isin(languages) if languages is not None else F.lit(True)
-    return joined.select(*others, F.when(lettered, name).otherwise(F.lit("und")).alias("language"),
-                         F.when(lettered, best).otherwise(F.lit(0.0)).alias("confidence"), "text_language",
-                         (lettered & wanted & (best >= least)).alias("kept")).withColumnsRenamed(back)
+        "_host", F.col("_n").alias("_hn"), F.col("sums").alias("_h"), "_above"), "language-priors")
+    own = F.when(lettered, F.lit(1.0)).otherwise(F.lit(0.0))
+    rows = F.coalesce("_hn", F.lit(0.0)) - own + SMOOTHING
+    others_here = F.zip_with(F.coalesce("_h", F.array_repeat(F.lit(0.0), n)), "shares", lambda h, p: h - own * p)
+    share = F.zip_with(others_here, F.coalesce("_above", prior), lambda h, a: (h + SMOOTHING * a) / rows)
+    told = F.zip_with("logs", F.element_at(said_map, F.col("_said")), lambda x, y: x + y)
+    sums = F.zip_with(told, share, lambda x, s: x + F.log(F.greatest(s, F.lit(1e-9))))
+    joined = scored.join(hosts, "_host", "left").select(*others, "letters", "text_language", sums.alias("_sums"))
+    # The posterior of the likeliest: its part, exp(0), of all.
+    best = 1 / F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp(x - F.array_max("_sums")))
+    judged = joined.select(*others, "letters", "text_language", likeliest("_sums").alias("_name"), best.alias("_best"))
+    wanted = F.col("_name").isin(languages) if languages is not None else F.lit(True)
+    return judged.select(*others, F.when(lettered, F.col("_name")).otherwise(F.lit("und")).alias("language"),
+                         F.when(lettered, F.col("_best")).otherwise(F.lit(0.0)).alias("confidence"), "text_language",
+                         (lettered & wanted & (F.col("_best") >= least)).alias("kept")).withColumnsRenamed(back)
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
