@@ -5,7 +5,8 @@ Bayes). To it are added the likelihood of the declared language, as reliable as
 it proves over all documents, and a prior of the address: the share of each
 language at a host, smoothed by that of its domain, which is smoothed by that of
 the address suffix, and that by all documents'. All shares are sums grouped over
-all documents.
+all documents. One class more, und, stands for all that has no model: its
+letters come one by one, as often as in all languages together.
 """
 
 from __future__ import annotations
@@ -20,8 +21,16 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import portions
 
-#: log2 of the trigram table, labelled rows that a model is fitted on (about), languages it may have.
-BITS, LABELLED, MOST_LANGUAGES = 15, 4_000, 64
+#: log2 of the trigram table, labelled rows that a language's model is fitted on (about), languages beyond which is refused.
+BITS, LABELLED, MOST_LANGUAGES = 15, 4_000, 1_000
+#: Trigrams of the background that a language's own are smoothed with; the background's part that is even over the table.
+BACKGROUND, EVEN = 0.1 * (1 << BITS), 0.1
+#: The class of what has no model; as a label or declaration it says nothing.
+UNKNOWN = "und"
+#: Numbers of the model that are gathered at once.
+PIECE = 1 << 24
+#: Different hashes that rows are drawn by.
+UNITS = 1 << 40
 #: A byte trigram is little news after its neighbours; its log-likelihoods count so much.
 WEIGHT = 0.35
 #: Rows of the parent's share that a host's, domain's or suffix's share is smoothed with; counts that the reliability starts from.
@@ -51,50 +60,72 @@ def language_code(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1)), F.lit(""))
 
 
+def background(bytes_seen: np.ndarray) -> np.ndarray:
+    """Each table place's share if bytes come one by one, as often as in ``bytes_seen``; a trigram's middle is no space."""
+    seen = bytes_seen + 1e-3
+    edge, middle = seen / seen.sum(), np.where(np.arange(256) == 32, 0.0, seen)
+    pairs = np.outer(middle / middle.sum(), edge).ravel()
+    share = np.zeros(1 << BITS)
+    for first in range(256):
+        gram = (np.uint32(first) << np.uint32(16)) | np.arange(1 << 16, dtype="u4")
+        share += np.bincount((gram * np.uint32(2654435761)) >> np.uint32(32 - BITS), pairs * edge[first], 1 << BITS)
+    return (1 - EVEN) * share + EVEN / (1 << BITS)
+
+
 def fit(labelled: DataFrame, bound: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """Languages and (2 ** BITS, languages) log-likelihoods from ``labelled(text, label)``.
+    """Languages and (2 ** BITS, languages) log-likelihoods from ``labelled(text, label)``; the last is UNKNOWN.
 
-    About ``bound`` rows are used, drawn by a hash of the text. Their trigram
-    counts are summed up by language on the executors; what comes to the driver
-    is as large as the model.
+    All labels are languages, however few their rows. About ``bound`` rows of each are used, drawn by
+    a hash of the text, and at least those of the least hash. Their trigram counts are summed up by
+    language on the executors; what comes to the driver is as large as the model.
     """
-    labelled = labelled.where("label is not null and text is not null")
-    total = labelled.count()
-    if not total:
+    hashed = labelled.where(f"label is not null and text is not null and label != '{UNKNOWN}'").withColumn(
+        "hash", F.pmod(F.xxhash64("text"), F.lit(UNITS)))
+    found = hashed.groupBy("label").agg(F.count("*").alias("n"), F.min("hash").alias("least")).orderBy("label").collect()
+    if not found:
         return [], np.zeros((1 << BITS, 0), "f4")
-    share = min(1.0, bound / total)
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"{len(found)} languages: their models would be too large to broadcast")
+    most = [(k, r["label"], max(r["least"], int(min(1.0, bound / r["n"]) * UNITS))) for k, r in enumerate(found)]
+    limits = labelled.sparkSession.createDataFrame(most, "k int, label string, most long")
+    drawn = hashed.join(F.broadcast(limits), "label").where("hash <= most").select("k", "text")
 
     def count(frames):
         for frame in frames:
-            for label, part in frame.groupby("label"):
-                place, _ = trigrams(part["text"].tolist())
-                n = np.bincount(place[place >= 0], minlength=1 << BITS)
+            for k, part in frame.groupby("k"):
+                texts = part["text"].tolist()
+                place, _ = trigrams(texts)
+                letters = np.frombuffer(" ".join(texts).encode("utf-8").translate(LETTERS), "u1")
+                n = np.concatenate([np.bincount(place[place >= 0], minlength=1 << BITS), np.bincount(letters, minlength=256)])
                 at = np.flatnonzero(n)
-                yield pd.DataFrame({"label": label, "place": at, "n": n[at]})
+                yield pd.DataFrame({"k": k, "place": at, "n": n[at]})
 
-    counts = (drawn.mapInPandas(count, "label string, place int, n long").groupBy("label", "place").agg(F.sum("n").alias("n")))
-    top = counts.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES)
-    table = counts.join(F.broadcast(top.select("label")), "label").toPandas()
-    languages = sorted(table["label"].unique())
-    grid = np.full((1 << BITS, len(languages)), 0.1)
-    for k, language in enumerate(languages):
-        mine = table[table["label"] == language]
-        grid[mine["place"].to_numpy(), k] += mine["n"].to_numpy()
-    return languages, (np.log(grid) - np.log(grid.sum(axis=0))).astype("f4")
+    # Places beyond the trigrams' are bytes.
+    table = drawn.mapInPandas(count, "k int, place int, n long").groupBy("k", "place").agg(F.sum("n").alias("n")).toPandas()
+    trigram = table["place"] < 1 << BITS
+    letters = table[~trigram].groupby("place")["n"].sum()
+    even = background(np.bincount(letters.index - (1 << BITS), letters, 256))
+    grid = np.repeat((even * BACKGROUND)[:, None], len(found) + 1, axis=1)
+    grid[table["place"][trigram], table["k"][trigram]] += table["n"][trigram]
+    return [*(r["label"] for r in found), UNKNOWN], (np.log(grid) - np.log(grid.sum(axis=0))).astype("f4")
 
 
 def score(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
     """All columns of docs but text, with letters (trigrams counted), logs and shares (one a language; shares sum to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.vstack([model, np.zeros((1, len(languages)), "f4")]))
     others = [c for c in docs.columns if c != "text"]
+    step = max(1, PIECE // len(languages))
 
     def run(frames):
         for frame in frames:
             texts = frame["text"].tolist()
             for i, j in portions(texts, 1_000_000):
                 place, begins = trigrams(texts[i:j])
-                logs = np.add.reduceat(shared.value[place], begins[:-1], axis=0, dtype="f8") * WEIGHT
+                logs = np.zeros((j - i, len(languages)))
+                for at in range(0, len(place), step):  # pieces, as a trigram has a row of the model
+                    inside = slice(np.searchsorted(begins[:-1], at, "right") - 1, np.searchsorted(begins[:-1], at + step))
+                    cuts = np.maximum(begins[:-1][inside] - at, 0)
+                    logs[inside] += np.add.reduceat(shared.value[place[at:at + step]], cuts, axis=0, dtype="f8") * WEIGHT
                 counted = np.add.reduceat(place >= 0, begins[:-1], dtype="i8")
                 shares = np.exp(logs - logs.max(axis=1, keepdims=True))
                 shares /= shares.sum(axis=1, keepdims=True)
@@ -112,9 +143,11 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     ``docs`` has text; ``declared`` is a language code, where none is given the
     text's markup is asked; ``address`` is a host or URL; ``label`` is what the
     text model is fitted on. A row is kept if it has letters, its language is
-    wanted (``languages``, default any) and its posterior is at least ``least``.
+    known and wanted (``languages``, default any) and its posterior is at least
+    ``least``.
 
-    A null or empty text has no letters: it is und and rejected. Null and
+    A text whose letters go together as in no known language is und and rejected.
+    So is a null or empty text, which has no letters. Null and
     unknown declarations and addresses are no evidence beyond all documents'
     own shares. Without a labelled row no language is known and all rows are
     und. Rows are judged one by one, repeated or not. Columns of
@@ -127,18 +160,18 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     # The documents' own columns go along under other names, as theirs may be any.
     back = {f"_o{i}": c for i, c in enumerate(c for c in docs.columns if c not in ("text", *RESULT))}
     others = list(back)
-    said = F.coalesce(language_code(declared), language_code(F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit(""))))
+    said = F.nullif(F.coalesce(language_code(declared), language_code(F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit("")))), F.lit(UNKNOWN))
     given = docs.select("text", *(F.col(c).alias(o) for o, c in back.items()), said.alias("_declared"), host.alias("_host"))
     if not known:
-        return given.select(*others, F.lit("und").alias("language"), F.lit(0.0).alias("confidence"),
-                            F.lit("und").alias("text_language"), F.lit(False).alias("kept")).withColumnsRenamed(back)
+        return given.select(*others, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"),
+                            F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("kept")).withColumnsRenamed(back)
     scored = common.written(score(given, known, model), "language-scores")
     # All that is said of each language is an array, so that expressions do not grow with the number of languages.
     n, names = len(known), F.array(*map(F.lit, known))
     likeliest = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     totals = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in range(n))).alias("sums")
     lettered = F.col("letters") > 0
-    scored = scored.withColumn("text_language", F.when(lettered, likeliest("logs")).otherwise(F.lit("und"))).withColumn(
+    scored = scored.withColumn("text_language", F.when(lettered, likeliest("logs")).otherwise(F.lit(UNKNOWN))).withColumn(
         "_said", F.when(F.col("_declared").isin(known), F.col("_declared")).otherwise(F.when(F.col("_declared").isNull(), F.lit("")).otherwise(F.lit("?"))))
     counted = scored.where(lettered)
 
@@ -151,7 +184,7 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
         for said, weight in weights.items():
             said_logs[said].append(math.log(weight / whole))
     said_logs[""] = [0.0] * n
-    said_map = F.create_map(*(c for said, logs in said_logs.items() for c in (F.lit(said), F.array(*map(F.lit, logs)))))
+    told_by = docs.sparkSession.createDataFrame(list(said_logs.items()), "_said string, _told array<double>")
 
     # Shares by host, domain and suffix; each level sums the one below.
     parts = F.split("_host", r"\.")
@@ -174,14 +207,14 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     rows = F.coalesce("_hn", F.lit(0.0)) - own + SMOOTHING
     others_here = F.zip_with(F.coalesce("_h", F.array_repeat(F.lit(0.0), n)), "shares", lambda h, p: h - own * p)
     share = F.zip_with(others_here, F.coalesce("_above", prior), lambda h, a: (h + SMOOTHING * a) / rows)
-    told = F.zip_with("logs", F.element_at(said_map, F.col("_said")), lambda x, y: x + y)
+    told = F.zip_with("logs", "_told", lambda x, y: x + y)
     sums = F.zip_with(told, share, lambda x, s: x + F.log(F.greatest(s, F.lit(1e-9))))
-    joined = scored.join(hosts, "_host", "left").select(*others, "letters", "text_language", sums.alias("_sums"))
+    joined = scored.join(hosts, "_host", "left").join(F.broadcast(told_by), "_said").select(*others, "letters", "text_language", sums.alias("_sums"))
     # The posterior of the likeliest: its part, exp(0), of all.
     best = 1 / F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp(x - F.array_max("_sums")))
     judged = joined.select(*others, "letters", "text_language", likeliest("_sums").alias("_name"), best.alias("_best"))
-    wanted = F.col("_name").isin(languages) if languages is not None else F.lit(True)
-    return judged.select(*others, F.when(lettered, F.col("_name")).otherwise(F.lit("und")).alias("language"),
+    wanted = (F.col("_name") != UNKNOWN) & (F.col("_name").isin(languages) if languages is not None else F.lit(True))
+    return judged.select(*others, F.when(lettered, F.col("_name")).otherwise(F.lit(UNKNOWN)).alias("language"),
                          F.when(lettered, F.col("_best")).otherwise(F.lit(0.0)).alias("confidence"), "text_language",
                          (lettered & wanted & (F.col("_best") >= least)).alias("kept")).withColumnsRenamed(back)
 

@@ -256,6 +256,42 @@ def test_language_evidence(spark):
     assert langid.identify_documents(nothing).first().language == "und" and langid.identify_documents(nothing.where("false")).count() == 0
 
 
+def test_rare_and_many_languages_are_all_known(spark):
+    """A language of three rows among 2,000 is known and found, and so is each of 80 languages."""
+    rng = random.Random(4)
+    en, fi = ["the", "and", "with", "that", "from"], ["ja", "että", "hyvä", "päivä", "kuusi"]
+    rows = [(k, words(rng, 30, en), "en", "a") for k in range(2000)] + [(3000 + k, words(rng, 30, fi), "fi", "a") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    known, model = langid.fit(docs.select("text", F.col("lang").alias("label")), 50)
+    assert known == ["en", "fi", "und"] and model.shape[1] == 3
+    found = {r.doc_id: r.language for r in langid.identify_documents(docs).collect()}
+    assert all(found[3000 + k] == "fi" for k in range(3)) and all(found[k] == "en" for k in range(2000))
+    codes = [a + b for a in "abcdefgh" for b in "abcdefghij"]
+    many = [(k, words(rng, 40, [code[0] * 2 + x + code[1] * 2 for x in "klmnopq"]), code, "a") for k, code in enumerate(codes)]
+    assert {r.language: r.declared for r in langid.identify_documents(spark.createDataFrame(many, "doc_id long, text string, lang string, source string").withColumn(
+        "declared", F.col("lang"))).collect()} == {c: c for c in codes}
+
+
+def test_language_without_a_model_is_rejected(spark):
+    """Texts of no fitted language and junk are und, though a posterior over the fitted ones alone would be near 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    strange = ["Tämä on suomenkielinen teksti, jota yksikään malli ei tunne, ja siksi sen pitäisi jäädä pois kokonaan.",
+               "Это текст на русском языке, которого нет среди известных языков этой таблицы.", "qxzvk jwqpz xkcvq zzxqj vkwpq jxqzk wvqkz pxjqv kqzwx"]
+    more = spark.createDataFrame([(-1 - k, t, None, "src0") for k, t in enumerate(strange)], docs.schema)
+    found = {r.doc_id: r for r in langid.identify_documents(docs.unionByName(more)).collect()}
+    assert all(found[-1 - k].language == found[-1 - k].text_language == "und" and not found[-1 - k].kept for k in range(3))
+    assert sum(r.kept for d, r in found.items() if d >= 0) >= 0.99 * docs.count()
+
+
+def test_pieces_of_long_texts_score_as_whole(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 30)
+    model = np.log(np.random.default_rng(1).dirichlet(np.ones(1 << langid.BITS), 3).T).astype("f4")
+    docs = spark.createDataFrame([(0, "abc def" * 50), (1, ""), (2, None), (3, "xyz" * 999)], "doc_id long, text string")
+    for r in langid.score(docs, ["a", "b", "und"], model).collect():
+        place, _ = langid.trigrams([docs.where(f"doc_id = {r.doc_id}").first().text])
+        assert np.allclose(r.logs, model[place[place >= 0]].sum(0, dtype="f8") * langid.WEIGHT, rtol=1e-5) and r.letters == (place >= 0).sum()
+
+
 # --- 7: decontamination -------------------------------------------------------------------------------------------
 
 def bench(spark, docs_rows):
