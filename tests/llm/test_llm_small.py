@@ -410,6 +410,30 @@ def test_chat_nulls_and_long_chains(spark):
     assert by[None, 1].depth == 1 and by[None, 1].conversation is None and by[5, 39].depth == 39 and by[5, 39].root_turn == 0
 
 
+def test_chat_links_across_conversations(spark):
+    """Originals under a larger conv_id are found, circles end, and a frequent line alone links nothing across conversations."""
+    rows = [(1, 0, "user", "> the only original\nsome answer"), (9, 0, "user", "the only original"),
+            (2, 0, "user", "> beta line\nalpha line"), (7, 0, "user", "> alpha line\nbeta line"), (8, 0, "user", "> beta line\nat the end")]
+    rows += [(100 + k, 0, "user", "Thanks\nok" if k == 5 else f"Thanks\nmessage {k}\nok") for k in range(12)]
+    rows += [(200, 0, "user", "> Thanks\nwell"), (201, 0, "user", "> Thanks\n> ok\nwell"), (202, 0, "user", "ok"), (202, 1, "user", "> ok\nwell")]
+    by = {(r.conv_id, r.turn): r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (by[1, 0].parent_conv, by[1, 0].conversation, by[1, 0].depth) == (9, 9, 1)
+    assert by[2, 0].parent_conv is None and (by[7, 0].parent_conv, by[7, 0].depth) == (2, 1) and (by[8, 0].conversation, by[8, 0].depth) == (2, 2)
+    assert by[200, 0].parent_conv is None and by[200, 0].n_linked == 0
+    assert by[201, 0].parent_conv == 105 and by[201, 0].n_linked == 2 and by[202, 1].parent_conv == 202
+
+
+@pytest.mark.parametrize("ring,tail", [(1, 3), (2, 0), (37, 50), (64, 1)])
+def test_chat_circles_of_any_length_end(spark, ring, tail):
+    me = lambda k: (k, 0, k)
+    edges = [(me(k), me(k % ring)) for k in range(ring, ring + min(tail, 1))] + [(me(k), me(k - 1)) for k in range(ring + 1, ring + tail)]
+    edges += [(me(k), me((k * 1 + 1) % ring)) for k in range(ring)] if ring > 1 else []
+    kind = "struct<conv_id:long,turn:long,row:long>"
+    found = {r.me[0]: r for r in chat.threads(spark.createDataFrame(edges, f"me {kind}, parent {kind}")).collect()}
+    assert set(found) == set(range(1, ring + tail)) and all(r.root == me(0) for r in found.values())
+    assert all(found[k].depth == (ring - k if k < ring else k - ring + 1) for k in found)
+
+
 # --- 10: near-duplicates ------------------------------------------------------------------------------------------
 
 def test_near_duplicates_equal_brute_force(docs, pairs, empty):
