@@ -46,6 +46,40 @@ def per_image_rows(px: DataFrame, columns: list[str], f: Callable[..., pd.DataFr
     return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, {schema}")
 
 
+def _own_planes(part: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
+    shape = part["y"].max() + 1, part["x"].max() + 1
+    planes = []
+    for c in columns:
+        plane = np.zeros(shape, part[c].dtype if part[c].dtype != object else "f8")
+        plane[part["y"], part["x"]] = part[c].to_numpy()
+        planes.append(plane)
+    here = np.zeros(shape, bool)
+    here[part["y"], part["x"]] = True
+    return [*planes, here]
+
+
+def per_own_image(px: DataFrame, columns: list[str], f: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """As per_image for images of any size, whole or not: f gets the plane of pixels that have a row too, and only these come out."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        *planes, here = _own_planes(part, columns)
+        y, x = np.nonzero(here)
+        return pd.DataFrame({"img": part["img"].iloc[0], "y": y.astype("i4"), "x": x.astype("i4")} | {n: p[here] for n, p in f(*planes, here).items()})
+
+    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, y int, x int, {schema}")
+
+
+def per_own_image_rows(px: DataFrame, columns: list[str], f: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+    """As per_image_rows for images of any size, whole or not; f gets the plane of pixels that have a row too."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        made = f(*_own_planes(part, columns))
+        made.insert(0, "img", part["img"].iloc[0])
+        return made
+
+    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, {schema}")
+
+
 def distance(mask: np.ndarray) -> np.ndarray:
     """The exact distance of each mask pixel to the nearest pixel outside; 0 outside, infinite if there is none.
 
@@ -140,12 +174,14 @@ def thinned(mask: np.ndarray) -> np.ndarray:
             return m
 
 
-def gap_centers(fiber: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Widths (twice the distance) at local maxima of the distance to a fiber, above 1, whose circle stays off the array's edge; 0 elsewhere."""
+def gap_centers(fiber: np.ndarray, inside: np.ndarray, here: np.ndarray | None = None) -> np.ndarray:
+    """Widths (twice the distance) at local maxima of the distance to a fiber, above 1, whose circle stays off the array's edge; 0 elsewhere. Pixels not ``here`` are no maxima and hide none."""
     width = np.zeros(fiber.shape)
     if not fiber.any():
         return width
     d = distance(~fiber)
+    if here is not None:
+        d[~here] = -1.0
     h, w = fiber.shape
     p = np.pad(d, 1, constant_values=-1.0)
     top = np.max([p[1 + dy:1 + dy + h, 1 + dx:1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
@@ -185,9 +221,13 @@ def orientation(plane: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.mod(theta, 180.0), np.nan)
 
 
-def coherence(plane: np.ndarray, window: int) -> np.ndarray:
-    """(hypot(sxx - syy, 2 sxy)) / (sxx + syy) of gradient products summed over whole windows; nan without gradient."""
+def coherence(plane: np.ndarray, window: int, here: np.ndarray | None = None) -> np.ndarray:
+    """(hypot(sxx - syy, 2 sxy)) / (sxx + syy) of gradient products summed over whole windows; nan without gradient. A pixel beside one not ``here`` has none."""
     gy, gx = scharr(plane)
+    if here is not None:
+        p = np.pad(here, 1, mode="symmetric")
+        known = np.all([p[i:i + here.shape[0], j:j + here.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        gy, gx = np.where(known, gy, 0.0), np.where(known, gx, 0.0)
     n = plane.shape[0] // window, plane.shape[1] // window
     total = lambda v: v[:n[0] * window, :n[1] * window].reshape(n[0], window, n[1], window).sum(axis=(1, 3))
     xx, yy, xy = total(gx * gx), total(gy * gy), total(gx * gy)

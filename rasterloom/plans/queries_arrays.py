@@ -10,7 +10,7 @@ from ..operators import arrays as A
 from ..operators import morph as M
 from ..sources import bindings as B
 from .registry import query
-from .views import FPX
+from .views import FPX, PX
 
 col = F.col
 SIDE = {"height": B.SIDE, "width": B.SIDE}
@@ -19,7 +19,7 @@ EDT = f", dist AS (SELECT a.img, a.y, a.x, sqrt(min((a.y - b.y) ** 2 + (a.x - b.
 
 
 def _mask(spark, d):
-    """Whole images only."""
+    """Whole images only, as the SQL of these queries has it; their _any queries take every image."""
     px = B.fiber_pixels(spark, d)
     return px.join(px.groupBy("img").agg(F.count("*").alias("n")).where(f"n = {B.AREA}").select("img"), "img", "left_semi")
 
@@ -47,9 +47,9 @@ def zone_outside(spark, d):
 @query("m02_zone_modes")
 def zone_modes(spark, d):
     """Pixels of each zone mode around each image's mask."""
-    def count(m):
-        return pd.DataFrame({"mode": ["whole", "outside", "inside", "both"], "n": [int(A.zone(m, k, 2.0).sum()) for k in ("whole", "outside", "inside", "both")]})
-    return A.per_image_rows(_mask(spark, d), ["fiber"], count, "mode string, n long", **SIDE)
+    def count(m, here):
+        return pd.DataFrame({"mode": ["whole", "outside", "inside", "both"], "n": [int((A.zone(m, k, 2.0) & here).sum()) for k in ("whole", "outside", "inside", "both")]})
+    return A.per_own_image_rows(B.fiber_pixels(spark, d), ["fiber"], count, "mode string, n long")
 
 
 COMP = f""", f AS (SELECT img, y, x, y * 50 + x + 1 AS id FROM fpx WHERE fiber), adj AS (SELECT a.img, a.id AS a, b.id AS b FROM f a JOIN f b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
@@ -121,6 +121,77 @@ def coherence(spark, d):
     return A.per_image_rows(_mask(spark, d), ["g"], rows, "iy int, ix int, coherence double", **SIDE).select("img", "iy", "ix", F.round("coherence", 6).alias("coherence"))
 
 
+# The same of every image, whole or not: a pixel without a row is no fiber, no background and no result, and an image ends at its own last row and column.
+
+ANY_EDT = EDT.replace(FULL, "")
+ANY_GAPS = f"""WITH {FPX} {ANY_EDT}, t AS (SELECT a.img, a.y, a.x, a.d, max(b.d) AS m FROM dist a JOIN dist b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
+ends AS (SELECT img, max(y) AS y1, max(x) AS x1 FROM px GROUP BY img),
+gap AS (SELECT t.img, t.y, t.x, 2 * d AS w FROM t JOIN fpx USING (img, y, x) JOIN ends ON ends.img = t.img WHERE d >= m AND d > 1 AND d <= least(least(t.y, y1 - t.y), least(t.x, x1 - t.x)) AND zone)"""
+
+
+def nearest_fiber_of(px):
+    """Distances to the nearest fiber; no rows of an image without one."""
+    found = A.per_own_image(px, ["fiber"], lambda m, here: {"d": A.distance(~m)}, "d double").where("d < double('infinity')")
+    return found.select("img", "y", "x", F.round("d", 6).alias("d"))
+
+
+def fiber_width_of(px):
+    found = A.per_own_image(px, ["fiber"], lambda m, here: {"width": 2 * A.distance(m | ~here)}, "width double")
+    return found.where("width > 0 AND width < double('infinity')").select("img", "y", "x", F.round("width", 6).alias("width"))
+
+
+def zone_outside_of(px):
+    return A.per_own_image(px, ["zone"], lambda m, here: {"z": A.zone(m, "outside", 3.0)}, "z boolean").where("z").select("img", "y", "x")
+
+
+def gaps_of(px):
+    return A.per_own_image(px, ["fiber", "zone"], lambda m, z, here: {"w": A.gap_centers(m, z, here)}, "w double").where("w > 0")
+
+
+def coherence_of(px):
+    def rows(g, here):
+        c = A.coherence(g.astype("f8"), 10, here)
+        iy, ix = np.mgrid[:c.shape[0], :c.shape[1]]
+        return pd.DataFrame({"iy": iy.ravel().astype("i4"), "ix": ix.ravel().astype("i4"), "coherence": c.ravel()})
+    found = A.per_own_image_rows(px, ["g"], rows, "iy int, ix int, coherence double").where("NOT isnan(coherence)")
+    return found.select("img", "iy", "ix", F.round("coherence", 6).alias("coherence"))
+
+
+@query("j10_nearest_fiber_any", f"WITH {FPX} {ANY_EDT} SELECT img, y, x, round(d, 6) AS d FROM dist")
+def nearest_fiber_any(spark, d):
+    return nearest_fiber_of(B.fiber_pixels(spark, d))
+
+
+@query("m09_fiber_width_any", f"WITH {FPX}, dist AS (SELECT a.img, a.y, a.x, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM fpx a JOIN fpx b ON a.img = b.img AND NOT b.fiber WHERE a.fiber GROUP BY ALL) SELECT img, y, x, round(2 * d, 6) AS width FROM dist")
+def fiber_width_any(spark, d):
+    return fiber_width_of(B.fiber_pixels(spark, d))
+
+
+@query("m01_zone_outside_any", f"""WITH {FPX}
+SELECT a.img, a.y, a.x FROM fpx a WHERE NOT zone AND EXISTS (SELECT 1 FROM fpx b WHERE b.img = a.img AND b.zone AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9)""")
+def zone_outside_any(spark, d):
+    return zone_outside_of(B.fiber_pixels(spark, d))
+
+
+@query("m10_gap_centers_any", f"{ANY_GAPS} SELECT img, y, x, round(w, 6) AS width FROM gap")
+def gap_centers_any(spark, d):
+    return gaps_of(B.fiber_pixels(spark, d)).select("img", "y", "x", F.round("w", 6).alias("width"))
+
+
+@query("g05_gap_stats_any", f"{ANY_GAPS} SELECT img, round(avg(w), 6) AS gap_mean_px, round(max(w), 6) AS gap_max_px, count(*) AS gap_count FROM gap GROUP BY img")
+def gap_stats_any(spark, d):
+    return gaps_of(B.fiber_pixels(spark, d)).groupBy("img").agg(F.round(F.avg("w"), 6).alias("gap_mean_px"), F.round(F.max("w"), 6).alias("gap_max_px"), F.count("*").alias("gap_count"))
+
+
+@query("m12_coherence_any", f"""WITH {PX}, p AS (SELECT img, y, x, g AS v FROM px), ends AS (SELECT img, max(y) AS y1, max(x) AS x1 FROM px GROUP BY img),
+k AS (SELECT * FROM (VALUES (-1, 3.0::DOUBLE), (0, 10.0::DOUBLE), (1, 3.0::DOUBLE)) AS t(o, w)), o AS (SELECT a.o AS dy, b.o AS dx, a.o * b.w / 32 AS wy, b.o * a.w / 32 AS wx FROM k a, k b),
+g AS (SELECT p.img, p.y, p.x, sum(wy * q.v) AS gy, sum(wx * q.v) AS gx FROM p JOIN ends USING (img), o JOIN p q ON q.img = p.img AND q.y = least(greatest(p.y + dy, 0), y1) AND q.x = least(greatest(p.x + dx, 0), x1) GROUP BY ALL HAVING count(*) = 9),
+s AS (SELECT img, y // 10 AS iy, x // 10 AS ix, sum(gx * gx) AS xx, sum(gy * gy) AS yy, sum(gx * gy) AS xy FROM g JOIN ends USING (img) WHERE y // 10 < (y1 + 1) // 10 AND x // 10 < (x1 + 1) // 10 GROUP BY ALL)
+SELECT img, iy, ix, round(sqrt((xx - yy) ** 2 + 4 * xy * xy) / (xx + yy), 6) AS coherence FROM s WHERE xx + yy > 0""")
+def coherence_any(spark, d):
+    return coherence_of(B.pixels(spark, d))
+
+
 def _fibers(spark, d):
     """fiber (unique over images), seq, y, x, traced on thinned masks."""
     found = A.per_image_rows(B.fiber_pixels(spark, d), ["fiber"], lambda m: A.traced(A.thinned(m)), "fiber long, seq int, y int, x int", **SIDE)
