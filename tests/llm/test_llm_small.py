@@ -292,6 +292,22 @@ def test_pieces_of_long_texts_score_as_whole(spark, monkeypatch):
         assert np.allclose(r.logs, model[place[place >= 0]].sum(0, dtype="f8") * langid.WEIGHT, rtol=1e-5) and r.letters == (place >= 0).sum()
 
 
+def test_addresses_of_pages_tell_by_host_domain_and_suffix(spark):
+    """Pages of one word that fits both languages go with their host's, domain's or suffix's pages."""
+    rng = random.Random(6)
+    en, de = ["the", "and", "with", "that", "from"], ["der", "und", "nicht", "mit", "schön"]
+    page = lambda lang, text: f"<html lang='{lang}'><script>x</script><p>{text}</p></html>"
+    rows = [(k, f"https://www.{h}/p?{k}", page(lang, words(rng, 30, v))) for k, (h, lang, v) in enumerate(
+        [("a.one.uk", "en", en), ("b.one.uk", "en", en), ("c.two.de", "de", de), ("d.two.de", "de", de)] * 20)]
+    alike = "<p>the der and und</p>"
+    rows += [(1000, "http://a.one.uk/", alike), (1001, "http://new.one.uk", alike), (1002, "https://x.new.uk/", alike),
+             (2000, "http://c.two.de/", alike), (2001, "http://new.two.de", alike), (2002, "https://x.new.de/", alike)]
+    found = {r.page_id: r for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k].language == found[k].markup for k in range(80))
+    en_share = {k: found[k].confidence if found[k].language == "en" else 1 - found[k].confidence for k in range(1000, 2003) if k in found}
+    assert all(en_share[1000 + k] > en_share[2000 + k] + 0.05 for k in range(3))
+
+
 # --- 7: decontamination -------------------------------------------------------------------------------------------
 
 def bench(spark, docs_rows):
