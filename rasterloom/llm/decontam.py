@@ -4,7 +4,7 @@ The automaton is built over the words of the normalised test items. Each
 document's words stream through it, and at each word the automaton knows the
 longest run of words that ends there and stands in some item. Runs of at least
 a window's length are hit. Documents take no shuffle: they stay where they are
-read, and each task holds the automaton of one chunk of items.
+read, and each Python worker holds the automata of all chunks of items.
 """
 
 from __future__ import annotations
@@ -150,7 +150,7 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-#: Words of a benchmark, some 200 bytes of automaton each, beyond which it must be given in parts.
+#: Words of a benchmark beyond which it is refused: all automata are in memory at once.
 MOST_WORDS = 10_000_000
 
 
