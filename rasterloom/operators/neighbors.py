@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import centered_sums
+
 #: The eight neighbors in ring order, as (dy, dx); and the plus-shaped disk of radius 1.
 RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 PLUS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
@@ -71,13 +73,10 @@ def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1,
     return df
 
 
-def centered_mean(df: DataFrame, value: Column, size: int, step: int, side: int) -> DataFrame:
-    """img, gy, gx and mean of a centered box of ``size`` at every ``step`` pixels, of what of it lies inside."""
-    lo, hi = size // 2, size - 1 - size // 2
-    df = box_sums(df, {"_s": value.cast("double"), "_n": F.lit(1)}, lo, hi)
-    at = lambda g: F.least(g * step + step // 2, F.lit(side - 1))
-    df = df.withColumns({"gy": F.floor(F.col("y") / step), "gx": F.floor(F.col("x") / step)})
-    return df.where((F.col("y") == at(F.col("gy"))) & (F.col("x") == at(F.col("gx")))).select("img", "gy", "gx", (F.col("_s") / F.col("_n")).alias("mean"))
+def centered_mean(df: DataFrame, value: Column, size: int, step: int, height: int, width: int) -> DataFrame:
+    """img, gy, gx and mean of a centered box of ``size`` at every ``step`` pixels, of what the image has of it."""
+    sums = centered_sums(df, {"_s": value.cast("double"), "_n": F.lit(1)}, window=size, step=step, height=height, width=width)
+    return sums.select("img", "gy", "gx", (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def summed_area(df: DataFrame, value: Column) -> DataFrame:
@@ -103,38 +102,23 @@ def ring_codes(mask: DataFrame) -> DataFrame:
     return codes.withColumns({"is_junction": F.col("crossings") >= 3, "is_endpoint": F.col("neighbors") == 1})
 
 
-def dilated(mask: DataFrame, offsets=PLUS) -> DataFrame:
-    """img, y, x of pixels that an offset of the mask reaches; they may lie outside the image."""
-    moves = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets)))
-    return (mask.select("img", "y", "x", moves.alias("o")).select("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct())
-
+def neighbor_extreme(px: DataFrame, value: str, least: bool, offsets=PLUS) -> DataFrame:
+    """img, y, x and the smallest (or largest) value among those of a pixel's offsets that the image has.
 
-def eroded(mask: DataFrame, inside: Column, offsets=PLUS) -> DataFrame:
-    """img, y, x of mask pixels all of whose offsets are in the mask; ``inside`` says how many of a pixel's offsets must be (those in the image)."""
+    Each pixel tells its neighbors; a place that only neighbors tell of is no pixel.
+    """
     moves = F.explode(F.array(*(F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in offsets)))
-    told = mask.select("img", "y", "x", moves.alias("o")).groupBy("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.count("*").alias("n"))
-    return told.where(F.col("n") >= inside).select("img", "y", "x")
-
-
-def offsets_inside(height: int, width: int, offsets=PLUS) -> Column:
-    """How many offsets of a pixel lie in the image."""
-    y, x = F.col("y"), F.col("x")
-    parts = [((y + dy >= 0) & (y + dy < height) & (x + dx >= 0) & (x + dx < width)).cast("int") for dy, dx in offsets]
-    return sum(parts[1:], parts[0])
-
-
-def closed(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """The mask dilated and then eroded by the plus-shaped disk; what is outside the image neither grows nor shrinks it."""
-    grown = dilated(mask).where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
-    return eroded(grown, offsets_inside(height, width)).where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
+    told = px.select("img", "y", "x", value, moves.alias("o"))
+    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
+    found = told.groupBy("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(
+        (F.min if least else F.max)(value).alias(value), F.bool_or(own).alias("_there"))
+    return found.where("_there").drop("_there")
 
 
-def neighbor_extreme(px: DataFrame, value: str, least: bool, offsets=PLUS) -> DataFrame:
-    """img, y, x and the smallest (or largest) value among a pixel's offsets."""
-    moves = F.explode(F.array(*(F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx")) for dy, dx in offsets)))
-    told = px.select("img", "y", "x", value, moves.alias("o"))
-    found = told.groupBy("img", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg((F.min if least else F.max)(value).alias(value))
-    return px.select("img", "y", "x").join(found, ["img", "y", "x"])
+def closed(px: DataFrame, mask: str, offsets=PLUS) -> DataFrame:
+    """img, y, x of the mask dilated and then eroded; places without a pixel, in the image or beyond it, neither grow nor shrink it."""
+    on = px.select("img", "y", "x", F.coalesce(F.col(mask), F.lit(False)).alias("on"))
+    return neighbor_extreme(neighbor_extreme(on, "on", False, offsets), "on", True, offsets).where("on").drop("on")
 
 
 def top_hat(px: DataFrame, value: str) -> DataFrame:

@@ -98,20 +98,26 @@ def box_fraction(px: DataFrame, mask: Column, *, window: int, stride: int, heigh
     return sums.where(F.col("area") == window * window).withColumn("fraction", F.col("n") / F.col("area"))
 
 
-def centered_fraction(px: DataFrame, mask: Column, *, window: int, step: int, height: int, width: int) -> DataFrame:
-    """fraction of mask pixels in a box around each cell's center, clipped to the image and taken of what is left of the box.
+def centered_sums(px: DataFrame, sums: dict[str, Column], *, window: int, step: int, height: int, width: int) -> DataFrame:
+    """img, gy, gx and the sums over the box around each cell's center, of the pixels that are there; a box without pixels gives no row.
 
-    The box of even size starts window // 2 before the center.
+    Centers are ``step`` apart, the last one is moved into the frame of height
+    and width; the box of even size starts window // 2 before its center. Rows are
+    summed up before columns, so that a pixel makes window / step rows, not its square.
     """
-    def cells(side: int) -> int:
-        return -(-side // step)
-
     def around(at: Column, side: int) -> Column:
-        every = F.sequence(F.lit(0), F.lit(cells(side) - 1))
+        last, reach = -(-side // step) - 1, window - window // 2 - 1
+        near = lambda x: F.greatest(F.lit(0).cast("long"), F.least(F.lit(last).cast("long"), F.floor(x)))
+        cells = F.sequence(near((at - reach - step // 2) / step), near((at + window // 2 - step // 2) / step + 1))
         center = lambda c: F.least(c * step + step // 2, F.lit(side - 1))
-        return F.filter(every, lambda c: (at >= center(c) - window // 2) & (at < center(c) - window // 2 + window))
+        return F.filter(cells, lambda c: (at >= center(c) - window // 2) & (at <= center(c) + reach))
+
+    rows = (px.select("img", "y", F.explode(around(F.col("x"), width)).alias("gx"), *(e.alias(f"_{n}") for n, e in sums.items()))
+            .groupBy("img", "y", "gx").agg(*(F.sum(f"_{n}").alias(n) for n in sums)))
+    return rows.withColumn("gy", F.explode(around(F.col("y"), height))).groupBy("img", "gy", "gx").agg(*(F.sum(n).alias(n) for n in sums))
 
-    rows = (px.select("img", "y", mask.alias("_on"), F.explode(around(F.col("x"), width)).alias("gx"))
-            .groupBy("img", "y", "gx").agg(F.count_if("_on").alias("n"), F.count("*").alias("area")))
-    return (rows.withColumn("gy", F.explode(around(F.col("y"), height))).groupBy("img", "gy", "gx")
-            .agg(F.sum("n").alias("n"), F.sum("area").alias("area")).withColumn("fraction", F.col("n") / F.col("area")))
+
+def centered_fraction(px: DataFrame, mask: Column, *, window: int, step: int, height: int, width: int) -> DataFrame:
+    """n, area and fraction of mask pixels in a box around each cell's center, of what the image has of the box."""
+    found = centered_sums(px, {"n": F.when(mask, 1).otherwise(0), "area": F.lit(1)}, window=window, step=step, height=height, width=width)
+    return found.withColumn("fraction", F.col("n") / F.col("area"))

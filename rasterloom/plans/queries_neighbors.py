@@ -62,7 +62,7 @@ def context_bank(spark, d):
 @query("w06_centered_box_mean", f"""WITH {PX}, c AS (SELECT k, least(k * 6 + 3, 49) AS at FROM unnest(range(9)) AS t(k))
 SELECT img, cy.k AS gy, cx.k AS gx, round(avg(g), 6) AS mean FROM px JOIN c cy ON y BETWEEN cy.at - 4 AND cy.at + 3 JOIN c cx ON x BETWEEN cx.at - 4 AND cx.at + 3 GROUP BY ALL""")
 def centered_box_mean(spark, d):
-    return N.centered_mean(B.pixels(spark, d), col("g"), 8, 6, 50).select("img", "gy", "gx", F.round("mean", 6).alias("mean"))
+    return N.centered_mean(B.pixels(spark, d), col("g"), 8, 6, 50, 50).select("img", "gy", "gx", F.round("mean", 6).alias("mean"))
 
 
 @query("w08_summed_area", f"WITH {PX} SELECT img, y, x, sum(r) OVER (PARTITION BY img, x ORDER BY y)::BIGINT AS area_sum FROM (SELECT *, sum(g) OVER (PARTITION BY img, y ORDER BY x) AS r FROM px)")
@@ -102,8 +102,7 @@ dil AS (SELECT DISTINCT p.img, p.y, p.x FROM px p JOIN f ON p.img = f.img AND {P
 SELECT p.img, p.y, p.x FROM px p JOIN dil USING (img, y, x) WHERE NOT EXISTS (SELECT 1 FROM px q WHERE q.img = p.img AND {PLUSJ.format(a='p', b='q')}
  AND NOT EXISTS (SELECT 1 FROM dil e WHERE e.img = q.img AND e.y = q.y AND e.x = q.x))""")
 def binary_closing(spark, d):
-    px = B.fiber_pixels(spark, d)
-    return N.closed(px.where("fiber").select("img", "y", "x"), 50, 50).join(px.select("img", "y", "x"), ["img", "y", "x"])
+    return N.closed(B.fiber_pixels(spark, d), "fiber")
 
 
 @query("m04_top_hat", f"""WITH {PX}, er AS (SELECT a.img, a.y, a.x, min(b.g) AS g FROM px a JOIN px b ON a.img = b.img AND {PLUSJ.format(a='a', b='b')} GROUP BY ALL),

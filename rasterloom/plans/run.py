@@ -34,13 +34,9 @@ def analyze(px: DataFrame, *, height: int, width: int, window: int = 10, stride:
 
 
 def density_tile(px: DataFrame, *, height: int, width: int, window: int, step: int) -> DataFrame:
-    """img, gy, gx and the pixel-mode channels of a density map: coverage, order, angle; null where no fiber is."""
-    lo, hi = window // 2, window - 1 - window // 2
+    """img, gy, gx and the pixel-mode channels of a density map: coverage, order, angle; null where no fiber is, no row where no pixel is."""
     turn = F.radians("theta") * 2
-    sums = N.box_sums(px, {"n": F.col("fiber").cast("long"), "area": F.lit(1), "c": F.coalesce(F.cos(turn), F.lit(0.0)), "s": F.coalesce(F.sin(turn), F.lit(0.0)),
-                           "k": F.col("theta").isNotNull().cast("long")}, lo, hi)
-    at = lambda g, side: F.least(g * step + step // 2, F.lit(side - 1))
-    cells = sums.withColumns({"gy": F.floor(F.col("y") / step), "gx": F.floor(F.col("x") / step)})
-    cells = cells.where((F.col("y") == at(F.col("gy"), height)) & (F.col("x") == at(F.col("gx"), width)))
+    cells = W.centered_sums(px, {"n": F.col("fiber").cast("long"), "area": F.lit(1), "c": F.coalesce(F.cos(turn), F.lit(0.0)), "s": F.coalesce(F.sin(turn), F.lit(0.0)),
+                                 "k": F.col("theta").isNotNull().cast("long")}, window=window, step=step, height=height, width=width)
     angle, order = W.axial_mean(F.col("k"), F.col("c"), F.col("s"))
     return cells.select("img", "gy", "gx", F.when(F.col("n") > 0, F.col("n") / F.col("area")).alias("coverage"), order.alias("order_parameter"), angle.alias("angle"))
