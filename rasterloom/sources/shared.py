@@ -8,10 +8,23 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where a session has none (on one machine), in a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where a session on one machine has none, a temporary folder is made and set for it."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/rasterloom/{name}-{uuid.uuid4().hex}"
+    return top
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, in a folder of this application that goes when its driver ends."""
+    own = f"{shared_dir(spark)}/rasterloom-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
