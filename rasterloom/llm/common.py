@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.shared import fresh_path, shared_dir  # noqa: F401
 
 #: ASCII space and the controls from tab to carriage return separate words.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -33,20 +33,6 @@ def blank_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8").split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session has none (tests on one machine), a new temporary
-    folder is set for it.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given
-    own = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage.
 
@@ -54,7 +40,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     equal name must be renamed before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +49,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has been written, with a hint to broadcast it if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     """Reduce partitions of this session; set it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -49,8 +49,8 @@ def time_of(share: Column, segments: Column) -> Column:
 def sized(docs: DataFrame) -> DataFrame:
     """The documents with their number of words as ``size`` and an even, repeatable draw as ``draw``."""
     return (docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.BLANK_WORD)), F.lit(0)).cast("long"))
-            .withColumn("draw", F.xxhash64(F.lit("mix"), "doc_id", "size"))
-            .withColumn("key", F.xxhash64("source", "text")))
+            .withColumn("key", F.xxhash64("source", "text"))
+            .withColumn("draw", F.xxhash64(F.lit("mix"), "doc_id", "key")))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], most_times: float) -> DataFrame:
@@ -82,9 +82,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], most_times: float) -> Da
 
 def with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """The documents joined to their sources; null is a source like others."""
-    right = sources.withColumnRenamed("source", "_source")
-    if sources.count() <= MOST_BROADCAST:
-        right = F.broadcast(right)
+    right = common.small(sources, MOST_BROADCAST).withColumnRenamed("source", "_source")
     return docs.join(right, docs["source"].eqNullSafe(right["_source"])).drop("_source")
 
 
@@ -103,7 +101,7 @@ def before_in_source(docs: DataFrame) -> DataFrame:
         Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     highs = highs.select("rank", "hi", sum_before("cell", ["rank"], ["hi"]).alias("hi_before"))
     lows = lows.select("rank", "hi", "lo", sum_before("cell", ["rank", "hi"], ["lo"]).alias("lo_before"))
-    inside = sum_before("size", ["rank", "hi", "lo"], ["draw", "doc_id", "size"])
+    inside = sum_before("size", ["rank", "hi", "lo"], ["draw", "doc_id", "size", "key"])
     return (cells.withColumn("inside", inside)
             .join(lows.join(highs, ["rank", "hi"]), ["rank", "hi", "lo"])
             .withColumn("before", F.col("hi_before") + F.col("lo_before") + F.col("inside"))
@@ -145,16 +143,17 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """All columns of the documents, one row per taken copy, in training order.
 
     Texts meet their positions by doc_id and a hash of source and text. Of rows
-    equal in these, which are the same, one gets the copies of all; it is
-    picked before texts are shuffled. Then the copies are range-sorted by
-    position.
+    equal in these one gets the copies of all, the first by a hash of the other
+    columns; it is picked before texts are shuffled. Then the copies are
+    range-sorted by position: partition follows partition, in the files too.
     """
     first = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")
     placed = (positions(docs, **how).select(first, F.col("key").alias("_key"), "positions").groupBy("_id", "_key")
               .agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("_positions")))
     # The documents' own columns go along under other names, as theirs may be any.
     back = {f"_o{i}": c for i, c in enumerate(docs.columns)}
-    one = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    others = [F.col(o) for o, c in back.items() if c not in ("doc_id", "source", "text")]
+    one = Window.partitionBy("_id", "_key").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0))
     full = (docs.select(first, F.xxhash64("source", "text").alias("_key"), *(F.col(c).alias(o) for o, c in back.items()))
             .withColumn("_nth", F.row_number().over(one)).where("_nth = 1"))
     return (full.join(placed, ["_id", "_key"]).select("_id", *back, F.explode("_positions").alias("_position"))

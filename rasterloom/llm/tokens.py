@@ -9,7 +9,9 @@ The file format is a Parquet table with one row per block of whole documents
 (about ``block_ids`` ids). Beside the packed words a row holds what lets a
 reader decode it alone and without a loop over ids: the document ids, the ids
 per document, the number of ids, and the number of ids of its shard before it.
-Shards are ranges of doc_id, in ascending order, as the files are.
+Shards are ranges of doc_id, or, for documents that are stored in the order in
+which they are to be read, runs of rows of their files. Their names sort as they
+follow each other.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +34,13 @@ from . import common
 COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240])
 WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 
+#: Shards up to which their starts are broadcast, some 200 bytes each.
+MOST_BROADCAST = 100_000
+
 #: Selectors 1 to 15 from the fewest ids a word to the most.
 BY_COUNT = np.array(sorted(range(1, 16), key=lambda s: COUNT[s]), "u1")
 
-BLOCK_SCHEMA = ("shard int, block int, shard_ids long, n_ids long, "
+BLOCK_SCHEMA = ("shard string, block int, shard_ids long, n_ids long, "
                 "doc_ids array<long>, doc_lens array<int>, words binary")
 
 
@@ -145,18 +151,18 @@ class WordEncoder:
     ids are its words' ids in a row. ASCII letters are lower-cased first, as the
     normaliser does, and common punctuation is parted from a letter before it,
     where the pre-tokenizer parts them too. Texts with what could be a special
-    token or the separator are encoded whole. At ``max_words`` the later half of
-    the words is forgotten.
+    token or the separator are encoded whole. At ``max_words`` words or ``max_chars``
+    characters of them the later half of the words is forgotten, and all if that is not enough.
     """
 
     SEPARATOR = "\x01"
     PARTED = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,!?;:%$#&*|()])")
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 600_000, max_chars: int = 16_000_000):
         # Spark deals out the cores; the library's own threads would each hold memory of their own.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.tokenizer, self.max_words, self.max_chars = Tokenizer.from_file(path), max_words, max_chars
         mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
         assert len(mark) == 1, "the separator must be one token"
         self.mark = mark[0]
@@ -164,17 +170,21 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.index = _Numbered({"": 0})
-        self.flat, self.off = array("I"), array("i", [0, 0])
+        self.flat, self.off, self.chars = array("I"), array("i", [0, 0]), 0
 
     def shrink(self) -> None:
         """Forgets the later half of the words: those that came first are the frequent ones."""
-        kept = self.max_words // 2
+        kept = len(self.index) // 2
         self.index = _Numbered(islice(self.index.items(), kept))
         del self.off[kept + 1:], self.flat[self.off[-1]:]
+        self.chars = sum(map(len, self.index))
+        if self.chars > self.max_chars // 2:
+            self.clear()
 
     def learn(self) -> None:
         """Encodes the words that the index has numbered since the last call, in their order."""
         words, self.index.new = self.index.new, []
+        self.chars += sum(map(len, words))
         parts = [words[i:i + 2000] for i in range(0, len(words), 2000)]
         texts = [f" {self.SEPARATOR} ".join(part) for part in parts]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
@@ -187,7 +197,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.index) > self.max_words:
+        if len(self.index) > self.max_words or self.chars > self.max_chars:
             self.shrink()
         split: list[list[str] | None] = []
         for text in texts:
@@ -236,32 +246,51 @@ def _portions(texts: list[str | None], most: int = 2_000_000):
         yield part
 
 
-def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_ids: int = 65_536) -> DataFrame:
+def is_stored(docs: DataFrame) -> bool:
+    """Whether the documents come straight from files, whose names and rows say how they follow each other."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+        return True
+    except AnalysisException:
+        return False
+
+
+def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_ids: int = 65_536, stored: bool = False) -> DataFrame:
     """Blocks of the file format for ``docs(doc_id, text)``, shard by shard in doc_id order.
 
     Only the texts are shuffled, once, by ranges of doc_id; rows of equal
-    doc_id stand in text order. A null text is encoded as an empty one and
-    gives its end id alone; a null doc_id comes first. Other columns are
+    doc_id stand in text order. With ``stored`` nothing is shuffled: the
+    documents keep the order in which their files hold them, files by the
+    number of their part, then by name.
+
+    A null text is encoded as an empty one and gives its end id alone; a null
+    doc_id comes first, or with ``stored`` where it stands. Other columns are
     ignored. No documents give no blocks.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    ranged = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-              .withColumn("tie", F.xxhash64("text"))
-              .repartitionByRange(common.partitions(spark), "doc_id", "tie")
-              .sortWithinPartitions("doc_id", "tie", "text")
-              .select("doc_id", "text", F.spark_partition_id().alias("shard")))
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    number = lambda c: F.lpad(c.cast("string"), 10, "0")
+    if stored:
+        name, row = (docs.metadataColumn("_metadata")[c] for c in ("file_name", "row_index"))
+        part = F.coalesce(F.regexp_extract(name, r"part-(\d{1,10})", 1), F.lit(""))
+        ranged = docs.select(doc_id, text, F.concat(number(part), F.lit("-"), name, F.lit("-")).alias("shard"), row.alias("row"))
+    else:
+        ranged = (docs.select(doc_id, text).withColumn("tie", F.xxhash64("text"))
+                  .repartitionByRange(common.partitions(spark), "doc_id", "tie")
+                  .sortWithinPartitions("doc_id", "tie", "text")
+                  .select("doc_id", "text", number(F.spark_partition_id()).alias("shard"), F.lit(None).cast("long").alias("row")))
 
     def run(batches):
         encoder = _encoder(tokenizer_path)
-        shard, block, before = 0, 0, 0
+        file, last, shard, block, before = None, None, "", 0, 0
         keys, lens, parts, held = [], [], [], 0
 
         def flush():
             nonlocal block, before, keys, lens, parts, held
             words = simple8b_encode(np.concatenate(parts))
             row = pa.RecordBatch.from_arrays([
-                pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
+                pa.array([shard], pa.string()), pa.array([block], pa.int32()), pa.array([before], pa.int64()),
                 pa.array([held], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
                 pa.array([lens], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary())],
                 ["shard", "block", "shard_ids", "n_ids", "doc_ids", "doc_lens", "words"])
@@ -270,13 +299,15 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_i
             return row
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            doc_ids = batch.column(0).to_pylist()
-            shard = batch.column(2)[0].as_py()
-            texts = batch.column(1).to_pylist()
+            doc_ids, texts, files, rows = (c.to_pylist() for c in batch.columns)
             for portion in _portions(texts):
                 for i, ids in zip(portion, encoder.encode([texts[i] or "" for i in portion])):
+                    if files[i] != file or (rows[i] is not None and rows[i] != last + 1):  # a new run of rows
+                        if keys:
+                            yield flush()
+                        file, block, before = files[i], 0, 0
+                        shard = file if rows[i] is None else f"{file}{rows[i]:015d}"
+                    last = rows[i]
                     parts.append(np.append(ids, end_id).astype("u8"))
                     keys.append(doc_ids[i])
                     lens.append(len(ids) + 1)
@@ -292,13 +323,14 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 2, block_i
 def with_starts(blocks: DataFrame) -> DataFrame:
     """Blocks with ``first``: the ids of all shards and blocks before.
 
-    One row per shard is summed up in order in one task and broadcast; a shard
-    is a whole reduce partition, so that a petabyte has some 10**6 of them.
+    One row per shard is summed up in order in one task; a shard is a whole
+    reduce partition or run of a file, so that a petabyte has some 10**6 of them.
+    They are broadcast if they are few.
     """
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_first"))
-    return (blocks.join(F.broadcast(starts), "shard")
+    starts = common.written(totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_first")), "starts")
+    return (blocks.join(common.small(starts, MOST_BROADCAST), "shard")
             .withColumn("first", F.col("shard_first") + F.col("shard_ids")).drop("shard_first"))
 
 
@@ -317,16 +349,16 @@ def digest(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - lens, pa.int64()),
                     pa.array(lens, pa.int64()), pa.array(crcs, pa.int64()),
-                    pa.array([row["shard"]] * k, pa.int32()), pa.array([row["block"]] * k, pa.int32())],
+                    pa.array([row["shard"]] * k, pa.string()), pa.array([row["block"]] * k, pa.int32())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard", "block"])
 
     return (blocks.select("shard", "block", "first", "n_ids", "doc_ids", "doc_lens", "words")
-            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, block int"))
+            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string, block int"))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, stored: bool = False) -> None:
     """Writes the documents' ids at path, in the file format."""
-    encode_blocks(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(path)
+    encode_blocks(docs, tokenizer_path, end_id, stored=stored).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -334,14 +366,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return with_starts(spark.read.schema(BLOCK_SCHEMA).parquet(path))
 
 
-def token_digest(docs: DataFrame) -> DataFrame:
+def token_digest(docs: DataFrame, stored: bool = False) -> DataFrame:
     """Encodes, writes, reads back and digests the documents with the contract's vocabulary."""
-    import uuid
-
     import public_tokenizers
     spark = docs.sparkSession
-    path = f"{common.shared_dir(spark)}/rasterloom/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    path = common.fresh_path(spark, "tokens")
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), stored=stored)
     return digest(read_tokens(spark, path))
 
 

@@ -4,7 +4,8 @@ import corpus_pipeline
 import pytest
 from brute import blank, contaminated, near_groups, targets, tokens
 
-from rasterloom.llm import common
+from rasterloom.llm import common, mixing
+from rasterloom.llm import tokens as tok
 
 QUERIES = {"op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"}
 
@@ -64,12 +65,35 @@ def test_mixing_stage(stages):
     assert out.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
 
 
-def test_token_stage(stages):
+def test_token_stage_keeps_training_order(stages):
+    """The token files have the copies in the order of their positions, each as the tokenizer encodes it."""
     import public_tokenizers
     from tokenizers import Tokenizer
+    mixed_from, _ = stages["source_mixing"]
     docs, out = stages["token_output"]
-    plain = tokens([(r.doc_id, r.text) for r in docs.collect()], Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
-    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in out.collect()) == sorted(plain)
+    texts = {}
+    for r in docs.collect():
+        assert texts.setdefault(r.doc_id, r.text) == r.text
+    found = sorted(out.collect(), key=lambda r: r.start)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = {r[0]: r[2:] for r in tokens(list(texts.items()), tokenizer)}
+    start = 0
+    for r in found:
+        assert (r.start, (r.n_tokens, r.ids_crc32)) == (start, plain[r.doc_id])
+        start += r.n_tokens
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in docs.collect())
+    positions = {r.doc_id: list(r.positions) for r in mixing.positions(mixed_from).collect()}
+    order = [positions[r.doc_id].pop(0) for r in found]
+    assert order == sorted(order) and [r.doc_id for r in found] != sorted(r.doc_id for r in found)
+
+
+def test_token_order_of_documents_in_memory(spark):
+    """Without files, documents go by doc_id, null first."""
+    rows = [(3, "c"), (None, "x"), (1, None), (1, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not tok.is_stored(docs)
+    out = corpus_pipeline.token_output(spark, docs, "").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [None, 1, 1, 3]
 
 
 def test_run_is_the_stages(stages, spark, data):
