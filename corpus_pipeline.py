@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the token files that are written."""
-    return tokens.token_digest(docs)
+    """The digest of the token files that are written, in the training order in which the mix is stored."""
+    return tokens.token_digest(docs, stored=tokens.is_stored(docs))
 
 
 STAGES = [
