@@ -340,9 +340,24 @@ def test_decontamination_without_benchmark(spark, docs, empty):
     assert decontam.decontaminate(docs, none, keep=True).count() == docs.count()
 
 
-def test_a_benchmark_beyond_the_bound_is_refused(spark):
-    with pytest.raises(ValueError, match="in parts"):
-        decontam.chunks(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"), 13, 10, most_words=3)
+def test_chunks_hold_one_automaton_of_known_size(spark):
+    """Chunks come one by one; each takes a bounded number of bytes a word, also where all words differ."""
+    import pickle
+    rng = random.Random(1)
+    for vocabulary in (50, 10 ** 6):
+        items = [(k, " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(200))) for k in range(50)]
+        assert len(pickle.dumps(decontam.Matcher(items, 13))) <= 80 * 10_000
+    got = list(decontam.chunks(spark.createDataFrame(items, "item_id long, text string"), 13, 1000))
+    assert len(got) == 10 and all(m.shortest == 13 for m in got)
+
+
+def test_coverage_is_taken_as_given(spark):
+    item = " ".join(f"i{k}" for k in range(13))
+    docs = spark.createDataFrame([(n, item + " x" * (n - 13)) for n in (104, 105, 3250, 3251)], "doc_id long, text string")
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for coverage, bound in ((0.125, 104), (0.004, 3250)):
+        found = {r.doc_id: r.contaminated for r in decontam.decontaminate(docs, table, coverage=coverage).collect()}
+        assert found == {n: n <= bound for n in found}
 
 
 def test_cut_words():
