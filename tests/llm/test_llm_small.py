@@ -413,45 +413,98 @@ def test_embedding_recall(cosine):
 
 # --- 9: chats -----------------------------------------------------------------------------------------------------
 
-CHAT = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "On Monday, Bob wrote:\n> Hello there\n> how  are you\nFine, thanks"), (1, 2, "user", "> Fine, thanks\n>> How are you?\nGreat"),
-        (2, 0, "user", "> > hello there\n> Great\nme too"), (2, 1, "assistant", None), (2, 2, None, ">nothing known\n"), (3, 0, "user", "Great"), (3, 0, "user", "Great")]
+CHAT = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "On Monday, Bob wrote:\n> Hello there\n> how  are you\nFine, thanks. The long report about turbines\nis ready to be read. Yes."),
+        (1, 2, "user", "> Fine, thanks\n>> How are you?\nGreat"), (2, 0, "user", "> > hello there\n> The LONG report about\n> turbines is ready\n> to be read.\n> Great\nme too"), (2, 1, "assistant", None),
+        (2, 2, None, ">nothing known\n"), (2, 3, "user", "> yes\nNo link\x01 at all"), (3, 0, "user", "Great"), (3, 0, "user", "Great"), (4, 0, "user", "> Fine, thanks.\n> The long report about turbines is\nWhich part? All of it! 好的。再见"),
+        (4, 1, "assistant", "> all of it\n>> the long report about turbines is ready to be read. Yes\nSo be it.\n\nEnd"), (5, 0, "user", ">> So be it. End.\nthe circle is closed from here\n> And it ends where it began."),
+        (6, 0, "user", "> the circle is closed from here\nAnd it ends where it began.")]
 
 
-def test_chat_equals_oracle(spark):
+def quoting(data):
+    """The given conversations, where every fourth message also quotes part of another one, wrapped anew."""
+    rng = random.Random(12)
+    import duckdb
+    rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{data}/conversations.parquet' ORDER BY 1, 2").fetchall()
+    made = []
+    for k, (conv, turn, role, text) in enumerate(rows):
+        if k % 4 == 3:
+            other = rows[rng.randrange(max(0, k - 3), k) if k % 8 == 3 else rng.randrange(len(rows))][3] or ""
+            sentences = re.split(r"(?<=[.!?])\s+", other)
+            at = rng.randrange(len(sentences))
+            quoted = " ".join(sentences[at:at + 3]).split()
+            width = rng.randrange(2, 9)
+            text = "\n".join("> " + " ".join(quoted[i:i + width]) for i in range(0, len(quoted), width)) + f"\n{text}"
+        made.append((conv, turn, role, text))
+    return made
+
+
+def chat_oracles(rows_of, spark):
     import duckdb
     import pandas as pd
     from oracle import oracle_rows, rows
-    conversations = pd.DataFrame(CHAT, columns=["conv_id", "turn", "role", "text"])
     con = duckdb.connect()
-    con.register("conversations", conversations)
-    m = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
-    linked_ = chat.link_quotations(clashing(m)).withColumn("text_sha256", F.sha2("text", 256)).drop("text")
-    assert rows(linked_) == oracle_rows(con, chat.ORACLE_SQL)
+    con.register("conversations", pd.DataFrame(rows_of, columns=["conv_id", "turn", "role", "text"]))
+    m = spark.createDataFrame(rows_of, "conv_id long, turn long, role string, text string")
+    assert rows(chat.link_quotations(clashing(m))) == oracle_rows(con, chat.LINKED_SQL)
+    found = rows(chat.conversations(clashing(m)))
+    assert found == oracle_rows(con, chat.ORACLE_SQL)
+    return m, found
+
+
+def test_chat_equals_oracle(spark):
+    m, _ = chat_oracles(CHAT, spark)
     by = {(r.conv_id, r.turn): r for r in chat.link_quotations(m).collect()}
-    assert (by[1, 1].parent_turn, by[1, 2].parent_turn, by[2, 0].parent_conv, by[2, 0].depth) == (0, 1, 1, 3) and by[2, 2].parent_turn is None
-    assert by[1, 1].text == "Fine, thanks" and by[2, 1].text == "" and by[1, 2].n_linked == 2
+    assert (by[1, 1].parent_turn, by[1, 2].parent_turn, by[2, 0].parent_conv, by[2, 0].parent_turn, by[2, 0].depth) == (0, 1, 1, 1, 2)
+    assert by[2, 2].parent_turn is None and by[2, 3].parent_turn is None and by[2, 3].n_quoted == 1
+    assert by[1, 1].text.startswith("Fine, thanks.") and by[2, 1].text == "" and by[1, 2].n_linked == 1 and by[4, 1].parent_conv == 4
+    assert by[5, 0].parent_conv is None and (by[6, 0].parent_conv, by[6, 0].conversation) == (5, 5)  # a circle ends at its first message
     made = chat.conversations(m).collect()
-    assert sum(r.n_messages for r in made) == 6 and any("<|user|>\nHello there" in r.chat for r in made)
+    assert sum(r.n_messages for r in made) == sum(r.text != "" for r in chat.link_quotations(m).collect()) and any("<|user|>\nHello there" in r.chat for r in made)
     assert chat.link_quotations(m.where("false")).count() == 0 and chat.conversations(m.where("false")).count() == 0
 
 
+def test_chat_of_given_messages_with_quotes(spark, data):
+    """Over the given table with quotes put in: equal to SQL, and most quotes find a message."""
+    m, _ = chat_oracles(quoting(data), spark)
+    counts = chat.link_quotations(m).agg(F.sum("n_quoted"), F.sum("n_linked")).first()
+    assert counts[0] > 40 and counts[1] > 0.6 * counts[0]
+
+
+def test_conversations_do_not_depend_on_partitions(spark):
+    """Parts of a long conversation are the same whatever the partitions, and hold its messages in order."""
+    rows = [(1, k, "user", f"message {k}") for k in range(150)] + [(2, 0, None, "alone"), (None, None, "user", "no number")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key, found = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    for n in (1, 4, 17):
+        spark.conf.set(key, n)
+        found.append(sorted(map(tuple, chat.conversations(m).collect()), key=repr))
+    spark.conf.set(key, before)
+    assert found[0] == found[1] == found[2] and [r[2] for r in found[0] if r[0] == 1] == [64, 64, 22]
+    long = [r for r in found[0] if r[0] == 1]
+    assert "\n".join(r[-1] for r in sorted(long, key=lambda r: r[1])) == "\n".join(f"<|user|>\nmessage {k}\n<|end|>" for k in range(150))
+    assert ("<|unknown|>\nalone\n<|end|>" in {r[-1] for r in found[0]}) and any(r[0] is None for r in found[0])
+
+
 def test_chat_nulls_and_long_chains(spark):
     rows = [(None, None, None, "first line"), (None, 1, "user", "> first line\nnext"), (5, 0, "user", "line 0")] + [(5, k, "user", f"> line {k - 1}\nline {k}") for k in range(1, 40)]
+    rows.append((6, 0, "user", "> line 3\n" * 20_000 + "a very long message. " * 20_000))
     by = {(r.conv_id, r.turn): r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert by[None, 1].depth == 1 and by[None, 1].conversation is None and by[5, 39].depth == 39 and by[5, 39].root_turn == 0
+    assert by[None, 1].depth == 1 and by[None, 1].conversation is None and by[5, 39].depth == 39 and by[5, 39].root_turn == 0 and by[6, 0].n_quoted == 1
 
 
 def test_chat_links_across_conversations(spark):
-    """Originals under a larger conv_id are found, circles end, and a frequent line alone links nothing across conversations."""
+    """Originals under a larger conv_id are found, circles end, and a frequent or short sentence alone links nothing across conversations."""
     rows = [(1, 0, "user", "> the only original\nsome answer"), (9, 0, "user", "the only original"),
-            (2, 0, "user", "> beta line\nalpha line"), (7, 0, "user", "> alpha line\nbeta line"), (8, 0, "user", "> beta line\nat the end")]
-    rows += [(100 + k, 0, "user", "Thanks\nok" if k == 5 else f"Thanks\nmessage {k}\nok") for k in range(12)]
-    rows += [(200, 0, "user", "> Thanks\nwell"), (201, 0, "user", "> Thanks\n> ok\nwell"), (202, 0, "user", "ok"), (202, 1, "user", "> ok\nwell")]
+            (2, 0, "user", "> the beta line of text\nthe alpha line of text"), (7, 0, "user", "> the alpha line of text\nthe beta line of text"), (8, 0, "user", "> the beta line of text\nat the end")]
+    rows += [(100 + k, 0, "user", "Thanks for all of it\n\nok then" if k == 5 else f"Thanks for all of it\n\nmessage {k}\n\nok then") for k in range(12)]
+    rows += [(200, 0, "user", "> Thanks for all of it\nwell"), (201, 0, "user", "> Thanks for all of it.\n> ok then\nwell"), (202, 0, "user", "ok then"), (202, 1, "user", "> ok then\nwell")]
+    rows += [(300, 0, "user", "Yes"), (301, 0, "user", "> yes\nwell")]
     by = {(r.conv_id, r.turn): r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (by[1, 0].parent_conv, by[1, 0].conversation, by[1, 0].depth) == (9, 9, 1)
     assert by[2, 0].parent_conv is None and (by[7, 0].parent_conv, by[7, 0].depth) == (2, 1) and (by[8, 0].conversation, by[8, 0].depth) == (2, 2)
     assert by[200, 0].parent_conv is None and by[200, 0].n_linked == 0
-    assert by[201, 0].parent_conv == 105 and by[201, 0].n_linked == 2 and by[202, 1].parent_conv == 202
+    assert by[201, 0].parent_conv == 105 and by[201, 0].n_linked == 2 and by[202, 1].parent_conv == 202 and by[301, 0].parent_conv is None
 
 
 @pytest.mark.parametrize("ring,tail", [(1, 3), (2, 0), (37, 50), (64, 1)])
