@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, NOTICES
+from .licenses import BASE, NOTICES, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,22 +25,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-_LISTED = ", ".join(f"({i}, '{text}', '{label}', {str(i < len(BASE)).lower()})" for i, (text, label) in enumerate((*BASE, *NOTICES)))
+_LISTED = ", ".join(f"({i}, '{text}', '{label}', {str(i < len(BASE)).lower()})" for i, (text, label) in enumerate((*BASE, *NOTICES, *TEXTS)))
 LICENSES = f"""
-WITH t AS (SELECT * FROM (VALUES {_LISTED}) AS v(t, text, label, is_base)),
-tp AS (SELECT t, label, is_base, len(string_split(text, ' ')) - 1 AS pairs, k AS place, string_split(text, ' ')[k] AS w0, string_split(text, ' ')[k + 1] AS w1
-  FROM t, unnest(range(1, len(string_split(text, ' ')))) AS u(k)),
+WITH t AS (SELECT *, string_split(text, ' ') AS ws, CASE WHEN is_base THEN 2 ELSE 3 END AS g FROM (VALUES {_LISTED}) AS v(t, text, label, is_base)),
+tw AS (SELECT t, k, ws[k] AS word FROM t, unnest(range(1, len(ws) + 1)) AS u(k)),
+coded AS (SELECT t, word, chr(1 + (row_number() OVER (PARTITION BY t ORDER BY min(k)))::INT) AS code FROM tw GROUP BY t, word),
+whole AS (SELECT t, string_agg(code, '' ORDER BY k) AS codes FROM tw JOIN coded USING (t, word) GROUP BY t),
+tp AS (SELECT t, g, is_base, k AS place, ws[k] AS w0, ws[k + 1] AS w1, ws[k + 2] AS w2 FROM t, unnest(range(1, len(ws) - g + 2)) AS u(k)),
 d AS (SELECT doc_id, {plain('text')} AS w FROM documents),
-dp AS (SELECT doc_id, k, w[k] AS w0, w[k + 1] AS w1 FROM d, unnest(range(1, len(w))) AS u(k)),
-v AS (SELECT DISTINCT doc_id, t, label, is_base, pairs, place, k - place AS diagonal FROM dp JOIN tp USING (w0, w1)),
+dp AS (SELECT doc_id, k, w[k] AS w0, w[k + 1] AS w1, w[k + 2] AS w2 FROM d, unnest(range(1, len(w))) AS u(k)),
+v AS (SELECT doc_id, t, is_base, g, place, k, k - place AS diagonal, dp.w0, dp.w1, dp.w2 FROM dp JOIN tp ON dp.w0 = tp.w0 AND dp.w1 = tp.w1 AND (is_base OR dp.w2 = tp.w2)),
 diag AS (SELECT DISTINCT doc_id, t, is_base, diagonal FROM v),
 cut AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= CASE WHEN is_base THEN 0 ELSE 2 END THEN 0 ELSE 1 END AS new FROM diag),
 isl AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM cut),
-s AS (SELECT doc_id, t, label, is_base, span, min(diagonal) AS start, count(DISTINCT place) / any_value(pairs)::DOUBLE AS coverage
-  FROM v JOIN isl USING (doc_id, t, is_base, diagonal) GROUP BY ALL),
-ok AS (SELECT * FROM s WHERE coverage >= CASE WHEN is_base THEN 1 ELSE 0.9::DOUBLE END),
+s AS (SELECT doc_id, t, span, min(diagonal) AS start, count(DISTINCT place) AS n, min(k) AS lo, max(k + g - 1) AS hi FROM v JOIN isl USING (doc_id, t, is_base, diagonal) GROUP BY ALL),
+likely AS (SELECT s.*, t.label, t.is_base, codes, CASE WHEN is_base THEN 0 ELSE floor(len(ws) * 0.1::DOUBLE + 1e-9) END AS edits
+  FROM s JOIN t USING (t) JOIN whole USING (t) WHERE n >= len(ws) - g + 1 - g * CASE WHEN is_base THEN 0 ELSE floor(len(ws) * 0.1::DOUBLE + 1e-9) END),
+cover AS (SELECT DISTINCT likely.doc_id, likely.t, likely.span, k + j AS spot, code FROM likely JOIN isl USING (doc_id, t, span) JOIN v USING (doc_id, t, diagonal), unnest(range(v.g)) AS u(j),
+  coded WHERE coded.t = likely.t AND coded.word = [w0, w1, w2][j + 1]),
+read AS (SELECT doc_id, t, span, string_agg(coalesce(code, chr(1)), '' ORDER BY spot) AS seen
+  FROM (SELECT doc_id, t, span, unnest(range(lo, hi + 1)) AS spot FROM likely) LEFT JOIN cover USING (doc_id, t, span, spot) GROUP BY ALL),
+ok AS (SELECT *, levenshtein(seen, codes) AS distance, 1 - levenshtein(seen, codes) / length(codes)::DOUBLE AS score FROM likely JOIN read USING (doc_id, t, span)
+  WHERE levenshtein(seen, codes) <= edits),
 r AS (SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM ok GROUP BY doc_id)
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM ok GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)
 """

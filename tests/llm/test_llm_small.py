@@ -206,6 +206,44 @@ def test_licenses_equal_brute_force(spark):
     assert all({*r.base_labels.split(",")} - {""} <= {*r.labels.split(",")} and 0 <= r.score <= 1 for r in found)
 
 
+def test_spans_are_verified_in_order(spark):
+    """Stutters, shuffled words and words put in are counted; long texts are found, in one document several times; SQL says the same."""
+    import duckdb
+    import pandas as pd
+    from oracle import oracle_rows, rows
+
+    from rasterloom.llm import oracles
+    rng = random.Random(8)
+    texts = dict((label, text) for text, label in (*licenses.NOTICES, *licenses.TEXTS))
+    apache, mit, bsd = texts["apache-text"].split(), texts["mit-full"].split(), texts["bsd-3-full"].split()
+    # Every pair of words stands in the stutter, though the text is twice as long; the mixed one has the words in blocks of another order.
+    stutter = " ".join(w for a, b in zip(apache, apache[1:]) for w in (a, b))
+    mixed = " ".join(w for k in (2, 0, 3, 1) for w in mit[k * 41:(k + 1) * 41])
+    edited = lambda w, n: [rng.choice([[], ["new"], [x, "new"]]) if k in few else [x] for few in [set(rng.sample(range(len(w)), n))] for k, x in enumerate(w)]
+    flat = lambda parts: " ".join(x for part in parts for x in part)
+    made = [stutter, mixed, " ".join(apache), " ".join(mit).title(), "some words " + " ".join(bsd) + " and more", flat(edited(mit, 8)), flat(edited(mit, 40)), flat(edited(bsd, 12)),
+            " ".join(mit + mit), " ".join(mit[:100]), "x " * 300 + " ".join(bsd) + " y " * 9 + " ".join(mit), " ".join(rng.choice(mit) for _ in range(2000)), "permission is " * 500]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    has = lambda k, label: label in found[k].labels.split(",")
+    assert not has(0, "apache-text") and not has(1, "mit-full") and has(2, "apache-text") and found[2].score == 1
+    assert has(3, "mit-full") and has(4, "bsd-3-full") and has(5, "mit-full") and not has(6, "mit-full") and has(7, "bsd-3-full") and has(8, "mit-full") and not has(9, "mit-full")
+    assert has(10, "mit-full") and has(10, "bsd-3-full") and found[11].labels == found[12].labels == ""
+    assert sorted(r.start for r in licenses.spans(spark.createDataFrame([(0, made[8])], "doc_id long, text string")).where("label = 'mit-full'").collect()) == [0, len(mit)]
+    documents = pd.DataFrame([(k, t) for k, t in enumerate(made + [t for t in LICENSED if t is not None])], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert rows(licenses.scan_licenses(spark.createDataFrame(documents))) == oracle_rows(con, oracles.LICENSES)
+
+
+def test_custom_templates_and_letters(spark):
+    """Only A-Z are lower-cased, quotes in a label do no harm, and a template of too many words is refused."""
+    docs = spark.createDataFrame([(1, "the \u212Aey LICENSE"), (2, "The KEY license É"), (3, "the key license é")], "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan_licenses(docs, base=(("key license", "it's"),), notices=(("the key license é", "acute"),)).collect()}
+    assert found == {1: "", 2: "it's", 3: "acute,it's"}
+    with pytest.raises(Exception, match="too many different words"):
+        licenses.scan_licenses(docs, notices=((" ".join(f"w{k}" for k in range(300)), "long"),)).collect()
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.scan_licenses(spark.createDataFrame([(1, "mit license")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
