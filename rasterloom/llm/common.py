@@ -54,6 +54,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def named(back: dict[str, str]) -> list:
+    """The columns that go along under other names, under their own."""
+    return [F.col(o).alias(c) for o, c in back.items()]
+
+
 def partitions(spark: SparkSession) -> int:
     """Reduce partitions of this session; set it in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

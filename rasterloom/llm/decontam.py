@@ -338,7 +338,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     shared = spark.sparkContext.broadcast(matcher)
     if not keep:
         return given.mapInPandas(digesting(shared), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    kept = given.mapInArrow(cleaning(shared), given.drop("_spans", "_items").schema).withColumnsRenamed(back).select(*docs.columns)
+    kept = given.mapInArrow(cleaning(shared), given.drop("_spans", "_items").schema).select("text", *common.named(back)).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -39,7 +39,7 @@ SMOOTHING, AGREE, DISAGREE = 5.0, 8.0, 1.0
 #: For bytes.translate: ASCII letters lower-cased, other ASCII to a space, the rest as it is.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: What identify() adds.
-RESULT = ("language", "confidence", "text_language", "kept")
+RESULT = ("language", "confidence", "text_language", "declared", "kept")
 #: Markup that declares a language (fixed value).
 MARKUP = r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
 
@@ -95,7 +95,7 @@ def fit(labelled: DataFrame, bound: int = LABELLED) -> tuple[list[str], np.ndarr
             for k, part in frame.groupby("k"):
                 texts = part["text"].tolist()
                 place, _ = trigrams(texts)
-                letters = np.frombuffer(" ".join(texts).encode("utf-8").translate(LETTERS), "u1")
+                letters = np.frombuffer("".join(f"{t} " for t in texts).encode("utf-8").translate(LETTERS), "u1")
                 n = np.concatenate([np.bincount(place[place >= 0], minlength=1 << BITS), np.bincount(letters, minlength=256)])
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"k": k, "place": at, "n": n[at]})
@@ -136,13 +136,13 @@ def score(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame
     return docs.select("text", *others).mapInPandas(run, schema)
 
 
-def identify(docs: DataFrame, declared: Column, address: Column, label: Column, *, languages: list[str] | None = None,
-             least: float = 0.5) -> DataFrame:
-    """language, confidence, text_language and kept of each row, beside the columns of docs without text.
+def identify(docs: DataFrame, declared: Column, address: Column, label: Column, *, text: str | Column = "text", drop: str = "text",
+             languages: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """language, confidence, text_language, declared and kept of each row, beside the columns of docs without ``drop``.
 
-    ``docs`` has text; ``declared`` is a language code, where none is given the
+    ``text`` is judged; ``declared`` is a language code, where none is given the
     text's markup is asked; ``address`` is a host or URL; ``label`` is what the
-    text model is fitted on. A row is kept if it has letters, its language is
+    text model is fitted on, null for rows that are judged only. A row is kept if it has letters, its language is
     known and wanted (``languages``, default any) and its posterior is at least
     ``least``.
 
@@ -151,20 +151,21 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     unknown declarations and addresses are no evidence beyond all documents'
     own shares. Without a labelled row no language is known and all rows are
     und. Rows are judged one by one, repeated or not. Columns of
-    docs that are named as these four are replaced.
+    docs that are named as these five are replaced.
     """
     common.small_batches(docs.sparkSession)
     bare = F.regexp_replace(F.lower(F.coalesce(address, F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
     host = F.regexp_extract(bare, r"^(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)
-    known, model = fit(docs.select("text", language_code(label).alias("label")))
+    text = (F.col(text) if isinstance(text, str) else text).cast("string")
+    known, model = fit(docs.select(text.alias("text"), language_code(label).alias("label")))
     # The documents' own columns go along under other names, as theirs may be any.
-    back = {f"_o{i}": c for i, c in enumerate(c for c in docs.columns if c not in ("text", *RESULT))}
-    others = list(back)
-    said = F.nullif(F.coalesce(language_code(declared), language_code(F.nullif(F.regexp_extract("text", MARKUP, 1), F.lit("")))), F.lit(UNKNOWN))
-    given = docs.select("text", *(F.col(c).alias(o) for o, c in back.items()), said.alias("_declared"), host.alias("_host"))
+    back = {f"_o{i}": c for i, c in enumerate(c for c in docs.columns if c not in (drop, *RESULT))}
+    others = [*back, "_declared"]
+    said = F.nullif(F.coalesce(language_code(declared), declared_by(text)), F.lit(UNKNOWN))
+    given = docs.select(text.alias("text"), *(F.col(f"`{c}`").alias(o) for o, c in back.items()), said.alias("_declared"), host.alias("_host"))
     if not known:
-        return given.select(*others, F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"),
-                            F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("kept")).withColumnsRenamed(back)
+        return given.select(*common.named(back), F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"),
+                            F.lit(UNKNOWN).alias("text_language"), F.col("_declared").alias("declared"), F.lit(False).alias("kept"))
     scored = common.written(score(given, known, model), "language-scores")
     # All that is said of each language is an array, so that expressions do not grow with the number of languages.
     n, names = len(known), F.array(*map(F.lit, known))
@@ -214,26 +215,39 @@ def identify(docs: DataFrame, declared: Column, address: Column, label: Column,
     best = 1 / F.aggregate("_sums", F.lit(0.0), lambda total, x: total + F.exp(x - F.array_max("_sums")))
     judged = joined.select(*others, "letters", "text_language", likeliest("_sums").alias("_name"), best.alias("_best"))
     wanted = (F.col("_name") != UNKNOWN) & (F.col("_name").isin(languages) if languages is not None else F.lit(True))
-    return judged.select(*others, F.when(lettered, F.col("_name")).otherwise(F.lit(UNKNOWN)).alias("language"),
+    return judged.select(*common.named(back), F.when(lettered, F.col("_name")).otherwise(F.lit(UNKNOWN)).alias("language"),
                          F.when(lettered, F.col("_best")).otherwise(F.lit(0.0)).alias("confidence"), "text_language",
-                         (lettered & wanted & (F.col("_best") >= least)).alias("kept")).withColumnsRenamed(back)
+                         F.col("_declared").alias("declared"), (lettered & wanted & (F.col("_best") >= least)).alias("kept"))
+
+
+def declared_by(markup: Column) -> Column:
+    """The language code that a text's markup declares; null for none."""
+    return language_code(F.nullif(F.regexp_extract(markup, MARKUP, 1), F.lit("")))
+
+
+def without_markup(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " "), r"<[^>]*>", " ")
 
 
 def identify_documents(docs: DataFrame, **how) -> DataFrame:
-    """Of ``docs(text, lang, source)``: lang is what the text declares and is labelled with, source its address."""
-    return identify(docs, F.col("lang"), F.col("source"), F.col("lang"), **how)
+    """Of ``docs(text, lang, source)``: lang is what the model is fitted on and no evidence beyond that, source the address; only markup declares."""
+    return identify(docs, F.lit(None).cast("string"), F.col("source"), F.col("lang"), **how)
 
 
 def identify_pages(pages: DataFrame, **how) -> DataFrame:
-    """Of ``pages(url, html)``: the language is declared by the markup, the address is the URL; tags are not text."""
-    markup = F.nullif(F.regexp_extract("html", MARKUP, 1), F.lit(""))
-    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " "), r"<[^>]*>", " ")
-    pages = pages.select(*[c for c in pages.columns if c != "html"], markup.alias("markup"), plain.alias("text"))
-    return identify(pages, F.col("markup"), F.col("url"), F.col("markup"), **how)
+    """Of ``pages(url, html)``, without html: the language is declared by the markup, on which the model is fitted too; the address is the URL; tags are not text.
+
+    Null and empty pages have no letters and are und.
+    """
+    markup = declared_by(F.col("html").cast("string"))
+    return identify(pages, markup, F.col("url").cast("string"), markup, text=without_markup(F.col("html").cast("string")), drop="html", **how)
 
 
 def keep_identified(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, without those whose language is rejected; these are told by doc_id and a hash of the text."""
+    """The documents, all columns, without those whose language is rejected; these are told by doc_id and a hash of the text.
+
+    Null and empty texts are rejected; of repeated rows all go or stay.
+    """
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_key"))
     out = common.written(identify_documents(keyed, **how).where("not kept").select(
         F.col("doc_id").alias("_id"), F.col("_key").alias("_key2")).distinct(), "language-rejects")
@@ -241,5 +255,15 @@ def keep_identified(docs: DataFrame, **how) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return identify_documents(docs).select("doc_id", "language", "confidence", "text_language", F.col("lang").alias("declared"), "kept")
+    """All documents and all pages, with one model and one set of address shares.
+
+    The model is fitted on the documents' lang, which is no evidence beyond that; pages have no
+    label, and bring declarations by markup and hosts, domains and suffixes.
+    """
+    docs, pages = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "pages")
+    null = F.lit(None)
+    html = F.col("html")
+    both = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("said"), F.col("source").alias("address"), "lang").unionByName(
+        pages.select(null.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), without_markup(html).alias("text"),
+                     declared_by(html).alias("said"), F.col("url").alias("address"), null.cast("string").alias("lang")))
+    return identify(both, F.col("said"), F.col("address"), F.col("lang")).select("doc_id", "page_id", "language", "confidence", "text_language", "declared", "kept")

@@ -158,7 +158,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
             .withColumn("_nth", F.row_number().over(one)).where("_nth = 1"))
     return (full.join(placed, ["_id", "_key"]).select("_id", *back, F.explode("_positions").alias("_position"))
             .repartitionByRange(common.partitions(docs.sparkSession), "_position", "_id")
-            .sortWithinPartitions("_position", "_id").select(*back).withColumnsRenamed(back))
+            .sortWithinPartitions("_position", "_id").select(*common.named(back)))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

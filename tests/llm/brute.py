@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -121,3 +122,64 @@ def near_groups(docs, threshold=0.8, width=5):
             if m >= threshold * (sum(own.values()) + sum(sets[j].values()) - m) - 1e-9:
                 groups.join(i, j)
     return {i: groups.find(i) for i in sets}
+
+
+def languages(rows, background, weight=0.35, smooth=5.0, agree=8.0, disagree=1.0, bits=15, prior_grams=0.1 * (1 << 15)):
+    """(language, confidence, text language) of each of ``rows`` (text, declared or None, host, label or None), by loops over all trigrams.
+
+    ``background`` makes the even share of each table place from the labelled texts' bytes.
+    """
+    def grams(text):
+        raw = b" " + re.sub(rb"[^a-z\x80-\xff]", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) + b"  "
+        return [(((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761) & 0xFFFFFFFF) >> (32 - bits) for k in range(len(raw) - 2) if raw[k + 1] != 32]
+
+    known = sorted({label for text, _, _, label in rows if label and text is not None})
+    labelled = [(t, label) for t, _, _, label in rows if label and t is not None]
+    seen = [0.0] * 256
+    for text, _ in labelled:
+        for b in f"{text} ".encode():
+            low = b + 32 if 65 <= b <= 90 else b
+            seen[low if 97 <= low <= 122 or low >= 128 else 32] += 1
+    even, names = background(seen), [*known, "und"]
+    counts = {n: Counter(g for t, label in labelled if label == n for g in grams(t)) for n in names}
+    whole = {n: prior_grams + sum(counts[n].values()) for n in names}
+    logs, shares = [], []
+    for text, *_ in rows:
+        own = [sum(math.log((even[g] * prior_grams + counts[n][g]) / whole[n]) for g in grams(text)) * weight for n in names]
+        logs.append(own)
+        top = [math.exp(x - max(own)) for x in own]
+        shares.append([x / sum(top) for x in top])
+    lettered = [bool(grams(text)) for text, *_ in rows]
+    said = [d if d in names else ("?" if d else "") for _, d, _, _ in rows]
+    parts = [h.split(".") for _, _, h, _ in rows]
+    domain, suffix = [".".join(p[-2:]) if len(p) > 1 else "" for p in parts], [p[-1] if len(p) > 1 else "" for p in parts]
+
+    def total(which):
+        return [sum(shares[i][k] for i in which) for k in range(len(names))]
+
+    def at(keys, key):
+        return [i for i in range(len(rows)) if lettered[i] and keys[i] == key]
+
+    def smoothed(which, above):
+        return [(x + smooth * a) / (len(which) + smooth) for x, a in zip(total(which), above)]
+
+    hosts = [h for _, _, h, _ in rows]
+    everything = [i for i in range(len(rows)) if lettered[i]]
+    prior = [(x + 1) / (len(everything) + len(names)) for x in total(everything)]
+    told = {"": [0.0] * len(names)}
+    for k, n in enumerate(names):
+        sums = {d: total(at(said, d))[k] + (agree if d == n else disagree) for d in [*names, "?"]}
+        for d, x in sums.items():
+            told.setdefault(d, []).append(math.log(x / sum(sums.values())))
+    found = []
+    for i in range(len(rows)):
+        if not lettered[i]:
+            found.append(("und", 0.0, "und"))
+            continue
+        above = smoothed(at(domain, domain[i]), smoothed(at(suffix, suffix[i]), prior))
+        here = [j for j in at(hosts, hosts[i]) if j != i]
+        share = smoothed(here, above)
+        sums = [x + t + math.log(max(p, 1e-9)) for x, t, p in zip(logs[i], told[said[i]], share)]
+        best = max(range(len(names)), key=sums.__getitem__)
+        found.append((names[best], 1 / sum(math.exp(x - sums[best]) for x in sums), names[max(range(len(names)), key=logs[i].__getitem__)]))
+    return found
