@@ -6,8 +6,9 @@ import numpy as np
 
 from . import common
 
-#: Odd multipliers of the byte and word polynomials modulo 2**64 (fixed values), and the latter's inverse.
+#: Odd multipliers of two byte polynomials and the word polynomial modulo 2**64 (fixed values), and the last one's inverse.
 BYTE_BASE = 0x9E3779B97F4A7C15
+OTHER_BASE = 0xC6A4A7935BD1E995
 WORD_BASE = 0xD6E8FEB86659FD93
 WORD_INVERSE = pow(WORD_BASE, -1, 1 << 64)
 
@@ -28,10 +29,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype="u8")[:n]
 
 
-def word_hashes(texts: list[str | None], table: bytes = common.BLANK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None], table: bytes = common.BLANK_BYTES, base: int = BYTE_BASE) -> tuple[np.ndarray, np.ndarray]:
     """The words' hashes, text by text, and where each text's begin (one more entry: the end).
 
-    ``table`` maps bytes for bytes.translate; spaces part words.
+    ``table`` maps bytes for bytes.translate; spaces part words. Another odd
+    ``base`` gives other hashes.
     """
     raw = [(t or "").encode("utf-8").translate(table) for t in texts]
     joined = np.frombuffer(b" ".join(raw) + b" ", "u1")
@@ -44,7 +46,7 @@ def word_hashes(texts: list[str | None], table: bytes = common.BLANK_BYTES) -> t
     lengths = ends - starts
     kept = joined[inside].astype("u8") + np.uint64(1)
     first = np.cumsum(lengths) - lengths
-    power = powers(BYTE_BASE, int(lengths.max()))
+    power = powers(base, int(lengths.max()))
     kept *= power[np.arange(len(kept)) - np.repeat(first, lengths)]
     hashes = mixed(np.add.reduceat(kept, first) + lengths.astype("u8"))
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))

@@ -1,20 +1,20 @@
 """Substring dedup by level-wise doubling.
 
-Windows of words that repeat across documents are sought at half the wanted
-length first. Only those that are repeated there are extended to twice that
-length, where the wanted length ends the doubling; documents without a repeated
-window leave at each level.
-
-At the first level a document's windows need not all be shuffled: of the short
-windows inside each wanted one, the one of smallest hash is enough, as equal
-wanted windows have the same. That is about one place in thirteen, none is
-lost, and every wanted window with a repeated smallest one is then compared
-in full.
+Windows of words that repeat across documents are sought at a short length
+first. Only those that are repeated there are extended to twice that length, and
+so on until the wanted length is reached or no candidate survives; documents
+without a repeated window leave at each level.
+
+A level's windows need not all be shuffled: of the short windows inside each
+wanted one, the one of smallest hash is enough, as equal wanted windows have the
+same. None is lost, and every wanted window that survives all levels is
+compared in full.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,107 +22,128 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .hashing import Windows, portions, sliding, starts_inside, word_hashes
+from .hashing import OTHER_BASE, Windows, portions, sliding, starts_inside, word_hashes
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+#: Words of a window below which no level goes.
+SHORTEST = 12
 
 
-def seed_length(window: int) -> int:
-    """The length that, doubled, reaches the window's."""
-    return -(-window // 2)
+def levels(window: int, shortest: int = SHORTEST) -> list[int]:
+    """The levels' lengths, each at most twice the one before: 13, 25, 50."""
+    found = [window]
+    while found[0] >= 2 * shortest:
+        found.insert(0, -(-found[0] // 2))
+    return found
 
 
-def _seeds(words: np.ndarray, bounds: np.ndarray, window: int):
-    """Hashes of the seeds at each place, which windows stay inside a text, and each window's smallest seed."""
-    short = seed_length(window)
-    seeds = Windows(words).of(short)
-    inside = starts_inside(bounds, window, len(words))
-    least = sliding(np.minimum, seeds, window - short + 1) if len(inside) else seeds[:0]
-    return seeds, inside, least
+def _least(words: np.ndarray, window: int, length: int) -> np.ndarray:
+    """The smallest hash of the windows of ``length`` words inside each wanted one."""
+    hashes = Windows(words).of(length)
+    return sliding(np.minimum, hashes, window - length + 1) if len(words) >= window else hashes[:0]
 
 
 def scan(docs: DataFrame, window: int) -> DataFrame:
-    """doc, doc_id, n_words, sha and seeds: the words' digest and the windows' smallest seeds of each document."""
+    """doc, tk, doc_id, n_words, sha and seeds: the words' digest and the wanted windows' smallest ones of the first level."""
+    length = levels(window)[0]
 
     def run(frames):
         for frame in frames:
             texts = frame["text"].tolist()
             for i, j in portions(texts):
                 words, bounds = word_hashes(texts[i:j])
-                seeds, inside, least = _seeds(words, bounds, window)
-                span = window - seed_length(window) + 1
-                chosen = np.zeros(len(seeds), bool)
-                if len(inside):
-                    top = np.where(inside, least, np.uint64(0))
-                    pad = np.zeros(span - 1, "u8")
-                    chosen = (sliding(np.maximum, np.concatenate([pad, top, pad]), span) == seeds) & (seeds != 0)
-                at = np.flatnonzero(chosen)
-                cuts = np.searchsorted(at, bounds)
-                lists = [np.unique(seeds[at[a:b]]).view("i8") for a, b in zip(cuts[:-1], cuts[1:])]
+                least = _least(words, window, length)
+                lists = [np.unique(least[a:max(a, b - window + 1)]).view("i8") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 shas = [hashlib.sha256(b" ".join(common.blank_words(t))).hexdigest() for t in texts[i:j]]
                 part = frame.iloc[i:j]
-                yield pd.DataFrame({"doc": part["doc"], "doc_id": part["doc_id"], "n_words": np.diff(bounds), "sha": shas, "seeds": lists})
+                yield pd.DataFrame({"doc": part["doc"], "tk": part["tk"], "doc_id": part["doc_id"], "n_words": np.diff(bounds), "sha": shas, "seeds": lists})
 
-    return docs.select("doc", "doc_id", "text").mapInPandas(
-        run, "doc long, doc_id long, n_words long, sha string, seeds array<long>")
+    return docs.select("doc", "tk", "doc_id", "text").mapInPandas(
+        run, "doc long, tk long, doc_id long, n_words long, sha string, seeds array<long>")
 
 
-def repeated(found: DataFrame, key: str) -> DataFrame:
+def repeated(found: DataFrame, *key: str) -> DataFrame:
     """The keys that stand in more than one document, and the first of these."""
-    return (found.groupBy(key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    return (found.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
             .where("lo < hi").drop("hi"))
 
 
-def extend(met: DataFrame, window: int) -> DataFrame:
-    """doc and hash of the wanted windows around a repeated short one (``met``: doc, text and its repeated seeds)."""
+def with_repeated(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, tk, text and seeds of the texts that have seeds (``found``: doc, tk, seeds) of another document too, and these."""
+    seeds = found.select("doc", "tk", F.explode("seeds").alias("seed"))
+    own = (seeds.join(repeated(seeds, "seed").select("seed"), "seed")
+           .groupBy("doc", "tk").agg(F.collect_set("seed").alias("seeds")))
+    return texts.select("doc", "tk", "text").join(own, ["doc", "tk"]).dropDuplicates(["doc", "tk"])
+
+
+def longer(met: DataFrame, window: int, length: int, twice: int) -> DataFrame:
+    """doc, tk and seeds: the smallest windows of ``twice`` the length in the wanted windows whose smallest of ``length`` is repeated."""
 
     def run(frames):
         for frame in frames:
-            texts, docs, lists = frame["text"].tolist(), frame["doc"].to_numpy(), frame["seeds"].tolist()
+            texts, lists = frame["text"].tolist(), frame["seeds"].tolist()
             for i, j in portions(texts):
                 words, bounds = word_hashes(texts[i:j])
-                _, inside, least = _seeds(words, bounds, window)
-                if not inside.any():
-                    continue
-                hashes = Windows(words).of(window)
-                out_doc, out_hash = [], []
+                least, next_least, found = _least(words, window, length), _least(words, window, twice), []
                 for k in range(i, j):
                     a, b = bounds[k - i], max(bounds[k - i], bounds[k - i + 1] - window + 1)
-                    if b > a:
-                        own = np.asarray(lists[k], "i8").view("u8")
-                        got = np.unique(hashes[a:b][np.isin(least[a:b], own)])
-                        out_hash.append(got)
-                        out_doc.append(np.full(len(got), docs[k]))
-                if out_hash:
-                    yield pd.DataFrame({"doc": np.concatenate(out_doc), "hash": np.concatenate(out_hash).view("i8")})
+                    found.append(np.unique(next_least[a:b][np.isin(least[a:b], np.asarray(lists[k], "i8").view("u8"))]).view("i8"))
+                yield frame.iloc[i:j][["doc", "tk"]].assign(seeds=found)
 
-    return met.select("doc", "text", "seeds").mapInPandas(run, "doc long, hash long")
+    return met.select("doc", "tk", "text", "seeds").mapInPandas(run, "doc long, tk long, seeds array<long>")
 
 
-def cut(met: DataFrame, window: int, texts_too: bool) -> DataFrame:
-    """doc, sha, n_removed and kept_sha256 (and the kept text) of ``met`` (doc, text and its hit windows' hashes)."""
+def surviving(docs: DataFrame, found: DataFrame, window: int) -> Iterator[tuple[int, DataFrame]]:
+    """Each level's length and the texts that have a window repeated there, with the seeds of those; ends early if none survives."""
+    steps = levels(window)
+    met = common.written(with_repeated(docs, found), "substring-texts")
+    yield steps[0], met
+    for length, twice in zip(steps, steps[1:-1]):
+        if met.isEmpty():
+            return
+        seeds = common.written(longer(met, window, length, twice), "substring-seeds")
+        met = common.written(with_repeated(met, seeds), "substring-texts")
+        yield twice, met
+
+
+def wanted_windows(met: DataFrame, window: int, length: int) -> DataFrame:
+    """doc, tk, places and their hashes h1 and h2 (96 bits together) of the wanted windows whose smallest one of ``length`` is repeated."""
 
     def run(frames):
         for frame in frames:
-            texts, lists = frame["text"].tolist(), frame["hits"].tolist()
+            texts, lists = frame["text"].tolist(), frame["seeds"].tolist()
             for i, j in portions(texts):
                 words, bounds = word_hashes(texts[i:j])
-                hashes = Windows(words).of(window)
-                rows = []
+                least, first = _least(words, window, length), Windows(words).of(window)
+                second = (Windows(word_hashes(texts[i:j], base=OTHER_BASE)[0]).of(window) >> np.uint64(32)).astype("u4")
+                places, h1, h2 = [], [], []
                 for k in range(i, j):
-                    a, e = bounds[k - i], bounds[k - i + 1]
-                    b = max(a, e - window + 1)
-                    hit = np.isin(hashes[a:b], np.asarray(lists[k], "i8").view("u8"))
-                    step = np.zeros(e - a + 1, "i8")
-                    at = np.flatnonzero(hit)
-                    step[at] += 1
-                    step[at + window] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                    plain = common.blank_words(texts[k])
-                    kept = b" ".join(w for w, g in zip(plain, gone.tolist()) if not g)
-                    rows.append((frame["doc"].iloc[k], hashlib.sha256(b" ".join(plain)).hexdigest(), int(gone.sum()),
-                                 hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts_too else None))
-                yield pd.DataFrame(rows, columns=["doc", "sha", "n_removed", "kept_sha256", "kept"])
+                    a, b = bounds[k - i], max(bounds[k - i], bounds[k - i + 1] - window + 1)
+                    at = np.flatnonzero(np.isin(least[a:b], np.asarray(lists[k], "i8").view("u8")))
+                    places.append(at.astype("i4"))
+                    h1.append(first[a + at].view("i8"))
+                    h2.append(second[a + at].view("i4"))
+                yield frame.iloc[i:j][["doc", "tk"]].assign(places=places, h1=h1, h2=h2)
+
+    return met.select("doc", "tk", "text", "seeds").mapInPandas(run, "doc long, tk long, places array<int>, h1 array<long>, h2 array<int>")
+
+
+def cut(met: DataFrame, window: int, texts_too: bool) -> DataFrame:
+    """doc, sha, n_removed and kept_sha256 (and the kept text) of ``met`` (doc, text and the places of its hit windows)."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc, text, hits in zip(frame["doc"], frame["text"], frame["hits"]):
+                plain = common.blank_words(text)
+                step, at = np.zeros(len(plain) + 1, "i8"), np.asarray(hits, "i8")
+                np.add.at(step, at, 1)
+                np.add.at(step, at + window, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                kept = b" ".join(w for w, g in zip(plain, gone.tolist()) if not g)
+                rows.append((doc, hashlib.sha256(b" ".join(plain)).hexdigest(), int(gone.sum()),
+                             hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts_too else None))
+            yield pd.DataFrame(rows, columns=["doc", "sha", "n_removed", "kept_sha256", "kept"])
 
     return met.select("doc", "text", "hits").mapInPandas(
         run, "doc long, sha string, n_removed long, kept_sha256 string, kept string")
@@ -133,7 +154,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, texts: bool = False) ->
 
     A word is removed if a window around it also starts in a document of
     smaller doc_id. Whole copies of one text are settled by its digest, and only
-    the first goes on. Windows are told apart by 64-bit hashes.
+    the first goes on. Windows are told apart by 96 bits of two hashes.
 
     A null text has no words; a null doc_id counts as larger than all. Rows of
     equal doc_id do not remove from each other. Texts shorter than the window
@@ -141,18 +162,17 @@ def dedup_substrings(docs: DataFrame, window: int = 50, texts: bool = False) ->
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    found = common.written(scan(docs, window), "substring-seeds")
-    firsts = found.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc").alias("doc"), F.first("seeds").alias("seeds"))
-    firsts = common.written(firsts, "substring-firsts")
-    seeds = firsts.select("doc", F.explode("seeds").alias("seed"))
-    own = (seeds.join(repeated(seeds, "seed").select("seed"), "seed")
-           .groupBy("doc").agg(F.collect_set("seed").alias("seeds")))
-    met = common.written(docs.select("doc", "text").join(own, "doc"), "substring-texts")
-    candidates = common.written(extend(met, window), "substring-windows")
-    hits = (candidates.join(repeated(candidates, "hash"), "hash").where("doc > lo")
-            .groupBy("doc").agg(F.collect_list("hash").alias("hits")))
-    done = (cut(met.select("doc", "text").join(hits, "doc"), window, texts)
+    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit((1 << 63) - 1)), "tk": F.xxhash64("text")})
+    found = common.written(scan(docs, window), "substring-scan")
+    firsts = found.where(F.col("n_words") >= window).groupBy("sha").agg(F.min(F.struct("doc", "tk")).alias("top"), F.first("seeds").alias("seeds"))
+    firsts = common.written(firsts.select("sha", "top.doc", "top.tk", "seeds"), "substring-firsts")
+    for length, met in surviving(docs, firsts, window):  # the last one has what survives all levels but the wanted length's
+        pass
+    candidates = common.written(wanted_windows(met, window, length), "substring-windows")
+    each = candidates.select("doc", "tk", F.explode(F.arrays_zip("places", "h1", "h2")).alias("w")).select("doc", "tk", "w.*")
+    hits = (each.join(repeated(each, "h1", "h2"), ["h1", "h2"]).where("doc > lo")
+            .groupBy("doc", "tk").agg(F.collect_list("places").alias("hits")))
+    done = (cut(met.select("doc", "tk", "text").join(hits, ["doc", "tk"]), window, texts)
             .dropDuplicates(["doc", "sha"]))
     copy = F.col("doc") > F.col("lo")
     return (found.select("doc_id", "doc", "n_words", "sha")

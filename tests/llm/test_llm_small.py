@@ -138,6 +138,25 @@ def test_kept_text(spark):
     assert kept == {1: None, 2: "start end"}
 
 
+def test_levels_double_and_lose_what_is_not_repeated(spark):
+    """Passages of 20, 40 and 60 words that two documents share survive the levels up to their length."""
+    assert substring.levels(50) == [13, 25, 50] and substring.levels(400) == [13, 25, 50, 100, 200, 400] and substring.levels(7) == [7]
+    rng = random.Random(15)
+    word = lambda n: " ".join(f"u{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows = []
+    for n in (8, 20, 40, 60):
+        shared = word(n)
+        rows += [(len(rows), f"{word(60)} {shared} {word(60)}"), (len(rows) + 1, f"{word(70)} {shared} {word(50)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"doc": F.col("doc_id"), "tk": F.xxhash64("text")})
+    found = substring.scan(docs, 50)
+    left = {length: {r.doc for r in met.collect()} for length, met in substring.surviving(docs, found, 50)}
+    assert set(left) == {13, 25} and {6, 7} <= left[25] <= left[13] and left[13] <= {2, 3, 4, 5, 6, 7} and left[25] <= {4, 5, 6, 7}
+    removed = {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs).collect()}
+    assert removed == {k: 60 if k == 7 else 0 for k in range(8)}
+    none = spark.createDataFrame([(1, word(80)), (2, word(80))], "doc_id long, text string").withColumns({"doc": F.col("doc_id"), "tk": F.xxhash64("text")})
+    assert [n for n, _ in substring.surviving(none, substring.scan(none, 50), 50)] == [13]  # no candidate survives the first level
+
+
 # --- 3: mixing -----------------------------------------------------------------------------------------------------
 
 def test_mix_targets_and_takes(docs, pairs, empty):
@@ -643,6 +662,24 @@ def test_signature_agreement_is_the_weighted_jaccard():
     assert (sa == sb).mean() == pytest.approx(truth, abs=4 * np.sqrt(truth * (1 - truth) / k)) and (sa != 0).all()
 
 
+def test_near_duplicate_recall_by_similarity():
+    """Pairs of edited texts meet in a band: nearly all of similarity 0.8 and more, few of 0.4 and less."""
+    rng, texts = random.Random(21), []
+    for k in range(600):
+        base = [f"b{rng.randrange(10 ** 6)}" for _ in range(120)]
+        edited = list(base)
+        for _ in range(k % 12):
+            edited[rng.randrange(120)] = f"x{rng.randrange(10 ** 6)}"
+        texts += [" ".join(base), " ".join(edited)]
+    owner, regions = minhash.elements(texts)
+    keys = minhash.band_keys(minhash.signatures(owner, regions, len(texts), minhash.BANDS * minhash.ROWS), minhash.BANDS, minhash.ROWS)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    units = [set(regions[owner == d].tolist()) for d in range(len(texts))]
+    similar = np.array([len(a & b) / len(a | b) for a, b in zip(units[::2], units[1::2])])
+    assert (similar >= 0.8).sum() > 100 and met[similar >= 0.8].mean() > 0.99 and met[(similar >= 0.7) & (similar < 0.8)].mean() > 0.9
+    assert met[similar < 0.5].mean() < 0.5
+
+
 def test_shared_units():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 80))) for _ in range(40)]
