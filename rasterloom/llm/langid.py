@@ -258,12 +258,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages, with one model and one set of address shares.
 
     The model is fitted on the documents' lang, which is no evidence beyond that; pages have no
-    label, and bring declarations by markup and hosts, domains and suffixes.
+    label, and bring declarations by markup and hosts, domains and suffixes. A page has its page_id
+    and as doc_id, which no document has, -1 - page_id.
     """
     docs, pages = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "pages")
     null = F.lit(None)
     html = F.col("html")
     both = docs.select("doc_id", null.cast("long").alias("page_id"), "text", null.cast("string").alias("said"), F.col("source").alias("address"), "lang").unionByName(
-        pages.select(null.cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), without_markup(html).alias("text"),
+        pages.select((-1 - F.col("page_id")).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), without_markup(html).alias("text"),
                      declared_by(html).alias("said"), F.col("url").alias("address"), null.cast("string").alias("lang")))
     return identify(both, F.col("said"), F.col("address"), F.col("lang")).select("doc_id", "page_id", "language", "confidence", "text_language", "declared", "kept")

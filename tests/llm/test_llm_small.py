@@ -374,10 +374,11 @@ def test_pages_with_columns_of_any_name(spark):
 def test_language_query_takes_documents_and_pages(spark, data):
     found = langid.op6_language_id(spark, data).collect()
     docs, pages = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/pages.parquet")
-    assert sorted(r.doc_id for r in found if r.doc_id is not None) == sorted(r.doc_id for r in docs.collect())
+    assert sorted(r.doc_id for r in found if r.page_id is None) == sorted(r.doc_id for r in docs.collect())
     assert sorted(r.page_id for r in found if r.page_id is not None) == sorted(r.page_id for r in pages.collect())
+    assert all(r.doc_id == -1 - r.page_id for r in found if r.page_id is not None)
     langs = {r.doc_id: r.lang for r in docs.collect()}
-    assert np.mean([r.language == langs[r.doc_id] for r in found if r.doc_id is not None and r.kept]) > 0.97
+    assert np.mean([r.language == langs[r.doc_id] for r in found if r.page_id is None and r.kept]) > 0.97
     assert np.mean([r.language == r.declared for r in found if r.page_id is not None]) > 0.9
 
 
