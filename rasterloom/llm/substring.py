@@ -63,15 +63,21 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(found: DataFrame, *key: str) -> DataFrame:
-    """The keys that stand in more than one document, and the first of these."""
-    return (found.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-            .where("lo < hi").drop("hi"))
+    """Rows of found whose key stands in another document too, with lo, the first of these.
+
+    Keys of more than a thousandth of these rows, which are a thousand at most, are
+    joined by broadcast, so that no task gets all rows of a frequent one.
+    """
+    keys = found.groupBy(*key).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    keys = common.written(keys.select(*key, "lo", "n"), "substring-keys")
+    frequent = F.col("n") * 1000 > (keys.agg(F.sum("n")).first()[0] or 0)
+    hot, rest = F.broadcast(keys.where(frequent).drop("n")), keys.where(~frequent).drop("n")
+    return found.join(hot, list(key)).unionByName(found.join(hot.select(*key), list(key), "left_anti").join(rest, list(key)))
 
 
 def with_repeated(texts: DataFrame, found: DataFrame) -> DataFrame:
     """doc, tk, text and seeds of the texts that have seeds (``found``: doc, tk, seeds) of another document too, and these."""
-    seeds = found.select("doc", "tk", F.explode("seeds").alias("seed"))
-    own = (seeds.join(repeated(seeds, "seed").select("seed"), "seed")
+    own = (repeated(found.select("doc", "tk", F.explode("seeds").alias("seed")), "seed")
            .groupBy("doc", "tk").agg(F.collect_set("seed").alias("seeds")))
     return texts.select("doc", "tk", "text").join(own, ["doc", "tk"]).dropDuplicates(["doc", "tk"])
 
@@ -170,7 +176,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, texts: bool = False) ->
         pass
     candidates = common.written(wanted_windows(met, window, length), "substring-windows")
     each = candidates.select("doc", "tk", F.explode(F.arrays_zip("places", "h1", "h2")).alias("w")).select("doc", "tk", "w.*")
-    hits = (each.join(repeated(each, "h1", "h2"), ["h1", "h2"]).where("doc > lo")
+    hits = (repeated(each, "h1", "h2").where("doc > lo")
             .groupBy("doc", "tk").agg(F.collect_list("places").alias("hits")))
     done = (cut(met.select("doc", "tk", "text").join(hits, ["doc", "tk"]), window, texts)
             .dropDuplicates(["doc", "sha"]))
