@@ -229,9 +229,9 @@ def without_markup(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " "), r"<[^>]*>", " ")
 
 
-def identify_documents(docs: DataFrame, **how) -> DataFrame:
-    """Of ``docs(text, lang, source)``: lang is what the model is fitted on and no evidence beyond that, source the address; only markup declares."""
-    return identify(docs, F.lit(None).cast("string"), F.col("source"), F.col("lang"), **how)
+def identify_documents(docs: DataFrame, declared: Column | None = None, **how) -> DataFrame:
+    """Of ``docs(text, lang, source)``: lang is what the model is fitted on and no evidence beyond that, source the address; without ``declared`` only markup declares."""
+    return identify(docs, F.lit(None).cast("string") if declared is None else declared, F.col("source"), F.col("lang"), **how)
 
 
 def identify_pages(pages: DataFrame, **how) -> DataFrame:
@@ -246,10 +246,11 @@ def identify_pages(pages: DataFrame, **how) -> DataFrame:
 def keep_identified(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns, without those whose language is rejected; these are told by doc_id and a hash of the text.
 
-    Null and empty texts are rejected; of repeated rows all go or stay.
+    Null and empty texts are rejected; of repeated rows all go or stay. Here lang is a declaration too, as
+    reliable as it proves, for a filter is to spare short texts that half consist of a key or number.
     """
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_key"))
-    out = common.written(identify_documents(keyed, **how).where("not kept").select(
+    out = common.written(identify_documents(keyed, F.col("lang"), **how).where("not kept").select(
         F.col("doc_id").alias("_id"), F.col("_key").alias("_key2")).distinct(), "language-rejects")
     return docs.join(out, docs["doc_id"].eqNullSafe(out["_id"]) & (F.xxhash64(docs["text"]) == out["_key2"]), "left_anti")
 
