@@ -235,36 +235,44 @@ def coherence(plane: np.ndarray, window: int, here: np.ndarray | None = None) ->
     return np.where(trace > 1e-12 * window * window, np.hypot(xx - yy, 2 * xy) / np.where(trace > 0, trace, 1), np.nan)
 
 
-def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato") -> np.ndarray:
-    """Response to bright ridges in [0, 1]: 1 is that of a straight ridge of full contrast whose width fits a sigma.
+def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato", dark: bool = False) -> np.ndarray:
+    """Response to bright (or dark) ridges in [0, 1]: 1 is that of a straight ridge of full contrast of the first sigma's width.
 
     From the eigenvalues of the Hessian at each sigma, of which the best counts.
+    What parts structure from noise in ``frangi`` is half the size of that ridge's
+    eigenvalues, and not that of the strongest structure of this image.
     """
+    def bends(image: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
+        g = gaussian(-image if dark else image, s)
+        dy, dx = np.gradient(g)
+        yy, xy = np.gradient(dy)
+        xx = np.gradient(dx)[1]
+        mid, half = (xx + yy) / 2, np.hypot((xx - yy) / 2, xy)
+        return (mid - half) * s * s, (mid + half) * s * s
+
+    reach = int(8 * max(sigmas)) + 8
+    offset = np.arange(-reach, reach + 1, dtype="f8")
+    reference = np.repeat(np.exp(-0.5 * (offset / sigmas[0]) ** 2)[None, :], 2 * reach + 1, axis=0)
+    reference = 1 - reference if dark else reference
+    gamma = float(np.hypot(*bends(reference, sigmas[0]))[reach, reach]) / 2
+
     def response(image: np.ndarray) -> np.ndarray:
         best = np.zeros(image.shape)
         for s in sigmas:
-            g = gaussian(image, s)
-            dy, dx = np.gradient(g)
-            yy, xy = np.gradient(dy)
-            xx = np.gradient(dx)[1]
-            mid, half = (xx + yy) / 2, np.hypot((xx - yy) / 2, xy)
-            low, high = (mid - half) * s * s, (mid + half) * s * s
+            low, high = bends(image, s)
             if kind == "sato":
                 found = np.maximum(-low, 0)
             elif kind == "meijering":
                 found = np.maximum(-(low + high / 3), 0)
             elif kind == "frangi":
                 ratio, size = np.where(low != 0, high / np.where(low != 0, low, 1), 0), np.hypot(low, high)
-                found = np.where(low < 0, np.exp(-2 * ratio * ratio) * (1 - np.exp(-(size ** 2) / (2 * 0.25 ** 2))), 0)
+                found = np.where(low < 0, np.exp(-2 * ratio * ratio) * (1 - np.exp(-(size ** 2) / (2 * gamma ** 2))), 0)
             else:
                 raise ValueError(f"unknown ridge filter {kind}")
             best = np.maximum(best, found)
         return best
 
-    reach = int(8 * max(sigmas)) + 8
-    offset = np.arange(-reach, reach + 1, dtype="f8")
-    unit = max(response(np.repeat(np.exp(-0.5 * (offset / s) ** 2)[None, :], 2 * reach + 1, axis=0))[reach, reach] for s in sigmas)
-    return np.clip(response(plane) / unit, 0, 1)
+    return np.clip(response(plane) / response(reference)[reach, reach], 0, 1)
 
 
 def traced(skeleton: np.ndarray, most_turn: float = 70.0) -> pd.DataFrame:

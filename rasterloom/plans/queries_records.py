@@ -130,6 +130,13 @@ def forest(spark, d):
     return Mo.apply_forest(model, t, ["f1", "f2", "f3"]).groupBy("y", "predicted").agg(F.count("*").alias("n"))
 
 
+@query("v15_boosting")
+def boosting(spark, d):
+    t = B.training(spark, d)
+    model = Mo.fit_boosting(t, ["f1", "f2", "f3"], rounds=5)
+    return Mo.apply_boosting(model, t, ["f1", "f2", "f3"]).groupBy("y", "predicted").agg(F.count("*").alias("n"))
+
+
 @query("v18_apply_classifier")
 def apply_classifier(spark, d):
     t = B.training(spark, d)

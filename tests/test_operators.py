@@ -111,6 +111,31 @@ def test_ridge_of_full_contrast_gives_one(kind):
     assert A.ridges(plane * 0.5, [2.0], kind)[40, 40] < 0.95
 
 
+@pytest.mark.parametrize("kind", ["sato", "frangi", "meijering"])
+def test_ridges_are_scaled_by_the_first_sigma(kind):
+    """More sigmas leave a ridge of the first one's width at 1, and dark ridges answer as bright ones."""
+    plane = np.repeat(np.exp(-0.5 * (np.arange(-60, 61) / 2.0) ** 2)[None, :], 121, axis=0)
+    for sigmas in ([2.0], [2.0, 4.0]):
+        assert A.ridges(plane, sigmas, kind)[60, 60] == pytest.approx(1.0, abs=0.02)
+        assert np.allclose(A.ridges(1 - plane, sigmas, kind, dark=True), A.ridges(plane, sigmas, kind), atol=1e-9)
+
+
+def test_outliers_do_not_stretch_the_novelty(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(1000 + k, 12.0 + k % 3, -9.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "row long, a double, b double")
+    found = {r.row: r.novelty_p for r in Mo.novelty(df, df, ["a", "b"]).collect()}
+    assert all(found[1000 + k] < 1e-6 for k in range(60)) and 0.3 < np.mean([found[k] for k in range(400)]) < 0.6
+
+
+def test_boosting_tells_classes_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k % 3, float(k % 3 + rng.normal() * 0.15), None if k % 7 == 0 else float(rng.normal())) for k in range(300)]
+    df = spark.createDataFrame(rows, "y long, a double, b double")
+    found = Mo.apply_boosting(Mo.fit_boosting(df, ["a", "b"], rounds=5), df, ["a", "b"]).collect()
+    assert np.mean([r.y == r.predicted for r in found]) > 0.97 and all(abs(sum(r.proba) - 1) < 1e-9 and r.max_proba == max(r.proba) for r in found)
+
+
 def test_thinning_keeps_components_and_thins():
     mask = stripes(0)
     thin = A.thinned(mask)
