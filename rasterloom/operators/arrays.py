@@ -1,106 +1,47 @@
-"""Array kernels on one image at a time: distances, components, thinning, tracing, filters.
+"""Array kernels on planes: distances, components, thinning, tracing, filters.
 
-Each function of planes is pure numpy; ``per_image`` runs one for every image of
-a long table, one image (or tile with its halo) per group, so that images are
-spread over the executors and no group is larger than a tile.
+All are pure numpy on one plane; ``tiles`` runs them over images of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 
+#: The eight steps in the order in which a walk tries them.
+STEPS = ((0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))
 
-def per_image(px: DataFrame, columns: list[str], f: Callable[..., dict[str, np.ndarray]], schema: str, height: int, width: int) -> DataFrame:
-    """img, y, x and f's planes (``schema`` lists them) at every pixel of each image; f gets a plane for each column, 0 where there is no row."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        planes = []
-        for c in columns:
-            plane = np.zeros((height, width), part[c].dtype if part[c].dtype != object else "f8")
-            plane[part["y"], part["x"]] = part[c].to_numpy()
-            planes.append(plane)
-        made = f(*planes)
-        y, x = np.mgrid[:height, :width]
-        return pd.DataFrame({"img": part["img"].iloc[0], "y": y.ravel().astype("i4"), "x": x.ravel().astype("i4")} | {n: p.ravel() for n, p in made.items()})
+def along_columns(target: np.ndarray) -> np.ndarray:
+    """The distance of each pixel to the nearest target in its column, infinite without one."""
+    d = np.where(target, 0.0, np.inf)
+    for i in range(1, len(d)):
+        d[i] = np.minimum(d[i], d[i - 1] + 1)
+    for i in range(len(d) - 2, -1, -1):
+        d[i] = np.minimum(d[i], d[i + 1] + 1)
+    return d
 
-    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, y int, x int, {schema}")
 
-
-def per_image_rows(px: DataFrame, columns: list[str], f: Callable[..., pd.DataFrame], schema: str, height: int, width: int) -> DataFrame:
-    """Rows that f makes of each image's planes, with img before them."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        planes = []
-        for c in columns:
-            plane = np.zeros((height, width), part[c].dtype if part[c].dtype != object else "f8")
-            plane[part["y"], part["x"]] = part[c].to_numpy()
-            planes.append(plane)
-        made = f(*planes)
-        made.insert(0, "img", part["img"].iloc[0])
-        return made
-
-    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, {schema}")
-
-
-def _own_planes(part: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
-    shape = part["y"].max() + 1, part["x"].max() + 1
-    planes = []
-    for c in columns:
-        plane = np.zeros(shape, part[c].dtype if part[c].dtype != object else "f8")
-        plane[part["y"], part["x"]] = part[c].to_numpy()
-        planes.append(plane)
-    here = np.zeros(shape, bool)
-    here[part["y"], part["x"]] = True
-    return [*planes, here]
-
-
-def per_own_image(px: DataFrame, columns: list[str], f: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """As per_image for images of any size, whole or not: f gets the plane of pixels that have a row too, and only these come out."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        *planes, here = _own_planes(part, columns)
-        y, x = np.nonzero(here)
-        return pd.DataFrame({"img": part["img"].iloc[0], "y": y.astype("i4"), "x": x.astype("i4")} | {n: p[here] for n, p in f(*planes, here).items()})
-
-    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, y int, x int, {schema}")
-
-
-def per_own_image_rows(px: DataFrame, columns: list[str], f: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """As per_image_rows for images of any size, whole or not; f gets the plane of pixels that have a row too."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        made = f(*_own_planes(part, columns))
-        made.insert(0, "img", part["img"].iloc[0])
-        return made
-
-    return px.select("img", "y", "x", *columns).groupBy("img").applyInPandas(run, f"img long, {schema}")
-
-
-def distance(mask: np.ndarray) -> np.ndarray:
-    """The exact distance of each mask pixel to the nearest pixel outside; 0 outside, infinite if there is none.
-
-    Distances along columns come first; each row then takes the least of
-    (column distance)^2 + (offset)^2, offset by offset, until none can win.
-    """
-    h, w = mask.shape
-    far = np.float64(h + w + 1) ** 2
-    down = np.where(mask, np.inf, 0.0)
-    for i in range(1, h):
-        down[i] = np.minimum(down[i], down[i - 1] + 1)
-    for i in range(h - 2, -1, -1):
-        down[i] = np.minimum(down[i], down[i + 1] + 1)
-    column = np.minimum(down * down, far)
-    best = column.copy()
+def across_rows(column: np.ndarray) -> np.ndarray:
+    """Distances from those along columns: each row takes the least of (column distance)^2 + (offset)^2, offset by offset, until none can win."""
+    w = column.shape[1]
+    if not np.isfinite(column).any():
+        return column
+    squares = column * column
+    best = squares.copy()
     for k in range(1, w):
         if k * k >= best.max():
             break
-        best[:, k:] = np.minimum(best[:, k:], column[:, :-k] + k * k)
-        best[:, :-k] = np.minimum(best[:, :-k], column[:, k:] + k * k)
-    return np.where(best >= far, np.inf, np.sqrt(best))
+        best[:, k:] = np.minimum(best[:, k:], squares[:, :-k] + k * k)
+        best[:, :-k] = np.minimum(best[:, :-k], squares[:, k:] + k * k)
+    return np.sqrt(best)
+
+
+def distance(mask: np.ndarray) -> np.ndarray:
+    """The exact distance of each mask pixel to the nearest pixel outside; 0 outside, infinite if there is none."""
+    return across_rows(along_columns(~mask))
 
 
 def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -157,10 +98,10 @@ def ring(mask: np.ndarray) -> list[np.ndarray]:
     return [p[1 + dy:1 + dy + h, 1 + dx:1 + dx + w] for dy, dx in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
 
 
-def thinned(mask: np.ndarray) -> np.ndarray:
-    """A skeleton one pixel wide: contour pixels whose loss keeps their ring in one run go, from two sides in turn."""
+def thinned(mask: np.ndarray, most: int | None = None) -> np.ndarray:
+    """A skeleton one pixel wide: contour pixels whose loss keeps their ring in one run go, from two sides in turn, ``most`` times or until none goes."""
     m = mask.astype(bool).copy()
-    while True:
+    for _ in itertools.count() if most is None else range(most):
         changed = False
         for side in (0, 1):
             n = ring(m)
@@ -171,7 +112,8 @@ def thinned(mask: np.ndarray) -> np.ndarray:
             changed |= bool(gone.any())
             m &= ~gone
         if not changed:
-            return m
+            break
+    return m
 
 
 def gap_centers(fiber: np.ndarray, inside: np.ndarray, here: np.ndarray | None = None) -> np.ndarray:
@@ -221,12 +163,17 @@ def orientation(plane: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.mod(theta, 180.0), np.nan)
 
 
+def whole_rings(here: np.ndarray) -> np.ndarray:
+    """Pixels that are there with all their neighbors."""
+    p = np.pad(here, 1, mode="symmetric")
+    return np.all([p[i:i + here.shape[0], j:j + here.shape[1]] for i in range(3) for j in range(3)], axis=0)
+
+
 def coherence(plane: np.ndarray, window: int, here: np.ndarray | None = None) -> np.ndarray:
     """(hypot(sxx - syy, 2 sxy)) / (sxx + syy) of gradient products summed over whole windows; nan without gradient. A pixel beside one not ``here`` has none."""
     gy, gx = scharr(plane)
     if here is not None:
-        p = np.pad(here, 1, mode="symmetric")
-        known = np.all([p[i:i + here.shape[0], j:j + here.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        known = whole_rings(here)
         gy, gx = np.where(known, gy, 0.0), np.where(known, gx, 0.0)
     n = plane.shape[0] // window, plane.shape[1] // window
     total = lambda v: v[:n[0] * window, :n[1] * window].reshape(n[0], window, n[1], window).sum(axis=(1, 3))
@@ -275,65 +222,117 @@ def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato", dark: boo
     return np.clip(response(plane) / response(reference)[reach, reach], 0, 1)
 
 
-def traced(skeleton: np.ndarray, most_turn: float = 70.0) -> pd.DataFrame:
-    """fiber, seq, y, x: links between junctions and ends, joined through junctions where two are most nearly opposite.
-
-    At each junction the pair of link ends that turns least goes first, and only
-    up to ``most_turn`` degrees. Rings without a junction or an end have no place
-    to start from and are not traced.
-    """
-    points = {(int(y), int(x)) for y, x in zip(*np.nonzero(skeleton))}
-    around = ((-1, 0), (0, 1), (1, 0), (0, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
-    near = {p: [(p[0] + dy, p[1] + dx) for dy, dx in around if (p[0] + dy, p[1] + dx) in points] for p in points}
-    nodes = {p for p in points if len(near[p]) != 2}
-    links, used = [], set()
-    for node in sorted(nodes):
-        for first in near[node]:
-            if (node, first) in used:
+class Network:
+    """A skeleton's pixels with their neighbors in step order, junctions (three changes around the ring at least) and ends (one neighbor at most)."""
+
+    def __init__(self, skeleton: np.ndarray) -> None:
+        around = ring(skeleton)
+        changes = sum((around[k] == 0) & (around[(k + 1) % 8] == 1) for k in range(8))
+        self.pixels = [(int(y), int(x)) for y, x in zip(*np.nonzero(skeleton))]
+        there = set(self.pixels)
+        self.near = {p: [q for q in ((p[0] + dy, p[1] + dx) for dy, dx in STEPS) if q in there] for p in self.pixels}
+        self.junctions = {p for p in self.pixels if changes[p] >= 3}
+        self.nodes = [p for p in self.pixels if p in self.junctions or len(self.near[p]) <= 1]
+
+    def links(self) -> list[list[tuple[int, int]]]:
+        """Paths from node to node; where there is a choice, the pixel most nearly straight ahead is next."""
+        found, taken, ends = [], set(), set(self.nodes)
+        for node in self.nodes:
+            for first in self.near[node]:
+                if (node, first) in taken:
+                    continue
+                path, walked = [node, first], {node, first}
+                while path[-1] not in ends:
+                    (y0, x0), (y, x) = path[-2:]
+                    ahead = [q for q in self.near[path[-1]] if q not in walked]
+                    if not ahead:
+                        break
+                    path.append(max(ahead, key=lambda q: (q[0] - y) * (y - y0) + (q[1] - x) * (x - x0)))
+                    walked.add(path[-1])
+                taken |= {(path[0], path[1]), (path[-1], path[-2])}
+                found.append(path)
+        return found
+
+    def segments(self) -> list[list[tuple[int, int]]]:
+        """Walks from ends first, then from any pixel left, over pixels not yet walked, that end on a junction; a lone pixel is one."""
+        found, walked = [], set()
+        for start in sorted(self.pixels, key=lambda p: len(self.near[p]) > 1):
+            if start in walked:
                 continue
-            path = [node, first]
-            while path[-1] not in nodes:
-                ahead = [q for q in near[path[-1]] if q != path[-2] and q not in path[-3:]]
-                if not ahead:
+            path = [start]
+            walked.add(start)
+            while len(path) == 1 or path[-1] not in self.junctions:
+                step = next((q for q in self.near[path[-1]] if q not in walked), None)
+                if step is None:
                     break
-                path.append(ahead[0])
-            used |= {(path[0], path[1]), (path[-1], path[-2])}
-            links.append(path)
-    ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, path in enumerate(links):
-        ends.setdefault(path[0], []).append((i, 0))
-        ends.setdefault(path[-1], []).append((i, 1))
-
-    def outward(i: int, side: int) -> np.ndarray:
-        path = links[i] if side == 0 else links[i][::-1]
-        far = path[min(4, len(path) - 1)]
-        v = np.array([far[0] - path[0][0], far[1] - path[0][1]], "f8")
-        return v / (np.linalg.norm(v) or 1)
-
-    partner = {}
-    for node, met in sorted(ends.items()):
-        turns = []
-        for a in range(len(met)):
-            for b in range(a + 1, len(met)):
-                if met[a][0] != met[b][0]:
-                    dot = float(np.clip(-(outward(*met[a]) @ outward(*met[b])), -1, 1))
-                    turns.append((round(float(np.degrees(np.arccos(dot))), 9), met[a], met[b]))
-        for turn, a, b in sorted(turns):
-            if turn <= most_turn and a not in partner and b not in partner:
+                path.append(step)
+                walked.add(step)
+            if len(path) > 1 or not self.near[start]:
+                found.append(path)
+        return found
+
+
+def _points(found: list[list[tuple[int, int]]]) -> pd.DataFrame:
+    rows = [(fiber, seq, y, x) for fiber, path in enumerate(found) for seq, (y, x) in enumerate(path)]
+    return pd.DataFrame(rows, columns=["fiber", "seq", "y", "x"]).astype({"fiber": "i8", "seq": "i4", "y": "i4", "x": "i4"})
+
+
+def links(skeleton: np.ndarray) -> pd.DataFrame:
+    """fiber, seq, y, x of the links between nodes."""
+    return _points(Network(skeleton).links())
+
+
+def segments(skeleton: np.ndarray) -> pd.DataFrame:
+    """fiber, seq, y, x of the pieces between junctions."""
+    return _points(Network(skeleton).segments())
+
+
+def matched(paths: list[list[tuple[int, int]]], junctions: set[tuple[int, int]], most_turn: float, reach: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """Which path end goes on as which: at each junction the pair of ends that are most nearly opposite first, up to ``most_turn`` degrees.
+
+    An end is (path, 0 or 1); its direction is that of its first ``reach`` pixels.
+    """
+    meeting: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, path in enumerate(paths):
+        meeting.setdefault(path[0], []).append((i, 0))
+        meeting.setdefault(path[-1], []).append((i, 1))
+
+    def outward(end: tuple[int, int]) -> np.ndarray:
+        path = paths[end[0]][::-1] if end[1] else paths[end[0]]
+        v = np.subtract(path[min(reach, len(path)) - 1], path[0]).astype("f8")
+        return v / (np.hypot(*v) or 1.0)
+
+    partner: dict[tuple[int, int], tuple[int, int]] = {}
+    for node in meeting.keys() & junctions:
+        pairs = [(float(outward(a) @ outward(b)), a, b) for a, b in itertools.combinations(meeting[node], 2) if a[0] != b[0]]
+        for dot, a, b in sorted(pairs, key=lambda pair: pair[0]):
+            if dot <= -np.cos(np.radians(most_turn)) and a not in partner and b not in partner:
                 partner[a], partner[b] = b, a
-    rows, done, fiber = [], set(), 0
-    for start in [(i, s) for i in range(len(links)) for s in (0, 1)]:
-        if start[0] in done or start in partner:
+    return partner
+
+
+def traced(skeleton: np.ndarray, most_turn: float = 70.0, reach: int = 8) -> pd.DataFrame:
+    """fiber, seq, y, x: links, joined through junctions where two are most nearly opposite.
+
+    A ring without a node has no place to start from and is not traced; links
+    joined to a ring stay apart.
+    """
+    network = Network(skeleton)
+    found = network.links()
+    partner = matched(found, network.junctions, most_turn, reach)
+    whole, done = [], set()
+    for i in range(len(found)):
+        side = next((s for s in (0, 1) if (i, s) not in partner), None)
+        if i in done or side is None:
             continue
-        at, whole = start, []
+        path, at = [], (i, side)
         while at is not None and at[0] not in done:
             done.add(at[0])
-            path = links[at[0]] if at[1] == 0 else links[at[0]][::-1]
-            whole += path if not whole else path[1:]
+            link = found[at[0]][::-1] if at[1] else found[at[0]]
+            path += link[1:] if path else link
             at = partner.get((at[0], 1 - at[1]))
-        rows += [(fiber, k, y, x) for k, (y, x) in enumerate(whole)]
-        fiber += 1
-    return pd.DataFrame(rows, columns=["fiber", "seq", "y", "x"]).astype({"fiber": "i8", "seq": "i4", "y": "i4", "x": "i4"})
+        whole.append(path)
+    return _points(whole + [found[i] for i in range(len(found)) if i not in done])
 
 
 def alignment(plane: np.ndarray) -> dict[str, float]:

@@ -34,21 +34,25 @@ def lacunarity(px: DataFrame, mask, size: int) -> DataFrame:
     return sums.groupBy("img").agg(F.avg("b").alias("m"), F.var_pop("b").alias("v")).select("img", F.when(F.col("m") > 0, 1 + F.try_divide(F.col("v"), F.col("m") * F.col("m"))).alias("lacunarity"))
 
 
-def path_shapes(points: DataFrame) -> DataFrame:
-    """fiber, n, arc, chord, straightness (chord / arc; 1 for a point), cy and cx of points (fiber, seq, y, x)."""
+def path_shapes(points: DataFrame, *keys: str) -> DataFrame:
+    """fiber (and the keys given that go with it), n, arc, chord, straightness (chord / arc; 1 for a point), cy and cx of points (fiber, seq, y, x)."""
     along = Window.partitionBy("fiber").orderBy("seq")
     dy, dx = F.col("y") - F.lag("y").over(along), F.col("x") - F.lag("x").over(along)
-    per = (points.withColumn("step", F.sqrt((dy * dy + dx * dx).cast("double"))).groupBy("fiber").agg(
+    per = (points.withColumn("step", F.sqrt((dy * dy + dx * dx).cast("double"))).groupBy("fiber", *keys).agg(
         F.count("*").alias("n"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("arc"), F.min(F.struct("seq", "y", "x")).alias("a"), F.max(F.struct("seq", "y", "x")).alias("b"),
         F.avg("y").alias("cy"), F.avg("x").alias("cx")))
     dy, dx = F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x")
     chord = F.sqrt((dy * dy + dx * dx).cast("double"))
-    return per.select("fiber", "n", "arc", chord.alias("chord"), F.when(F.col("arc") > 0, F.try_divide(chord, F.col("arc"))).otherwise(1.0).alias("straightness"), "cy", "cx")
+    return per.select("fiber", *keys, "n", "arc", chord.alias("chord"), F.when(F.col("arc") > 0, F.try_divide(chord, F.col("arc"))).otherwise(1.0).alias("straightness"), "cy", "cx")
 
 
-def path_curvature(points: DataFrame, reach: int, axial: bool = True) -> DataFrame:
-    """fiber and curvature: the turn between the directions over ``reach`` steps at both ends, in radians a pixel of arc; axial turns are at most a right angle."""
-    packed = points.groupBy("fiber").agg(F.sort_array(F.collect_list(F.struct("seq", "y", "x"))).alias("p")).where(F.size("p") > reach)
+def path_curvature(points: DataFrame, reach: int, axial: bool = True, shorter: bool = False) -> DataFrame:
+    """fiber and curvature: the turn between the directions over ``reach`` steps at both ends, in radians a pixel of arc; axial turns are at most a right angle.
+
+    Paths of ``reach`` points or fewer have none, or with ``shorter`` take all their steps, if two at least.
+    """
+    packed = points.groupBy("fiber").agg(F.sort_array(F.collect_list(F.struct("seq", "y", "x"))).alias("p")).where(F.size("p") > (2 if shorter else reach))
+    reach = F.least(F.lit(reach), F.size("p") - 1) if shorter else F.lit(reach)
     at = lambda k: F.element_at("p", k)
     angle = lambda a, b: F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
     turn = F.abs(angle(at(1), at(reach + 1)) - angle(at(-reach - 1), at(-1)))

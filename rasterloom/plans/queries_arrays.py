@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import arrays as A
+from ..operators import features as X
 from ..operators import morph as M
+from ..operators import tiles as T
 from ..sources import bindings as B
+from ..sources.shared import written
 from .registry import query
 from .views import FPX, PX
 
 col = F.col
-SIDE = {"height": B.SIDE, "width": B.SIDE}
 FULL = " WHERE img IN (SELECT img FROM px GROUP BY img HAVING count(*) = 2500)"
 EDT = f", dist AS (SELECT a.img, a.y, a.x, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM (SELECT * FROM fpx{FULL}) a JOIN fpx b ON a.img = b.img AND b.fiber GROUP BY a.img, a.y, a.x)"
 
@@ -26,30 +26,27 @@ def _mask(spark, d):
 
 @query("j10_nearest_fiber", f"WITH {FPX} {EDT} SELECT img, y, x, round(d, 6) AS d FROM dist")
 def nearest_fiber(spark, d):
-    found = A.per_image(_mask(spark, d), ["fiber"], lambda m: {"d": A.distance(~m)}, "d double", **SIDE)
-    return found.select("img", "y", "x", F.round("d", 6).alias("d"))
+    return T.distances(_mask(spark, d), col("fiber")).select("img", "y", "x", F.round("d", 6).alias("d"))
 
 
 @query("m09_fiber_width", f"WITH {FPX}, dist AS (SELECT a.img, a.y, a.x, sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS d FROM (SELECT * FROM fpx{FULL}) a JOIN fpx b ON a.img = b.img AND NOT b.fiber WHERE a.fiber GROUP BY ALL) SELECT img, y, x, round(2 * d, 6) AS width FROM dist")
 def fiber_width(spark, d):
-    found = A.per_image(_mask(spark, d), ["fiber"], lambda m: {"width": 2 * A.distance(m)}, "width double", **SIDE)
-    return found.where("width > 0").select("img", "y", "x", F.round("width", 6).alias("width"))
+    return fiber_width_of(_mask(spark, d))
 
 
 @query("m01_zone_outside", f"""WITH {FPX}, r AS (SELECT img, y, x, zone FROM fpx{FULL})
 SELECT a.img, a.y, a.x FROM r a WHERE NOT zone AND EXISTS (SELECT 1 FROM r b WHERE b.img = a.img AND b.zone AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9)""")
 def zone_outside(spark, d):
     """Pixels outside a region and at most three pixels away."""
-    zone = A.per_image(_mask(spark, d), ["zone"], lambda m: {"z": A.zone(m, "outside", 3.0)}, "z boolean", **SIDE)
-    return zone.where("z").select("img", "y", "x")
+    return T.zone(_mask(spark, d), col("zone"), "outside", 3.0)
 
 
 @query("m02_zone_modes")
 def zone_modes(spark, d):
     """Pixels of each zone mode around each image's mask."""
-    def count(m, here):
-        return pd.DataFrame({"mode": ["whole", "outside", "inside", "both"], "n": [int((A.zone(m, k, 2.0) & here).sum()) for k in ("whole", "outside", "inside", "both")]})
-    return A.per_own_image_rows(B.fiber_pixels(spark, d), ["fiber"], count, "mode string, n long")
+    modes = ["whole", "outside", "inside", "both"]
+    counts = T.zones(B.fiber_pixels(spark, d), col("fiber"), 2.0).groupBy("img").agg(*(F.count_if(m).alias(m) for m in modes))
+    return counts.unpivot("img", modes, "mode", "n")
 
 
 COMP = f""", f AS (SELECT img, y, x, y * 50 + x + 1 AS id FROM fpx WHERE fiber), adj AS (SELECT a.img, a.id AS a, b.id AS b FROM f a JOIN f b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
@@ -59,14 +56,14 @@ comp AS (SELECT img, a AS id, min(b) AS c FROM reach GROUP BY ALL), sized AS (SE
 
 @query("m05_without_small", f"WITH RECURSIVE {FPX} {COMP} SELECT img, ((id - 1) // 50)::INT AS y, ((id - 1) % 50)::INT AS x FROM sized WHERE n >= 4")
 def without_small(spark, d):
-    found = A.per_image(B.fiber_pixels(spark, d), ["fiber"], lambda m: {"k": A.without_small(m, 4)}, "k boolean", **SIDE)
-    return found.where("k").select("img", "y", "x")
+    return T.without_small(B.fiber_pixels(spark, d).where("fiber"), 4)
 
 
 @query("k14_blob_detections", f"WITH RECURSIVE {FPX} {COMP} SELECT img, c::BIGINT AS blob, n AS area_px, round(n * 0.25::DOUBLE, 6) AS area_um2 FROM (SELECT DISTINCT img, c, n FROM sized) WHERE n >= 4")
 def blob_detections(spark, d):
     """Connected blobs with their areas, small ones dropped."""
-    label = A.per_image(B.fiber_pixels(spark, d), ["fiber"], lambda m: {"blob": A.components(m)}, "blob long", **SIDE).where("blob > 0")
+    first = col("label")
+    label = T.components(B.fiber_pixels(spark, d).where("fiber")).withColumn("blob", F.shiftright(first, 32) * B.SIDE + first % T.PLACE + 1)
     return label.groupBy("img", "blob").agg(F.count("*").alias("area_px")).where("area_px >= 4").withColumn("area_um2", F.round(col("area_px") * 0.25, 6))
 
 
@@ -75,7 +72,7 @@ gap AS (SELECT t.img, t.y, t.x, 2 * d AS w FROM t JOIN fpx USING (img, y, x) WHE
 
 
 def _gaps(spark, d):
-    return A.per_image(_mask(spark, d), ["fiber", "zone"], lambda m, z: {"w": A.gap_centers(m, z)}, "w double", **SIDE).where("w > 0")
+    return gaps_of(_mask(spark, d))
 
 
 @query("m10_gap_centers", f"{GAPS} SELECT img, y, x, round(w, 6) AS width FROM gap")
@@ -90,21 +87,18 @@ def gap_stats(spark, d):
 
 @query("m06_skeleton")
 def skeleton(spark, d):
-    return A.per_image(B.fiber_pixels(spark, d), ["fiber"], lambda m: {"s": A.thinned(m)}, "s boolean", **SIDE).where("s").select("img", "y", "x")
+    return T.thinned(B.fiber_pixels(spark, d).where("fiber"))
 
 
 @query("m07_orientation")
 def orientation(spark, d):
-    found = A.per_image(B.fiber_pixels(spark, d), ["g", "fiber"], lambda g, m: {"theta": A.orientation(g / 65535.0, m)}, "theta double", **SIDE)
-    return found.where("NOT isnan(theta)")
+    return T.orientation(B.fiber_pixels(spark, d).withColumn("v", col("g") / B.FULL_SCALE), "v", "fiber")
 
 
 @query("m11_ridge_filters")
 def ridge_filters(spark, d):
-    def planes(g):
-        v = np.clip(g / 30000.0, 0, 1)
-        return {k: A.ridges(v, [1.0, 2.0], k) for k in ("sato", "frangi", "meijering")}
-    return A.per_image(B.pixels(spark, d), ["g"], planes, "sato double, frangi double, meijering double", **SIDE)
+    px = B.pixels(spark, d).withColumn("v", F.least(F.greatest(col("g") / 30000.0, F.lit(0.0)), F.lit(1.0)))
+    return T.ridges(px, "v", [1.0, 2.0], ["sato", "frangi", "meijering"])
 
 
 @query("m12_coherence", """WITH p AS (SELECT img, y, x, v FROM (SELECT event_id // 2500 AS img, ((event_id % 2500) // 50)::INT AS y, (event_id % 50)::INT AS x, round(value * 100)::INT AS v FROM events)
@@ -114,11 +108,7 @@ g AS (SELECT p.img, p.y, p.x, sum(wy * q.v) AS gy, sum(wx * q.v) AS gx FROM p, o
 s AS (SELECT img, y // 10 AS iy, x // 10 AS ix, sum(gx * gx) AS xx, sum(gy * gy) AS yy, sum(gx * gy) AS xy FROM g GROUP BY ALL)
 SELECT img, iy, ix, round(sqrt((xx - yy) ** 2 + 4 * xy * xy) / (xx + yy), 6) AS coherence FROM s""")
 def coherence(spark, d):
-    def rows(g):
-        c = A.coherence(g.astype("f8"), 10)
-        iy, ix = np.mgrid[:5, :5]
-        return pd.DataFrame({"iy": iy.ravel().astype("i4"), "ix": ix.ravel().astype("i4"), "coherence": c.ravel()})
-    return A.per_image_rows(_mask(spark, d), ["g"], rows, "iy int, ix int, coherence double", **SIDE).select("img", "iy", "ix", F.round("coherence", 6).alias("coherence"))
+    return coherence_of(_mask(spark, d))
 
 
 # The same of every image, whole or not: a pixel without a row is no fiber, no background and no result, and an image ends at its own last row and column.
@@ -131,29 +121,26 @@ gap AS (SELECT t.img, t.y, t.x, 2 * d AS w FROM t JOIN fpx USING (img, y, x) JOI
 
 def nearest_fiber_of(px):
     """Distances to the nearest fiber; no rows of an image without one."""
-    found = A.per_own_image(px, ["fiber"], lambda m, here: {"d": A.distance(~m)}, "d double").where("d < double('infinity')")
+    found = T.distances(px, col("fiber")).where("d < double('infinity')")
     return found.select("img", "y", "x", F.round("d", 6).alias("d"))
 
 
 def fiber_width_of(px):
-    found = A.per_own_image(px, ["fiber"], lambda m, here: {"width": 2 * A.distance(m | ~here)}, "width double")
-    return found.where("width > 0 AND width < double('infinity')").select("img", "y", "x", F.round("width", 6).alias("width"))
+    found = T.distances(px, ~col("fiber")).where("d > 0 AND d < double('infinity')")
+    return found.select("img", "y", "x", F.round(2 * col("d"), 6).alias("width"))
 
 
 def zone_outside_of(px):
-    return A.per_own_image(px, ["zone"], lambda m, here: {"z": A.zone(m, "outside", 3.0)}, "z boolean").where("z").select("img", "y", "x")
+    return T.zone(px, col("zone"), "outside", 3.0)
 
 
 def gaps_of(px):
-    return A.per_own_image(px, ["fiber", "zone"], lambda m, z, here: {"w": A.gap_centers(m, z, here)}, "w double").where("w > 0")
+    return X.gap_centers(px, col("fiber"), col("zone")).withColumnRenamed("width", "w")
 
 
 def coherence_of(px):
-    def rows(g, here):
-        c = A.coherence(g.astype("f8"), 10, here)
-        iy, ix = np.mgrid[:c.shape[0], :c.shape[1]]
-        return pd.DataFrame({"iy": iy.ravel().astype("i4"), "ix": ix.ravel().astype("i4"), "coherence": c.ravel()})
-    found = A.per_own_image_rows(px, ["g"], rows, "iy int, ix int, coherence double").where("NOT isnan(coherence)")
+    """Of windows of 10 pixels that lie inside their image."""
+    found = X.window_coherence(px, "g", 10).where("coherence IS NOT NULL")
     return found.select("img", "iy", "ix", F.round("coherence", 6).alias("coherence"))
 
 
@@ -192,55 +179,64 @@ def coherence_any(spark, d):
     return coherence_of(B.pixels(spark, d))
 
 
-def _fibers(spark, d):
-    """fiber (unique over images), seq, y, x, traced on thinned masks."""
-    found = A.per_image_rows(B.fiber_pixels(spark, d), ["fiber"], lambda m: A.traced(A.thinned(m)), "fiber long, seq int, y int, x int", **SIDE)
-    return found.withColumn("fiber", col("img") * 100_000 + col("fiber"))
+def _paths(spark, d, walk):
+    return T.paths(T.thinned(B.fiber_pixels(spark, d).where("fiber")), walk)
 
 
 @query("g07_segment_walk")
 def segment_walk(spark, d):
-    """Links cut at junctions: tracing without joining any."""
-    found = A.per_image_rows(B.fiber_pixels(spark, d), ["fiber"], lambda m: A.traced(A.thinned(m), -1.0), "fiber long, seq int, y int, x int", **SIDE)
-    return found.groupBy("img", "fiber").agg(F.count("*").alias("n"))
+    """Pieces cut at junctions, with their pixels."""
+    return _paths(spark, d, A.segments).groupBy("img", "fiber").agg(F.count("*").alias("n"))
 
 
 @query("g08_traced_links")
 def traced_links(spark, d):
-    found = A.per_image_rows(B.fiber_pixels(spark, d), ["fiber"], lambda m: A.traced(A.thinned(m), -1.0), "fiber long, seq int, y int, x int", **SIDE)
-    return found.groupBy("img", "fiber").agg(F.min(F.struct("seq", "y", "x")).alias("a"), F.max(F.struct("seq", "y", "x")).alias("b")).select("img", "fiber", "a.y", "a.x", col("b.y").alias("y1"), col("b.x").alias("x1"))
+    """The two ends of each link between nodes."""
+    ends = _paths(spark, d, A.links).groupBy("img", "fiber").agg(F.min(F.struct("seq", "y", "x")).alias("a"), F.max(F.struct("seq", "y", "x")).alias("b"))
+    return ends.select("img", "fiber", "a.y", "a.x", col("b.y").alias("y1"), col("b.x").alias("x1"))
 
 
 @query("g09_traced_fibers")
 def traced_fibers(spark, d):
-    return M.path_shapes(_fibers(spark, d))
+    return M.path_shapes(_paths(spark, d, A.traced), "img")
 
 
 @query("j11_greedy_matching")
 def greedy_matching(spark, d):
     """Fibers before and after links are joined through junctions."""
-    joined = _fibers(spark, d).groupBy(F.expr("fiber div 100000").alias("img")).agg(F.countDistinct("fiber").alias("fibers"))
-    return joined.join(segment_walk(spark, d).groupBy("img").agg(F.count("*").alias("links")), "img")
+    skeleton = written(T.thinned(B.fiber_pixels(spark, d).where("fiber")), "skeleton")
+    counts = [T.paths(skeleton, walk).groupBy("img").agg(F.countDistinct("fiber").alias(name)) for name, walk in (("fibers", A.traced), ("links", A.links))]
+    return counts[0].join(counts[1], "img")
 
 
 @query("g06_window_morphometrics")
 def window_morphometrics(spark, d):
-    """Skeleton length, branches and ends, and median straightness, window by window."""
-    from ..operators.neighbors import ring_codes
-    codes = ring_codes(skeleton(spark, d))
-    cells = codes.groupBy("img", F.floor(col("y") / 10).alias("iy"), F.floor(col("x") / 10).alias("ix")).agg(F.count("*").alias("length_px"), F.count_if("is_junction").alias("branch_points"), F.count_if("is_endpoint").alias("endpoints"))
-    fibers = traced_fibers(spark, d).withColumn("img", F.expr("fiber div 100000"))
-    per = fibers.groupBy("img", F.floor(col("cy") / 10).alias("iy"), F.floor(col("cx") / 10).alias("ix")).agg(F.count("*").alias("n_fibers"), F.percentile("straightness", F.lit(0.5)).alias("straightness_median"))
-    return cells.join(per, ["img", "iy", "ix"], "left")
+    """Length, branches, ends, straightness, gaps and curvature, window by window."""
+    px = B.fiber_pixels(spark, d)
+    return X.window_morphometrics(px, col("fiber"), window=10)
 
 
 @query("g11_radon_alignment")
 def radon_alignment(spark, d):
-    return A.per_image_rows(B.pixels(spark, d), ["g"], lambda g: pd.DataFrame([A.alignment(g)]), "pmr double, ai double, fwhm double, entropy double, theta double", **SIDE)
+    return X.alignment(B.pixels(spark, d), "g", B.SIDE)
 
 
 @query("m13_segmentation", f"""WITH RECURSIVE {FPX.replace('g >= 7000 AS fiber', 'g >= 9000 AS fiber')} {COMP} SELECT img, count(*) AS n FROM sized WHERE n >= 3 GROUP BY img""")
 def segmentation(spark, d):
     """Channel, threshold, small objects: a composition."""
-    px = B.pixels(spark, d).withColumn("on", col("g") >= 9000)
-    return A.per_image(px, ["on"], lambda m: {"k": A.without_small(m, 3)}, "k boolean", **SIDE).where("k").groupBy("img").agg(F.count("*").alias("n"))
+    mask = X.segmented(B.pixels(spark, d), col("g"), cut=9000, least=3)
+    return mask.groupBy("img").agg(F.count("*").alias("n"))
+
+
+@query("m13_segmentation_ridges")
+def segmentation_ridges(spark, d):
+    """The whole chain: ridges, background taken off, threshold, closing, small objects."""
+    mask = X.segmented(B.pixels(spark, d), F.least(col("g") / 30000.0, F.lit(1.0)), cut=0.02, least=3, ridge="sato", sigmas=[1.0, 2.0], flatten=True, close=True)
+    return mask.groupBy("img").agg(F.count("*").alias("n"))
+
+
+@query("f01_pooled_features_all")
+def pooled_features_all(spark, d):
+    """All 19 features of the bank, with clamped edge windows."""
+    px = B.fiber_pixels(spark, d).withColumn("v", col("g") / B.FULL_SCALE)
+    return X.pooled(X.feature_planes(px, col("fiber"), "v"), window=11, stride=7, height=B.SIDE, width=B.SIDE, pixel_um=0.5)
