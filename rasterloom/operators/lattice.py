@@ -179,3 +179,12 @@ def anchored_groups(df: DataFrame, key: str, value: str, within: float = 1.02) -
 
     types = dict(counts.dtypes)
     return counts.groupBy(key).applyInPandas(chain, f"{key} {types[key]}, {value} {types[value]}, n long, anchor {types[value]}")
+
+
+def accumulated(px: DataFrame, value: str, tile: int) -> DataFrame:
+    """img, cells, total of an image's tiles; a tile that has not all pixels of its place, which the image's edge may cut, fails the run."""
+    ends = px.groupBy("img").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    tiles = px.groupBy("img", F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx")).agg(F.count("*").alias("n"), F.sum(value).alias("s")).join(ends, "img")
+    due = F.least(F.lit(tile), F.col("_h") - F.col("ty") * tile) * F.least(F.lit(tile), F.col("_w") - F.col("tx") * tile)
+    strict = F.when(F.col("n") == due, F.col("s")).otherwise(F.raise_error(F.concat(F.lit("tile of another shape in image "), F.col("img"))).cast("long"))
+    return tiles.groupBy("img").agg(F.sum("n").alias("cells"), F.sum(strict).alias("total"))

@@ -57,20 +57,47 @@ def gradient(df: DataFrame, value: Column, key: str = "img", y: str = "y", x: st
     return df.withColumns({"gy": along([key, x], y), "gx": along([key, y], x)})
 
 
-def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1, 3), **where) -> DataFrame:
-    """For each radius, mean, sd and deviation from the mean of each base, with the radius in the name."""
+def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1, 3), angle: str | None = None, weight: str | None = None,
+                 coverage: str | None = None, key: str = "img", y: str = "y", x: str = "x") -> DataFrame:
+    """For each radius, mean, sd and deviation from the mean of each base, with the radius in the name.
+
+    With an ``angle`` there are also its dispersion and deviation around, by
+    ``weight`` (or one each), and with a ``coverage`` the size of the gradient of
+    its mean. All sums of all radii go along rows at once and then along columns.
+    """
+    c, double = F.col, lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    sums = {}
+    for b in dict.fromkeys([*bases, *([coverage] if coverage else [])]):
+        sums |= {f"{b}_s": double(b), f"{b}_q": double(b) * double(b), f"{b}_n": c(b).isNotNull().cast("long")}
+    if angle:
+        w = F.when(c(angle).isNotNull() & (c(weight) > 0 if weight else F.lit(True)), c(weight).cast("double") if weight else F.lit(1.0)).otherwise(0.0)
+        sums |= {"_c": w * F.cos(F.radians(double(angle)) * 2), "_s": w * F.sin(F.radians(double(angle)) * 2), "_w": w}
+    along = lambda part, order, r: Window.partitionBy(key, part).orderBy(order).rangeBetween(-r, r)
+    df = df.withColumns({f"_{n}_r{r}": F.sum(e).over(along(y, x, r)) for r in radii for n, e in sums.items()})
+    df = df.withColumns({f"{n}_r{r}": F.sum(f"_{n}_r{r}").over(along(x, y, r)) for r in radii for n in sums})
+    made = {}
     for r in radii:
-        sums = {}
-        for b in bases:
-            v = F.col(b).cast("double")
-            sums |= {f"{b}_s": F.coalesce(v, F.lit(0.0)), f"{b}_q": F.coalesce(v * v, F.lit(0.0)), f"{b}_n": v.isNotNull().cast("long")}
-        df = box_sums(df, sums, r, r, **where)
-        made = {}
         for b in bases:
-            n, mean = F.col(f"{b}_n"), F.try_divide(f"{b}_s", f"{b}_n")
-            made |= {f"{b}_mean_r{r}": mean, f"{b}_sd_r{r}": F.sqrt(F.greatest(F.try_divide(F.col(f"{b}_q"), n) - mean * mean, F.lit(0.0))), f"{b}_dev_r{r}": F.col(b) - mean}
-        df = df.withColumns(made).drop(*sums)
-    return df
+            n, mean = c(f"{b}_n_r{r}"), F.try_divide(f"{b}_s_r{r}", f"{b}_n_r{r}")
+            made |= {f"{b}_mean_r{r}": mean, f"{b}_sd_r{r}": F.sqrt(F.greatest(F.try_divide(c(f"{b}_q_r{r}"), n) - mean * mean, F.lit(0.0))), f"{b}_dev_r{r}": c(b) - mean}
+        if angle:
+            cos, sin, some = c(f"_c_r{r}"), c(f"_s_r{r}"), c(f"_w_r{r}") > 0
+            apart = F.pmod(F.abs(c(angle) - F.pmod(F.degrees(F.atan2(sin, cos)) / 2, F.lit(180.0))), F.lit(180.0))
+            made |= {f"angular_dispersion_r{r}": F.when(some, 1 - F.least(F.lit(1.0), F.try_divide(F.sqrt(cos * cos + sin * sin), c(f"_w_r{r}")))),
+                     f"angle_dev_r{r}": F.when(some, F.least(apart, 180 - apart))}
+        if coverage:
+            made |= {f"_smooth_r{r}": F.coalesce(F.try_divide(f"{coverage}_s_r{r}", f"{coverage}_n_r{r}"), F.lit(0.0)), f"_some_r{r}": c(f"{coverage}_n_r{r}") > 0}
+    df = df.withColumns(made)
+    if coverage:
+        def slope(part: str, order: str, value: Column) -> Column:
+            w = Window.partitionBy(key, part).orderBy(order)
+            before, after = F.lag(value).over(w), F.lead(value).over(w)
+            return F.when(before.isNull(), after - value).when(after.isNull(), value - before).otherwise((after - before) / 2)
+        df = df.withColumns({f"_gy_r{r}": slope(x, y, c(f"_smooth_r{r}")) for r in radii})
+        df = df.withColumns({f"_gx_r{r}": slope(y, x, c(f"_smooth_r{r}")) for r in radii})
+        df = df.withColumns({f"coverage_grad_r{r}": F.when(c(f"_some_r{r}"), F.sqrt(c(f"_gy_r{r}") * c(f"_gy_r{r}") + c(f"_gx_r{r}") * c(f"_gx_r{r}"))) for r in radii})
+    spare = [f"{p}{n}_r{r}" for r in radii for n in sums for p in ("_", "")] + [f"_{n}_r{r}" for r in radii for n in ("smooth", "some", "gy", "gx")]
+    return df.drop(*spare)
 
 
 def centered_mean(df: DataFrame, value: Column, size: int, step: int, height: int, width: int) -> DataFrame:

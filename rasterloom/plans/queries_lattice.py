@@ -119,10 +119,7 @@ def aligned_box(spark, d):
 @query("r10_tile_accumulate", f"WITH {PX} SELECT img, count(*) AS cells, sum(g)::BIGINT AS total FROM px GROUP BY img")
 def tile_accumulate(spark, d):
     """Tiles joined to a map; a tile of another shape fails the whole image."""
-    px = B.pixels(spark, d).withColumn("tile", F.floor(col("y") / 25) * 2 + F.floor(col("x") / 25))
-    shapes = px.groupBy("img", "tile").agg(F.count("*").alias("n"), F.sum("g").alias("s"))
-    strict = F.when(col("n") <= 625, col("s")).otherwise(F.raise_error(F.lit("tile of another shape")).cast("long"))
-    return shapes.groupBy("img").agg(F.sum("n").alias("cells"), F.sum(strict).alias("total"))
+    return L.accumulated(B.pixels(spark, d), "g", 25)
 
 
 @query("r11_core_geometry", "SELECT * FROM (VALUES (7, 2, 6, 1, 7)) AS t(core, inset, whole, partial, total)")

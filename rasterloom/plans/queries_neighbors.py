@@ -59,6 +59,25 @@ def context_bank(spark, d):
     return bank.select("img", "y", "x", *(F.round(c, 3 if "sd" in c else 9).alias(c) for c in ("v_mean_r1", "v_sd_r1", "v_dev_r1", "w_mean_r1", "v_mean_r3", "w_mean_r3")))
 
 
+def _turns(r):
+    """SQL of the terms of a radius: dispersion and deviation of the angle, and the size of the gradient of the mean of v."""
+    axis = "((degrees(atan2(s, c)) / 2) % 180 + 180) % 180"
+    return f"""o{r} AS (SELECT img, y, x, CASE WHEN w > 0 THEN round(1 - least(1, sqrt(c * c + s * s) / w), 5) END AS angular_dispersion_r{r},
+  CASE WHEN w > 0 THEN round(least(abs(theta - {axis}) % 180, 180 - abs(theta - {axis}) % 180), 4) END AS angle_dev_r{r}
+  FROM ({box(r, 'a.theta, sum(b.w * cos(2 * radians(b.theta))) AS c, sum(b.w * sin(2 * radians(b.theta))) AS s, sum(b.w) AS w')})),
+g{r} AS (SELECT img, y, x, n, coalesce(mean, 0) AS v, lag(v) OVER r AS l, lead(v) OVER r AS e, lag(v) OVER c AS u, lead(v) OVER c AS d
+  FROM (SELECT img, y, x, n, mean, coalesce(mean, 0) AS v FROM ({box(r, 'avg(b.v) AS mean, count(b.v) AS n')})) WINDOW r AS (PARTITION BY img, y ORDER BY x), c AS (PARTITION BY img, x ORDER BY y)),
+s{r} AS (SELECT img, y, x, CASE WHEN n > 0 THEN round(sqrt(CASE WHEN l IS NULL THEN e - v WHEN e IS NULL THEN v - l ELSE (e - l) / 2 END ** 2
+  + CASE WHEN u IS NULL THEN d - v WHEN d IS NULL THEN v - u ELSE (d - u) / 2 END ** 2), 6) END AS coverage_grad_r{r} FROM g{r})"""
+
+
+@query("w05_context_terms", f"WITH {HOLED}, {_turns(1)}, {_turns(3)} SELECT * FROM o1 JOIN o3 USING (img, y, x) JOIN s1 USING (img, y, x) JOIN s3 USING (img, y, x)")
+def context_terms(spark, d):
+    """The three terms of the bank that are no base's own: dispersion, deviation of the axis, gradient of the coverage."""
+    bank = N.context_bank(holed(spark, d), ["v"], angle="theta", weight="w", coverage="v")
+    return bank.select("img", "y", "x", *(F.round(f"{n}_r{r}", k).alias(f"{n}_r{r}") for r in (1, 3) for n, k in (("angular_dispersion", 5), ("angle_dev", 4), ("coverage_grad", 6))))
+
+
 @query("w06_centered_box_mean", f"""WITH {PX}, c AS (SELECT k, least(k * 6 + 3, 49) AS at FROM unnest(range(9)) AS t(k))
 SELECT img, cy.k AS gy, cx.k AS gx, round(avg(g), 6) AS mean FROM px JOIN c cy ON y BETWEEN cy.at - 4 AND cy.at + 3 JOIN c cx ON x BETWEEN cx.at - 4 AND cx.at + 3 GROUP BY ALL""")
 def centered_box_mean(spark, d):

@@ -204,3 +204,10 @@ def test_pooled_features(px, planes):
     assert np.isclose(core.loc[(0, 0, 0), "width_mean_um"], found.loc[(0, 1, 1), "width_mean_um"])
     with pytest.raises(ValueError):
         X.pooled(made, window=12, stride=6, height=H, width=W, crop=(40, 0, 30, 10))
+
+
+def test_a_tile_of_another_shape_fails(spark, px):
+    from rasterloom.operators.lattice import accumulated
+    assert {tuple(r) for r in accumulated(px.withColumn("g", F.lit(1)), "g", 16).collect()} == {(i, H * W, H * W) for i in range(3)}
+    with pytest.raises(Exception, match="another shape"):
+        accumulated(px.where("NOT (img = 1 AND y = 3 AND x = 3)").withColumn("g", F.lit(1)), "g", 16).collect()
