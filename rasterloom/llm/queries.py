@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, langid, licenses, lines, minhash, mixing, oracles, substring, tokens
+from . import (chat, collocations, decontam, embeddings, langid, licenses, lines, minhash, mixing, oracles, pieces, spelling, substring,
+               tokens)
 
 QUERIES: dict = {
     "op1_token_simple8b": tokens.op1_token_simple8b,
@@ -15,8 +16,11 @@ QUERIES: dict = {
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op9_chat_quotes": chat.op9_chat_quotes,
     "op10_dart_minhash": minhash.op10_dart_minhash,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-#: The tokenizer (op1), the draws of the mix (op3) and the fitted model (op6) are beyond SQL; tests/llm has plain versions.
+#: The tokenizers (op1, op12), the draws of the mix (op3) and the fitted model (op6) are beyond SQL; tests/llm has plain versions.
 ORACLES: dict = {
     "op2_substring_dedup": oracles.SUBSTRINGS,
     "op4_license_scan": oracles.LICENSES,
@@ -25,4 +29,6 @@ ORACLES: dict = {
     "op8_embedding_dedup": oracles.EMBEDDINGS,
     "op9_chat_quotes": chat.ORACLE_SQL,
     "op10_dart_minhash": oracles.NEAR_DUPLICATES,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
