@@ -1,7 +1,8 @@
 """Collocations: frequent phrases of up to five words, by hashed bucket counts and Apriori pruning.
 
-One pass over the texts for each length k. A task numbers the words of some
-megabytes of text, hashes all windows at once, and in one sweep
+First the words of each few megabytes of text are numbered, and these portions
+written. Then there is one pass over them for each length k. A task hashes a
+portion's windows all at once and, in one sweep,
 
 - counts the phrases of k words that are left: both their parts of k - 1 words
   are frequent (Apriori), and their bucket holds enough,
@@ -28,16 +29,18 @@ from pyspark.sql import functions as F
 
 from . import common
 from .hashing import Windows
+from .packing import BREAK, numbers, packed, planes, unpacked
 
 #: In UTF-8 no byte is 0xFF, so it can stand for the end of a piece.
-END = b"\xff"
+END = BREAK
 #: For bytes.translate: ASCII upper case to lower, what ends a piece to END.
 PIECES = bytes(255 if c in b".,;:!?\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Buckets a slice, so that a place takes two bytes.
 SLICE = 1 << 16
-#: Characters that a task holds at once.
-PORTION = 10_000_000
+#: Bytes of text that a task holds at once.
+PORTION = 6_000_000
 
+PORTION_SCHEMA = "ids binary, words binary, langs array<string>, which binary"
 PART_SCHEMA = "lang string, phrase string, n long, slice int, places binary, counts binary"
 
 
@@ -54,27 +57,37 @@ class _Words(dict):
         return n
 
 
+def _numbered(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    """A portion of rows (lang, text): its words' numbers, 0 at the end of each piece, and all different words of each language."""
+    known: list = [("", END)]
+    words: dict[str, _Words] = {}
+    ids = []
+    for lang, text in rows:
+        if lang not in words:
+            words[lang] = _Words(lang, known)
+        found = text.translate(PIECES).replace(END, b" \xff ").split()
+        found.append(END)
+        ids.append(np.fromiter(map(words[lang].__getitem__, found), "i4", len(found)))
+    langs = list(words)
+    order = {lang: i for i, lang in enumerate(langs)}
+    return pa.RecordBatch.from_pydict({
+        "ids": pa.array([planes(np.concatenate(ids))], pa.binary()), "words": pa.array([packed(BREAK.join([w for _, w in known[1:]]))], pa.binary()),
+        "langs": pa.array([langs], pa.list_(pa.string())), "which": pa.array([planes(np.array([order[lang] for lang, _ in known[1:]], "u4"))], pa.binary())})
+
+
 class Portion:
-    """The words of some texts as numbers, 0 at the end of each piece, and the hashes of their windows."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        self.known: list = [("", END)]
-        numbers: dict[str, _Words] = {}
-        ids = []
-        for lang, text in rows:
-            words = numbers.get(lang)
-            if words is None:
-                words = numbers[lang] = _Words(lang, self.known)
-            found = text.encode("utf-8").translate(PIECES).replace(END, b" \xff ").split()
-            ids.append(np.fromiter(map(words.__getitem__, found), "i4", len(found)))
-            ids.append(np.zeros(1, "i4"))
-        self.ids = np.concatenate(ids)
-        salts = {lang: lang.encode("utf-8") + END for lang in numbers}
-        hashes = np.array([0] + [xxhash.xxh3_64_intdigest(salts[lang] + word) for lang, word in self.known[1:]], "u8")
-        self.windows = Windows(hashes[self.ids])
-        at = np.arange(len(self.ids))
+    """The numbered words of some texts, and the hashes of their windows."""
+
+    def __init__(self, ids: bytes, words: bytes, langs: list[str], which: bytes):
+        self.ids = numbers(ids)
+        which = numbers(which).tolist()
+        self.known = [("", END), *((langs[i], w) for i, w in zip(which, unpacked(words).split(BREAK)))]
+        salts = [lang.encode("utf-8") + END for lang in langs]
+        hashes = [0, *(xxhash.xxh3_64_intdigest(salts[i] + w) for i, (_, w) in zip(which, self.known[1:]))]
+        self.windows = Windows(np.array(hashes, "u8")[self.ids])
+        ends = np.flatnonzero(self.ids == 0)
         #: Words from each place to its piece's end.
-        self.left = np.flatnonzero(self.ids == 0)[np.searchsorted(np.flatnonzero(self.ids == 0), at)] - at
+        self.left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(self.ids))
 
     def starts(self, length: int) -> np.ndarray:
         """Which of the places start a window inside a piece; as many as windows.of(length) has."""
@@ -82,7 +95,7 @@ class Portion:
 
     def phrases(self, starts: np.ndarray, length: int):
         """lang, phrase (UTF-8) and count of the different windows that start there, told apart by their words."""
-        rank = self.ids[starts].astype("i8")
+        rank = self.ids[starts]
         for j in range(1, length):
             key = rank * len(self.known) + self.ids[starts + j]
             rank = np.unique(key, return_inverse=True)[1]
@@ -111,18 +124,27 @@ class Bits:
         return (self.packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype("u1")) & 1 != 0
 
 
-def _portions(batches, most: int = PORTION):
-    """Rows (lang, text) of about ``most`` characters, but whole texts."""
-    rows, size = [], 0
+def _written_portions(texts: DataFrame, most: int) -> DataFrame:
+    """Portions of about ``most`` bytes, but whole texts."""
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
+                rows.append((lang, text))
+                size += len(text)
+                if size >= most:
+                    yield _numbered(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _numbered(rows)
+
+    return common.written(texts.mapInArrow(run, PORTION_SCHEMA), "portions")
+
+
+def _portions(batches):
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            rows.append((lang, text))
-            size += len(text)
-            if size >= most:
-                yield Portion(rows)
-                rows, size = [], 0
-    if rows:
-        yield Portion(rows)
+        for row in zip(*(batch[c].to_pylist() for c in ("ids", "words", "langs", "which"))):
+            yield Portion(*row)
 
 
 def _phrase_batch(langs, phrases, counts) -> pa.RecordBatch:
@@ -181,14 +203,13 @@ def _gathered(parts: DataFrame, buckets: int, least: int) -> Bits:
     return Bits(packed)
 
 
-def _pass(texts: DataFrame, length: int, longest: int, buckets: int, least: int, known: Bits | None, full: Bits | None, portion: int) -> DataFrame:
+def _pass(portions: DataFrame, length: int, longest: int, buckets: int, least: int, known: Bits | None, full: Bits | None) -> DataFrame:
     """What the tasks of one pass send on: phrases of ``length`` words, buckets of one word more, words in all (first pass)."""
-    context = texts.sparkSession.sparkContext
-    sent = context.broadcast((known, full))
+    sent = portions.sparkSession.sparkContext.broadcast((known, full))
 
     def run(batches):
         known, full = sent.value
-        for held in _portions(batches, portion):
+        for held in _portions(batches):
             left = held.starts(length)
             if length > 1:
                 parts = known.has(held.windows.of(length - 1))
@@ -205,16 +226,18 @@ def _pass(texts: DataFrame, length: int, longest: int, buckets: int, least: int,
                 after &= left[:len(after)] & left[1:len(after) + 1]
                 yield _bucket_batch(held.windows.of(length + 1)[after], buckets, least)
 
-    return common.written(texts.mapInArrow(run, PART_SCHEMA), "phrases")
+    return common.written(portions.mapInArrow(run, PART_SCHEMA), "phrases")
 
 
 def _frequent_bits(frequent: DataFrame, length: int, buckets: int, least: int) -> Bits:
     """The bits of the buckets of frequent phrases of so many words."""
     def run(batches):
-        for portion in _portions(batches):
-            yield _bucket_batch(portion.windows.of(length)[portion.starts(length)], buckets, least, least)
+        for batch in batches:
+            stored = _numbered(list(zip(batch["lang"].to_pylist(), batch["text"].to_pylist())))
+            for held in _portions([stored]):
+                yield _bucket_batch(held.windows.of(length)[held.starts(length)], buckets, least, least)
 
-    return _gathered(frequent.select("lang", F.col("phrase").alias("text")).mapInArrow(run, PART_SCHEMA), buckets, least)
+    return _gathered(frequent.select("lang", F.col("phrase").cast("binary").alias("text")).mapInArrow(run, PART_SCHEMA), buckets, least)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_buckets: int = 1 << 30, portion: int = PORTION) -> DataFrame:
@@ -224,19 +247,20 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_b
     to 0x0D) part pieces, spaces and tabs part words; a phrase lies in one
     piece, its occurrences may overlap. A null text is empty, a null lang is
     ``und``. Rows that repeat count again; other columns are not read. An empty
-    table gives no row. ``portion`` is the characters that a task holds at once;
+    table gives no row. ``portion`` is the bytes of text that a task holds at once;
     neither it nor ``most_buckets`` (a power of two) changes a result.
     """
     if most_buckets < SLICE or most_buckets & (most_buckets - 1):
         raise ValueError(f"most_buckets must be a power of two of {SLICE} at least")
     spark = docs.sparkSession
     common.small_batches(spark)
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).where("text IS NOT NULL")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = min(most_buckets, max(SLICE, 1 << (int(size) // 128).bit_length()))
+    portions = _written_portions(texts, portion)
     known = full = found = None
     for length in range(1, longest + 1):
-        parts = _pass(texts, length, longest, buckets, least, known, full, portion)
+        parts = _pass(portions, length, longest, buckets, least, known, full)
         counted = parts.where("slice IS NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         counted = common.written(counted.where(f"phrase IS NULL OR f >= {int(least)}")
                                  .select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(length).alias("length"), "f"), "frequent")

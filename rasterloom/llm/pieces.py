@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .packing import BREAK, numbers, packed, planes, unpacked
 
 MARK = "▁"
 #: Characters of a block, and distinct words that a task holds at once.
 BLOCK = 12_000_000
 MOST_WORDS = 1_000_000
-#: No UTF-8 text has this byte.
-BREAK = b"\xff"
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<int>, places binary, packs array<struct<part int, words binary>>"
 
@@ -87,23 +86,6 @@ class _Numbered(dict):
         return n
 
 
-def _packed(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
-
-
-def _unpacked(data: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers under 2**32, lowest bytes first, packed."""
-    return _packed(np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes())
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_unpacked(data), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
-
-
 def _block(number: int, rows: list, parts: int, cut) -> pa.RecordBatch:
     found = _Numbered()
     places, sizes = [], []
@@ -118,10 +100,10 @@ def _block(number: int, rows: list, parts: int, cut) -> pa.RecordBatch:
     renumbered[order] = np.arange(len(words), dtype="u4")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     order = order.tolist()
-    packs = [{"part": p, "words": _packed(BREAK.join([words[i] for i in order[a:b]]))} for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
+    packs = [{"part": p, "words": packed(BREAK.join([words[i] for i in order[a:b]]))} for p, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if b > a]
     return pa.RecordBatch.from_arrays(
         [pa.array([number], pa.int64()), pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-         pa.array([_planes(renumbered[np.concatenate(places)])], pa.binary()), pa.array([packs], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
+         pa.array([planes(renumbered[np.concatenate(places)])], pa.binary()), pa.array([packs], pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))],
         ["block", "doc_ids", "sizes", "places", "packs"])
 
 
@@ -153,7 +135,7 @@ def _segmented(packs: DataFrame, path: str) -> DataFrame:
             for block, part, words in zip(batch["block"].to_pylist(), batch["part"].to_pylist(), batch["words"].to_pylist()):
                 if part != now or len(table) > MOST_WORDS:
                     now, table = part, {}
-                words = _unpacked(words).split(BREAK)
+                words = unpacked(words).split(BREAK)
                 new = [w for w in words if w not in table]
                 for word, ids in zip(new, model.encode([w.decode("utf-8") for w in new], num_threads=1)):
                     table[word] = np.array(ids, "u4")
@@ -162,8 +144,8 @@ def _segmented(packs: DataFrame, path: str) -> DataFrame:
                 ids = [table[w] for w in words]
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([block], pa.int64()), "part": pa.array([part], pa.int32()),
-                    "ids": pa.array([_planes(np.concatenate(ids))], pa.binary()),
-                    "sizes": pa.array([_planes(np.array([len(x) for x in ids]))], pa.binary())})
+                    "ids": pa.array([planes(np.concatenate(ids))], pa.binary()),
+                    "sizes": pa.array([planes(np.array([len(x) for x in ids]))], pa.binary())})
 
     dealt = packs.repartition(common.partitions(packs.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "block long, part int, ids binary, sizes binary")
@@ -173,14 +155,14 @@ def _joined(blocks: DataFrame, segmented: DataFrame) -> DataFrame:
     """doc_id and ids of each text: a block's packs and its positions meet."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        ids = [_numbers(x) for x in right["ids"].to_pylist()]
-        sizes = [_numbers(x) for x in right["sizes"].to_pylist()]
+        ids = [numbers(x) for x in right["ids"].to_pylist()]
+        sizes = [numbers(x) for x in right["sizes"].to_pylist()]
         ids = np.concatenate([*ids, np.empty(0, "i8")]).astype("i4")
         sizes = np.concatenate([*sizes, np.empty(0, "i8")])
         first = np.cumsum(sizes) - sizes
         texts, doc_ids = [], []
         for docs, lens, places in zip(left["doc_ids"].to_pylist(), left["sizes"].to_pylist(), left["places"].to_pylist()):
-            places = _numbers(places)
+            places = numbers(places)
             at = 0
             for doc_id, n in zip(docs, lens):
                 mine = places[at:at + n]

@@ -78,8 +78,9 @@ def test_collocations_do_not_depend_on_portions_or_buckets(spark):
 
 
 def test_buckets_that_are_full_prune_nothing_and_lose_nothing():
-    rows = [(lang or "und", text or "") for _, text, lang in phrases()]
-    held = collocations.Portion(rows)
+    rows = [(lang or "und", (text or "").encode()) for _, text, lang in phrases()]
+    stored = collocations._numbered(rows).to_pydict()
+    held = collocations.Portion(*(stored[c][0] for c in ("ids", "words", "langs", "which")))
     hashes = held.windows.of(2)[held.starts(2)]
     batch = collocations._bucket_batch(hashes, 1 << 16, 3).to_pydict()
     counted = Counter()
@@ -156,7 +157,7 @@ def test_each_word_is_segmented_once(spark, model):
     assert blocks.count() == 4 and packs.count() == sum(len(r.packs) for r in blocks.collect())
     parts = defaultdict(set)
     for r in packs.collect():
-        for w in pieces._unpacked(r.words).split(pieces.BREAK):
+        for w in pieces.unpacked(r.words).split(pieces.BREAK):
             parts[w].add(r.part)
     assert set(parts) == {b"the", b"same", b"words", b"again", b""} and all(len(p) == 1 for p in parts.values())
 
