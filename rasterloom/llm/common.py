@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt by ``key`` as a shuffle would deal it, so that grouping by it later moves no row.
+
+    The catalog's entry is there for the writing only; the folder stays.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    entry = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(entry)
+    found = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,8 +13,9 @@ after the other. So
    the ids go back, packed by block;
 3. blocks join the ids back by the words' numbers, text by text.
 
-What is shuffled is each block's different words, their ids, and the numbers
-by position, all compressed, and never the texts. With a vocabulary for which
+What is shuffled is each block's different words and their ids, compressed,
+and never the texts; the numbers by position are written dealt by block and
+stay where they are. With a vocabulary for which
 that does not hold a text is one word.
 """
 
@@ -122,7 +123,7 @@ def _blocks(docs: DataFrame, path: str, parts: int, most: int = BLOCK) -> DataFr
         if rows:
             yield _block(number, rows, parts, cut)
 
-    return common.written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, BLOCK_SCHEMA), "blocks")
+    return common.written_by(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, BLOCK_SCHEMA), "blocks", "block")
 
 
 def _segmented(packs: DataFrame, path: str) -> DataFrame:
