@@ -222,119 +222,6 @@ def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato", dark: boo
     return np.clip(response(plane) / response(reference)[reach, reach], 0, 1)
 
 
-class Network:
-    """A skeleton's pixels with their neighbors in step order, junctions (three changes around the ring at least) and ends (one neighbor at most)."""
-
-    def __init__(self, skeleton: np.ndarray) -> None:
-        around = ring(skeleton)
-        changes = sum((around[k] == 0) & (around[(k + 1) % 8] == 1) for k in range(8))
-        self.pixels = [(int(y), int(x)) for y, x in zip(*np.nonzero(skeleton))]
-        there = set(self.pixels)
-        self.near = {p: [q for q in ((p[0] + dy, p[1] + dx) for dy, dx in STEPS) if q in there] for p in self.pixels}
-        self.junctions = {p for p in self.pixels if changes[p] >= 3}
-        self.nodes = [p for p in self.pixels if p in self.junctions or len(self.near[p]) <= 1]
-
-    def links(self) -> list[list[tuple[int, int]]]:
-        """Paths from node to node; where there is a choice, the pixel most nearly straight ahead is next."""
-        found, taken, ends = [], set(), set(self.nodes)
-        for node in self.nodes:
-            for first in self.near[node]:
-                if (node, first) in taken:
-                    continue
-                path, walked = [node, first], {node, first}
-                while path[-1] not in ends:
-                    (y0, x0), (y, x) = path[-2:]
-                    ahead = [q for q in self.near[path[-1]] if q not in walked]
-                    if not ahead:
-                        break
-                    path.append(max(ahead, key=lambda q: (q[0] - y) * (y - y0) + (q[1] - x) * (x - x0)))
-                    walked.add(path[-1])
-                taken |= {(path[0], path[1]), (path[-1], path[-2])}
-                found.append(path)
-        return found
-
-    def segments(self) -> list[list[tuple[int, int]]]:
-        """Walks from ends first, then from any pixel left, over pixels not yet walked, that end on a junction; a lone pixel is one."""
-        found, walked = [], set()
-        for start in sorted(self.pixels, key=lambda p: len(self.near[p]) > 1):
-            if start in walked:
-                continue
-            path = [start]
-            walked.add(start)
-            while len(path) == 1 or path[-1] not in self.junctions:
-                step = next((q for q in self.near[path[-1]] if q not in walked), None)
-                if step is None:
-                    break
-                path.append(step)
-                walked.add(step)
-            if len(path) > 1 or not self.near[start]:
-                found.append(path)
-        return found
-
-
-def _points(found: list[list[tuple[int, int]]]) -> pd.DataFrame:
-    rows = [(fiber, seq, y, x) for fiber, path in enumerate(found) for seq, (y, x) in enumerate(path)]
-    return pd.DataFrame(rows, columns=["fiber", "seq", "y", "x"]).astype({"fiber": "i8", "seq": "i4", "y": "i4", "x": "i4"})
-
-
-def links(skeleton: np.ndarray) -> pd.DataFrame:
-    """fiber, seq, y, x of the links between nodes."""
-    return _points(Network(skeleton).links())
-
-
-def segments(skeleton: np.ndarray) -> pd.DataFrame:
-    """fiber, seq, y, x of the pieces between junctions."""
-    return _points(Network(skeleton).segments())
-
-
-def matched(paths: list[list[tuple[int, int]]], junctions: set[tuple[int, int]], most_turn: float, reach: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """Which path end goes on as which: at each junction the pair of ends that are most nearly opposite first, up to ``most_turn`` degrees.
-
-    An end is (path, 0 or 1); its direction is that of its first ``reach`` pixels.
-    """
-    meeting: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i, path in enumerate(paths):
-        meeting.setdefault(path[0], []).append((i, 0))
-        meeting.setdefault(path[-1], []).append((i, 1))
-
-    def outward(end: tuple[int, int]) -> np.ndarray:
-        path = paths[end[0]][::-1] if end[1] else paths[end[0]]
-        v = np.subtract(path[min(reach, len(path)) - 1], path[0]).astype("f8")
-        return v / (np.hypot(*v) or 1.0)
-
-    partner: dict[tuple[int, int], tuple[int, int]] = {}
-    for node in meeting.keys() & junctions:
-        pairs = [(float(outward(a) @ outward(b)), a, b) for a, b in itertools.combinations(meeting[node], 2) if a[0] != b[0]]
-        for dot, a, b in sorted(pairs, key=lambda pair: pair[0]):
-            if dot <= -np.cos(np.radians(most_turn)) and a not in partner and b not in partner:
-                partner[a], partner[b] = b, a
-    return partner
-
-
-def traced(skeleton: np.ndarray, most_turn: float = 70.0, reach: int = 8) -> pd.DataFrame:
-    """fiber, seq, y, x: links, joined through junctions where two are most nearly opposite.
-
-    A ring without a node has no place to start from and is not traced; links
-    joined to a ring stay apart.
-    """
-    network = Network(skeleton)
-    found = network.links()
-    partner = matched(found, network.junctions, most_turn, reach)
-    whole, done = [], set()
-    for i in range(len(found)):
-        side = next((s for s in (0, 1) if (i, s) not in partner), None)
-        if i in done or side is None:
-            continue
-        path, at = [], (i, side)
-        while at is not None and at[0] not in done:
-            done.add(at[0])
-            link = found[at[0]][::-1] if at[1] else found[at[0]]
-            path += link[1:] if path else link
-            at = partner.get((at[0], 1 - at[1]))
-        whole.append(path)
-    return _points(whole + [found[i] for i in range(len(found)) if i not in done])
-
-
 def alignment(plane: np.ndarray) -> dict[str, float]:
     """Radon alignment of a square window: the variance of projections at each degree, inside the inscribed disk.
 

@@ -13,12 +13,15 @@ from ..sources.shared import written
 from . import arrays as A
 from . import morph as M
 from . import tiles as T
+from . import tracing as R
 from . import windows as W
 from .neighbors import RING, closed, neighbor_extreme, ring_codes, top_hat
 
 #: A window whose gradients have less energy than this a pixel is flat.
 FLAT = 1e-12
 AT = ["img", "y", "x"]
+#: Windows a side of an image, for one number an image and window; images are numbered up to 2**23.
+WINDOWS = 1 << 20
 
 
 def segmented(px: DataFrame, value: Column, cut: float, least: int = 0, *, ridge: str | None = None, sigmas: Sequence[float] = (1.0,),
@@ -86,7 +89,7 @@ def feature_planes(px: DataFrame, fiber: Column, value: str) -> DataFrame:
     """
     base = written(px.select(*AT, fiber.alias("fiber"), F.col(value).cast("double").alias("v"), fiber.cast("double").alias("m")), "planes")
     skeleton = written(T.thinned(base.where("fiber").select(*AT)), "skeleton")
-    paths = written(T.paths(skeleton, A.traced), "paths")
+    paths = written(R.traced(skeleton), "paths")
     shapes = M.path_shapes(paths).select("fiber", F.col("n").alias("length"), "arc", "straightness").join(M.path_curvature(paths, 4, axial=False, shorter=True), "fiber", "left")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
     painted = (paths.join(shapes.where("length >= 2"), "fiber").withColumn("equivalent", 1 / F.col("length"))
@@ -151,20 +154,15 @@ def window_morphometrics(px: DataFrame, fiber: Column, window: int, inside: Colu
     if "length" not in which:
         found = found.select("img", "iy", "ix")
     if "straightness" in which:
-        shapes = M.path_shapes(T.paths(skeleton, A.traced), "img")
+        shapes = M.path_shapes(R.traced(skeleton), "img")
         found = found.join(shapes.groupBy("img", *cell("cy", "cx")).agg(F.count("*").alias("n_fibers"), F.percentile("straightness", F.lit(0.5)).alias("straightness_median")), ["img", "iy", "ix"], "left")
     if "gaps" in which:
         gaps = gap_centers(px, fiber, inside).groupBy("img", *cell()).agg(F.avg("width").alias("gap_mean_px"), F.max("width").alias("gap_max_px"), F.count("*").alias("gap_count"))
         found = found.join(gaps, ["img", "iy", "ix"], "full")
     if "curvature" in which:
-        def trace(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            plane = np.zeros((window, window), bool)
-            plane[part["y"] % window, part["x"] % window] = True
-            made = A.traced(plane)
-            return made.assign(img=key[0], iy=key[1], ix=key[2], fiber=[f"{key[0]}/{key[1]}/{key[2]}/{k}" for k in made["fiber"]])
-
-        inner = skeleton.select(*AT, *cell()).groupBy("img", "iy", "ix").applyInPandas(trace, "img long, iy int, ix int, fiber string, seq int, y int, x int")
-        inner = written(inner, "inner")
+        # Each window is an image of its own.
+        own = skeleton.select((F.col("img") * WINDOWS * WINDOWS + F.floor(F.col("y") / window) * WINDOWS + F.floor(F.col("x") / window)).alias("img"), (F.col("y") % window).alias("y"), (F.col("x") % window).alias("x"))
+        inner = written(R.traced(own), "inner").withColumns({"iy": F.pmod(F.floor(F.col("img") / WINDOWS), F.lit(WINDOWS)).cast("int"), "ix": F.pmod("img", F.lit(WINDOWS)).cast("int"), "img": F.floor(F.col("img") / (WINDOWS * WINDOWS))})
         bends = M.path_curvature(inner, 4).join(inner.where("seq = 0").select("fiber", "img", "iy", "ix"), "fiber").groupBy("img", "iy", "ix").agg(F.avg("curvature").alias("mean_curvature_per_px"))
         found = found.join(bends, ["img", "iy", "ix"], "left")
     return found

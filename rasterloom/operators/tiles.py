@@ -3,7 +3,7 @@
 No image is one task's. A kernel of a known reach runs tile by tile with a halo
 of that reach. What no halo bounds is made of passes: distances go by strips of
 columns and then of rows, components by tiles whose labels are joined over the
-tiles' borders, thinning by rounds of a few steps each, and tracing by component.
+tiles' borders, and thinning by rounds of a few steps each; tracing is in ``tracing``.
 Each gives just what the kernel would on the whole image. A pixel without a row
 is neither on nor off, and gives no row.
 """
@@ -212,22 +212,6 @@ def thinned(mask: DataFrame, tile: int = TILE, steps: int = 8) -> DataFrame:
             return mask
 
 
-def paths(skeleton: DataFrame, walk: Callable[[np.ndarray], pd.DataFrame], tile: int = TILE) -> DataFrame:
-    """img, component, n, fiber, seq, y, x of the paths that ``walk`` finds on each component of a skeleton; fiber names a path.
-
-    Paths never leave their component, so a task holds a component and not an
-    image; one that spans a large image is held whole.
-    """
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(part["y"].min()), int(part["x"].min())
-        (here,) = _planes(part, [], top, left, (int(part["y"].max()) - top + 1, int(part["x"].max()) - left + 1))
-        found = walk(here)
-        return pd.DataFrame({"img": key[0], "component": key[1], "n": found["fiber"], "seq": found["seq"], "y": found["y"] + top, "x": found["x"] + left})
-
-    found = components(skeleton, True, tile).groupBy("img", "label").applyInPandas(run, "img long, component long, n long, seq int, y int, x int")
-    return found.select("img", "component", "n", F.concat_ws("/", "img", "component", "n").alias("fiber"), "seq", "y", "x")
-
-
 def orientation(px: DataFrame, value: str, mask: str, tile: int = TILE) -> DataFrame:
     """img, y, x, theta in degrees of the pixels of the mask."""
     found = per_tile(px, [value, mask], lambda g, m, here: {"theta": A.orientation(g, m.astype(bool))}, "theta double", halo=22, tile=tile)

@@ -8,6 +8,7 @@ from ..operators import arrays as A
 from ..operators import features as X
 from ..operators import morph as M
 from ..operators import tiles as T
+from ..operators import tracing as R
 from ..sources import bindings as B
 from ..sources.shared import written
 from .registry import query
@@ -179,34 +180,36 @@ def coherence_any(spark, d):
     return coherence_of(B.pixels(spark, d))
 
 
-def _paths(spark, d, walk):
-    return T.paths(T.thinned(B.fiber_pixels(spark, d).where("fiber")), walk)
+def _skeleton(spark, d):
+    return written(T.thinned(B.fiber_pixels(spark, d).where("fiber")), "skeleton")
 
 
 @query("g07_segment_walk")
 def segment_walk(spark, d):
     """Pieces cut at junctions, with their pixels."""
-    return _paths(spark, d, A.segments).groupBy("img", "fiber").agg(F.count("*").alias("n"))
+    return R.segments(_skeleton(spark, d)).groupBy("img", "fiber").agg(F.count("*").alias("n"))
 
 
 @query("g08_traced_links")
 def traced_links(spark, d):
     """The two ends of each link between nodes."""
-    ends = _paths(spark, d, A.links).groupBy("img", "fiber").agg(F.min(F.struct("seq", "y", "x")).alias("a"), F.max(F.struct("seq", "y", "x")).alias("b"))
+    ends = R.traced_links(_skeleton(spark, d)).groupBy("img", "fiber").agg(F.min(F.struct("seq", "y", "x")).alias("a"), F.max(F.struct("seq", "y", "x")).alias("b"))
     return ends.select("img", "fiber", "a.y", "a.x", col("b.y").alias("y1"), col("b.x").alias("x1"))
 
 
 @query("g09_traced_fibers")
 def traced_fibers(spark, d):
-    return M.path_shapes(_paths(spark, d, A.traced), "img")
+    return M.path_shapes(R.traced(_skeleton(spark, d)), "img")
 
 
 @query("j11_greedy_matching")
 def greedy_matching(spark, d):
-    """Fibers before and after links are joined through junctions."""
-    skeleton = written(T.thinned(B.fiber_pixels(spark, d).where("fiber")), "skeleton")
-    counts = [T.paths(skeleton, walk).groupBy("img").agg(F.countDistinct("fiber").alias(name)) for name, walk in (("fibers", A.traced), ("links", A.links))]
-    return counts[0].join(counts[1], "img")
+    """Links, pairs of their ends and fibers of each image: a pair makes one path of two, but for those that close a ring."""
+    found = written(R.links(_skeleton(spark, d)), "links")
+    joins = written(R.partners(found), "joins")
+    fibers = R.fibers(found, joins).groupBy("img").agg(F.count("*").alias("fibers"))
+    pairs = joins.groupBy("img").agg((F.count("*") / 2).cast("long").alias("pairs"))
+    return found.groupBy("img").agg(F.count("*").alias("links")).join(pairs, "img", "left").join(fibers, "img", "left").select("img", "fibers", "links", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 @query("g06_window_morphometrics")

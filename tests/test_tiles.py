@@ -2,12 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import plain_paths as P
 import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.operators import arrays as A
 from rasterloom.operators import features as X
 from rasterloom.operators import tiles as T
+from rasterloom.operators import tracing as R
 
 H, W, TILE = 37, 45, 16
 
@@ -104,49 +106,93 @@ def test_filters_with_a_halo(px, planes):
         assert np.allclose(back(slope, "gy", np.nan, i), gy) and np.allclose(back(slope, "gx", np.nan, i), gx)
 
 
-def path_set(rows):
-    return {tuple(map(tuple, p.sort_values("seq")[["y", "x"]].to_numpy().tolist())) for _, p in rows.groupby("fiber")}
+def lists(rows):
+    return [list(map(tuple, p.sort_values("seq")[["y", "x"]].to_numpy().tolist())) for _, p in rows.groupby("fiber")]
 
 
-@pytest.mark.parametrize("walk", [A.traced, A.links, A.segments])
-def test_paths_by_component(px, planes, walk):
-    found = T.paths(T.thinned(px.where("m"), TILE), walk, TILE).toPandas()
-    for i, m in enumerate(planes):
-        assert path_set(found[found["img"] == i]) == path_set(walk(A.thinned(m)))
+def table(spark, *masks):
+    rows = [(i, int(y), int(x)) for i, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    return spark.createDataFrame(rows, "img long, y int, x int")
+
+
+def curves(seed, h=40, w=56):
+    """Thinned strokes that cross, touch and turn."""
+    rng, m = np.random.default_rng(seed), np.zeros((h, w), bool)
+    for _ in range(11):
+        y, x, t = rng.random() * h, rng.random() * w, rng.random() * 6.3
+        for _ in range(int(rng.integers(10, 70))):
+            t += rng.normal() * 0.2
+            y, x = y + np.sin(t), x + np.cos(t)
+            if 0 <= y < h and 0 <= x < w:
+                m[int(y), int(x)] = True
+    return A.thinned(m)
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_paths_equal_plain_ones_for_any_tile(spark, planes, tile):
+    masks = [A.thinned(m) for m in planes] + [curves(k) for k in range(6)]
+    skeleton = table(spark, *masks)
+    found, whole = R.traced_links(skeleton, tile).toPandas(), R.traced(skeleton, tile=tile).toPandas()
+    walked = R.segments(skeleton, tile).toPandas()
+    for i, m in enumerate(masks):
+        assert P.either_way(lists(found[found["img"] == i])) == P.either_way(P.links(m))
+        assert P.either_way(lists(whole[whole["img"] == i])) == P.either_way(P.fibers(m))
+        assert P.either_way(lists(walked[walked["img"] == i])) == P.either_way(P.pieces(m))
 
 
 def drawn(*rows):
     return np.array([[c == "#" for c in row] for row in rows])
 
 
-def paths(points):
-    return [list(map(tuple, p[["y", "x"]].to_numpy().tolist())) for _, p in points.groupby("fiber")]
+def test_a_network_that_spans_many_tiles(spark):
+    """A snake without a node between its ends is one link, and a comb of crossing lines whole fibers, whatever the tiles."""
+    snake = np.zeros((58, 60), bool)
+    snake[::3] = True
+    for r in range(0, 57, 3):
+        snake[r:r + 3, 0 if r % 2 else -1] = True
+    grid = np.zeros((60, 60), bool)
+    grid[5:55:9, :] = grid[:, 4:55:9] = True
+    skeleton = table(spark, snake, grid)
+    for tile in (8, 512):
+        found = R.traced(skeleton, tile=tile).toPandas()
+        assert [len(p) for p in lists(found[found["img"] == 0])] == [snake.sum()]
+        straight = P.either_way(lists(found[found["img"] == 1]))
+        assert straight == P.either_way([[(y, x) for x in range(60)] for y in range(5, 55, 9)] + [[(y, x) for y in range(60)] for x in range(4, 55, 9)])
 
 
 def test_a_staircase_is_no_junction():
     stairs = drawn("##..", ".##.", "..##")
-    assert paths(A.segments(stairs)) == [[(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)]]
-    assert len(A.Network(stairs).junctions) == 0
+    assert P.either_way(P.pieces(stairs)) == [((0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3))]
+    assert not R.junctions(stairs).any()
 
 
 def test_walks_end_on_junctions_and_lone_pixels_are_walks():
     plus = drawn("..#....", "..#...#", "#####..", "..#....", "..#....")
-    found = paths(A.segments(plus))
-    assert [(1, 6)] in found and A.Network(plus).junctions == {(2, 2)}
-    assert [(0, 2), (1, 2), (2, 2)] in found
+    found = P.either_way(P.pieces(plus))
+    assert ((1, 6),) in found and P.crossings(plus) == {(2, 2)}
+    assert ((0, 2), (1, 2), (2, 2)) in found
 
 
-def test_a_fiber_goes_on_straight_over_a_junction_and_not_around_a_right_angle():
+def test_a_fiber_goes_on_straight_over_a_junction_and_not_around_a_right_angle(spark):
     plus = drawn("..#..", "..#..", "#####", "..#..", "..#..")
-    found = {frozenset(p) for p in paths(A.traced(plus))}
+    found = {frozenset(p) for p in lists(R.traced(table(spark, plus)).toPandas())}
     assert found == {frozenset((2, x) for x in range(5)), frozenset((y, 2) for y in range(5))}
-    tee = drawn("#####", "..#..", "..#..", "..#..")
-    assert len(paths(A.traced(tee))) == 2 and len(paths(A.links(tee))) >= 3
+    tee = table(spark, drawn("#####", "..#..", "..#..", "..#.."))
+    assert len(lists(R.traced(tee).toPandas())) == 2 and len(lists(R.traced_links(tee).toPandas())) >= 3
 
 
-def test_rings_without_a_node_are_not_traced():
+def test_rings_without_a_node_are_not_traced(spark):
     ring = drawn(".##.", "#..#", "#..#", ".##.")
-    assert A.traced(ring).empty and A.links(ring).empty and len(paths(A.segments(ring))) == 1
+    assert R.traced(table(spark, ring)).count() == 0 and R.traced_links(table(spark, ring), tile=2).count() == 0 and len(P.pieces(ring)) == 1
+    assert R.traced(table(spark, np.zeros((3, 3), bool))).count() == 0 and R.segments(table(spark, np.zeros((3, 3), bool))).count() == 0
+
+
+def test_a_tail_on_a_ring_does_not_run_in_circles(spark):
+    """A walk that gets into a ring without a junction stops before its own pixels, in one tile and over several."""
+    for shape in (drawn("#.....", ".#....", "..##..", "..#.#.", "...##."), drawn("......##.", "#####...#", "....#...#", "....#..#.", ".....##..")):
+        for tile in (2, 512):
+            found = lists(R.traced_links(table(spark, shape), tile).toPandas())
+            assert P.either_way(found) == P.either_way(P.links(shape))
 
 
 def test_segmentation_chain(px, planes):
@@ -162,9 +208,9 @@ def test_segmentation_chain(px, planes):
 def plain_features(m, v, y, x, window, um):
     """One window's features straight from whole planes."""
     skeleton, box = A.thinned(m), (slice(y, y + window), slice(x, x + window))
-    theta, network = A.orientation(m.astype("f8"), m), A.Network(skeleton)
+    theta, cross = A.orientation(m.astype("f8"), m), P.crossings(skeleton)
     straight, bent, share = (np.zeros(m.shape) for _ in range(3))
-    for p in paths(A.traced(skeleton)):
+    for p in P.fibers(skeleton):
         q = np.array(p, "f8")
         arc = np.hypot(*np.diff(q, axis=0).T).sum()
         at = tuple(np.array(p).T)
@@ -181,10 +227,10 @@ def plain_features(m, v, y, x, window, um):
     axis = np.exp(2j * np.radians(t)).mean() if len(t) >= max(1, int(0.1 * window * window)) else np.nan
     xx, yy, xy = ((p * q)[box].sum() for p, q in ((gx, gx), (gy, gy), (gx, gy)))
     inner = lambda points: sum(y <= p[0] < y + window and x <= p[1] < x + window for p in points)
-    ends = inner([p for p in network.pixels if len(network.near[p]) == 1])
+    ends = inner([p for p in map(tuple, np.argwhere(skeleton).tolist()) if len(P.near(skeleton, p)) == 1])
     return {"n_fiber_px": f.sum(), "coverage_fraction": f.mean(), "order_parameter": abs(axis), "length_um_per_um2": s.sum() / (area * um),
-            "branch_per_um2": inner(network.junctions) / (area * um * um), "endpoint_per_um2": ends / (area * um * um), "segment_equivalents_per_um2": share[box].sum() / (area * um * um),
-            "branch_to_endpoint_ratio": inner(network.junctions) / ends if ends else np.nan, "width_mean_um": width.mean() * um if len(width) else np.nan, "width_sd_um": width.std() * um if len(width) else np.nan,
+            "branch_per_um2": inner(cross) / (area * um * um), "endpoint_per_um2": ends / (area * um * um), "segment_equivalents_per_um2": share[box].sum() / (area * um * um),
+            "branch_to_endpoint_ratio": inner(cross) / ends if ends else np.nan, "width_mean_um": width.mean() * um if len(width) else np.nan, "width_sd_um": width.std() * um if len(width) else np.nan,
             "straightness_mean_lenweighted": straight[box].sum() / n if s.any() else np.nan, "curvature_mean_per_um": bent[box].sum() / n / um if s.any() else np.nan,
             "intensity_mean": v[box][f].mean() if f.any() else np.nan, "intensity_sd": v[box][f].std() if f.any() else np.nan, "signal_density": v[box].mean(), "signal_sd": v[box].std(),
             "intensity_coherence": np.hypot(xx - yy, 2 * xy) / (xx + yy), "gradient_energy": (xx + yy) / area}
