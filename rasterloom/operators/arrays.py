@@ -146,6 +146,29 @@ def gaussian(plane: np.ndarray, sigma: float) -> np.ndarray:
     return plane
 
 
+def smoothed(plane: np.ndarray, sigma: float, ranks: tuple[int, int]) -> np.ndarray:
+    """Derivatives down and across, of ranks 0 to 2, of the plane smoothed by sigma: one pass of the Gaussian's own derivative each way.
+
+    Kernels are cut at four sigmas and give just 0 on planes of a lower power, and 1 (or 2 / 2) on their own.
+    """
+    r = int(4 * sigma + 0.5)
+    t = np.arange(-r, r + 1)
+    k = np.exp(-0.5 * (t / sigma) ** 2)
+    k /= k.sum()
+    for axis, rank in enumerate(ranks):
+        if rank == 0:
+            w = k
+        elif rank == 1:
+            w = k * t / (k * t * t).sum()
+        else:
+            w = k * (t * t - (k * t * t).sum())
+            w = 2 * w / (w * t * t).sum()
+        pad = [(r, r) if a == axis else (0, 0) for a in (0, 1)]
+        padded = np.pad(plane.astype("f8"), pad, mode="symmetric")
+        plane = sum(v * np.take(padded, np.arange(i, i + plane.shape[axis]), axis) for i, v in enumerate(w))
+    return plane
+
+
 def scharr(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Derivatives down and across by the 3 x 3 kernel (3, 10, 3) / 16 * (-1, 0, 1) / 2, mirrored at the edges."""
     p = np.pad(plane.astype("f8"), 1, mode="symmetric")
@@ -185,17 +208,18 @@ def coherence(plane: np.ndarray, window: int, here: np.ndarray | None = None) ->
 def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato", dark: bool = False) -> np.ndarray:
     """Response to bright (or dark) ridges in [0, 1]: 1 is that of a straight ridge of full contrast of the first sigma's width.
 
-    From the eigenvalues of the Hessian at each sigma, of which the best counts.
+    From the eigenvalues of the Hessian at each sigma (by derivatives of the
+    Gaussian), of which the best counts. ``meijering`` and ``frangi`` go by the
+    eigenvalue that is larger in size, so that valleys give 0.
     What parts structure from noise in ``frangi`` is half the size of that ridge's
     eigenvalues, and not that of the strongest structure of this image.
     """
     def bends(image: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
-        g = gaussian(-image if dark else image, s)
-        dy, dx = np.gradient(g)
-        yy, xy = np.gradient(dy)
-        xx = np.gradient(dx)[1]
+        """The larger eigenvalue of the Hessian by size, and the other, at scale s."""
+        image = -image if dark else image
+        yy, xx, xy = (smoothed(image, s, ranks) * s * s for ranks in ((2, 0), (0, 2), (1, 1)))
         mid, half = (xx + yy) / 2, np.hypot((xx - yy) / 2, xy)
-        return (mid - half) * s * s, (mid + half) * s * s
+        return np.where(mid < 0, mid - half, mid + half), np.where(mid < 0, mid + half, mid - half)
 
     reach = int(8 * max(sigmas)) + 8
     offset = np.arange(-reach, reach + 1, dtype="f8")
@@ -206,14 +230,14 @@ def ridges(plane: np.ndarray, sigmas: list[float], kind: str = "sato", dark: boo
     def response(image: np.ndarray) -> np.ndarray:
         best = np.zeros(image.shape)
         for s in sigmas:
-            low, high = bends(image, s)
+            main, side = bends(image, s)
             if kind == "sato":
-                found = np.maximum(-low, 0)
+                found = np.maximum(-np.minimum(main, side), 0)
             elif kind == "meijering":
-                found = np.maximum(-(low + high / 3), 0)
+                found = np.where(main < 0, np.maximum(-(main + side / 3), 0), 0)
             elif kind == "frangi":
-                ratio, size = np.where(low != 0, high / np.where(low != 0, low, 1), 0), np.hypot(low, high)
-                found = np.where(low < 0, np.exp(-2 * ratio * ratio) * (1 - np.exp(-(size ** 2) / (2 * gamma ** 2))), 0)
+                ratio, size = np.where(main != 0, side / np.where(main != 0, main, 1), 0), np.hypot(main, side)
+                found = np.where(main < 0, np.exp(-2 * ratio * ratio) * (1 - np.exp(-(size ** 2) / (2 * gamma ** 2))), 0)
             else:
                 raise ValueError(f"unknown ridge filter {kind}")
             best = np.maximum(best, found)

@@ -28,11 +28,23 @@ def box_sums(df: DataFrame, sums: dict[str, Column], before: int, after: int, ke
 
 def box_stats(df: DataFrame, value: Column, radius: int, prefix: str, **where) -> DataFrame:
     """With prefix mean, sd (population) and n of the values that are there, in a square of that radius."""
-    v = value.cast("double")
+    df = shifted(df, {"_v": value.cast("double")}, where.get("key", "img"))
+    v = F.col("_v")
     df = box_sums(df, {f"{prefix}s": F.coalesce(v, F.lit(0.0)), f"{prefix}q": F.coalesce(v * v, F.lit(0.0)), f"{prefix}n": v.isNotNull().cast("long")}, radius, radius, **where)
     s, q, n = (F.col(f"{prefix}{c}") for c in "sqn")
     mean = F.when(n > 0, F.try_divide(s, n))
-    return df.withColumns({f"{prefix}mean": mean, f"{prefix}sd": F.when(n > 0, F.sqrt(F.greatest(F.try_divide(q, n) - mean * mean, F.lit(0.0))))}).drop(f"{prefix}s", f"{prefix}q")
+    sd = F.when(n > 0, F.sqrt(F.greatest(F.try_divide(q, n) - mean * mean, F.lit(0.0))))
+    return df.withColumns({f"{prefix}mean": mean + F.col("_v_mean"), f"{prefix}sd": sd}).drop(f"{prefix}s", f"{prefix}q", "_v", "_v_mean")
+
+
+def shifted(df: DataFrame, values: dict[str, Column], key: str = "img") -> DataFrame:
+    """With each value less its mean over the image, under its name, and that mean under the name with _mean.
+
+    Sums of squares of values far from 0 lose their digits; about their image's
+    mean they do not. The means are joined on the image.
+    """
+    means = df.groupBy(key).agg(*(F.avg(v).alias(f"{n}_mean") for n, v in values.items()))
+    return df.join(means, key).withColumns({n: v - F.col(f"{n}_mean") for n, v in values.items()})
 
 
 def orientation_context(df: DataFrame, theta: Column, weight: Column, radius: int, **where) -> DataFrame:
@@ -67,8 +79,10 @@ def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1,
     """
     c, double = F.col, lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
     sums = {}
-    for b in dict.fromkeys([*bases, *([coverage] if coverage else [])]):
-        sums |= {f"{b}_s": double(b), f"{b}_q": double(b) * double(b), f"{b}_n": c(b).isNotNull().cast("long")}
+    values = list(dict.fromkeys([*bases, *([coverage] if coverage else [])]))
+    df = shifted(df, {f"_v_{b}": c(b).cast("double") for b in values}, key)
+    for b in values:
+        sums |= {f"{b}_s": double(f"_v_{b}"), f"{b}_q": double(f"_v_{b}") * double(f"_v_{b}"), f"{b}_n": c(b).isNotNull().cast("long")}
     if angle:
         w = F.when(c(angle).isNotNull() & (c(weight) > 0 if weight else F.lit(True)), c(weight).cast("double") if weight else F.lit(1.0)).otherwise(0.0)
         sums |= {"_c": w * F.cos(F.radians(double(angle)) * 2), "_s": w * F.sin(F.radians(double(angle)) * 2), "_w": w}
@@ -79,14 +93,14 @@ def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1,
     for r in radii:
         for b in bases:
             n, mean = c(f"{b}_n_r{r}"), F.try_divide(f"{b}_s_r{r}", f"{b}_n_r{r}")
-            made |= {f"{b}_mean_r{r}": mean, f"{b}_sd_r{r}": F.sqrt(F.greatest(F.try_divide(c(f"{b}_q_r{r}"), n) - mean * mean, F.lit(0.0))), f"{b}_dev_r{r}": c(b) - mean}
+            made |= {f"{b}_mean_r{r}": mean + c(f"_v_{b}_mean"), f"{b}_sd_r{r}": F.sqrt(F.greatest(F.try_divide(c(f"{b}_q_r{r}"), n) - mean * mean, F.lit(0.0))), f"{b}_dev_r{r}": c(f"_v_{b}") - mean}
         if angle:
             cos, sin, some = c(f"_c_r{r}"), c(f"_s_r{r}"), c(f"_w_r{r}") > 0
             apart = F.pmod(F.abs(c(angle) - F.pmod(F.degrees(F.atan2(sin, cos)) / 2, F.lit(180.0))), F.lit(180.0))
             made |= {f"angular_dispersion_r{r}": F.when(some, 1 - F.least(F.lit(1.0), F.try_divide(F.sqrt(cos * cos + sin * sin), c(f"_w_r{r}")))),
                      f"angle_dev_r{r}": F.when(some, F.least(apart, 180 - apart))}
         if coverage:
-            made |= {f"_smooth_r{r}": F.coalesce(F.try_divide(f"{coverage}_s_r{r}", f"{coverage}_n_r{r}"), F.lit(0.0)), f"_some_r{r}": c(f"{coverage}_n_r{r}") > 0}
+            made |= {f"_smooth_r{r}": F.coalesce(F.try_divide(f"{coverage}_s_r{r}", f"{coverage}_n_r{r}") + c(f"_v_{coverage}_mean"), F.lit(0.0)), f"_some_r{r}": c(f"{coverage}_n_r{r}") > 0}
     df = df.withColumns(made)
     if coverage:
         def slope(part: str, order: str, value: Column) -> Column:
@@ -96,7 +110,7 @@ def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1,
         df = df.withColumns({f"_gy_r{r}": slope(x, y, c(f"_smooth_r{r}")) for r in radii})
         df = df.withColumns({f"_gx_r{r}": slope(y, x, c(f"_smooth_r{r}")) for r in radii})
         df = df.withColumns({f"coverage_grad_r{r}": F.when(c(f"_some_r{r}"), F.sqrt(c(f"_gy_r{r}") * c(f"_gy_r{r}") + c(f"_gx_r{r}") * c(f"_gx_r{r}"))) for r in radii})
-    spare = [f"{p}{n}_r{r}" for r in radii for n in sums for p in ("_", "")] + [f"_{n}_r{r}" for r in radii for n in ("smooth", "some", "gy", "gx")]
+    spare = [f"_v_{b}{m}" for b in values for m in ("", "_mean")] + [f"{p}{n}_r{r}" for r in radii for n in sums for p in ("_", "")] + [f"_{n}_r{r}" for r in radii for n in ("smooth", "some", "gy", "gx")]
     return df.drop(*spare)
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import boosting as G
 from ..operators import validate as V
 from ..sources import bindings as B
+from ..sources.shared import written
 from .registry import query
 from .views import PRED, TRAIN
 
@@ -250,3 +252,68 @@ def classified_detections(spark, d):
     p = V.abstained(B.predictions(spark, d), PROBS, least=0.3, margin=0.0, novelty=0.0)
     name = F.concat(F.lit("class_"), (F.array_position(F.array(*PROBS), col("top")) - 1).cast("string"))
     return p.select("row", F.when(col("top") >= 0.3, name).alias("name"), F.round("top", 6).alias("top"), F.round("margin", 6).alias("margin"))
+
+
+FEATURES = ["f1", "f2", "f3"]
+#: Rounds and leaves of the many fits of a validation; a model to keep has 200 rounds and 31 leaves.
+BRIEF = {"rounds": 10, "leaves": 15}
+
+
+@query("v15_histogram_boosting")
+def histogram_boosting(spark, d):
+    """Predicted by labelled class out of fold, of models of 200 rounds and 31 leaves."""
+    found = G.out_of_fold(B.training(spark, d), FEATURES, G.group_folds(B.training(spark, d)))
+    return V.confusion(found)
+
+
+@query("v08_permutation_refit")
+def permutation_refit(spark, d):
+    """p of the cross-validated model against models fitted anew to permuted labels."""
+    scores = written(G.permutation_null(B.training(spark, d), FEATURES, 19, **BRIEF), "scores")
+    return V.permutation_p(scores.where("b = 0"), scores.where("b > 0"))
+
+
+@query("v11_permutation_importance")
+def permutation_importance(spark, d):
+    return G.permutation_importance(B.training(spark, d), FEATURES, 5, **BRIEF)
+
+
+@query("v09_leakage_gap_refit")
+def leakage_gap_refit(spark, d):
+    return G.leakage_gap(B.training(spark, d), FEATURES, 5, **BRIEF)
+
+
+@query("v10_baseline_stratified")
+def baseline_stratified(spark, d):
+    t = B.training(spark, d)
+    return V.accuracy(V.confusion(G.stratified_baseline(t, G.group_folds(t)))).select("accuracy", "balanced_accuracy")
+
+
+@query("v22_boosting_probabilities")
+def boosting_probabilities(spark, d):
+    t = B.training(spark, d)
+    found = G.out_of_fold(t, FEATURES, G.group_folds(t), **BRIEF)
+    return found.select("row", "grp", "y", "pred", *(F.get("proba", F.lit(k)).alias(f"p{k}") for k in range(5)))
+
+
+@query("v17_train_verdict_computed")
+def train_verdict_computed(spark, d):
+    """Refusals and what they rest on, all computed from one table of out-of-fold predictions, its permutations and the baselines."""
+    t = B.training(spark, d)
+    folds = G.group_folds(t)
+    tables = written(G.out_of_fold(G.permuted_labels(t, 19), FEATURES, folds, ["b"], **BRIEF), "predictions")
+    own = tables.where("b = 0")
+    counts = written(V.confusion(own, "grp"), "counts")
+    # 200 resamples of the groups, drawn by a hash.
+    drawn = spark.range(200).withColumnRenamed("id", "b").crossJoin(counts.select("grp").distinct().agg(F.sort_array(F.collect_list("grp")).alias("groups")))
+    drawn = drawn.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("groups") - 1)))
+    picks = drawn.groupBy("b", F.get("groups", F.pmod(F.xxhash64("b", "i"), F.size("groups")).cast("int")).alias("grp")).agg(F.count("*").alias("times"))
+    scores = V.accuracy(V.confusion(tables, "b"), "b")
+    one = V.accuracy(counts).select(col("balanced_accuracy").alias("accuracy"))
+    for part in (V.bootstrap(counts, picks).select(col("lo").alias("ci_lo")),
+                 V.accuracy(V.confusion(V.majority_by_group(t))).select(col("balanced_accuracy").alias("majority")),
+                 V.permutation_p(scores.where("b = 0"), scores.where("b > 0")), V.single_feature(t, FEATURES).select(col("accuracy").alias("best_feature")),
+                 V.accuracy(counts, "grp").agg(F.min("balanced_accuracy").alias("worst_group")), t.agg((1 / F.countDistinct("y")).alias("chance")),
+                 V.calibration(own, F.array_max("proba"), col("y") == col("pred")).select("ece")):
+        one = one.crossJoin(part)
+    return V.train_verdict(one.withColumn("permutations", F.lit(19)))

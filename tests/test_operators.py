@@ -272,3 +272,34 @@ def test_streamed_windows_equal_batch(spark, data, tmp_path):
         "checkpointLocation", str(tmp_path / "check")).start()
     assert run.awaitTermination(120)
     assert spark.table("counted").agg(F.sum("n")).first()[0] == events.count()
+
+
+@pytest.mark.parametrize("sigma", [1.0, 2.0])
+def test_ridge_profiles_equal_analytic_ones(sigma):
+    x = np.arange(-40, 41)
+    plane = np.repeat(np.exp(-0.5 * (x / sigma) ** 2)[None, :], 81, 0)
+    v = 2 * sigma * sigma
+    analytic = (1 - x * x / v) * np.exp(-x * x / (2 * v))
+    for kind in ("sato", "meijering"):
+        found = A.ridges(plane, [sigma], kind)[40]
+        assert np.abs(found - np.maximum(analytic, 0)).max() < 0.01
+    valley = 1 - plane
+    for kind in ("frangi", "meijering"):
+        assert A.ridges(valley, [sigma], kind)[40, 40] == 0 and A.ridges(valley, [sigma], kind, dark=True)[40, 40] == pytest.approx(1, abs=1e-6)
+    assert not A.ridges(np.full((30, 30), 7.0), [sigma], "frangi").any()
+
+
+def test_deviations_far_from_zero(spark):
+    from rasterloom.operators import neighbors as N
+    rows = [(i, y, x, 1_000_000.1 if i == 0 else 1e8 + (x * 7 + y * 3) % 5, None) for i in (0, 1) for y in range(12) for x in range(12)]
+    df = spark.createDataFrame(rows, "img long, y int, x int, v double, w double")
+    found = N.box_stats(df, F.col("v"), 3, "b_").toPandas()
+    assert found.loc[found["img"] == 0, "b_sd"].max() < 1e-6 and np.allclose(found.loc[found["img"] == 0, "b_mean"], 1_000_000.1)
+    plane = np.array([[(x * 7 + y * 3) % 5 for x in range(12)] for y in range(12)], "f8")
+    for y, x in ((0, 0), (5, 6), (11, 3)):
+        box = plane[max(0, y - 3):y + 4, max(0, x - 3):x + 4]
+        row = found[(found["img"] == 1) & (found["y"] == y) & (found["x"] == x)].iloc[0]
+        assert row["b_sd"] == pytest.approx(box.std(), abs=1e-6)
+    banked = N.context_bank(df, ["v", "w"], (3,)).toPandas()
+    assert banked.loc[banked["img"] == 0, "v_sd_r3"].max() < 1e-6 and banked["w_mean_r3"].isna().all()
+    assert np.allclose(banked.sort_values(["img", "y", "x"])["v_sd_r3"], found.sort_values(["img", "y", "x"])["b_sd"])
