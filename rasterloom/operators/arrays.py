@@ -146,6 +146,33 @@ def gaussian(plane: np.ndarray, sigma: float) -> np.ndarray:
     return plane
 
 
+def disk_extreme(plane: np.ndarray, radius: int, least: bool) -> np.ndarray:
+    """The least (or largest) value in the disk of that radius around each pixel; beyond the plane there is none.
+
+    A disk is a chord a row. Extremes over chords of growing length are made
+    from each other, so that the cost goes by the radius and not by its square.
+    """
+    pick, none = (np.minimum, np.inf) if least else (np.maximum, -np.inf)
+    h, w = plane.shape
+    wide = np.pad(plane.astype("f8"), radius, constant_values=none)
+    best, chord, reach = np.full((h, w), none), wide[:, radius:radius + w], 0
+    for dy in range(radius, -1, -1):
+        half = int(np.floor(np.sqrt(radius * radius - dy * dy)))
+        while reach < half:
+            reach += 1
+            chord = pick(chord, pick(wide[:, radius - reach:radius - reach + w], wide[:, radius + reach:radius + reach + w]))
+        for side in {dy, -dy}:
+            best = pick(best, chord[radius + side:radius + side + h])
+    return best
+
+
+def rolling_ball(plane: np.ndarray, radius: int, here: np.ndarray | None = None) -> np.ndarray:
+    """The plane less its opening by the disk; pixels that are not ``here`` have no part in it."""
+    here = np.ones(plane.shape, bool) if here is None else here
+    low = disk_extreme(np.where(here, plane, np.inf), radius, True)
+    return np.where(here, plane - disk_extreme(np.where(here, low, -np.inf), radius, False), 0.0)
+
+
 def smoothed(plane: np.ndarray, sigma: float, ranks: tuple[int, int]) -> np.ndarray:
     """Derivatives down and across, of ranks 0 to 2, of the plane smoothed by sigma: one pass of the Gaussian's own derivative each way.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from . import arrays as A
 from . import morph as M
+from . import texture as X
 from . import tiles as T
 from . import tracing as R
 from . import windows as W
@@ -24,13 +25,16 @@ AT = ["img", "y", "x"]
 WINDOWS = 1 << 20
 
 
-def segmented(px: DataFrame, value: Column, cut: float, least: int = 0, *, ridge: str | None = None, sigmas: Sequence[float] = (1.0,),
-              dark: bool = False, flatten: bool = False, close: bool = False) -> DataFrame:
+def segmented(px: DataFrame, value: Column, cut: float | str, least: int = 0, *, ridge: str | None = None, sigmas: Sequence[float] = (1.0,),
+              dark: bool = False, flatten: bool = False, close: bool = False, ball: int = 0, bins: int = 1024) -> DataFrame:
     """img, y, x of the fibers: ridge response, background taken off, threshold, closing, and no small objects, in that order.
 
     ``dark`` fibers are dark ridges, or without a ridge filter bright ones of the
     inverted value, which is then in [0, 1]. ``cut`` is on the scale of the
-    response or of the value. Closing and background go by the plus-shaped disk.
+    response or of the value, or ``otsu`` or ``triangle`` of what stands before
+    the threshold, in [0, 1] and pooled over all images, of ``bins`` bins. ``ball``
+    is the radius of the background's disk; ``flatten`` stands for the plus-shaped
+    one, by which closing goes too.
     """
     plane = px.select(*AT, value.cast("double").alias("v"))
     if ridge:
@@ -39,7 +43,15 @@ def segmented(px: DataFrame, value: Column, cut: float, least: int = 0, *, ridge
         plane = plane.withColumn("v", 1 - F.col("v"))
     if flatten:
         plane = top_hat(written(plane, "plane"), "v")
-    on = plane.select(*AT, (F.col("v") >= cut).alias("on"))
+    if ball:
+        plane = T.rolling_ball(plane, "v", ball)
+    if isinstance(cut, str):
+        plane = written(plane, "plane")
+        found = {"otsu": X.otsu, "triangle": X.triangle}[cut](X.histogram(plane, F.col("v"), bins), bins)
+        plane = plane.crossJoin(F.broadcast(found.select(F.col("cut").alias("_cut"))))  # one row
+        on = plane.select(*AT, (F.col("v") >= F.col("_cut")).alias("on"))
+    else:
+        on = plane.select(*AT, (F.col("v") >= cut).alias("on"))
     mask = closed(on, "on") if close else on.where("on").drop("on")
     return T.without_small(mask, least) if least > 0 else mask
 

@@ -232,3 +232,8 @@ def gradients(px: DataFrame, value: str, sigma: float = 0.0, tile: int = TILE) -
         known = A.whole_rings(here)
         return {"gy": np.where(known, gy, 0.0), "gx": np.where(known, gx, 0.0)}
     return per_tile(px, [value], run, "gy double, gx double", halo=int(4 * sigma + 0.5) + 1, tile=tile)
+
+
+def rolling_ball(px: DataFrame, value: str, radius: int, tile: int = TILE) -> DataFrame:
+    """img, y, x and the value less its background, the opening by the disk of that radius."""
+    return per_tile(px, [value], lambda g, here: {value: A.rolling_ball(g, radius, here)}, f"{value} double", halo=2 * radius, tile=tile)

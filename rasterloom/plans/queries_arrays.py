@@ -243,3 +243,23 @@ def pooled_features_all(spark, d):
     """All 19 features of the bank, with clamped edge windows."""
     px = B.fiber_pixels(spark, d).withColumn("v", col("g") / B.FULL_SCALE)
     return X.pooled(X.feature_planes(px, col("fiber"), "v"), window=11, stride=7, height=B.SIDE, width=B.SIDE, pixel_um=0.5)
+
+
+DISK = "b.y BETWEEN a.y - 3 AND a.y + 3 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 9"
+
+
+@query("m04_rolling_ball", f"""WITH {PX}, er AS (SELECT a.img, a.y, a.x, min(b.g) AS g FROM px a JOIN px b ON a.img = b.img AND {DISK} GROUP BY ALL),
+op AS (SELECT a.img, a.y, a.x, max(b.g) AS g FROM er a JOIN er b ON a.img = b.img AND {DISK} GROUP BY ALL)
+SELECT img, y, x, (px.g - op.g)::DOUBLE AS g FROM px JOIN op USING (img, y, x)""")
+def rolling_ball(spark, d):
+    """Each pixel less the opening by the disk of radius 3."""
+    return T.rolling_ball(B.pixels(spark, d), "g", 3)
+
+
+@query("m13_segmentation_methods")
+def segmentation_methods(spark, d):
+    """Pixels of the fibers of each image by background off, threshold method, closing and least size."""
+    px = B.pixels(spark, d).withColumn("u", col("g") / B.FULL_SCALE)
+    parts = [X.segmented(px, col("u"), how, 4, ball=ball, close=True).groupBy("img").agg(F.count("*").alias("n")).select(F.lit(how).alias("method"), F.lit(ball).alias("ball"), "img", "n")
+             for how, ball in (("otsu", 0), ("otsu", 10), ("triangle", 10))]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -223,6 +223,13 @@ def calibration_subsample(spark, d):
     return B.table(spark, d, "supplier").select("s_suppkey").orderBy(F.xxhash64(F.lit(42), "s_suppkey"), "s_suppkey").limit(20)
 
 
+@query("h06_seeded_shuffle")
+def seeded_shuffle(spark, d):
+    """The 20 images that a shuffle with seed 42 puts first, in its order."""
+    from ..operators import draws
+    return draws.shuffled_first(B.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 20, 42).select("rank", "o_orderkey")
+
+
 @query("h10_batch_status", f"WITH {RECT} SELECT CASE WHEN n IS NULL THEN 'skipped' WHEN img % 3 = 2 THEN 'failed' ELSE 'ran' END AS status, count(*) AS images FROM (SELECT range AS img FROM range(6)) LEFT JOIN (SELECT img, count(*) AS n FROM rect WHERE class = 1 GROUP BY img) USING (img) GROUP BY status")
 def batch_status(spark, d):
     """What became of each image of a batch: those without a matching annotation are skipped."""
