@@ -150,6 +150,36 @@ def pooled(planes: DataFrame, *, window: int, stride: int, height: int, width: i
         coherence(c("xx"), c("yy"), c("xy"), c("area")).alias("intensity_coherence"), ((c("xx") + c("yy")) / c("area")).alias("gradient_energy"))
 
 
+def as_images(px: DataFrame, window: int) -> DataFrame:
+    """The pixels with each window an image of its own: y and x inside it, img the number of image and window."""
+    at = lambda c: F.floor(F.col(c) / window)
+    return px.withColumns({"img": F.col("img") * WINDOWS * WINDOWS + at("y") * WINDOWS + at("x"), "y": F.col("y") % window, "x": F.col("x") % window})
+
+
+def of_windows(found: DataFrame) -> DataFrame:
+    """What was found by as_images, with img, iy and ix."""
+    return found.withColumns({"iy": F.pmod(F.floor(F.col("img") / WINDOWS), F.lit(WINDOWS)).cast("int"), "ix": F.pmod("img", F.lit(WINDOWS)).cast("int"), "img": F.floor(F.col("img") / (WINDOWS * WINDOWS))})
+
+
+def window_fractals(px: DataFrame, fiber: Column, skeleton: DataFrame, window: int, fd_boxes: Sequence[int] = (1, 2, 4, 8, 16, 32), lac_boxes: Sequence[int] = (4, 8)) -> DataFrame:
+    """img, iy, ix, fractal_dimension (of the skeleton) and lacunarity_k (of the fibers, for each box of side k) of each window.
+
+    Boxes are counted, and slid, inside each window. Boxes larger than the
+    window are left out; a dimension needs two sizes at least, and a window
+    without a fiber has no lacunarity.
+    """
+    found = of_windows(as_images(px.select(*AT), window).select("img").distinct())
+    boxes = [b for b in fd_boxes if 1 <= b <= window]
+    if len(boxes) > 1:
+        made = M.box_dimension(as_images(skeleton.select(*AT), window), window, boxes).select("img", F.col("dimension").alias("fractal_dimension"))
+        found = found.join(of_windows(made), ["img", "iy", "ix"], "left")
+    for k in lac_boxes:
+        if k <= window:
+            made = M.lacunarity(as_images(px.select(*AT, fiber.alias("f")), window), F.col("f"), k).withColumnRenamed("lacunarity", f"lacunarity_{k}")
+            found = found.join(of_windows(made), ["img", "iy", "ix"], "left")
+    return found
+
+
 def window_morphometrics(px: DataFrame, fiber: Column, window: int, inside: Column | None = None,
                          which: Sequence[str] = ("length", "straightness", "gaps", "curvature")) -> DataFrame:
     """img, iy, ix and the figures asked for of each window of the image's skeleton.
@@ -172,9 +202,7 @@ def window_morphometrics(px: DataFrame, fiber: Column, window: int, inside: Colu
         gaps = gap_centers(px, fiber, inside).groupBy("img", *cell()).agg(F.avg("width").alias("gap_mean_px"), F.max("width").alias("gap_max_px"), F.count("*").alias("gap_count"))
         found = found.join(gaps, ["img", "iy", "ix"], "full")
     if "curvature" in which:
-        # Each window is an image of its own.
-        own = skeleton.select((F.col("img") * WINDOWS * WINDOWS + F.floor(F.col("y") / window) * WINDOWS + F.floor(F.col("x") / window)).alias("img"), (F.col("y") % window).alias("y"), (F.col("x") % window).alias("x"))
-        inner = written(R.traced(own), "inner").withColumns({"iy": F.pmod(F.floor(F.col("img") / WINDOWS), F.lit(WINDOWS)).cast("int"), "ix": F.pmod("img", F.lit(WINDOWS)).cast("int"), "img": F.floor(F.col("img") / (WINDOWS * WINDOWS))})
+        inner = of_windows(written(R.traced(as_images(skeleton.select(*AT), window)), "inner"))
         bends = M.path_curvature(inner, 4).join(inner.where("seq = 0").select("fiber", "img", "iy", "ix"), "fiber").groupBy("img", "iy", "ix").agg(F.avg("curvature").alias("mean_curvature_per_px"))
         found = found.join(bends, ["img", "iy", "ix"], "left")
     return found

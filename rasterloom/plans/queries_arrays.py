@@ -219,6 +219,23 @@ def window_morphometrics(spark, d):
     return X.window_morphometrics(px, col("fiber"), window=10)
 
 
+WIN = "SELECT *, (y // 10)::INT AS iy, (x // 10)::INT AS ix, y % 10 AS wy, x % 10 AS wx FROM fpx"
+
+
+@query("g06_window_fractals", f"""WITH {FPX}, w AS ({WIN}), s AS (SELECT unnest([1, 2, 4, 8]) AS s),
+b AS (SELECT DISTINCT img, iy, ix, s, wy // s AS by, wx // s AS bx FROM w, s WHERE fiber AND wy // s < 10 // s AND wx // s < 10 // s),
+c AS (SELECT img, iy, ix, s, count(*) AS n FROM b GROUP BY ALL), fd AS (SELECT img, iy, ix, regr_slope(ln(n), ln(1.0::DOUBLE / s)) AS fd FROM c GROUP BY ALL),
+g AS (SELECT a.img, a.iy, a.ix, a.y, a.x, sum(q.fiber::INT) AS b FROM w a JOIN w q ON a.img = q.img AND a.iy = q.iy AND a.ix = q.ix AND q.y BETWEEN a.y - 2 AND a.y + 1 AND q.x BETWEEN a.x - 2 AND a.x + 1
+    WHERE a.wy >= 3 AND a.wx >= 3 GROUP BY ALL),
+l AS (SELECT img, iy, ix, CASE WHEN avg(b) > 0 THEN 1 + var_pop(b) / avg(b) ** 2 END AS lac FROM g GROUP BY ALL)
+SELECT img, iy, ix, round(fd, 6) AS fractal_dimension, round(lac, 6) AS lacunarity_4 FROM (SELECT DISTINCT img, iy, ix FROM w) LEFT JOIN fd USING (img, iy, ix) LEFT JOIN l USING (img, iy, ix)""")
+def window_fractals(spark, d):
+    """Fractal dimension and lacunarity of the fibers, window by window."""
+    px = B.fiber_pixels(spark, d)
+    found = X.window_fractals(px, col("fiber"), px.where("fiber"), 10, (1, 2, 4, 8, 16), (4, 16))
+    return found.select("img", "iy", "ix", F.round("fractal_dimension", 6).alias("fractal_dimension"), F.round("lacunarity_4", 6).alias("lacunarity_4"))
+
+
 @query("g11_radon_alignment")
 def radon_alignment(spark, d):
     return X.alignment(B.pixels(spark, d), "g", B.SIDE)
