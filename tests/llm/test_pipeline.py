@@ -1,5 +1,7 @@
 """Each stage of the pipeline on what the one before it kept, against plain versions."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from brute import blank, contaminated, near_groups, targets, tokens
@@ -7,7 +9,7 @@ from brute import blank, contaminated, near_groups, targets, tokens
 from rasterloom.llm import common, mixing
 from rasterloom.llm import tokens as tok
 
-QUERIES = {"op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"}
+QUERIES = {"op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "op11_", "op12_", "op13_"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def stages(spark, data):
 def test_one_query_for_each_operator():
     import __spark_entry__
     names = [n for n in __spark_entry__.queries() if any(n.startswith(p) for p in QUERIES)]
-    assert len(names) == 10 and "pipeline" in __spark_entry__.queries()
+    assert len(names) == 13 and "pipeline" in __spark_entry__.queries()
 
 
 def test_columns_go_through(stages):
@@ -100,3 +102,50 @@ def test_run_is_the_stages(stages, spark, data):
     names = ("doc_id", "start", "n_tokens", "ids_crc32")
     run = corpus_pipeline.run(spark, data)
     assert sorted(map(tuple, run.select(*names).collect())) == sorted(map(tuple, stages["token_output"][1].select(*names).collect()))
+
+
+EXTRA = ["key", "hash", "position", "rank", "size", "doc", "row", "target", "seq", "component", "hi", "lo"]
+
+
+def odd_documents(spark, data):
+    """Given documents, and nulls in every column, empty and very long texts, repeated rows, and columns of names that operators use."""
+    given = common.table(spark, data, "documents")
+    some = [tuple(r) for r in given.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    long = max(some, key=lambda r: len(r[1] or ""))
+    rng, mixed = random.Random(1), []
+    for _ in range(40):
+        words = long[1].split()
+        rng.shuffle(words)
+        mixed += words
+    rows = some + some[:5]  # repeated rows
+    rows += [(None, None, None, None, None), (900_001, None, "en", "src1", 0), (900_002, "", None, None, 0), (900_003, " \t\n", "en", "src0", 3), (900_004, "?!", None, "src1", 2),
+             (900_005, " ".join(mixed), long[2], None, None), (None, "null id: " + long[1][:3000], long[2], "src0", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return some, docs.selectExpr("*", *(f"'x' AS {c}" for c in EXTRA))
+
+
+def test_run_on_odd_documents(spark, data, tmp_path):
+    some, docs = odd_documents(spark, data)
+    top = str(tmp_path)
+    docs.write.parquet(f"{top}/documents.parquet")
+    bench = common.table(spark, data, "benchmark")
+    bench.union(spark.createDataFrame([(None, None), ("e", ""), ("n", None)], "item_id string, text string").selectExpr(f"CAST(item_id AS {bench.schema['item_id'].dataType.simpleString()})" if bench.schema["item_id"].dataType.simpleString() == "string" else "CAST(NULL AS BIGINT) AS item_id", "text")).write.parquet(f"{top}/benchmark.parquet")
+    held = common.table(spark, top, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = common.written(stage(spark, held, top), name)
+        assert held.columns == docs.columns
+        assert held.where("text IS NULL OR NOT text RLIKE '[A-Za-z]'").count() == 0
+        if name == "decontamination":  # the mix may leave out a document larger than its source's target
+            clean = {r.doc_id for r in held.collect()}
+    assert 900_005 in clean and not clean & {900_001, 900_002, 900_003, 900_004}
+    copies = {r.doc_id for r in held.collect()}
+    assert copies <= clean
+    whole = corpus_pipeline.run(spark, top).collect()
+    assert {r.doc_id for r in whole} == copies and all(r.n_tokens > 1 for r in whole)
+
+
+def test_run_on_no_documents(spark, data, tmp_path):
+    top = str(tmp_path)
+    common.table(spark, data, "documents").where("false").write.parquet(f"{top}/documents.parquet")
+    common.table(spark, data, "benchmark").where("false").write.parquet(f"{top}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, top).count() == 0
