@@ -94,7 +94,7 @@ def majority_by_group(train: DataFrame) -> DataFrame:
     groups = per.select("grp").distinct()
     rest = (groups.join(F.broadcast(whole)).join(per, ["grp", "y"], "left").select("grp", "y", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")))
     best = rest.groupBy("grp").agg(F.max(F.struct(F.col("n"), (-F.col("y")).alias("m")))["m"].alias("m")).select("grp", (-F.col("m")).alias("pred"))
-    return train.join(F.broadcast(best), "grp").select("row", "y", "grp", "pred")
+    return train.join(best, "grp").select("row", "y", "grp", "pred")
 
 
 def cross_validate(train: DataFrame, features: Sequence[str], fit_predict, folds: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
@@ -108,7 +108,7 @@ def cross_validate(train: DataFrame, features: Sequence[str], fit_predict, folds
     import pandas as pd
     if train.count() > most_rows:
         raise ValueError(f"more than {most_rows} rows; fit a distributed model instead")
-    own = train.join(F.broadcast(folds), "grp").select("row", "y", "grp", "fold", *features)
+    own = train.join(folds, "grp").select("row", "y", "grp", "fold", *features)
     held = folds.select(F.col("fold").alias("held")).distinct()
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

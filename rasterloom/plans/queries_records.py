@@ -50,7 +50,7 @@ def wide_metrics(spark, d):
 def heatmap_values(spark, d):
     w = _windows(spark, d)
     ends = w.groupBy("img").agg(F.min("gray_mean").alias("lo"), F.max("gray_mean").alias("hi"))
-    return w.join(F.broadcast(ends), "img").select("img", col("x").cast("long").alias("x"), col("y").cast("long").alias("y"), F.round(R.normed(col("gray_mean"), col("lo"), col("hi")), 6).alias("v"))
+    return w.join(ends, "img").select("img", col("x").cast("long").alias("x"), col("y").cast("long").alias("y"), F.round(R.normed(col("gray_mean"), col("lo"), col("hi")), 6).alias("v"))
 
 
 @query("k08_text_summary", "SELECT unnest(['r_regionkey: ' || r_regionkey, 'r_name: ' || r_name]) AS line FROM region")

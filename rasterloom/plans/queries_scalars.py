@@ -73,7 +73,7 @@ def pixel_positivity(spark, d):
 def scale_to_unit(spark, d):
     px = B.pixels(spark, d)
     ends = px.groupBy("img").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
-    return px.join(F.broadcast(ends), "img").select("img", "y", "x", F.round(S.to_unit(col("g"), B.FULL_SCALE), 8).alias("v"),
+    return px.join(ends, "img").select("img", "y", "x", F.round(S.to_unit(col("g"), B.FULL_SCALE), 8).alias("v"),
                                                     F.round((col("g") - col("lo")) / F.greatest(col("hi") - col("lo"), F.lit(1)), 8).alias("stretched"))
 
 

@@ -217,7 +217,7 @@ def training_rows(spark, d):
     t = B.training(spark, d).where("f1 > 0")
     before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     first = t.groupBy("grp").agg((F.max("ann") + 1).alias("n")).select("grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return t.join(F.broadcast(first), "grp").select("row", "y", "grp", (col("ann") + col("first")).alias("ann"))
+    return t.join(first, "grp").select("row", "y", "grp", (col("ann") + col("first")).alias("ann"))
 
 
 @query("v21_preflight", f"""WITH {TRAIN} SELECT y, sum(floor(f3 / 225.0::DOUBLE))::BIGINT AS cores, sum(floor(f3 / 225.0::DOUBLE)) < 30 AS too_few FROM train WHERE f3 > 0 GROUP BY y""")
