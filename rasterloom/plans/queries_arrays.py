@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import arrays as A
 from ..operators import features as X
 from ..operators import morph as M
+from ..operators import outlines as O
 from ..operators import tiles as T
 from ..operators import tracing as R
 from ..sources import bindings as B
@@ -68,6 +69,46 @@ def blob_detections(spark, d):
     return label.groupBy("img", "blob").agg(F.count("*").alias("area_px")).where("area_px >= 4").withColumn("area_um2", F.round(col("area_px") * 0.25, 6))
 
 
+EDGES = """, side AS (SELECT * FROM (VALUES (0, 0, 1, -1, 0, 0, 0), (1, 1, 0, 0, 1, 0, 1), (2, 0, -1, 1, 0, 1, 1), (3, -1, 0, 0, -1, 1, 0)) AS t(s, fy, fx, oy, ox, sy, sx)),
+m AS (SELECT img, y, x FROM fpx WHERE fiber),
+edge AS (SELECT a.*, s.* FROM m a CROSS JOIN side s ANTI JOIN m b ON b.img = a.img AND b.y = a.y + s.oy AND b.x = a.x + s.ox),
+nxt AS (SELECT e.img, (e.y * 50 + e.x) * 4 + e.s AS e, e.s, e.y, e.y + e.sy AS vy, e.x + e.sx AS vx, CASE WHEN r.y IS NULL THEN (e.y * 50 + e.x) * 4 + (e.s + 1) % 4
+  WHEN d.y IS NULL THEN (r.y * 50 + r.x) * 4 + e.s ELSE (d.y * 50 + d.x) * 4 + (e.s + 3) % 4 END AS n
+  FROM edge e LEFT JOIN m r ON r.img = e.img AND r.y = e.y + e.fy AND r.x = e.x + e.fx LEFT JOIN m d ON d.img = e.img AND d.y = e.y + e.fy + e.oy AND d.x = e.x + e.fx + e.ox),
+walk AS (SELECT img, e AS first, e, n, s, y, vy, vx, 0 AS at FROM nxt WHERE s = 0
+  UNION ALL SELECT w.img, w.first, k.e, k.n, k.s, k.y, k.vy, k.vx, w.at + 1 FROM walk w JOIN nxt k ON k.img = w.img AND k.e = w.n WHERE w.n % 4 <> 0 OR w.n > w.first),
+gone AS (SELECT w.*, w.at = 0 OR s <> lag(s) OVER (PARTITION BY w.img, w.first ORDER BY w.at) AS corner FROM walk w SEMI JOIN (SELECT img, first FROM walk WHERE n = first) f ON f.img = w.img AND f.first = w.first)"""
+
+
+def _place(c):
+    """A packed place as row * 50 + column."""
+    return F.shiftright(col(c), 32) * B.SIDE + col(c) % T.PLACE
+
+
+@query("k14_outlines", f"""WITH RECURSIVE {FPX} {COMP} {EDGES}, ring AS (SELECT img, first // 4 AS ring, count_if(corner) AS corners, count(*) AS edges,
+  sum(CASE s WHEN 2 THEN y + 1 WHEN 0 THEN -y ELSE 0 END) AS area FROM gone GROUP BY ALL)
+SELECT ring.img, ring::BIGINT AS ring, (c - 1)::BIGINT AS blob, area > 0 AS outer, corners, edges, abs(area)::BIGINT AS area FROM ring JOIN comp ON comp.img = ring.img AND comp.id = ring.ring + 1""")
+def outlines(spark, d):
+    """A row for each outer and inner ring of the mask's objects."""
+    mask = B.fiber_pixels(spark, d).where("fiber")
+    return O.rings(O.chains(mask), mask).withColumns({"ring": _place("ring"), "blob": _place("blob")})
+
+
+@query("k14_outline_points", f"WITH RECURSIVE {FPX} {EDGES} SELECT img, (first // 4)::BIGINT AS ring, row_number() OVER (PARTITION BY img, first ORDER BY gone.at) - 1 AS nth, vy::BIGINT AS y, vx::BIGINT AS x FROM gone WHERE corner")
+def outline_points(spark, d):
+    """The corners of each ring in order."""
+    return O.ring_points(O.chains(B.fiber_pixels(spark, d).where("fiber"))).withColumn("ring", _place("ring")).withColumnRenamed("at", "nth")
+
+
+@query("k14_outline_detections", f"""WITH RECURSIVE {FPX} {COMP} {EDGES}, ring AS (SELECT img, first // 4 AS ring, count(*) AS edges, sum(CASE s WHEN 2 THEN y + 1 WHEN 0 THEN -y ELSE 0 END) AS area FROM gone GROUP BY ALL)
+SELECT ring.img, (c - 1)::BIGINT AS blob, count_if(area < 0) AS holes, sum(edges)::DOUBLE AS perimeter, sum(area)::DOUBLE AS area_px, sum(area) * 0.25::DOUBLE AS area_um2
+FROM ring JOIN comp ON comp.img = ring.img AND comp.id = ring.ring + 1 GROUP BY ring.img, c HAVING sum(area) >= 4""")
+def outline_detections(spark, d):
+    """Objects of one square micrometer at least, half a micrometer a pixel."""
+    mask = B.fiber_pixels(spark, d).where("fiber")
+    return O.detections(O.rings(O.chains(mask), mask), 0.5, 1.0).withColumn("blob", _place("blob"))
+
+
 GAPS = f"""WITH {FPX} {EDT}, t AS (SELECT a.img, a.y, a.x, a.d, max(b.d) AS m FROM dist a JOIN dist b ON a.img = b.img AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL),
 gap AS (SELECT t.img, t.y, t.x, 2 * d AS w FROM t JOIN fpx USING (img, y, x) WHERE d >= m AND d > 1 AND d <= least(least(t.y, 49 - t.y), least(t.x, 49 - t.x)) AND zone)"""
 
