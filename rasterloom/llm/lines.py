@@ -43,7 +43,8 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.2, least_pages: int = 3)
     A line is dropped if it stands on at least ``least_pages`` of its host's
     pages and on more than ``ratio`` of them. A line's pages are counted once
     each, in as many tasks as read them, before they are shuffled; lines are
-    told apart by 128-bit hashes.
+    told apart by 128-bit hashes. What goes is gathered by its place in the
+    page and taken out by hashing, so that a page costs what it is long.
 
     A null page has no lines; pages without a host are one site. Every row
     counts as a page, repeated or of equal page_id.
@@ -51,14 +52,15 @@ def drop_site_lines(pages: DataFrame, ratio: float = 0.2, least_pages: int = 3)
     split = common.written(pages.select(
         F.monotonically_increasing_id().alias("row"), F.col("page_id"), host_of(F.col("url").cast("string")).alias("host"),
         lines_of(F.col("html").cast("string")).alias("lines")), "page-lines")
-    each = split.select("row", "host", F.explode(F.array_distinct(F.transform("lines", _key))).alias("key"))
+    each = split.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", _key(F.col("line")).alias("key"))
     totals = split.groupBy("host").agg(F.count("*").alias("pages"))
     common_lines = (each.groupBy("host", "key").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
                     .join(totals, "host").where(F.col("on") > ratio * F.col("pages")).select("host", "key"))
     common_lines = common.written(common_lines, "site-lines")
-    gone = each.join(common_lines, ["host", "key"]).groupBy("row").agg(F.collect_set("key").alias("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains("gone", _key(x))))
+    places = split.select("row", "host", F.posexplode("lines").alias("at", "line")).select("row", "host", "at", _key(F.col("line")).alias("key"))
+    gone = places.join(common_lines, ["host", "key"]).groupBy("row").agg(F.collect_list("at").alias("gone"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda at: F.get("lines", at)))
     return (split.join(gone, "row", "left").withColumn("kept", kept)
             .select("page_id", "host", F.size("lines").cast("long").alias("n_lines"),
                     (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), "kept"))

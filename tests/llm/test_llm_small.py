@@ -282,6 +282,17 @@ def test_site_lines(spark):
     assert lines.drop_site_lines(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_lines_of_a_long_page(spark):
+    """100,000 lines that three pages share, a line of their own every thousand and one that repeats: linear, in order, repeats kept."""
+    import time
+    own = lambda k: [f"own {k} {i}" if i % 1000 == 0 else "again and again " + str(k) if i % 1000 == 1 else f"shared {i}" for i in range(100_000)]
+    rows = [(k, "http://long.example/", "<br>".join(own(k))) for k in range(3)] + [(9, "http://other.example/", "<p>shared 2</p>")]
+    began = time.time()
+    by = {r.page_id: r for r in lines.drop_site_lines(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert time.time() - began < 60
+    assert all(by[k].kept == [x for x in own(k) if not x.startswith("shared")] and by[k].n_dropped == 99_800 for k in range(3)) and by[9].n_dropped == 0
+
+
 # --- 6: language ---------------------------------------------------------------------------------------------------
 
 def test_language_accuracy_on_held_out_rows(spark):
