@@ -10,10 +10,11 @@ from ..operators import morph as M
 from ..operators import outlines as O
 from ..operators import tiles as T
 from ..operators import tracing as R
+from ..operators import zones as Z
 from ..sources import bindings as B
 from ..sources.shared import written
 from .registry import query
-from .views import FPX, PX
+from .views import FPX, PX, RECT
 
 col = F.col
 FULL = " WHERE img IN (SELECT img FROM px GROUP BY img HAVING count(*) = 2500)"
@@ -51,6 +52,22 @@ def zone_modes(spark, d):
     return counts.unpivot("img", modes, "mode", "n")
 
 
+@query("m02_polygon_zones", f"""WITH {PX}, {RECT}, edge AS (SELECT img, id, x0::DOUBLE AS px, y0::DOUBLE AS py, x1::DOUBLE AS qx, y0 + 2::DOUBLE AS qy FROM rect
+  UNION ALL SELECT img, id, x1, y0 + 2, x1, y1 FROM rect UNION ALL SELECT img, id, x1, y1, (x0 + x1) / 2::DOUBLE, y1 - 1.5::DOUBLE FROM rect
+  UNION ALL SELECT img, id, (x0 + x1) / 2::DOUBLE, y1 - 1.5::DOUBLE, x0, y1 FROM rect UNION ALL SELECT img, id, x0, y1, x0, y0 FROM rect),
+met AS (SELECT e.img, e.id, p.y, p.x, (py > p.y + 0.5::DOUBLE) <> (qy > p.y + 0.5::DOUBLE) AND px + (p.y + 0.5::DOUBLE - py) * (qx - px) / (qy - py) <= p.x + 0.5::DOUBLE AS crossed,
+  greatest(0, least(1, ((p.x + 0.5::DOUBLE - px) * (qx - px) + (p.y + 0.5::DOUBLE - py) * (qy - py)) / ((qx - px) ** 2 + (qy - py) ** 2))) AS t, px, py, qx, qy FROM edge e JOIN px p USING (img)),
+told AS (SELECT img, id, y, x, count_if(crossed) % 2 = 1 AS f, min((x + 0.5::DOUBLE - px - t * (qx - px)) ** 2 + (y + 0.5::DOUBLE - py - t * (qy - py)) ** 2) <= 2.3::DOUBLE ** 2 AS n FROM met GROUP BY ALL)
+SELECT img, id, mode, count(*) AS n, sum(y * 50 + x)::BIGINT AS places FROM (SELECT img, id, y, x, unnest(list_filter([CASE WHEN f THEN 'whole' END, CASE WHEN f AND n THEN 'inside' END,
+  CASE WHEN n AND NOT f THEN 'outside' END, CASE WHEN n THEN 'both' END], lambda m: m IS NOT NULL)) AS mode FROM told WHERE f OR n) GROUP BY ALL""")
+def polygon_zones(spark, d):
+    """Pixels of each zone of each polygon, 2.3 wide."""
+    modes = ["whole", "inside", "outside", "both"]
+    pieces = Z.spans(B.polygons(spark, d), 2.3).withColumn("mode", F.explode(F.array_compact(F.array(*(F.when(Z.zone_of(m), F.lit(m)) for m in modes)))))
+    px = Z.span_pixels(pieces).join(B.pixels(spark, d).select("img", "y", "x"), ["img", "y", "x"])
+    return px.groupBy("img", "id", "mode").agg(F.count("*").alias("n"), F.sum(col("y") * 50 + col("x")).alias("places"))
+
+
 COMP = f""", f AS (SELECT img, y, x, y * 50 + x + 1 AS id FROM fpx WHERE fiber), adj AS (SELECT a.img, a.id AS a, b.id AS b FROM f a JOIN f b ON a.img = b.img AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
 reach AS (SELECT img, id AS a, id AS b FROM f UNION SELECT r.img, r.a, adj.b FROM reach r JOIN adj ON adj.img = r.img AND adj.a = r.b),
 comp AS (SELECT img, a AS id, min(b) AS c FROM reach GROUP BY ALL), sized AS (SELECT *, count(*) OVER (PARTITION BY img, c) AS n FROM comp)"""

@@ -62,6 +62,18 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("img", "id", "class", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4p: (img, id, part, hole, ring), five-sided shapes in the rectangles; those of class 0 have a hole with an island in it."""
+    at = lambda *points: F.array(*(F.struct((F.col(a) + dx).cast("double").alias("x"), (F.col(b) + dy).cast("double").alias("y")) for a, dx, b, dy in points))
+    outer = at(("x0", 0, "y0", 0), ("x1", 0, "y0", 2), ("x1", 0, "y1", 0), ("xm", 0, "y1", -1.5), ("x0", 0, "y1", 0))
+    hole = at(("x0", 1, "y0", 2), ("x0", 1, "y0", 3.25), ("x0", 4, "y0", 3.25), ("x0", 4, "y0", 2))
+    island = at(("x0", 2, "y0", 2.25), ("x0", 3, "y0", 2.25), ("x0", 2.5, "y0", 3))
+    part = lambda n, hole, ring: F.struct(F.lit(n).alias("part"), F.lit(hole).alias("hole"), ring.alias("ring"))
+    parts = F.when(F.col("class") == 0, F.array(part(0, False, outer), part(1, True, hole), part(2, False, island))).otherwise(F.array(part(0, False, outer)))
+    return (rectangles(spark, sf_dir).withColumn("xm", (F.col("x0") + F.col("x1")) / 2)
+            .select("img", "id", F.explode(parts).alias("p")).select("img", "id", "p.part", "p.hole", "p.ring"))
+
+
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B5: (row, f1, f2, f3, y, grp, ann), one row per customer."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
