@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import finite
+from .scalars import finite, fingerprint, threshold_label
 
 #: What a window below the gate keeps, in order.
 STUB = ("x", "y", "w", "h", "included", "n_fiber_px", "fiber_coverage_percent")
@@ -43,3 +43,42 @@ def provenance(params: dict, version: str) -> list[tuple[str, str]]:
 def to_full_image(at: Column, downsample: float, offset: Column | int) -> Column:
     """From coordinates as read to those of the whole image."""
     return F.round(at * downsample).cast("long") + offset
+
+
+#: The line that the fingerprint of segmentation settings is of, its sigmas, and what a record calls a cut without a unit.
+SETTINGS_LINE, SIGMAS, NO_UNIT = "channel=%s;ridge=%s;sigmas=%s;invert=%s;rb=%.6g;minarea=%.6g", "%.6g,%.6g,%.6g", "fraction of full scale"
+#: Columns of settings that a threshold record lists.
+SETTINGS = ("channel", "ridge_filter", "sigma_min_um", "sigma_max_um", "sigma_step_um", "invert_intensity", "rolling_ball_radius_um", "min_fiber_area_um2", "analysis_downsample")
+
+
+def threshold_records(runs: DataFrame) -> DataFrame:
+    """``runs`` with identity, settings_key and record: the line that tells which cut results were made at, and threshold.json.
+
+    Columns: threshold_method, value (in gray levels or on the response if the
+    method is manual, else what a method resolved to), source, pixel_um (that
+    of the image) and ``SETTINGS``. Without a value a method is one fitted per
+    region, and the value is left out; so is an unknown pixel size. A null
+    method is Otsu, a null filter none, a null switch false, a null length or area 0.
+    """
+    c = F.col
+    method, ridge = F.lower(F.trim(F.coalesce(c("threshold_method"), F.lit("")))), F.lower(F.trim(F.coalesce(c("ridge_filter"), F.lit(""))))
+    ridged, manual = ~ridge.isin("", "none"), method == "manual"
+    number = lambda name: F.coalesce(c(name).cast("double"), F.lit(0.0))
+    sigmas = F.when(ridged, F.format_string(SIGMAS, *(number(f"sigma_{n}_um") for n in ("min", "max", "step")))).otherwise("")
+    line = F.format_string(SETTINGS_LINE, F.trim(F.coalesce(c("channel"), F.lit(""))), F.when(ridged, ridge).otherwise("none"), sigmas,
+                           F.coalesce(c("invert_intensity"), F.lit(False)).cast("string"), number("rolling_ball_radius_um"), number("min_fiber_area_um2"))
+    named = F.when(manual, "Manual").when(method.startswith("project") | method.contains("calibrated"), "Calibrated").when(method == "triangle", "Triangle").otherwise("Otsu")
+    unit = F.when(ridged, "response").when(manual, "gray level").otherwise("")
+    source = F.when(manual, "set by hand").when(c("value").isNull(), "fitted per region").otherwise(F.coalesce(c("source"), F.lit("")))
+    size = c("pixel_um") * F.greatest(F.lit(1.0), F.coalesce(c("analysis_downsample"), F.lit(1.0)))
+    told = runs.withColumns({"settings_key": fingerprint(line), "_method": named, "_unit": unit, "_source": source, "_um": F.when(size > 0, size)})
+    told = told.withColumn("identity", threshold_label(c("_method"), c("_unit"), c("value"), c("_source"), c("settings_key"), F.coalesce("_um", F.lit(0.0))))
+    record = F.to_json(F.struct(
+        "identity", "threshold_method", F.substring_index("identity", " | ", 1).alias("cut"), "value", F.coalesce(F.nullif("_unit", F.lit("")), F.lit(NO_UNIT)).alias("unit"),
+        c("_source").alias("source"), c("settings_key").alias("settings_fingerprint"), c("_um").alias("analysed_pixel_um"), F.struct(*SETTINGS).alias("settings")))
+    return told.withColumn("record", record).drop("_method", "_unit", "_source", "_um")
+
+
+def stamped(objects: DataFrame, records: DataFrame, key: str = "img") -> DataFrame:
+    """Objects with threshold: the identity of their image's record; null where it has none."""
+    return objects.join(records.select(key, F.col("identity").alias("threshold")), key, "left")

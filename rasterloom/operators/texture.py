@@ -71,6 +71,18 @@ def otsu(hist: DataFrame, bins: int = BINS) -> DataFrame:
     return run.select("bin", between.alias("b")).where("b IS NOT NULL").orderBy(F.desc("b"), "bin").limit(1).select(((F.col("bin") + 0.5) / bins).alias("cut"))
 
 
+def otsu_each(hist: DataFrame, bins: int, *keys: str) -> DataFrame:
+    """cut of the histogram (bin, n) of each of ``keys`` as ``otsu`` has it; none for a key with one bin."""
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    n, m = F.col("n"), F.col("n") * (F.col("bin") + 0.5)
+    run = hist.select(*keys, "bin", F.sum(n).over(up).alias("w0"), F.sum(m).over(up).alias("m0"), F.sum(n).over(whole).alias("w"), F.sum(m).over(whole).alias("m"))
+    w1, m1 = F.col("w") - F.col("w0"), F.col("m") - F.col("m0")
+    between = F.col("w0") * w1 * F.pow(F.try_divide("m0", "w0") - F.try_divide(m1, w1), 2)
+    best = run.select(*keys, "bin", between.alias("b")).where("b IS NOT NULL").groupBy(*keys).agg(F.max_by("bin", F.struct("b", -F.col("bin"))).alias("bin"))
+    return best.select(*keys, ((F.col("bin") + 0.5) / bins).alias("cut"))
+
+
 def triangle(hist: DataFrame, bins: int) -> DataFrame:
     """cut: where the histogram lies farthest below the line from its peak to the end of its longer tail, the first of equals."""
     ends = hist.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.max(F.struct("n", (-F.col("bin")).alias("m"))).alias("t")).select(

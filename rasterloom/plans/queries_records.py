@@ -70,6 +70,33 @@ def threshold_record(spark, d):
     return text.select("img", F.from_json("r", "method string, unit string, value double").alias("v")).select("img", "v.*")
 
 
+@query("k10_threshold_identity", f"""WITH {FPX}, {WIN}, h AS (SELECT img, least(floor(g / 65535.0::DOUBLE * 1024), 1023)::INT AS bin, count(*) AS n FROM px GROUP BY ALL),
+r AS (SELECT img, bin, sum(n) OVER o AS w0, sum(n * (bin + 0.5::DOUBLE)) OVER o AS m0, sum(n) OVER p AS w, sum(n * (bin + 0.5::DOUBLE)) OVER p AS m FROM h WINDOW o AS (PARTITION BY img ORDER BY bin), p AS (PARTITION BY img)),
+cut AS (SELECT img, (arg_max(bin, (w0::DOUBLE * (w - w0) * (m0 / w0 - (m - m0) / (w - w0)) ** 2, -bin)) + 0.5::DOUBLE) / 1024 AS cut FROM r WHERE w > w0 GROUP BY img),
+told AS (SELECT img, CASE WHEN img % 3 = 1 THEN 7000.0::DOUBLE ELSE cut END AS value, CASE WHEN img % 3 = 1 THEN 'Manual gray level 7000 | set by hand'
+  WHEN img % 3 = 2 THEN 'Calibrated ' || printf('%#.4g', cut) || ' | image ' || img ELSE 'Otsu ' || printf('%#.4g', cut) || ' | image ' || img END AS cut,
+  substr(sha256('channel=gray;ridge=none;sigmas=;invert=' || (img % 2 = 1) || ';rb=0.00000;minarea=1.00000'), 1, 8) AS key FROM cut),
+s AS (SELECT img, iy, ix, count_if(fiber) AS n FROM fpx JOIN win ON y // 10 = iy AND x // 10 = ix GROUP BY ALL)
+SELECT img, cut || ' | settings ' || key || ' at 0.5 um/px' AS threshold, key, value, 'fraction of full scale' <> CASE WHEN img % 3 = 1 THEN 'gray level' ELSE 'fraction of full scale' END AS in_grays, count(s.n) AS objects
+FROM told LEFT JOIN s USING (img) GROUP BY ALL""")
+def threshold_identity(spark, d):
+    """The record of each image's own cut, read back, and the windows that are stamped with it."""
+    from ..operators import texture as T
+    px = B.pixels(spark, d)
+    cuts = T.otsu_each(T.histogram(px, col("g") / B.FULL_SCALE, 1024, "img"), 1024, "img")
+    manual = col("img") % 3 == 1
+    runs = cuts.select(
+        "img", F.when(manual, "Manual").when(col("img") % 3 == 2, "project_otsu").otherwise("Otsu").alias("threshold_method"), F.when(manual, 7000.0).otherwise(col("cut")).alias("value"),
+        F.format_string("image %d", "img").alias("source"), F.lit(0.25).alias("pixel_um"), F.lit("gray").alias("channel"), F.lit("None").alias("ridge_filter"),
+        *(F.lit(1.0).alias(f"sigma_{n}_um") for n in ("min", "max", "step")), (col("img") % 2 == 1).alias("invert_intensity"), F.lit(0.0).alias("rolling_ball_radius_um"),
+        F.lit(1.0).alias("min_fiber_area_um2"), F.lit(2.0).alias("analysis_downsample"))
+    records = R.threshold_records(runs)
+    read = F.from_json("record", "settings_fingerprint string, value double, unit string")
+    windows = R.stamped(_windows(spark, d).select("img", "x", "y"), records).groupBy("img", "threshold").agg(F.count("*").alias("objects"))
+    told = records.select("img", read.alias("r")).select("img", col("r.settings_fingerprint").alias("key"), "r.value", (col("r.unit") != R.NO_UNIT).alias("in_grays"))
+    return windows.join(told, "img").select("img", "threshold", "key", "value", "in_grays", "objects")
+
+
 @query("k11_calibration_record")
 def calibration_record(spark, d):
     """One JSON row with the pooled histogram; as many entries as bins that occur."""
