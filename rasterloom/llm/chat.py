@@ -32,6 +32,8 @@ NEXT, AFTER_LEVEL, END = "\x01", "\x02", "\x03"
 
 #: Across conversations a quote counts from so many letters, digits and spaces between words on, and a single sentence if at most so many conversations have it.
 LEAST, RARE = 16, 3
+#: Characters of a message that bounds of ranges have; messages of equal place that begin with the same ones are in one range.
+RANGE_CHARACTERS = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -81,14 +83,14 @@ def own_text(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), r"^[ \t\n]+|[ \t\n]+$", "")
 
 
-def quotations(split: DataFrame) -> DataFrame:
+def quotations(split: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFrame:
     """me, level and original of each quoted sentence: the first message that has it as its own.
 
     ``split`` has row, conv_id, turn and sentences. In the sentence's own conversation an
     original comes before its quote. One of another conversation may have any
     number: it is the first one, or the last where the first is the quote's own. There it takes
     the sentence and one beside it in the passage, in this order in one passage of the original, or else
-    a sentence that at most RARE conversations have; either of LEAST characters. Originals are brought down to one for
+    a sentence that at most ``rare`` conversations have; either of ``least`` characters. Originals are brought down to one for
     each sentence and conversation, and two for each sentence, before they are joined,
     so that a sentence that stands in very many messages makes no more pairs than
     it is quoted.
@@ -97,7 +99,7 @@ def quotations(split: DataFrame) -> DataFrame:
     of_level = lambda wanted: split.select(me.alias("me"), F.filter("sentences", wanted).alias("sentences"))
     own = (of_level(lambda x: x["level"] == 0).select("me", F.explode(F.concat("sentences.key", "sentences.pair")).alias("key")).where("key is not null"))
     key = lambda name, at: F.struct(F.col(f"x.{name}").alias("key"), at.alias("at"), F.lit(name == "pair").alias("pair"),
-                                    (F.col("x.long" if name == "key" else "x.pair_long") >= LEAST).alias("far"))
+                                    (F.col("x.long" if name == "key" else "x.pair_long") >= least).alias("far"))
     at = F.col("at")
     # A pair speaks for both of its sentences, of which the second is the next of the message's quoted ones.
     quoted = (of_level(lambda x: x["level"] > 0).select("me", F.posexplode("sentences").alias("at", "x"))
@@ -109,7 +111,7 @@ def quotations(split: DataFrame) -> DataFrame:
     elsewhere = lambda c: F.when(F.col("far") & (F.col(c)["conv_id"] != F.col("conv_id")), F.col(c))
     found = met.withColumn("other", F.coalesce(elsewhere("first"), elsewhere("last"))).groupBy("me", "at", "level").agg(
         F.min(F.when(~F.col("pair") & (F.col("near") < F.col("me")), F.col("near"))).alias("near"),
-        F.min(F.when(F.col("pair"), F.col("other"))).alias("passage"), F.min(F.when(~F.col("pair") & (F.col("n") <= RARE), F.col("other"))).alias("rare"))
+        F.min(F.when(F.col("pair"), F.col("other"))).alias("passage"), F.min(F.when(~F.col("pair") & (F.col("n") <= rare), F.col("other"))).alias("rare"))
     return found.select("me", "level", F.coalesce("near", "passage", "rare").alias("original"))
 
 
@@ -150,7 +152,7 @@ def threads(parents: DataFrame) -> DataFrame:
         before, up = left, moved.drop("open")
 
 
-def link_quotations(messages: DataFrame) -> DataFrame:
+def link_quotations(messages: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFrame:
     """Each of ``messages(conv_id, turn, role, text)``: its conversation, place in it, parent, and text without quotes.
 
     conversation and root_turn are those of the thread's first message, depth
@@ -163,6 +165,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     them is linked to the first. In its own conversation an original comes before its
     quote in the order of turn; conversations have no order (see quotations).
     Of messages that reply to each other in a circle the first has no parent.
+    Across conversations a quote has ``least`` letters, digits and spaces, and a
+    sentence without one beside it is one that at most ``rare`` conversations have.
     """
     split = messages.select(
         F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("conv_id"),
@@ -170,7 +174,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("own_turn"), F.col("role").cast("string").alias("role"), lines_of(F.col("text").cast("string")).alias("lines"))
     split = split.withColumn("passages", passages_of(F.col("lines"))).withColumn("sentences", sentences_of(F.col("passages")))
     split = common.written(split.withColumn("text", own_text(F.col("lines"))).drop("lines", "passages"), "messages")
-    quoted = common.written(quotations(split), "quotations")
+    quoted = common.written(quotations(split, least, rare), "quotations")
     counts = quoted.groupBy("me").agg(F.count("*").alias("n_quoted"), F.count("original").alias("n_linked"))
     linked = threads(replies(quoted)).join(counts, "me", "full").select(
         F.col("me.row").alias("row"), "parent", "root", "depth", "n_quoted", "n_linked")
@@ -184,7 +188,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
 
-def conversations(messages: DataFrame, most: int = 64) -> DataFrame:
+def conversations(messages: DataFrame, most: int = 64, least: int = LEAST, rare: int = RARE) -> DataFrame:
     """conversation, part, n_messages, n_replies, n_quoted, n_linked and chat: messages without quotes in reply order, as role-marked text.
 
     Messages follow each other by root_turn, depth, conv_id, turn, role and text;
@@ -196,8 +200,10 @@ def conversations(messages: DataFrame, most: int = 64) -> DataFrame:
     """
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>"))
     order = ["conversation", "root_turn", "depth", "conv_id", "turn", "line"]
-    linked = common.written(link_quotations(messages).where("text != ''").withColumn("line", line).drop("role", "text"), "linked-messages")
-    ranged = (linked.repartitionByRange(common.partitions(messages.sparkSession), *order).sortWithinPartitions(*order)
+    # Ranges are told by a sample of keys that the driver sorts, so they part lines by their first characters; inside them whole lines are sorted.
+    bounds = [*order[:-1], F.substring("line", 1, RANGE_CHARACTERS)]
+    linked = common.written(link_quotations(messages, least, rare).where("text != ''").withColumn("line", line).drop("role", "text"), "linked-messages")
+    ranged = (linked.repartitionByRange(common.partitions(messages.sparkSession), *bounds).sortWithinPartitions(*order)
               .withColumn("range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     ranged = common.written(ranged.withColumn("_key", F.coalesce("conversation", F.lit(-(1 << 63)))), "ranged-messages")
     here = ranged.groupBy("_key", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"))

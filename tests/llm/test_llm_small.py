@@ -596,6 +596,14 @@ def test_conversations_do_not_depend_on_partitions(spark):
     assert ("<|unknown|>\nalone\n<|end|>" in {r[-1] for r in found[0]}) and any(r[0] is None for r in found[0])
 
 
+def test_conversations_order_whole_lines(spark):
+    """Messages of one place that differ beyond the characters that ranges are told by, and repeated ones, are in the order of their whole text."""
+    rows = [(1, 0, "user", "the same beginning " * 9 + str(k % 70)) for k in range(100)] + [(1, 1, "user", "x")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    made = sorted(chat.conversations(m).collect(), key=lambda r: r.part)
+    assert "\n".join(r.chat for r in made) == "\n".join(f"<|{r[2]}|>\n{r[3]}\n<|end|>" for r in sorted(rows, key=lambda r: (r[1], f"{r[3]}\n")))
+
+
 def test_chat_nulls_and_long_chains(spark):
     rows = [(None, None, None, "first line"), (None, 1, "user", "> first line\nnext"), (5, 0, "user", "line 0")] + [(5, k, "user", f"> line {k - 1}\nline {k}") for k in range(1, 40)]
     rows.append((6, 0, "user", "> line 3\n" * 20_000 + "a very long message. " * 20_000))
@@ -610,11 +618,14 @@ def test_chat_links_across_conversations(spark):
     rows += [(100 + k, 0, "user", "Thanks for all of it\n\nok then" if k == 5 else f"Thanks for all of it\n\nmessage {k}\n\nok then") for k in range(12)]
     rows += [(200, 0, "user", "> Thanks for all of it\nwell"), (201, 0, "user", "> Thanks for all of it.\n> ok then\nwell"), (202, 0, "user", "ok then"), (202, 1, "user", "> ok then\nwell")]
     rows += [(300, 0, "user", "Yes"), (301, 0, "user", "> yes\nwell")]
-    by = {(r.conv_id, r.turn): r for r in chat.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {(r.conv_id, r.turn): r for r in chat.link_quotations(m).collect()}
     assert (by[1, 0].parent_conv, by[1, 0].conversation, by[1, 0].depth) == (9, 9, 1)
     assert by[2, 0].parent_conv is None and (by[7, 0].parent_conv, by[7, 0].depth) == (2, 1) and (by[8, 0].conversation, by[8, 0].depth) == (2, 2)
     assert by[200, 0].parent_conv is None and by[200, 0].n_linked == 0
     assert by[201, 0].parent_conv == 105 and by[201, 0].n_linked == 2 and by[202, 1].parent_conv == 202 and by[301, 0].parent_conv is None
+    loose = {(r.conv_id, r.turn): r for r in chat.link_quotations(m, least=3, rare=50).collect()}
+    assert loose[200, 0].parent_conv == 100 and loose[301, 0].parent_conv == 300 and loose[1, 0].parent_conv == 9
 
 
 @pytest.mark.parametrize("ring,tail", [(1, 3), (2, 0), (37, 50), (64, 1)])
