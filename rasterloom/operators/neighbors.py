@@ -93,7 +93,7 @@ def context_bank(df: DataFrame, bases: Sequence[str], radii: Sequence[int] = (1,
     for r in radii:
         for b in bases:
             n, mean = c(f"{b}_n_r{r}"), F.try_divide(f"{b}_s_r{r}", f"{b}_n_r{r}")
-            made |= {f"{b}_mean_r{r}": mean + c(f"_v_{b}_mean"), f"{b}_sd_r{r}": F.sqrt(F.greatest(F.try_divide(c(f"{b}_q_r{r}"), n) - mean * mean, F.lit(0.0))), f"{b}_dev_r{r}": c(f"_v_{b}") - mean}
+            made |= {f"{b}_mean_r{r}": mean + c(f"_v_{b}_mean"), f"{b}_sd_r{r}": F.when(n > 0, F.sqrt(F.greatest(F.try_divide(c(f"{b}_q_r{r}"), n) - mean * mean, F.lit(0.0)))), f"{b}_dev_r{r}": c(f"_v_{b}") - mean}
         if angle:
             cos, sin, some = c(f"_c_r{r}"), c(f"_s_r{r}"), c(f"_w_r{r}") > 0
             apart = F.pmod(F.abs(c(angle) - F.pmod(F.degrees(F.atan2(sin, cos)) / 2, F.lit(180.0))), F.lit(180.0))
