@@ -35,33 +35,57 @@ def drawn(state: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return value, ~even & (u - value + bound - 1 >= 1 << 31)
 
 
-def swaps(spark: SparkSession, n: int, seed: int, block: int = 1 << 16) -> DataFrame:
-    """i and j of a shuffle's swaps: from the last to the second, place i - 1 with a place j under i drawn at random.
+def refusals(spark: SparkSession, n: int, seed: int, block: int = 1 << 16, most: int = 1 << 20) -> np.ndarray:
+    """Numbers (from 0) of the states that a shuffle of n rows refuses, in order: about n * n / 2**32.
 
-    Blocks of draws are made apart, each from a jump. A refused state moves all
-    draws after it by one; such states (about n * n / 2**32 of them) are looked
-    for one after another.
+    Whether a state is refused depends on its bound, and so on the refusals
+    before it. But only a state of the uppermost n of 2**31 can be: these few,
+    twice the refusals, are looked for in all blocks at once, and they alone are
+    gone through in order, ``most`` or so at a time.
     """
-    refused: list[int] = []
+    found: list[int] = []
+    slice_ = max(block, (most << 31) // max(n, 1) // block * block)
+    done = 0
+    while done < (end := n - 1 + len(found)):
+        end = min(end, done + slice_)
+        first, last = done, end
 
-    def table(known: list[int]) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for k in batch["id"]:
-                    at = np.arange(k * block, min((k + 1) * block, n - 1 + len(known)))
-                    skip = np.isin(at, known)
-                    bound = n - at + np.searchsorted(known, at)
-                    ok = ~skip & (bound >= 2)
-                    value, no = drawn(states(seed, int(at[0]) + 1, len(at))[ok], bound[ok]) if len(at) else (at, at > 0)
-                    yield pd.DataFrame({"at": at[ok], "i": bound[ok], "j": value, "refused": no})
-        return spark.range(0, (n - 1 + len(known)) // block + 1).mapInPandas(run, "at long, i long, j long, refused boolean")
+                    at = np.arange(first + k * block, min(first + (k + 1) * block, last))
+                    u = (states(seed, int(at[0]) + 1, len(at)) >> np.uint64(17)).astype("i8")
+                    high = u >= (1 << 31) - n
+                    yield pd.DataFrame({"at": at[high], "u": u[high]})
 
-    while True:
-        found = written(table(refused), "swaps")
-        first = found.where("refused").agg(F.min("at")).first()[0]
-        if first is None:
-            return found.select("i", "j")
-        refused.append(int(first))
+        rows = spark.range(0, -(-(last - first) // block)).mapInPandas(run, "at long, u long").toPandas().sort_values("at")
+        for at, u in zip(rows["at"].tolist(), rows["u"].tolist()):
+            bound = n - at + len(found)
+            if bound & (bound - 1) and u - u % bound + bound - 1 >= 1 << 31:
+                found.append(at)
+        done = end
+    return np.array(found, "i8")
+
+
+def swaps(spark: SparkSession, n: int, seed: int, block: int = 1 << 16) -> DataFrame:
+    """i and j of a shuffle's swaps: from the last to the second, place i - 1 with a place j under i drawn at random.
+
+    Blocks of draws are made apart, each from a jump, once; a refused state
+    moves all draws after it by one.
+    """
+    refused = refusals(spark, n, seed, block)
+
+    def run(batches):
+        for batch in batches:
+            for k in batch["id"]:
+                at = np.arange(k * block, min((k + 1) * block, n - 1 + len(refused)))
+                before = np.searchsorted(refused, at)
+                ok = np.append(refused, -1)[before] != at
+                bound = (n - at + before)[ok]
+                value, _ = drawn(states(seed, int(at[0]) + 1, len(at))[ok], bound) if len(at) else (at, at)
+                yield pd.DataFrame({"i": bound, "j": value})
+
+    return written(spark.range(0, (n - 1 + len(refused)) // block + 1).mapInPandas(run, "i long, j long"), "swaps")
 
 
 def shuffled_first(df: DataFrame, order: str, take: int, seed: int = 42) -> DataFrame:
