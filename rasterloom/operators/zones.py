@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 
 LINE = ["img", "id", "y"]
 
@@ -77,7 +77,7 @@ def own_edges(rings: DataFrame, edges: DataFrame, spans: DataFrame) -> DataFrame
     line = Window.partitionBy(*LINE).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     open_here = starts.withColumn("open", F.sum("_f").over(line)).where("_f = 1")
     inner = open_here.groupBy("img", "id", "part").agg(F.min_by("open", F.struct("y", "at")).alias("open")).where("open > 1")
-    return edges.join(inner.select("img", "id", "part"), ["img", "id", "part"], "left_anti")
+    return edges.join(dealt(inner.select("img", "id", "part")), ["img", "id", "part"], "left_anti")
 
 
 def spans(shapes: DataFrame, d: float) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import tiles as T
 from ..operators import tracing as R
 from ..operators import zones as Z
 from ..sources import bindings as B
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from .registry import query
 from .views import FPX, PX, RECT
 
@@ -64,7 +64,7 @@ def polygon_zones(spark, d):
     """Pixels of each zone of each polygon, 2.3 wide."""
     modes = ["whole", "inside", "outside", "both"]
     pieces = Z.spans(B.polygons(spark, d), 2.3).withColumn("mode", F.explode(F.array_compact(F.array(*(F.when(Z.zone_of(m), F.lit(m)) for m in modes)))))
-    px = Z.span_pixels(pieces).join(B.pixels(spark, d).select("img", "y", "x"), ["img", "y", "x"])
+    px = Z.span_pixels(pieces).join(dealt(B.pixels(spark, d).select("img", "y", "x")), ["img", "y", "x"])
     return px.groupBy("img", "id", "mode").agg(F.count("*").alias("n"), F.sum(col("y") * 50 + col("x")).alias("places"))
 
 
