@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 from .neighbors import box_sums
 
 
@@ -57,7 +58,7 @@ def path_curvature(points: DataFrame, reach: int, axial: bool = True, shorter: b
     angle = lambda a, b: F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
     turn = F.abs(angle(at(1), at(reach + 1)) - angle(at(-reach - 1), at(-1)))
     turn = F.least(F.pmod(turn, F.lit(180.0)), 180 - F.pmod(turn, F.lit(180.0))) if axial else F.least(F.pmod(turn, F.lit(360.0)), 360 - F.pmod(turn, F.lit(360.0)))
-    return packed.select("fiber", F.radians(turn).alias("turn")).join(path_shapes(points).select("fiber", "arc"), "fiber").select(
+    return packed.select("fiber", F.radians(turn).alias("turn")).join(dealt(path_shapes(points).select("fiber", "arc")), "fiber").select(
         "fiber", F.try_divide("turn", "arc").alias("curvature"))
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import arrays as A
 
 #: Side of a tile, and the columns or rows of a strip.
@@ -132,12 +132,12 @@ def joined_labels(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("img", F.col("b").alias("a"), F.col("a").alias("b")))
         moves = written(both.groupBy("img", "a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
-        at = written(at.join(moves.withColumnRenamed("a", "at"), ["img", "at"], "left").select("img", "label", F.coalesce("to", "at").alias("at")), "moved")
+        at = written(at.join(dealt(moves.withColumnRenamed("a", "at")), ["img", "at"], "left").select("img", "label", F.coalesce("to", "at").alias("at")), "moved")
         for end in ("a", "b"):
-            edges = edges.join(moves.select("img", F.col("a").alias(end), "to"), ["img", end]).withColumn(end, F.col("to")).drop("to")
+            edges = edges.join(dealt(moves.select("img", F.col("a").alias(end), "to")), ["img", end]).withColumn(end, F.col("to")).drop("to")
         edges = written(tidy(edges), "edges")
     roots = at.groupBy("img", "at").agg(F.min("label").alias("root"))
-    return at.join(roots, ["img", "at"]).select("img", "label", "root")
+    return at.join(dealt(roots), ["img", "at"]).select("img", "label", "root")
 
 
 def components(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
@@ -158,15 +158,15 @@ def components(mask: DataFrame, diagonal: bool = False, tile: int = TILE) -> Dat
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
     told = border.select("img", F.col("label").alias("a"), "y", "x", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps))).alias("o"))
     told = told.select("img", "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    roots = joined_labels(told.join(border.withColumnRenamed("label", "b"), ["img", "y", "x"]).select("img", "a", "b"))
-    return local.join(roots, ["img", "label"], "left").select("img", "y", "x", F.coalesce("root", "label").alias("label"))
+    roots = joined_labels(told.join(dealt(border.withColumnRenamed("label", "b")), ["img", "y", "x"]).select("img", "a", "b"))
+    return local.join(dealt(roots), ["img", "label"], "left").select("img", "y", "x", F.coalesce("root", "label").alias("label"))
 
 
 def without_small(mask: DataFrame, least: int, tile: int = TILE) -> DataFrame:
     """img, y, x of the components of ``least`` pixels at least."""
     label = components(mask, tile=tile)
     large = label.groupBy("img", "label").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return label.join(large, ["img", "label"], "left_semi").select("img", "y", "x")
+    return label.join(dealt(large), ["img", "label"], "left_semi").select("img", "y", "x")
 
 
 def filled(px: DataFrame, mask: Column, tile: int = TILE) -> DataFrame:
@@ -174,16 +174,16 @@ def filled(px: DataFrame, mask: Column, tile: int = TILE) -> DataFrame:
     rows = written(sized(px.select("img", "y", "x", F.coalesce(mask, F.lit(False)).alias("region"))), "region")
     rest = components(rows.where("NOT region"), tile=tile)
     edge = rows.where("y = 0 OR x = 0 OR y = _h - 1 OR x = _w - 1").select("img", "y", "x")
-    outside = rest.join(edge, ["img", "y", "x"], "left_semi").select("img", "label").distinct()
-    holes = rest.join(outside, ["img", "label"], "left_anti").select("img", "y", "x", F.lit(True).alias("_hole"))
-    return rows.join(holes, ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("_hole", "region").alias("region"))
+    outside = rest.join(dealt(edge), ["img", "y", "x"], "left_semi").select("img", "label").distinct()
+    holes = rest.join(dealt(outside), ["img", "label"], "left_anti").select("img", "y", "x", F.lit(True).alias("_hole"))
+    return rows.join(dealt(holes), ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("_hole", "region").alias("region"))
 
 
 def zones(px: DataFrame, mask: Column, reach: float, tile: int = TILE) -> DataFrame:
     """img, y, x, whole, outside (0 < distance <= reach), inside and both: which zones of the filled mask each pixel is in."""
     region = written(filled(px, mask, tile), "filled")
     near = lambda target, name: distances(region, target).select("img", "y", "x", ((F.col("d") > 0) & (F.col("d") <= max(1.0, reach))).alias(name))
-    found = region.withColumnRenamed("region", "whole").join(near(F.col("region"), "outside"), ["img", "y", "x"]).join(near(~F.col("region"), "inside"), ["img", "y", "x"])
+    found = region.withColumnRenamed("region", "whole").join(dealt(near(F.col("region"), "outside")), ["img", "y", "x"]).join(dealt(near(~F.col("region"), "inside")), ["img", "y", "x"])
     return found.withColumn("both", F.col("outside") | F.col("inside"))
 
 

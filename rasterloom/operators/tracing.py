@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import arrays as A
 from . import tiles as T
 
@@ -196,7 +196,7 @@ def _chained(heads: DataFrame, hops: DataFrame, key: list[str], ahead: list[str]
         then = hops.select(F.col("img").alias("_img"), *(F.col(k).alias(f"_{k}") for k in key), *(F.col(c).alias(f"then_{c}") for c in (*ahead, joined, *carried, "seen")))
 
         def on(df: DataFrame) -> DataFrame:
-            met = df.join(then, [F.col("img") == F.col("_img"), *(F.col(a) == F.col(f"_{k}") for a, k in zip(ahead, key))], "left").drop("_img", *(f"_{k}" for k in key))
+            met = df.join(dealt(then), [F.col("img") == F.col("_img"), *(F.col(a) == F.col(f"_{k}") for a, k in zip(ahead, key))], "left").drop("_img", *(f"_{k}" for k in key))
             found = F.col("then_seen").isNotNull()
             again = F.arrays_overlap("seen", "then_seen") | F.coalesce(F.array_contains(F.concat("seen", "then_seen"), F.struct(*(F.col(f"then_{a}").alias(k) for a, k in zip(ahead, key)))), F.lit(False))
             return met.select(*(F.when(found, F.concat(c, f"then_{c}")).otherwise(F.col(c)).alias(c) if c in (joined, "seen")
@@ -241,7 +241,7 @@ def _unless_met(walks: DataFrame, others: DataFrame) -> DataFrame:
     """The walks of which no earlier one of the others comes in by the step by which they go out."""
     order = F.struct("y", "x", "step")
     first = others.where("tail > 0").groupBy("img", F.col("ey").alias("y"), F.col("ex").alias("x"), F.col("eback").alias("step")).agg(F.min(order).alias("earlier"))
-    return walks.join(first, ["img", "y", "x", "step"], "left").where(F.col("earlier").isNull() | (F.col("earlier") >= order)).drop("earlier")
+    return walks.join(dealt(first), ["img", "y", "x", "step"], "left").where(F.col("earlier").isNull() | (F.col("earlier") >= order)).drop("earlier")
 
 
 def _row(place: Column) -> Column:
@@ -307,9 +307,9 @@ def fibers(found: DataFrame, joins: DataFrame) -> DataFrame:
     sides = found.select("img", *link, F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     # A walk that comes in by one side goes out by the other and on to that one's partner.
     beyond = joins.select("img", *link, (1 - F.col("side")).alias("side"), "py", "px", "pstep", "pside")
-    hops = sides.join(beyond, ["img", *link, "side"], "left").withColumn("parts", F.array(F.struct(*link, "side")))
+    hops = sides.join(dealt(beyond), ["img", *link, "side"], "left").withColumn("parts", F.array(F.struct(*link, "side")))
     hops = written(hops, "hops")
-    heads = hops.join(joins.select("img", *link, "side"), ["img", *link, "side"], "left_anti")
+    heads = hops.join(dealt(joins.select("img", *link, "side")), ["img", *link, "side"], "left_anti")
     chains = _chained(heads, hops.where("py IS NOT NULL OR side >= 0"), [*link, "side"], ["py", "px", "pstep", "pside"], "parts", [], "hops")
     last = F.element_at("parts", -1)
     here, there = F.struct(*link), F.struct(last["y"].alias("y"), last["x"].alias("x"), last["step"].alias("step"))
@@ -318,9 +318,9 @@ def fibers(found: DataFrame, joins: DataFrame) -> DataFrame:
     parts = written(parts.select("img", "n", "at", *(F.col(f"part.{c}").alias(c) for c in (*link, "side"))), "parts")
     way = F.when(F.col("side") == 1, F.reverse("points")).otherwise(F.col("points"))
     way = F.when(F.col("at") > 0, F.slice(way, F.lit(2), F.size("points"))).otherwise(way)
-    body = parts.join(found.select("img", *link, "points"), ["img", *link]).select("img", "n", F.struct("at", way.alias("way")).alias("w"))
+    body = parts.join(dealt(found.select("img", *link, "points")), ["img", *link]).select("img", "n", F.struct("at", way.alias("way")).alias("w"))
     whole = body.groupBy("img", "n").agg(F.flatten(F.transform(F.sort_array(F.collect_list("w")), lambda w: w["way"])).alias("points"))
-    rings = found.join(parts.select("img", *link), ["img", *link], "left_anti").select("img", F.struct(F.lit(1).alias("ring"), *link).alias("n"), "points")
+    rings = found.join(dealt(parts.select("img", *link)), ["img", *link], "left_anti").select("img", F.struct(F.lit(1).alias("ring"), *link).alias("n"), "points")
     return whole.union(rings)
 
 
@@ -363,7 +363,7 @@ def segments(skeleton: DataFrame, tile: int = T.TILE) -> DataFrame:
     found = written(T.components(skeleton, True, tile), "components")
     size = found.groupBy("img", "label").agg(F.min("y").alias("top"), F.min("x").alias("left"), (F.greatest(F.max("y") - F.min("y"), F.max("x") - F.min("x")) >= tile).alias("large"))
     at = lambda c: F.floor(F.col(c) / tile).cast("long")
-    keyed = found.join(size, ["img", "label"]).select("img", "y", "x", F.when(F.col("large"), F.col("label")).otherwise(-1).cast("long").alias("own"),
+    keyed = found.join(dealt(size), ["img", "label"]).select("img", "y", "x", F.when(F.col("large"), F.col("label")).otherwise(-1).cast("long").alias("own"),
                                                       F.when(F.col("large"), -1).otherwise(at("top")).alias("ty"), F.when(F.col("large"), -1).otherwise(at("left")).alias("tx"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

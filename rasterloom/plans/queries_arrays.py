@@ -267,7 +267,7 @@ def greedy_matching(spark, d):
     joins = written(R.partners(found), "joins")
     fibers = R.fibers(found, joins).groupBy("img").agg(F.count("*").alias("fibers"))
     pairs = joins.groupBy("img").agg((F.count("*") / 2).cast("long").alias("pairs"))
-    return found.groupBy("img").agg(F.count("*").alias("links")).join(pairs, "img", "left").join(fibers, "img", "left").select("img", "fibers", "links", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+    return found.groupBy("img").agg(F.count("*").alias("links")).join(dealt(pairs), "img", "left").join(dealt(fibers), "img", "left").select("img", "fibers", "links", F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
 @query("g06_window_morphometrics")

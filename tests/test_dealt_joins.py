@@ -1,5 +1,7 @@
 """Tables that grow with the input are dealt out by key, and not sent whole through the driver."""
 
+import pytest
+
 from rasterloom.plans import registry
 
 
@@ -8,5 +10,6 @@ def broadcasts(df):
     return plan.count("BroadcastExchange")
 
 
-def test_polygon_zones(spark, data):
-    assert broadcasts(registry.QUERIES["m02_polygon_zones"](spark, data)) == 0
+@pytest.mark.parametrize("name", ["m02_polygon_zones", "g09_traced_fibers", "j11_greedy_matching"])
+def test_nothing_is_broadcast(spark, data, name):
+    assert broadcasts(registry.QUERIES[name](spark, data)) == 0
