@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import validate as V
 
 #: Bins of a feature, and the bin after them of missing values.
@@ -169,18 +170,40 @@ def models(train: DataFrame, features: Sequence[str], keys: Sequence[str], most_
 
 
 def predicted(fitted: DataFrame, rows: DataFrame, features: Sequence[str], keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """keys, carried columns, proba (by class 0, 1 and so on) and pred of the rows, by the model of their keys; ties go to the smallest class."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in (*keys, *carried, "proba", "pred")})
-        model = pickle.loads(left["model"].iloc[0])
-        p = np.zeros((len(right), int(model["classes"].max()) + 1))
-        p[:, model["classes"]] = probabilities(model, _matrix(right, features))
-        return right[[*keys, *carried]].assign(proba=list(p), pred=p.argmax(1))
-
-    own = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), *carried, *features)
+    """keys, carried columns, proba (by class 0, 1 and so on) and pred of the rows, by the model of their keys; ties go to the smallest class.
+
+    The rows of a model are dealt over parts, each behind a copy of it, and go
+    by it a batch at a time, so that no group of rows is held whole.
+    """
+    def run(frames):
+        at, model = None, None
+        for frame in frames:
+            names = frame["_at"].to_numpy()
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                piece = frame.iloc[i:j]
+                if names[i] != at:  # the model comes first
+                    at, made = names[i], piece["model"].iloc[0]
+                    model = None if made is None else pickle.loads(made)
+                right = piece[piece["model"].isna()]
+                if model is None or not len(right):
+                    continue
+                p = np.zeros((len(right), int(model["classes"].max()) + 1))
+                p[:, model["classes"]] = probabilities(model, _matrix(right, features))
+                yield right[[*keys, *carried]].assign(proba=list(p), pred=p.argmax(1))
+
+    fitted = written(fitted, "models")
+    spark = fitted.sparkSession
+    parts = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, fitted.count()))
+    own = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), *carried, *(c for c in features if c not in carried))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields if f.name in (*keys, *carried))
-    return fitted.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(run, f"{types}, proba array<double>, pred long")
+    named = lambda part: F.concat_ws("/", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), part).alias("_at")
+    # A model's row has 0 in the rows' columns, so that whole numbers stay so.
+    ahead = fitted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+        named(F.col("_part")), "model", *(F.col(f.name) if f.name in keys else F.lit(0).cast(f.dataType).alias(f.name) for f in own.schema.fields))
+    behind = own.select(named(F.pmod(F.xxhash64(*own.columns), F.lit(parts))), F.lit(None).cast("binary").alias("model"), *own.columns)
+    dealt_out = ahead.union(behind).repartition("_at").sortWithinPartitions("_at", F.col("model").isNull())
+    return dealt_out.mapInPandas(run, f"{types}, proba array<double>, pred long")
 
 
 def fold_rows(train: DataFrame, folds: DataFrame, held_out: bool) -> DataFrame:
@@ -240,7 +263,7 @@ def permutation_importance(train: DataFrame, features: Sequence[str], repeats: i
     repeats.
     """
     folds = group_folds(train)
-    fitted = models(fold_rows(_sampled(train, MOST_ROWS), folds, False), features, ["fold"], **rules)
+    fitted = written(models(fold_rows(_sampled(train, MOST_ROWS), folds, False), features, ["fold"], **rules), "models")
     tests = fold_rows(train, folds, True)
     plans = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.lit(r).alias("repeat")) for i in range(len(features)) for r in range(repeats))))
     drawn = tests.withColumn("plan", plans).select("*", "plan.feature", "plan.repeat").drop("plan")
