@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import arrays as A
 from . import morph as M
 from . import texture as X
@@ -62,7 +62,7 @@ def gap_centers(px: DataFrame, fiber: Column, inside: Column) -> DataFrame:
     d = written(T.distances(px, fiber).where("d < double('infinity')"), "distances")
     top = neighbor_extreme(d, "d", False, ((0, 0), *RING)).withColumnRenamed("d", "top")
     room = F.least("y", "x", F.col("_h") - 1 - F.col("y"), F.col("_w") - 1 - F.col("x"))
-    found = d.join(top, AT).where("d >= top AND d > 1").join(rows, AT).where(F.col("i") & (F.col("d") <= room))
+    found = d.join(dealt(top), AT).where("d >= top AND d > 1").join(dealt(rows), AT).where(F.col("i") & (F.col("d") <= room))
     return found.select(*AT, (2 * F.col("d")).alias("width"))
 
 
@@ -102,16 +102,16 @@ def feature_planes(px: DataFrame, fiber: Column, value: str) -> DataFrame:
     base = written(px.select(*AT, fiber.alias("fiber"), F.col(value).cast("double").alias("v"), fiber.cast("double").alias("m")), "planes")
     skeleton = written(T.thinned(base.where("fiber").select(*AT)), "skeleton")
     paths = written(R.traced(skeleton), "paths")
-    shapes = M.path_shapes(paths).select("fiber", F.col("n").alias("length"), "arc", "straightness").join(M.path_curvature(paths, 4, axial=False, shorter=True), "fiber", "left")
+    shapes = M.path_shapes(paths).select("fiber", F.col("n").alias("length"), "arc", "straightness").join(dealt(M.path_curvature(paths, 4, axial=False, shorter=True)), "fiber", "left")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(c)
-    painted = (paths.join(shapes.where("length >= 2"), "fiber").withColumn("equivalent", 1 / F.col("length"))
+    painted = (paths.join(dealt(shapes.where("length >= 2")), "fiber").withColumn("equivalent", 1 / F.col("length"))
                .groupBy(*AT).agg(last("straightness"), last("curvature"), last("equivalent")))
     width = T.distances(base, ~F.col("fiber")).where("d < double('infinity')").select(*AT, (2 * F.col("d")).alias("width"))
-    thin = skeleton.withColumn("skeleton", F.lit(1)).join(ring_codes(skeleton).select(*AT, "is_junction", "is_endpoint"), AT).join(width, AT, "left").join(painted, AT, "left")
+    thin = skeleton.withColumn("skeleton", F.lit(1)).join(dealt(ring_codes(skeleton).select(*AT, "is_junction", "is_endpoint")), AT).join(dealt(width), AT, "left").join(dealt(painted), AT, "left")
     theta = T.orientation(base, "m", "fiber")
     # The kernel's two sides weigh one each here, and not a half.
     gradients = T.gradients(base, "v", 1.0).withColumns({"gy": 2 * F.col("gy"), "gx": 2 * F.col("gx")})
-    return base.join(gradients, AT).join(theta, AT, "left").join(thin, AT, "left")
+    return base.join(dealt(gradients), AT).join(dealt(theta), AT, "left").join(dealt(thin), AT, "left")
 
 
 def pooled(planes: DataFrame, *, window: int, stride: int, height: int, width: int, pixel_um: float = 1.0,
@@ -172,11 +172,11 @@ def window_fractals(px: DataFrame, fiber: Column, skeleton: DataFrame, window: i
     boxes = [b for b in fd_boxes if 1 <= b <= window]
     if len(boxes) > 1:
         made = M.box_dimension(as_images(skeleton.select(*AT), window), window, boxes).select("img", F.col("dimension").alias("fractal_dimension"))
-        found = found.join(of_windows(made), ["img", "iy", "ix"], "left")
+        found = found.join(dealt(of_windows(made)), ["img", "iy", "ix"], "left")
     for k in lac_boxes:
         if k <= window:
             made = M.lacunarity(as_images(px.select(*AT, fiber.alias("f")), window), F.col("f"), k).withColumnRenamed("lacunarity", f"lacunarity_{k}")
-            found = found.join(of_windows(made), ["img", "iy", "ix"], "left")
+            found = found.join(dealt(of_windows(made)), ["img", "iy", "ix"], "left")
     return found
 
 
@@ -197,12 +197,12 @@ def window_morphometrics(px: DataFrame, fiber: Column, window: int, inside: Colu
         found = found.select("img", "iy", "ix")
     if "straightness" in which:
         shapes = M.path_shapes(R.traced(skeleton), "img")
-        found = found.join(shapes.groupBy("img", *cell("cy", "cx")).agg(F.count("*").alias("n_fibers"), F.percentile("straightness", F.lit(0.5)).alias("straightness_median")), ["img", "iy", "ix"], "left")
+        found = found.join(dealt(shapes.groupBy("img", *cell("cy", "cx")).agg(F.count("*").alias("n_fibers"), F.percentile("straightness", F.lit(0.5)).alias("straightness_median"))), ["img", "iy", "ix"], "left")
     if "gaps" in which:
         gaps = gap_centers(px, fiber, inside).groupBy("img", *cell()).agg(F.avg("width").alias("gap_mean_px"), F.max("width").alias("gap_max_px"), F.count("*").alias("gap_count"))
-        found = found.join(gaps, ["img", "iy", "ix"], "full")
+        found = found.join(dealt(gaps), ["img", "iy", "ix"], "full")
     if "curvature" in which:
         inner = of_windows(written(R.traced(as_images(skeleton.select(*AT), window)), "inner"))
-        bends = M.path_curvature(inner, 4).join(inner.where("seq = 0").select("fiber", "img", "iy", "ix"), "fiber").groupBy("img", "iy", "ix").agg(F.avg("curvature").alias("mean_curvature_per_px"))
-        found = found.join(bends, ["img", "iy", "ix"], "left")
+        bends = M.path_curvature(inner, 4).join(dealt(inner.where("seq = 0").select("fiber", "img", "iy", "ix")), "fiber").groupBy("img", "iy", "ix").agg(F.avg("curvature").alias("mean_curvature_per_px"))
+        found = found.join(dealt(bends), ["img", "iy", "ix"], "left")
     return found
