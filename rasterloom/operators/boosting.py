@@ -1,15 +1,16 @@
 """Gradient boosting on histograms, and what is asked of a fitted model out of its folds.
 
-One fit is numpy in one task, on a bounded sample of labelled rows; the many
-fits of a validation (folds, permutations) are tasks of a table, and rows of
-their models and predictions are tables too.
+One fit is numpy in one task, which keeps its rows narrow (some 90 bytes a row
+of three features and five classes, and no copy of the table); the many fits
+of a validation (folds, permutations) are dealt over tasks, and rows of their
+models and predictions are tables too.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,23 +26,41 @@ BINS = 255
 MOST_ROWS = 200_000
 
 
+#: Rows of a slice of what is made of all rows in passing.
+SLICE = 1 << 16
+
+
+def _slices(n: int) -> list[slice]:
+    return [slice(i, min(n, i + SLICE)) for i in range(0, n, SLICE)]
+
+
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """Bins of values by feature; BINS where missing."""
-    codes = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)], 1).astype("i8") if x.shape[1] else np.zeros(x.shape, "i8")
-    codes[np.isnan(x)] = BINS
+    """Bins of values by feature, a byte each; BINS where missing."""
+    codes = np.empty(x.shape, "u1", "F")
+    for f, e in enumerate(edges):
+        codes[:, f] = _column_bins(x[:, f], e)
+    return codes
+
+
+def _column_bins(column: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    codes = np.empty(len(column), "u1")
+    for s in _slices(len(column)):
+        codes[s] = np.where(np.isnan(column[s]), BINS, np.searchsorted(edges, column[s], side="left"))
     return codes
 
 
 def bin_edges(x: np.ndarray) -> list[np.ndarray]:
     """Upper ends of the bins but the last: between different values if these are few, else quantiles."""
-    made = []
-    for column in x.T:
-        values = np.unique(column[~np.isnan(column)])
-        if len(values) > BINS:
-            made.append(np.unique(np.quantile(column[~np.isnan(column)], np.arange(1, BINS) / BINS)))
-        else:
-            made.append((values[:-1] + values[1:]) / 2)
-    return made
+    return [_column_edges(column) for column in x.T]
+
+
+def _column_edges(column: np.ndarray) -> np.ndarray:
+    column = column[~np.isnan(column)]
+    values = np.unique(column)
+    if len(values) > BINS:
+        del values
+        return np.unique(np.quantile(column, np.arange(1, BINS) / BINS))
+    return (values[:-1] + values[1:]) / 2
 
 
 def _best_split(sums: np.ndarray, l2: float, least: int) -> tuple[float, int, int, bool]:
@@ -63,15 +82,17 @@ def _best_split(sums: np.ndarray, l2: float, least: int) -> tuple[float, int, in
 def grown_tree(codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, leaves: int, l2: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes (feature or -1, bin, missing left, left, right) and values of a tree grown leaf by leaf, the best gain first, and each row's leaf."""
     n, k = codes.shape
-    flat = codes + np.arange(k) * (BINS + 1)
-    weights = np.stack([gradient, hessian, np.ones(n)])
 
-    def sums(rows: np.ndarray) -> np.ndarray:
-        at = flat[rows].ravel()
-        return np.stack([np.bincount(at, np.repeat(w[rows], k), k * (BINS + 1)) for w in weights]).reshape(3, k, BINS + 1)
+    def sums(rows: np.ndarray | slice) -> np.ndarray:
+        g, h = gradient[rows], hessian[rows]
+        made = np.empty((3, k, BINS + 1))
+        for f in range(k):
+            mine = codes[rows, f].astype("i8")
+            made[:, f] = np.bincount(mine, g, BINS + 1), np.bincount(mine, h, BINS + 1), np.bincount(mine, minlength=BINS + 1)
+        return made
 
-    nodes, value, where = [[-1, 0, 0, 0, 0]], [0.0], np.zeros(n, "i8")
-    held = {0: (np.arange(n), sums(np.arange(n)))}
+    nodes, value, where = [[-1, 0, 0, 0, 0]], [0.0], np.zeros(n, np.min_scalar_type(2 * leaves))
+    held = {0: (np.arange(n, dtype=np.min_scalar_type(n)), sums(slice(None)))}
     queue: list = []
 
     def weigh(node: int) -> None:
@@ -108,22 +129,42 @@ def _softmax(raw: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, leaves: int = 31, rate: float = 0.1, l2: float = 1.0, least: int = 20, balanced: bool = True) -> dict:
-    """Multinomial boosting: a tree a class and round on the softmax's gradients; nan is a value of its own; classes weigh alike if ``balanced``."""
-    classes, at = np.unique(y, return_inverse=True)
-    one = np.eye(len(classes))[at]
-    weight = (len(y) / (len(classes) * one.sum(0)))[at] if balanced else np.ones(len(y))
-    edges = bin_edges(x)
-    codes = binned(x, edges)
-    base = np.log((one * weight[:, None]).sum(0) / weight.sum())
-    raw, trees = np.tile(base, (len(y), 1)), []
+def fit(x: np.ndarray | Iterable[np.ndarray], y: np.ndarray, rounds: int = 200, leaves: int = 31, rate: float = 0.1, l2: float = 1.0, least: int = 20, balanced: bool = True) -> dict:
+    """Multinomial boosting: a tree a class and round on the softmax's gradients; nan is a value of its own; classes weigh alike if ``balanced``.
+
+    ``x`` is a matrix, or its columns one after another, each of which may go
+    once it is binned. What is as long as the rows is bins, scores (8 bytes a
+    class), one tree's gradients and leaves; probabilities are made of the
+    scores by slices, anew for each class.
+    """
+    classes = np.unique(y)
+    at = np.searchsorted(classes, y).astype(np.min_scalar_type(len(classes)))
+    count, n = np.bincount(at, minlength=len(classes)), len(at)
+    del y
+    weigh = n / (len(classes) * count) if balanced else np.ones(len(classes))
+    edges, codes = [], []
+    for column in x.T if isinstance(x, np.ndarray) else x:
+        edges.append(_column_edges(column))
+        codes.append(_column_bins(column, edges[-1]))
+        del column
+    codes = np.stack(codes).T if codes else np.zeros((n, 0), "u1")
+    weight = weigh[at]
+    base = np.log(np.bincount(at, weight, len(classes)) / weight.sum())
+    del weight
+    raw, trees = np.repeat(base[:, None], n, 1), []
+    gradient, hessian = np.empty(n), np.empty(n)
     for _ in range(rounds if len(classes) > 1 else 0):
-        p = _softmax(raw)
-        made = []
+        made, moves = [], []
         for c in range(len(classes)):
-            nodes, value, where = grown_tree(codes, weight * (p[:, c] - one[:, c]), weight * p[:, c] * (1 - p[:, c]), leaves, l2, least)
-            raw[:, c] += rate * value[where]
+            for s in _slices(n):
+                p, w = _softmax(np.ascontiguousarray(raw[:, s].T))[:, c], weigh[at[s]]
+                gradient[s], hessian[s] = w * (p - (at[s] == c)), w * p * (1 - p)
+            nodes, value, where = grown_tree(codes, gradient, hessian, leaves, l2, least)
             made.append((nodes, rate * value))
+            moves.append(where)
+        for scores, (_, value), where in zip(raw, made, moves):  # after the round, whose gradients are of the scores before it
+            for s in _slices(n):
+                scores[s] += value[where[s]]
         trees.append(made)
     return {"classes": classes, "edges": edges, "base": base, "trees": trees}
 
@@ -160,13 +201,29 @@ def _sampled(train: DataFrame, most_rows: int) -> DataFrame:
 
 def models(train: DataFrame, features: Sequence[str], keys: Sequence[str], most_rows: int = MOST_ROWS, **rules) -> DataFrame:
     """keys and model (pickled) of each group of the rows of ``train(row, y, features, keys)``; a fit takes a sample of ``most_rows`` at most."""
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row")
-        made = pickle.dumps(fit(_matrix(part, features), part["y"].to_numpy(), **rules))
-        return pd.DataFrame([{**{k: int(v) for k, v in zip(keys, key)}, "model": made}])
+    def made(key: tuple, held: list[tuple]) -> pd.DataFrame:
+        y = np.concatenate([p.pop() for p in held])
+        columns = (np.concatenate([p.pop() for p in held]) for _ in features)  # each goes from the pieces as it is taken
+        return pd.DataFrame([{**{k: int(v) for k, v in zip(keys, key)}, "model": pickle.dumps(fit(columns, y, **rules))}])
+
+    def run(frames):
+        at, held = None, []
+        for frame in frames:
+            names = frame[list(keys)].to_numpy()
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if at is not None and at != tuple(names[i]):
+                    yield made(at, held)
+                    held = []
+                at, piece = tuple(names[i]), frame.iloc[i:j]
+                held.append([*(piece[f].to_numpy("f8", na_value=np.nan, copy=True) for f in reversed(features)), piece["y"].to_numpy(copy=True)])
+        if at is not None:
+            yield made(at, held)
 
     schema = ", ".join(f"{k} long" for k in keys) + ", model binary"
-    return train.select("row", "y", *features, *(F.col(k).cast("long").alias(k) for k in keys)).groupBy(*keys).applyInPandas(run, schema)
+    own = train.select("row", "y", *features, *(F.col(k).cast("long").alias(k) for k in keys))
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not put together again, as fits are long
+    return own.repartition(parts, *keys).sortWithinPartitions(*keys, "row").drop("row").mapInPandas(run, schema)
 
 
 def predicted(fitted: DataFrame, rows: DataFrame, features: Sequence[str], keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
@@ -225,7 +282,7 @@ def out_of_fold(train: DataFrame, features: Sequence[str], folds: DataFrame, key
     """keys, fold, row, y, grp, proba and pred of each row by a model that did not see its fold.
 
     ``train`` may hold several tables told apart by ``keys`` (permutations);
-    each (keys, fold) is a task, whose copy of the rows is what it is fitted on.
+    each (keys, fold) is a fit, whose copy of the rows streams to its task.
     """
     sample = _sampled(train, most_rows) if not keys else train
     by = [*keys, "fold"]
