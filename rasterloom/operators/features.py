@@ -16,7 +16,7 @@ from . import texture as X
 from . import tiles as T
 from . import tracing as R
 from . import windows as W
-from .neighbors import RING, closed, neighbor_extreme, ring_codes, top_hat
+from .neighbors import closed, ring_codes, top_hat
 
 #: A window whose gradients have less energy than this a pixel is flat.
 FLAT = 1e-12
@@ -58,12 +58,17 @@ def segmented(px: DataFrame, value: Column, cut: float | str, least: int = 0, *,
 
 def gap_centers(px: DataFrame, fiber: Column, inside: Column) -> DataFrame:
     """img, y, x, width: twice the distance at local maxima of the distance to a fiber, above 1, whose circle stays inside the image."""
-    rows = T.sized(px.select(*AT, fiber.alias("f"), inside.alias("i")))
-    d = written(T.distances(px, fiber).where("d < double('infinity')"), "distances")
-    top = neighbor_extreme(d, "d", False, ((0, 0), *RING)).withColumnRenamed("d", "top")
-    room = F.least("y", "x", F.col("_h") - 1 - F.col("y"), F.col("_w") - 1 - F.col("x"))
-    found = d.join(dealt(top), AT).where("d >= top AND d > 1").join(dealt(rows), AT).where(F.col("i") & (F.col("d") <= room))
-    return found.select(*AT, (2 * F.col("d")).alias("width"))
+    def peaks(d: np.ndarray, room: np.ndarray, here: np.ndarray) -> dict[str, np.ndarray]:
+        around = np.pad(d, 1)
+        h, w = d.shape
+        return {"d": d, "room": room, "top": np.max([around[y:y + h, x:x + w] for y in range(3) for x in range(3)], axis=0)}
+
+    # The room to the edges goes along with the pixels, so that nothing is joined to them again; -1 where no gap is wanted.
+    room = F.when(F.col("i"), F.least("y", "x", F.col("_h") - 1 - F.col("y"), F.col("_w") - 1 - F.col("x")).cast("int")).otherwise(-1)
+    rows = T.sized(px.select(*AT, fiber.alias("f"), inside.alias("i"))).select(*AT, "f", room.alias("room"), "_h", "_w")
+    d = T.distances(rows, F.col("f"), ["room"]).where("d < double('infinity')")
+    found = T.per_tile(d, ["d", "room"], peaks, "d double, room int, top double", halo=1, to_edge=False)
+    return found.where("d >= top AND d > 1 AND d <= room").select(*AT, (2 * F.col("d")).alias("width"))
 
 
 def coherence(xx: Column, yy: Column, xy: Column, n: Column | int) -> Column:

@@ -27,9 +27,9 @@ PLACE = 1 << 32
 
 
 def sized(px: DataFrame) -> DataFrame:
-    """With _h and _w: an image ends at its own last row and column."""
+    """With _h and _w: an image ends at its own last row and column. Ends, a row an image, are hashed, so that pixels are not sorted for them."""
     ends = px.groupBy("img").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-    return px.join(ends, "img")
+    return px.join(ends.hint("shuffle_hash"), "img")
 
 
 def _planes(part: pd.DataFrame, columns: Sequence[str], top: int, left: int, shape: tuple[int, int]) -> list[np.ndarray]:
@@ -90,20 +90,22 @@ def per_tile(px: DataFrame, columns: Sequence[str], f: Callable[..., dict[str, n
     return _by_tile(px, columns, run, f"y int, x int, {schema}", tile, halo, to_edge)
 
 
-def distances(px: DataFrame, target: Column) -> DataFrame:
-    """img, y, x, d: the exact distance of each pixel to the nearest one where ``target`` holds; infinite in an image without one.
+def distances(px: DataFrame, target: Column, carried: Sequence[str] = ()) -> DataFrame:
+    """img, y, x, d and the columns carried (without nulls): the exact distance of each pixel to the nearest one where ``target`` holds; infinite in an image without one.
 
     Strips of columns give the distances along columns, strips of rows the least
     of (column distance)^2 + (offset)^2. A task holds 64 columns or rows at once.
     """
-    rows = sized(px.select("img", "y", "x", F.coalesce(target, F.lit(False)).alias("t")))
+    rows = px.select("img", "y", "x", F.coalesce(target, F.lit(False)).alias("t"), *carried, *(c for c in ("_h", "_w") if c in px.columns))
+    rows = rows if "_h" in rows.columns else sized(rows)
+    types = "".join(f", {f.name} {f.dataType.simpleString()}" for c in carried for f in [rows.schema[c]])
 
     def down(part: pd.DataFrame) -> pd.DataFrame:
         left, h = int(part["x"].min()), int(part["_h"].iloc[0])
-        t, here = _planes(part, ["t"], 0, left, (h, int(part["x"].max()) - left + 1))
+        t, *others, here = _planes(part, ["t", *carried], 0, left, (h, int(part["x"].max()) - left + 1))
         column = A.along_columns(t.astype(bool))
         y, x = np.nonzero(here | np.isfinite(column))
-        return pd.DataFrame({"img": part["img"].iloc[0], "y": y.astype("i4"), "x": (x + left).astype("i4"), "c": column[y, x], "here": here[y, x]})
+        return pd.DataFrame({"img": part["img"].iloc[0], "y": y.astype("i4"), "x": (x + left).astype("i4"), "c": column[y, x], "here": here[y, x]} | {c: o[y, x] for c, o in zip(carried, others)})
 
     def across(part: pd.DataFrame) -> pd.DataFrame:
         top = int(part["y"].min())
@@ -111,10 +113,10 @@ def distances(px: DataFrame, target: Column) -> DataFrame:
         c[part["y"] - top, part["x"]] = part["c"]
         d = A.across_rows(c)
         part = part[part["here"]]
-        return pd.DataFrame({"img": part["img"], "y": part["y"], "x": part["x"], "d": d[part["y"] - top, part["x"]]})
+        return pd.DataFrame({"img": part["img"], "y": part["y"], "x": part["x"], "d": d[part["y"] - top, part["x"]]} | {c: part[c] for c in carried})
 
-    columns = rows.groupBy("img", F.floor(F.col("x") / STRIP).alias("_s")).applyInPandas(down, "img long, y int, x int, c double, here boolean")
-    return columns.groupBy("img", F.floor(F.col("y") / STRIP).alias("_s")).applyInPandas(across, "img long, y int, x int, d double")
+    columns = rows.groupBy("img", F.floor(F.col("x") / STRIP).alias("_s")).applyInPandas(down, f"img long, y int, x int, c double, here boolean{types}")
+    return columns.groupBy("img", F.floor(F.col("y") / STRIP).alias("_s")).applyInPandas(across, f"img long, y int, x int, d double{types}")
 
 
 def joined_labels(edges: DataFrame) -> DataFrame:
