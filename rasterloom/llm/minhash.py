@@ -29,6 +29,8 @@ from .components import components
 from .hashing import Windows, mixed, portions, starts_inside, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 7
+#: Characters of a portion of texts, and rows of a batch: a worker keeps the most that it ever held beside its executor's heap.
+PORTION, BATCH = 250_000, 250
 #: Odd steps between a region's darts, and what parts the draws of one dart (fixed values).
 DART_STEP, DRAW_COORDINATE, DRAW_HEIGHT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -123,7 +125,7 @@ def scan(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for frame in frames:
             texts = frame["text"].tolist()
             # A text has about as many darts, however short it is; both bound a portion's memory.
-            for i, j in portions(texts, 800_000, 1_600):
+            for i, j in portions(texts, PORTION, 1_600):
                 owner, regions = elements(texts[i:j])
                 keys = band_keys(signatures(owner, regions, j - i, bands * rows), bands, rows).view("i8")
                 lists = [common.blank_words(t) for t in texts[i:j]]
@@ -141,7 +143,7 @@ def shingle_sets(met: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             texts = frame["text"].tolist()
-            for i, j in portions(texts):
+            for i, j in portions(texts, PORTION):
                 owner, regions = elements(texts[i:j])
                 order = np.lexsort((regions, owner))
                 cuts = np.searchsorted(owner, np.arange(j - i + 1))
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     with nothing and are kept. Rows of equal doc_id stand for one document:
     they are kept or go together.
     """
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, BATCH)
     last = F.lit((1 << 63) - 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("doc", F.coalesce("doc_id", last))
