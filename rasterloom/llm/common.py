@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import fresh_path, shared_dir  # noqa: F401
+from ..sources.shared import dealt, fresh_path, shared_dir  # noqa: F401
 
 #: ASCII space and the controls from tab to carriage return separate words.
 BLANK_WORD = r"[^\x20\x09-\x0D]+"

@@ -6,6 +6,8 @@ have left without the replaced letter. So words are joined on equal keys, the
 pairs verified, and each word's forms summed up. A key has few words whatever
 the corpus: itself and what one of 90 letters put in at one of its places
 makes, so a join of a key's words is bounded by the alphabet, and no key is hot.
+Joins deal out both sides by key: words grow with the corpus, and a small file
+of words makes some ten keys of each.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = F.array_union(F.array("word"), F.transform(places, lambda i: _without(F.col("word"), i)))
     keyed = words.select("word", "n", F.explode(keys).alias("key"))
     other = keyed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    return (keyed.join(other, "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    return (keyed.join(common.dealt(other), "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
             .select("word", "n", "near", "near_n"))
 
 
@@ -65,7 +67,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found = common.written(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = found.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = common.written(found.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        longer = common.written(found.join(common.dealt(ahead), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         found = longer.select("word", "root")
         if longer.where("moved").isEmpty():
             return found
@@ -84,12 +86,12 @@ def spelling_variants(docs: DataFrame, ratio: int = 10, **rules) -> DataFrame:
     words = common.written(spelled_words(docs, **rules), "words")
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("form"))).alias("best")
     nearest = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    known = words.join(nearest, "word", "left")
+    known = words.join(common.dealt(nearest), "word", "left")
     strong = -F.col("best.minus") >= ratio * F.col("n")
     known = known.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                          F.when(strong, F.col("best.form")).alias("form"), F.when(strong, -F.col("best.minus")).alias("form_n"))
     known = common.written(known, "forms")
-    return (known.join(roots(known.where("form IS NOT NULL")), "word", "left")
+    return (known.join(common.dealt(roots(known.where("form IS NOT NULL"))), "word", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 
