@@ -17,14 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import validate as V
 
 #: Bins of a feature, and the bin after them of missing values.
 BINS = 255
-#: Labelled rows that one fit takes at most.
-MOST_ROWS = 200_000
-
 
 #: Rows of a slice of what is made of all rows in passing.
 SLICE = 1 << 16
@@ -193,14 +190,8 @@ def _matrix(part: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
     return part[list(features)].to_numpy("f8", na_value=np.nan)
 
 
-def _sampled(train: DataFrame, most_rows: int) -> DataFrame:
-    """At most about so many rows, by a hash of the row."""
-    n = train.count()
-    return train if n <= most_rows else train.where(F.pmod(F.xxhash64(F.lit("fit"), "row"), F.lit(1 << 30)) < int((1 << 30) * most_rows / n))
-
-
-def models(train: DataFrame, features: Sequence[str], keys: Sequence[str], most_rows: int = MOST_ROWS, **rules) -> DataFrame:
-    """keys and model (pickled) of each group of the rows of ``train(row, y, features, keys)``; a fit takes a sample of ``most_rows`` at most."""
+def models(train: DataFrame, features: Sequence[str], keys: Sequence[str], **rules) -> DataFrame:
+    """keys and model (pickled) of each group of the rows of ``train(row, y, features, keys)``; a fit takes all rows of its group."""
     def made(key: tuple, held: list[tuple]) -> pd.DataFrame:
         y = np.concatenate([p.pop() for p in held])
         columns = (np.concatenate([p.pop() for p in held]) for _ in features)  # each goes from the pieces as it is taken
@@ -265,7 +256,7 @@ def predicted(fitted: DataFrame, rows: DataFrame, features: Sequence[str], keys:
 
 def fold_rows(train: DataFrame, folds: DataFrame, held_out: bool) -> DataFrame:
     """The rows of each fold's test part, or those that its model may see: ``folds`` is (row, fold)."""
-    own = train.join(folds, "row")
+    own = train.join(dealt(folds), "row")
     if held_out:
         return own
     all_folds = folds.select(F.col("fold").alias("_fold")).distinct()
@@ -278,15 +269,14 @@ def group_folds(train: DataFrame) -> DataFrame:
     return train.select("row", F.col("grp").alias("fold"))
 
 
-def out_of_fold(train: DataFrame, features: Sequence[str], folds: DataFrame, keys: Sequence[str] = (), most_rows: int = MOST_ROWS, **rules) -> DataFrame:
+def out_of_fold(train: DataFrame, features: Sequence[str], folds: DataFrame, keys: Sequence[str] = (), **rules) -> DataFrame:
     """keys, fold, row, y, grp, proba and pred of each row by a model that did not see its fold.
 
     ``train`` may hold several tables told apart by ``keys`` (permutations);
     each (keys, fold) is a fit, whose copy of the rows streams to its task.
     """
-    sample = _sampled(train, most_rows) if not keys else train
     by = [*keys, "fold"]
-    fitted = models(fold_rows(sample, folds, False), features, by, **rules)
+    fitted = models(fold_rows(train, folds, False), features, by, **rules)
     return predicted(fitted, fold_rows(train, folds, True), features, by, ["row", "y", "grp"])
 
 
@@ -320,7 +310,7 @@ def permutation_importance(train: DataFrame, features: Sequence[str], repeats: i
     repeats.
     """
     folds = group_folds(train)
-    fitted = written(models(fold_rows(_sampled(train, MOST_ROWS), folds, False), features, ["fold"], **rules), "models")
+    fitted = written(models(fold_rows(train, folds, False), features, ["fold"], **rules), "models")
     tests = fold_rows(train, folds, True)
     plans = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.lit(r).alias("repeat")) for i in range(len(features)) for r in range(repeats))))
     drawn = tests.withColumn("plan", plans).select("*", "plan.feature", "plan.repeat").drop("plan")
